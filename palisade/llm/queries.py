@@ -4,9 +4,27 @@ with production parameters, to its whole table and derives the contract's column
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm import exact_dedup, line_quality
-from palisade.llm.common import table
+from palisade.llm import bitplane, exact_dedup, line_quality, packing, sentencepieces, simhash
+from palisade.llm.common import shared_folder, table
+
+#: The id that ends each document.
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    """Of a public tokenizer; on the driver, executors have the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bitplane.write_ids(docs, folder, tokenizer_path("byte_bpe_50k.json"), END_ID)
+    return bitplane.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +34,36 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.cut_pieces(docs, tokenizer_path("word_bpe_49k.json"), END_ID)
+    return packing.assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = exact_dedup.mark_duplicates(docs.withColumn("text_sha256", exact_dedup.text_sha256()))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_quality, op9_exact_dedup)}
+def op10_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(docs, model)
+    spans = encoded.withColumn("spans_crc32", F.crc32(F.concat("begins", "ends"))).drop("begins", "ends")
+    return sentencepieces.decode(spans, model).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "spans_crc32",
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bitplane_ids, op5_line_quality, op6_simhash_trie, op7_bin_slack, op9_exact_dedup, op10_offset_pieces)
+}
