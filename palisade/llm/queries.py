@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bitplane, exact_dedup, line_quality, packing, sentencepieces, simhash
+from palisade.llm import bitplane, exact_dedup, line_quality, packing, personal_data, sentencepieces, simhash
 from palisade.llm.common import shared_folder, table
 
 #: The id that ends each document.
@@ -44,6 +44,16 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[f"n_{kind}" for kind in personal_data.BASE],
+        F.sha2(personal_data.spans_text("base_spans").cast("binary"), 256).alias("base_sha256"),
+        personal_data.spans_text("spans").alias("spans"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = exact_dedup.mark_duplicates(docs.withColumn("text_sha256", exact_dedup.text_sha256()))
@@ -65,5 +75,5 @@ def op10_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bitplane_ids, op5_line_quality, op6_simhash_trie, op7_bin_slack, op9_exact_dedup, op10_offset_pieces)
+    for f in (op1_bitplane_ids, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces)
 }
