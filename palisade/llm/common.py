@@ -78,3 +78,11 @@ def set_aside(df: DataFrame, names) -> tuple[DataFrame, list[Column]]:
     away = dict(zip(clash, fresh(df, *(f"__own_{c}" for c in clash))))
     renamed = df.select(*[F.col(f"`{c}`").alias(away.get(c, c)) for c in df.columns])
     return renamed, [F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns]
+
+
+def guarded(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) evaluated where it stands: Catalyst would otherwise push the
+    condition below the projections it refers to, and evaluate those twice."""
+    (place,) = fresh(df, "__place")
+    rows = df.withColumn(place, F.monotonically_increasing_id())
+    return rows.where(condition & (F.col(place) >= 0)).drop(place)

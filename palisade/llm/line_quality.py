@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import SPACE, fresh, let, set_aside, text_of, without
+from palisade.llm.common import SPACE, fresh, guarded, let, set_aside, text_of, without
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -63,18 +63,15 @@ def repeated_window_words(words: Column) -> Column:
         positions = let(numbered, lambda ordered: F.transform(flagged(ordered), lambda x: x["at"]))
         return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda p: F.array(p, p + 1, p + 2)))))
 
-    return F.when(
-        F.size(words) >= 3,
-        let(
-            F.transform(
-                F.sequence(F.lit(0), F.size(words) - 3),
-                lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-            ),
-            lambda windows: F.when(
-                F.size(F.array_distinct(windows)) < F.size(windows), covered(windows)
-            ).otherwise(0),
-        ),
-    ).otherwise(0)
+    def counted(words: Column) -> Column:
+        windows = F.transform(
+            F.sequence(F.lit(0), F.size(words) - 3),
+            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+        )
+        repeated = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0)
+        return F.when(F.size(words) >= 3, let(windows, repeated)).otherwise(0)
+
+    return let(words, counted)
 
 
 def line_passes(line: Column) -> Column:
@@ -122,6 +119,6 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of docs and the failing lines removed."""
     renamed, own = set_aside(docs, RESULTS)
     (clean,) = fresh(renamed, "__clean")
-    judged = quality(renamed, clean).where("kept")
+    judged = guarded(quality(renamed, clean), F.col("kept"))
     now = {"text": F.col(clean), "n_chars": F.char_length(clean).cast("long")}
     return judged.select(*[now[c].alias(c) if c in now else x for c, x in zip(docs.columns, own)])

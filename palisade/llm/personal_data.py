@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fresh, set_aside, text_of, without, written
+from palisade.llm.common import fresh, guarded, set_aside, text_of, without, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "generalised", "removed")
@@ -94,10 +94,9 @@ def _text_key(text: Column) -> list[Column]:
 def _mentions(docs: DataFrame) -> DataFrame:
     """A row for each term near an entity, from the different texts of docs."""
     text = F.col("text")
+    searched = docs.select(text_of().alias("text")).withColumn("found", base_spans(text))
     rows = (
-        docs.select(text_of().alias("text"))
-        .withColumn("found", base_spans(text))
-        .where(F.size("found") > 0)
+        guarded(searched, F.size("found") > 0)
         .select("text", "found", F.posexplode("found").alias("i", "span"))
     )
     # A context ends where the entities before and after it do.
