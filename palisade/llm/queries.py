@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bitplane, exact_dedup, line_quality, main_text, packing, personal_data, sentence_spans, sentencepieces, simhash
+from palisade.llm import bitplane, exact_dedup, line_quality, main_text, packing, personal_data, sentence_spans, sentencepieces, simhash, weak_labels
 from palisade.llm.common import shared_folder, table
 
 #: The id that ends each document.
@@ -27,6 +27,11 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_labels.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -84,5 +89,5 @@ def op10_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bitplane_ids, op3_best_region, op4_sentence_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces)
+    for f in (op1_bitplane_ids, op2_weak_labels, op3_best_region, op4_sentence_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces)
 }
