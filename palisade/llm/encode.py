@@ -2,22 +2,29 @@
 
 A unit is a run of white space with the word after it. Neither the byte-level nor
 the word-end tokenizers join anything across the start of a unit, so a text's ids
-are its units' ids in a row; each unit is encoded by the library once and kept.
+are its units' ids in a row; each unit is encoded by the library once and kept, for all
+tasks that a Python worker runs. Units that are one plain word with its marks go to the
+library's merge model directly, without its normaliser and its splitter, which leave
+such words alone but for their case.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 
-#: Units that a task keeps (about 250 bytes each) before it starts afresh.
-KEPT_UNITS = 300_000
+#: Units that a worker keeps (about 200 bytes each) before it starts afresh.
+KEPT_UNITS = 1_000_000
 #: Python and the libraries differ on whether these are white space.
 _UNCERTAIN = re.compile("[\x1c-\x1f]")
 _UNITS = re.compile(r"\s*\S+|\s+")
+#: Letters that no normalisation changes and whose case is one to one, then marks.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]*)")
 
 
 def as_bytes(ids: Iterable[int]) -> bytes:
@@ -25,19 +32,35 @@ def as_bytes(ids: Iterable[int]) -> bytes:
 
 
 class UnitEncoder:
-    """Maps texts to ids as little-endian unsigned 32-bit integers."""
+    """Maps texts to ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], units: Callable[[str], list[str]], kept: int = KEPT_UNITS):
-        self.encode_batch, self.units, self.kept = encode_batch, units, kept
+    plain encodes a plain word, with its space, or a run of marks."""
+
+    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], units: Callable[[str], list[str]], plain: Callable[[str], bytes], kept: int = KEPT_UNITS):
+        self.encode_batch, self.units, self.plain, self.kept = encode_batch, units, plain, kept
         self.known: dict[str, bytes] = {}
 
+    def _piece(self, piece: str) -> bytes:
+        if piece not in self.known:
+            self.known[piece] = self.plain(piece)
+        return self.known[piece]
+
+    def _learn(self, units: Iterable[str]) -> None:
+        others = []
+        for unit in units:
+            if found := _PLAIN.fullmatch(unit):
+                word, marks = found.groups()
+                self.known[unit] = self._piece(word) + (self._piece(marks) if marks else b"")
+            else:
+                others.append(unit)
+        for unit, ids in zip(others, self.encode_batch(others) if others else []):
+            self.known[unit] = as_bytes(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.units(t) for t in texts]
         if len(self.known) > self.kept:
             self.known = {}
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for unit, ids in zip(new, self.encode_batch(new) if new else []):
-            self.known[unit] = as_bytes(ids)
+        self._learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
@@ -52,18 +75,33 @@ def word_units(text: str) -> list[str]:
     return [text] if _UNCERTAIN.search(text) else text.split()
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character of each byte: itself if it is printable, else the next one from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
 def library_encoder(path: str, keeps_space: bool) -> UnitEncoder:
-    """Of a tokenizers file; the strings of special tokens in a text are ordinary text."""
+    """Of a tokenizers file; the strings of special tokens in a text are ordinary text.
+
+    A tokenizer that drops white space also lower-cases."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
+    merge, alphabet = library.model.tokenize, byte_alphabet()
 
     def batch(units: list[str]) -> list[list[int]]:
         return [x.ids for x in library.encode_batch_fast(units, add_special_tokens=False)]
 
-    return UnitEncoder(batch, spaced_units if keeps_space else word_units)
+    def plain(piece: str) -> bytes:
+        piece = piece if keeps_space else piece.lower()
+        return array("I", [x.id for x in merge(piece.encode().decode("latin-1").translate(alphabet))]).tobytes()
+
+    return UnitEncoder(batch, spaced_units if keeps_space else word_units, plain)
 
 
 def slices(texts: list[str], characters: int = 1 << 20) -> Iterable[list[str]]:

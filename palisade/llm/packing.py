@@ -25,7 +25,7 @@ from palisade.llm.encode import library_encoder, slices
 
 WINDOW = 4096
 #: Ranks are counted within so many buckets of each length: a common length is not one group.
-BUCKETS = 256
+BUCKETS = 64
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
