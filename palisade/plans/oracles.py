@@ -115,7 +115,7 @@ _PATCH_VALUE = "html || CASE WHEN page_id % 7 = 0 THEN ' ${jndi:ldap://x} () { :
 _PATCHES = " UNION ALL ".join(
     f"SELECT page_id, {p.rule_id} AS rule_id, {intel.SEVERITY_BASE[p.severity]} AS base_score FROM v WHERE {' OR '.join(matched('value', x) for x in p.patterns)}" for p in intel.PATCHES
 )
-_SCRIPT_BODY = """CASE WHEN page_id % 5 = 0 THEN replace(html, 'track(1);', 'eval(atob(''eA==''));window.location=''http://x'';') ELSE html END"""
+_SCRIPT_BODY = r"""CASE WHEN page_id % 5 = 0 THEN regexp_replace(html, 'track\([0-9]+\);', 'eval(atob(''eA==''));window.location=''http://x'';') ELSE html END"""
 _SCRIPTS = " UNION ALL ".join(
     f"SELECT page_id, {quoted('Suspicious Script: ' + name)} AS rule_name FROM part WHERE {matched('value', pattern)}" for pattern, name, _ in supply_chain.SCRIPT_PATTERNS
 )

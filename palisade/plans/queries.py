@@ -164,7 +164,7 @@ def virtual_patches(spark, sf_dir):
 
 def script_patterns(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    body = F.when(F.col("page_id") % 5 == 0, F.replace(F.col("html"), F.lit("track(1);"), F.lit("eval(atob('eA=='));window.location='http://x';"))).otherwise(F.col("html"))
+    body = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", r"track\([0-9]+\);", "eval(atob('eA=='));window.location='http://x';")).otherwise(F.col("html"))
     found = pages.select("page_id", F.explode(supply_chain.response_detections(F.lit("text/html"), body)).alias("d"))
     return found.groupBy("page_id", F.col("d.rule_name").alias("rule_name")).agg(F.count("*").alias("n"))
 
