@@ -10,14 +10,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import let
 from palisade.model import ATTACK_TYPES, DETECTIONS
 from palisade.rules import Rule, java_pattern, may_be_empty, needed_texts
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def first_match(value: Column, lower: Column, pattern: str) -> Column:
     """The first match, null if there is none."""
     java = java_pattern(pattern)
@@ -69,5 +66,5 @@ def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Co
 
         return F.transform(hits, put)
 
-    found = _let(F.struct(value.alias("v"), F.lower(value).alias("low"), location.alias("place")), body)
+    found = let(body, v=value, low=F.lower(value), place=location)
     return F.coalesce(found, none)

@@ -202,4 +202,18 @@ ORACLES = {
     "model_average": f"""WITH e AS ({_EMBEDDED}), m AS (SELECT i, avg(g) AS s FROM e GROUP BY i), t AS (SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label)
       SELECT e.label, i::INT AS i, round(0.3 * g + 0.7 * s, 6) AS value FROM t JOIN e USING (vec_id) JOIN m USING (i)""",
     "gradient_topk": f"SELECT vec_id, i::INT AS i FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(g) DESC, i) AS k FROM ({_EMBEDDED})) WHERE k <= 8",
+    "json_depth": """WITH b AS (SELECT event_id, regexp_replace(repeat('{"a]{":[', (event_id % 14)::INT) || props || repeat(']}', (event_id % 14)::INT), '"[^"]*"', '', 'g') AS t FROM events),
+      k AS (SELECT event_id, list_transform(regexp_extract_all(t, '[{}\\[\\]]'), lambda c: CASE WHEN c IN ('{', '[') THEN 1 ELSE -1 END) AS s FROM b)
+      SELECT event_id, coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0)::INT AS depth FROM k""",
+    "json_inspection": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 98100 WHEN 1 THEN 98101 ELSE 98102 END AS rule_id,
+      CASE event_id % 6 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 3 END AS base_score FROM events WHERE event_id % 6 <> 4""",
+    "graphql_inspection": """SELECT event_id, 98001 AS rule_id, '__typename' AS matched FROM events WHERE event_type = 'view'
+      UNION ALL SELECT event_id, 98002, 'depth=' || (event_id % 13) || ' (max=10)' FROM events WHERE event_id % 13 > 10""",
+    "jwt_inspection": """SELECT event_id, 98200 AS rule_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 98201 FROM events WHERE event_id % 3 <> 0
+      UNION ALL SELECT event_id, 98203 FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 98204 FROM events WHERE event_id < 500""",
+    "bot_classes": """WITH a(k, base, ids) AS (VALUES (0, 0, ''), (1, 90, '97001'), (2, 20, '97002'), (3, 30, '97100,97100'), (4, 30, '97003'), (5, 40, '97004')),
+      c AS (SELECT event_id, k, CASE WHEN k = 0 THEN 0 ELSE base + CASE WHEN event_type = 'error' THEN 50 ELSE 0 END END AS confidence,
+        CASE WHEN k > 0 AND event_type = 'error' THEN ids || ',97102' ELSE ids END AS rule_ids FROM events JOIN a ON event_id % 6 = k)
+      SELECT event_id, CASE WHEN k = 0 THEN 'good-bot' WHEN confidence >= 70 THEN 'bad-bot' WHEN confidence >= 30 THEN 'unknown' ELSE 'human' END AS bot_class,
+        confidence::INT AS confidence, rule_ids FROM c""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.detect import detect
-from palisade.operators import bots, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators import api, bots, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
 from palisade.plans.requests import decide_requests, is_excluded, split_uri
 from palisade.rules import CATALOGUE, load
 from palisade.streaming import bodies
@@ -266,6 +266,46 @@ def gradient_topk(spark, sf_dir):
     return rows.select("vec_id", F.col("x.i").alias("i"))
 
 
+def json_depth(spark, sf_dir):
+    """Event properties wrapped as deep as their id says."""
+    body = F.concat(F.repeat(F.lit('{"a]{":['), (F.col("event_id") % 14).cast("int")), F.col("props"), F.repeat(F.lit("]}"), (F.col("event_id") % 14).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", api.json_depth(body).alias("depth"))
+
+
+def json_inspection(spark, sf_dir):
+    key = F.element_at(F.array(*[F.lit(k) for k in ("$ne", "__proto__", "isAdmin", "password", "name", "_id")]), (F.col("event_id") % 6 + 1).cast("int"))
+    body = F.concat(F.lit('{"'), key, F.lit('": '), F.col("props"), F.lit("}"))
+    found = table(spark, sf_dir, "events").select("event_id", F.explode(api.json_detections(body)).alias("d"))
+    return found.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.base_score").alias("base_score"))
+
+
+def graphql_inspection(spark, sf_dir):
+    n = (F.col("event_id") % 13).cast("int")
+    body = F.concat(F.lit("query q "), F.repeat(F.lit("{ user "), n), F.when(F.col("event_type") == "view", "__typename ").otherwise("name "), F.repeat(F.lit("} "), n))
+    found = table(spark, sf_dir, "events").select("event_id", F.explode(api.graphql_detections(body)).alias("d"))
+    return found.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.matched_value").alias("matched"))
+
+
+def jwt_inspection(spark, sf_dir):
+    url64 = lambda c: F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), "=", "")
+    head = F.when(F.col("event_id") % 3 == 0, '{"alg":"none"}').otherwise('{"alg":"HS256"}')
+    claims = F.concat(F.lit('{"sub":"'), F.col("user_id").cast("string"), F.when(F.col("event_type") == "error", '","admin":true,"exp":').otherwise('","exp":'), (F.lit(1_700_000_000) + F.col("event_id")).cast("string"), F.lit("}"))
+    header = F.concat(F.lit("Bearer "), url64(head), F.lit("."), url64(claims), F.lit(".c2ln"))
+    found = table(spark, sf_dir, "events").select("event_id", F.explode(api.jwt_detections(header, now=1_700_000_500, weak=True)).alias("d"))
+    return found.select("event_id", F.col("d.rule_id").alias("rule_id"))
+
+
+def bot_classes(spark, sf_dir):
+    agents = ("Googlebot/2.1", "sqlmap/1.0", "curl/8.0", "Mozilla/5.0 (X11) Chrome/120.0", "")
+    agent = F.when(F.col("event_id") % 6 < 5, F.element_at(F.array(*[F.lit(a) for a in agents]), F.least(F.col("event_id") % 6 + 1, F.lit(5)).cast("int")))
+    headers = F.create_map(F.lit("Accept"), F.array(F.lit("*/*")), F.lit("accept-language"), F.array(F.lit("en")))
+    tls = F.when(F.col("event_type") == "error", "6734f37431670b3ab4292b8f60f29984")
+    rows = table(spark, sf_dir, "events").select("event_id", agent.alias("user_agent"), headers.alias("headers"), tls.alias("tls_fingerprint"))
+    found = bots.classify(rows)
+    ids = F.array_join(F.transform("detections", lambda d: d["rule_id"].cast("string")), ",")
+    return found.select("event_id", "bot_class", "confidence", ids.alias("rule_ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -273,6 +313,7 @@ QUERIES = {
         email_bulk, sensitive_scan, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, stream_overlap_dedup,
-        early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk,
+        early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,
+        graphql_inspection, jwt_inspection, bot_classes,
     )
 }
