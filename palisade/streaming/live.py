@@ -1,7 +1,7 @@
 """The stateful forms of palisade.streaming.bodies for Structured Streaming.
 
 Chunks of one key come in order of their index within a micro-batch; state is a few
-hundred bytes a body, and is dropped when a body ends or has been silent too long."""
+hundred bytes a body, and is dropped when the body ends."""
 
 from __future__ import annotations
 
@@ -17,10 +17,12 @@ WINDOWS = "key string, idx long, is_last boolean, window binary"
 STATE = "tail binary"
 
 
-def overlapped(chunks: DataFrame, config: Config = Config(), timeout_ms: int = 60_000) -> DataFrame:
+def overlapped(chunks: DataFrame, config: Config = Config(), timeout_ms: int | None = None) -> DataFrame:
     """chunks (key, idx, data, is_last) with window: the end of the chunk before, and the chunk.
 
-    Only the last `overlap` bytes of a body are kept between chunks."""
+    Only the last `overlap` bytes of a body are kept between chunks. With a timeout, what is
+    kept of a body that has been silent so long is dropped; Spark then runs a batch at every
+    trigger, with data or without."""
     overlap = config.overlap
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,10 +41,12 @@ def overlapped(chunks: DataFrame, config: Config = Config(), timeout_ms: int = 6
                 state.remove()
         else:
             state.update((tail,))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["key", "idx", "is_last", "window"])
 
-    return chunks.groupBy("key").applyInPandasWithState(step, WINDOWS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("key").applyInPandasWithState(step, WINDOWS, STATE, "append", timeout)
 
 
 def windowed_counts(events: DataFrame, ts: str, *by: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
