@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from palisade.config import Config
 from palisade.model import ATTACK_TYPES, LOCATION_WEIGHTS, SEVERITY_WEIGHTS
 from palisade.operators import intel, sensitive, supply_chain
+from palisade.operators.attack_phrases import PHRASES
 from palisade.operators.metrics import BUCKETS
 from palisade.plans.queries import SELECTION
 from palisade.rules import CATALOGUE, Rule, load, re2_pattern
@@ -121,6 +124,21 @@ _SCRIPTS = " UNION ALL ".join(
 )
 _EMBEDDED = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS g, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings"
 
+def _chars(text: str) -> str:
+    """A literal; control characters by number."""
+    return " || ".join(quoted(part) if ord(part[0]) >= 32 else f"chr({ord(part[0])})" for part in re.findall(r"[\x20-\U0010ffff]+|[\x00-\x1f]", text))
+
+
+_PHRASES = ", ".join(f"('{kind}', {len(texts)}, {_chars(text)})" for kind, texts in PHRASES.items() for text in texts)
+_PHRASE_GRAMS = " UNION ALL ".join(f"SELECT kind, m, unnest(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i, {n}))) AS ngram FROM p WHERE length(t) >= {n}" for n in (2, 3, 4))
+_CLASSIFY = f"""WITH p AS (SELECT kind, m, lower(t) AS t FROM (VALUES {_PHRASES}) AS v(kind, m, t)),
+  w AS (SELECT kind, ngram, count(*) / sqrt(any_value(m)) AS x FROM ({_PHRASE_GRAMS}) GROUP BY kind, ngram),
+  z AS (SELECT kind, ngram, x / max(x) OVER (PARTITION BY kind) AS weight, count(*) OVER (PARTITION BY kind) AS k FROM w),
+  {_grams("g", "page_id", "(SELECT page_id, substr(url, position('?' IN url) + 1) AS text FROM pages WHERE position('?' IN url) > 0)")},
+  s AS (SELECT page_id, sum(n) AS total, count(*) AS d FROM g GROUP BY page_id),
+  j AS (SELECT page_id, kind, any_value(k) AS k, sum(n * weight) AS f, sum(weight) AS pr, count(*) AS c FROM g JOIN z USING (ngram) GROUP BY page_id, kind)
+  SELECT page_id, kind, round(least((0.6 * f / total + 0.4 * pr / k) * (1 + 0.5 * c / d), 1.0), 6) AS score FROM j JOIN s USING (page_id)"""
+
 ORACLES = {
     "waf_decisions_pages": WAF_DECISIONS,
     "rule_hits_by_family": f"SELECT attack_type, rule_id, count(*) AS n FROM ({hits('documents', 'doc_id', 'text', CATALOGUE)}) GROUP BY ALL",
@@ -216,4 +234,5 @@ ORACLES = {
         CASE WHEN k > 0 AND event_type = 'error' THEN ids || ',97102' ELSE ids END AS rule_ids FROM events JOIN a ON event_id % 6 = k)
       SELECT event_id, CASE WHEN k = 0 THEN 'good-bot' WHEN confidence >= 70 THEN 'bad-bot' WHEN confidence >= 30 THEN 'unknown' ELSE 'human' END AS bot_class,
         confidence::INT AS confidence, rule_ids FROM c""",
+    "ml_classify": _CLASSIFY,
 }

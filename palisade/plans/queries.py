@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.detect import detect
-from palisade.operators import api, bots, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators import api, bots, classifier, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
 from palisade.plans.requests import decide_requests, is_excluded, split_uri
 from palisade.rules import CATALOGUE, load
 from palisade.streaming import bodies
@@ -306,6 +306,11 @@ def bot_classes(spark, sf_dir):
     return found.select("event_id", "bot_class", "confidence", ids.alias("rule_ids"))
 
 
+def ml_classify(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", split_uri(F.col("url"))[1].alias("query")).where("query is not null")
+    return classifier.classify(pages, "page_id", "query").withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -314,6 +319,6 @@ QUERIES = {
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,
-        graphql_inspection, jwt_inspection, bot_classes,
+        graphql_inspection, jwt_inspection, bot_classes, ml_classify,
     )
 }
