@@ -86,3 +86,11 @@ def guarded(df: DataFrame, condition: Column) -> DataFrame:
     (place,) = fresh(df, "__place")
     rows = df.withColumn(place, F.monotonically_increasing_id())
     return rows.where(condition & (F.col(place) >= 0)).drop(place)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """A row of df for each of the n smallest different values of key, a hash. Only hashes
+    are sorted; the rows themselves are filtered where they lie."""
+    smallest = df.select(key).distinct().orderBy(key).limit(n)
+    last = smallest.agg(F.max(key)).first()[0]
+    return df.where(F.lit(False) if last is None else F.col(key) <= last).dropDuplicates([key])

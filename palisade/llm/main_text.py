@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import text_of, without
+from palisade.llm.common import bounded_sample, text_of, without
 
 #: Labelled pages that the weights are fitted on, at most.
 LABELLED_PAGES = 2000
@@ -165,10 +165,8 @@ def fit_weights(pages: DataFrame) -> dict[str, float]:
     labelled = (
         pages.select("html", F.xxhash64("html").alias("order"))
         .where((marks(r"<(article|main)[\s>]") == 1) & (marks(r"</(article|main)[\s>]") == 1))
-        .orderBy("order")
-        .limit(LABELLED_PAGES)
-        .select("html")
     )
+    labelled = bounded_sample(labelled, "order", LABELLED_PAGES).select("html")
     # Features are element names; those that few pages use are not told apart.
     rows = (
         labelled.mapInPandas(_counts, COUNTS)
