@@ -5,25 +5,54 @@ value holds a text which every match of the rule must hold."""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.binding import let
 from palisade.model import ATTACK_TYPES, DETECTIONS
 from palisade.rules import Rule, java_pattern, may_be_empty, needed_texts
 
 
-def first_match(value: Column, lower: Column, pattern: str) -> Column:
-    """The first match, null if there is none."""
-    java = java_pattern(pattern)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _first_match(pattern: str) -> str:
+    """SQL of the first match in b.v, null if there is none; b.low is b.v in lower case."""
+    java = _quoted(java_pattern(pattern))
     # regexp_substr knows no empty match.
-    found = F.when(value.rlike(java), F.regexp_extract(value, java, 0)) if may_be_empty(pattern) else F.regexp_substr(value, F.lit(java))
+    found = f"CASE WHEN b.v RLIKE {java} THEN regexp_extract(b.v, {java}, 0) END" if may_be_empty(pattern) else f"regexp_substr(b.v, {java})"
     texts = needed_texts(pattern)
     if not texts:
         return found
-    return F.when(reduce(Column.__or__, [F.contains(lower, F.lit(t)) for t in texts]), found)
+    return f"CASE WHEN {' OR '.join(f'contains(b.low, {_quoted(t)})' for t in texts)} THEN {found} END"
+
+
+def _applies(rule: Rule) -> str:
+    kinds = ", ".join(_quoted(t) for t in rule.targets if ":" not in t) or "NULL"
+    return f"b.place IN ({', '.join(map(_quoted, rule.targets))}) OR split_part(b.place, ':', 1) IN ({kinds})"
+
+
+@lru_cache(maxsize=64)
+def _detections(rules: tuple[Rule, ...]) -> str:
+    """SQL lambda from struct(v, low, place) to its detections: written as text, as a plan
+    of hundreds of rules takes seconds to put together call by call."""
+
+    def hit(i: int, rule: Rule) -> str:
+        matched = _first_match(rule.pattern)
+        if rule.targets:
+            matched = f"CASE WHEN {_applies(rule)} THEN {matched} END"
+        return f"named_struct('i', {i}, 'm', {matched})"
+
+    def fact(rule: Rule) -> str:
+        tags = f"array({', '.join(map(_quoted, rule.tags))})" if rule.tags else "cast(array() AS array<string>)"
+        return f"named_struct('rule_id', {rule.id}, 'rule_name', {_quoted(rule.name)}, 'attack_type', {_quoted(ATTACK_TYPES[rule.attack])}, 'base_score', {rule.base}, 'tags', {tags})"
+
+    hits = ", ".join(hit(i, r) for i, r in enumerate(rules))
+    facts = ", ".join(map(fact, rules))
+    put = "named_struct('rule_id', f.rule_id, 'rule_name', f.rule_name, 'attack_type', f.attack_type, 'matched_value', h.m, 'location', b.place, 'base_score', f.base_score, 'tags', f.tags)"
+    return f"b -> transform(filter(array({hits}), x -> x.m IS NOT NULL), h -> transform(array(get(array({facts}), h.i)), f -> {put})[0])"
 
 
 def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Column:
@@ -32,39 +61,5 @@ def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Co
     none = F.expr(f"cast(array() as {DETECTIONS})")
     if not rules:
         return none
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(r.id).alias("rule_id"),
-                F.lit(r.name).alias("rule_name"),
-                F.lit(ATTACK_TYPES[r.attack]).alias("attack_type"),
-                F.lit(r.base).alias("base_score"),
-                F.array(*[F.lit(t) for t in r.tags]).cast("array<string>").alias("tags"),
-            )
-            for r in rules
-        ]
-    )
-
-    def body(both: Column) -> Column:
-        v, low, place = both["v"], both["low"], both["place"]
-
-        def of(i: int, rule: Rule) -> Column:
-            matched = first_match(v, low, rule.pattern)
-            if rule.targets:
-                kinds = [t for t in rule.targets if ":" not in t]
-                matched = F.when(place.isin(*rule.targets) | F.split_part(place, F.lit(":"), F.lit(1)).isin(*kinds), matched)
-            return F.struct(F.lit(i).alias("i"), matched.alias("m"))
-
-        hits = F.filter(F.array(*[of(i, r) for i, r in enumerate(rules)]), lambda x: x["m"].isNotNull())
-
-        def put(hit: Column) -> Column:
-            fact = F.get(facts, hit["i"])
-            return F.struct(
-                fact["rule_id"].alias("rule_id"), fact["rule_name"].alias("rule_name"), fact["attack_type"].alias("attack_type"),
-                hit["m"].alias("matched_value"), place.alias("location"), fact["base_score"].alias("base_score"), fact["tags"].alias("tags"),
-            )
-
-        return F.transform(hits, put)
-
-    found = let(body, v=value, low=F.lower(value), place=location)
-    return F.coalesce(found, none)
+    value = F.struct(value.alias("v"), F.lower(value).alias("low"), location.alias("place"))
+    return F.coalesce(F.call_function("transform", F.array(value), F.expr(_detections(rules)))[0], none)
