@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import fresh, text_of, without
+from palisade.llm.common import bounded_sample, fresh, text_of, without, written
 
 GOOD, BAD, NOTHING = 1, 0, 2
 #: Buckets of the hashed scorer, and the training documents of either class.
@@ -42,7 +42,7 @@ RESULTS = ("quality_score", "toxic_score", "kept")
 _SYMBOLS = re.compile(r"[#*$%&<>^~=_{}\[\]\\/@+`|]")
 _SHOUT = re.compile(r"[!?]{2,}(?=\s|$)")
 _LINE_END = re.compile(r"[.!?:;\"')]\s*$", re.M)
-_EDGES = re.compile(r"^\W+|\W+$")
+_MARKS = "#*$%&|<>.,!?;:'\"()[]{}-_=+@/\\`~^"
 #: Common function words of four languages, and common insults.
 FUNCTION_WORDS = frozenset(
     "the of and to in a is that it for on with as by this are was at from or an be not "
@@ -56,13 +56,12 @@ INSULTS = frozenset(
 )
 
 
-def traits(text: str, mined: frozenset = frozenset()) -> dict[str, float]:
-    """What the labellers look at; mined: words that labelled documents tie to toxic ones."""
-    words = text.split()
+def traits(text: str, words: list[str], mined: frozenset = frozenset()) -> dict[str, float]:
+    """What the labellers look at in text, which is words; mined: words that labelled documents tie to toxic ones."""
     n = max(len(words), 1)
     lines = [x for x in text.split("\n") if x.strip()]
     lowered = text.lower().split()
-    plain = [w if w.isalpha() else _EDGES.sub("", w) for w in lowered]
+    plain = [w.strip(_MARKS) for w in lowered]
     insults = [w for w in plain if w in INSULTS]
     upper = sum(map(str.isupper, words))
     return {
@@ -146,20 +145,24 @@ def fit_label_model(counts: dict[str, int], labellers: int, rounds: int = EM_ROU
 COUNTED = ("words", "word length", "insults", "different insults", "mined")
 
 
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % BUCKETS
-
-
 def word_features(word: str) -> tuple[int, int, int]:
     """Buckets of a word: itself without marks, its last three characters, and its shape."""
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-    return _bucket("w " + _EDGES.sub("", word).lower()), _bucket("e " + word[-3:]), _bucket("s " + shape)
+    core = word.strip(_MARKS)
+    shape = b"%d %d %d" % (core.isalpha(), word.isupper(), min(len(word) - len(core), 4))
+    return (
+        zlib.crc32(core.lower().encode(), 1) % BUCKETS,
+        zlib.crc32(word[-3:].encode(), 2) % BUCKETS,
+        zlib.crc32(shape, 3) % BUCKETS,
+    )
 
 
 def trait_features(found: dict[str, float]) -> list[int]:
     """Buckets of the document's traits, each cut into a few ranges."""
-    cut = lambda name, x: _bucket(f"t {name} {int(min(20, x * 20)) if name not in COUNTED else int(math.log2(x + 1))}")
-    return [cut(name, x) for name, x in found.items()]
+    out = []
+    for name, x in found.items():
+        level = int(math.log2(x + 1)) if name in COUNTED else int(min(20, x * 20))
+        out.append(zlib.crc32(f"{name} {level}".encode(), 4) % BUCKETS)
+    return out
 
 
 TRAINING = "votes string, buckets array<int>, shares array<float>"
@@ -170,7 +173,8 @@ def _training_rows(mined: frozenset):
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                found, words = traits(text, mined), text.split()
+                words = text.split()
+                found = traits(text, words, mined)
                 counts: dict[int, float] = {}
                 for word in words:
                     for b in word_features(word):
@@ -191,7 +195,7 @@ def mine_words(docs: DataFrame, labels: DataFrame) -> frozenset:
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for word in set(map(lambda w: _EDGES.sub("", w), text.lower().split())):
+                for word in {w.strip(_MARKS) for w in text.lower().split()}:
                     pair = counts.setdefault(word, [0, 0])
                     pair[0] += int(toxic)
                     pair[1] += 1
@@ -234,10 +238,11 @@ def fit(docs: DataFrame, mined: frozenset = frozenset()) -> tuple[dict[str, np.n
 
     @F.pandas_udf(T.StringType())
     def vote(column: pd.Series) -> pd.Series:
-        return pd.Series([votes(traits(t, mined)) for t in column], dtype=object)
+        return pd.Series([votes(traits(t, t.split(), mined)) for t in column], dtype=object)
 
     # By pattern: a bounded table, counted over all documents.
-    patterns = {r["votes"]: r["count"] for r in texts.select(vote("text").alias("votes")).groupBy("votes").count().collect()}
+    voted = written(texts.select(F.xxhash64("text").alias("order"), vote("text").alias("votes")))
+    patterns = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}
     models, accuracies = {}, {}
     for k, (task, labellers) in enumerate(TASKS.items()):
         counts: dict[str, int] = {}
@@ -248,14 +253,10 @@ def fit(docs: DataFrame, mined: frozenset = frozenset()) -> tuple[dict[str, np.n
         rows = []
         for side in (True, False):
             wanted = [p for p, x in posterior.items() if (x >= 0.5) == side]
-            sample = (
-                texts.select("text", F.xxhash64("text").alias("order"), vote("text").alias("votes"))
-                .where(F.split("votes", ",")[k].isin(wanted))
-                .orderBy("order")
-                .limit(TRAIN_PER_CLASS)
-                .select("text")
-                .mapInPandas(_training_rows(mined), TRAINING)
-            )
+            chosen = bounded_sample(voted.where(F.split("votes", ",")[k].isin(wanted)), "order", TRAIN_PER_CLASS).select("order")
+            # At most TRAIN_PER_CLASS hashes; copies of a text are one.
+            sample = texts.withColumn("order", F.xxhash64("text")).join(F.broadcast(chosen), "order", "left_semi").dropDuplicates(["order"])
+            sample = sample.select("text").mapInPandas(_training_rows(mined), TRAINING)
             rows += [(posterior[r["votes"].split(",")[k]], r["buckets"], r["shares"]) for r in sample.collect()]
         models[task] = fit_scorer(rows).astype(np.float32)
     return models, accuracies
@@ -274,11 +275,14 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = np.array(shared.value)
+        weights = [w.tolist() for w in shared.value]
 
         class Known(dict):
-            def __missing__(self, word: str) -> tuple[float, ...]:
-                self[word] = value = tuple(weights[:, list(word_features(word))].sum(1).tolist())
+            """The sum of each task's weights by word."""
+
+            def __missing__(self, word: str) -> tuple[float, float]:
+                a, b, c = word_features(word)
+                self[word] = value = tuple(w[a] + w[b] + w[c] for w in weights)
                 return value
 
         known = Known()
@@ -288,10 +292,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
                 if len(known) > KEPT_WORDS:
                     known.clear()
                 words = text.split()
-                sums = [sum(x) / len(words) for x in zip(*map(known.__getitem__, words))] or [0.0, 0.0]
-                extra = weights[:, trait_features(traits(text, mined))].sum(1) + weights[:, -1]
-                raw = np.clip(np.array(sums) + extra, -30, 30)
-                out.append((1 / (1 + np.exp(-raw))).tolist())
+                raw = [sum(x) / len(words) for x in zip(*map(known.__getitem__, words))] or [0.0, 0.0]
+                buckets = trait_features(traits(text, words, mined))
+                raw = [r + w[-1] + sum(w[b] for b in buckets) for r, w in zip(raw, weights)]
+                out.append([1 / (1 + math.exp(-min(30.0, max(-30.0, r)))) for r in raw])
             yield pd.Series(out)
 
     scored = rows.withColumn(scores, score(text_of()))
