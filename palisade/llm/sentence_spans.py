@@ -78,12 +78,9 @@ def covered_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, spans): the runs (first, last) of each document that are not first occurrences."""
     found = written(all_runs(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "first")
-    repeated = (
-        found.groupBy("hash", "check")
-        .agg(F.min(place).alias("kept"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("hash", "check", "kept")
-    )
+    counted = found.groupBy("hash", "check").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
+    # As a table of its own: a join with what a shuffle has just summed up could not split a hot hash.
+    repeated = written(counted.where("n > 1").select("hash", "check", "kept"))
     others = found.join(repeated, ["hash", "check"]).where(place != F.col("kept"))
     return others.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
