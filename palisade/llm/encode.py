@@ -18,8 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units that a worker keeps (about 200 bytes each) before it starts afresh.
-KEPT_UNITS = 1_000_000
+#: Units of a generation (about 200 bytes each); a worker keeps two of them at most.
+KEPT_UNITS = 400_000
 #: Python and the libraries differ on whether these are white space.
 _UNCERTAIN = re.compile("[\x1c-\x1f]")
 _UNITS = re.compile(r"\s*\S+|\s+")
@@ -39,6 +39,7 @@ class UnitEncoder:
     def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], units: Callable[[str], list[str]], plain: Callable[[str], bytes], kept: int = KEPT_UNITS):
         self.encode_batch, self.units, self.plain, self.kept = encode_batch, units, plain, kept
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         if piece not in self.known:
@@ -59,8 +60,12 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.units(t) for t in texts]
         if len(self.known) > self.kept:
-            self.known = {}
-        self._learn(set().union(*split).difference(self.known))
+            # Units that are still in use come back from the older generation.
+            self.older, self.known = self.known, {}
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((unit, self.older[unit]) for unit in again)
+        self._learn(new - again)
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
