@@ -41,6 +41,11 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_sentence_spans, and the repeated passages that start or end inside other sentences."""
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_quality.quality(docs).select(
@@ -89,5 +94,5 @@ def op10_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bitplane_ids, op2_weak_labels, op3_best_region, op4_sentence_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces)
+    for f in (op1_bitplane_ids, op2_weak_labels, op3_best_region, op4_sentence_spans, op4_passage_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces)
 }

@@ -4,7 +4,8 @@ Every run of consecutive sentences (from each sentence on, the shortest that has
 MIN_SENTENCES sentences and MIN_WORDS words) is hashed. Hashes are counted over all
 documents; a run that occurs more than once keeps its first occurrence, by doc_id and
 place, and every sentence covered by any other occurrence is removed. Runs are
-compared by their words, after lower-casing A-Z.
+compared by their words, after lower-casing A-Z. With passages, runs of words that do
+not keep to sentences are removed in the same way (see passages.py).
 
 Defined results: a null text stays null, an empty one empty; null doc_ids come last;
 rows that repeat both doc_id and text are one document here and get the same result;
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm.common import fresh, text_of, without, written
+from palisade.llm.passages import passage_spans, repeated_passages
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
@@ -88,36 +90,43 @@ def covered_sentences(docs: DataFrame) -> DataFrame:
 CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("begins", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
 
-def remove_spans(text: str, spans) -> tuple[str, list[int], list[int]]:
-    """text without the covered sentences, and where they lay."""
+def remove_spans(text: str, spans, passages=None) -> tuple[str, list[int], list[int]]:
+    """text without the covered sentences and passages, and where they lay."""
     parts = sentences(text)
-    covered = np.zeros(len(parts) + 1, np.int64)
-    for span in spans:
-        covered[span["first"]] += 1
-        covered[span["last"] + 1] -= 1
-    covered = np.cumsum(covered[:-1]) > 0
-    ends = np.cumsum([len(p) for p in parts])
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
-    begins = [int(ends[i - 1]) if i else 0 for i in edges[::2]]
-    return "".join(p for p, c in zip(parts, covered) if not c), begins, [int(ends[i - 1]) for i in edges[1::2]]
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    covered = [(ends[s["first"]], ends[s["last"] + 1]) for s in (() if spans is None else spans)]
+    covered += () if passages is None else passage_spans(text, passages)
+    gone: list[list[int]] = []
+    for begin, end in sorted(covered):
+        if gone and begin <= gone[-1][1]:
+            gone[-1][1] = max(gone[-1][1], end)
+        else:
+            gone.append([begin, end])
+    begins, ends = [b for b, _ in gone], [e for _, e in gone]
+    return "".join(text[a:b] for a, b in zip([0, *ends], [*begins, len(text)])), begins, ends
 
 
 @F.pandas_udf(CLEANED)
-def _clean(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None) if t is None else remove_spans(t, s) for t, s in zip(texts, spans)]
+def _clean(texts: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if t is None else remove_spans(t, s, p) for t, s, p in zip(texts, spans, passages)]
     return pd.DataFrame(rows, columns=CLEANED.names)
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
-    """docs with repeated sentences taken out of text; n_removed characters lay at removed, (begin, end) each."""
+def dedup_spans(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """docs with repeated sentences (and passages) taken out of text; n_removed characters lay at removed, (begin, end) each."""
     docs = without(docs, *RESULTS)
-    text_id, other, other_id, spans, clean = fresh(docs, "__text_id", "__doc", "__other_id", "__spans", "__clean")
-    covered = written(covered_sentences(docs)).toDF(other, other_id, spans)
+    text_id, other, other_id, spans, runs_, clean = fresh(docs, "__text_id", "__doc", "__other_id", "__spans", "__passages", "__clean")
+    covered = covered_sentences(docs).withColumn("passages", F.lit(None).cast("array<int>"))
+    if passages:
+        more = repeated_passages(docs).withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>"))
+        both = covered.unionByName(more).groupBy("doc_id", "text_id")
+        covered = both.agg(F.any_value("spans", F.lit(True)).alias("spans"), F.any_value("passages", F.lit(True)).alias("passages"))
+    covered = written(covered).toDF(other, other_id, spans, runs_)
     rows = docs.withColumn(text_id, F.xxhash64(text_of())).join(
         covered, (F.col(text_id) == F.col(other_id)) & F.col("doc_id").eqNullSafe(F.col(other)), "left"
     )
-    some = F.col(spans).isNotNull()
-    rows = rows.withColumn(clean, _clean(F.when(some, F.col("text")), F.col(spans)))
+    some = F.col(spans).isNotNull() | F.col(runs_).isNotNull()
+    rows = rows.withColumn(clean, _clean(F.when(some, F.col("text")), F.col(spans), F.col(runs_)))
     now = F.when(some, F.col(clean)["text"]).otherwise(F.col("text"))
     removed = F.when(some, F.arrays_zip(F.col(clean)["begins"].alias("begin"), F.col(clean)["ends"].alias("end")))
     size = F.aggregate(removed, F.lit(0), lambda n, x: n + x["end"] - x["begin"]).cast("long")

@@ -1,6 +1,7 @@
 """Quality, deduplication and near-duplicates against brute force."""
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -154,3 +155,48 @@ def test_spans_of_odd_rows(odd, empty):
 def test_text_sha256(spark, small, texts):
     rows = queries.op9_exact_dedup(spark, small).collect()
     assert {r["doc_id"]: r["text_sha256"] for r in rows} == {i: hashlib.sha256(lower(t).encode()).hexdigest() for i, t in texts.items()}
+
+
+def brute_passages(docs, size=51):
+    """Places (doc, word) that a run of size words covers which some earlier place begins, too."""
+    seen, gone = set(), set()
+    for k, text in docs:
+        words = lower(text).encode().split()
+        for i in range(len(words) - size + 1):
+            run = tuple(words[i : i + size])
+            if run in seen:
+                gone |= {(k, j) for j in range(i, i + size)}
+            seen.add(run)
+    return gone
+
+
+def test_op4_passages_leave_no_repeated_run(spark, small, texts):
+    rows = {r["doc_id"]: r for r in queries.op4_passage_spans(spark, small).collect()}
+    gone = brute_passages(sorted(texts.items()))
+    whole = dict(zip(sorted(texts), brute_spans(sorted(texts.items()))))
+    assert len(rows) == len(texts) and any(rows[k]["n_removed"] > len(texts[k]) - len(whole[k]) for k in texts)
+    for k, r in rows.items():
+        spans = [tuple(map(int, s.split(":"))) for s in r["removed"].split(",") if s]
+        begins = [len(texts[k].encode()[: m.start()].decode()) for m in re.finditer(rb"\S+", texts[k].encode())]
+        removed = {i for i, at in enumerate(begins) if any(a <= at < b for a, b in spans)}
+        assert {j for d, j in gone if d == k} <= removed
+        assert r["n_removed"] == len(texts[k]) - len(r["text"]) == sum(b - a for a, b in spans)
+
+
+def test_passages_cut_inside_sentences(spark):
+    some = lambda word, n: " ".join(f"{word}{i}" for i in range(n))
+    passage = f"{some('p', 25)}. {some('q', 20)}. {some('r', 25)}"
+    one = some("long", 60)
+    rows = [(1, f"Begin {some('a', 9)} {passage} {some('b', 9)}. End"), (2, f"Other {some('c', 9)} {passage} é {some('d', 9)}. End"),
+            (3, f"{one}"), (4, f"x y {one} z"), (5, some("short", 50)), (6, some("short", 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.dedup_spans(docs, passages=True).collect()}
+    assert {k: got[k] for k in (1, 3, 5, 6)} == {k: dict(rows)[k] for k in (1, 3, 5, 6)}
+    assert got[2] == f"Other {some('c', 9)} é {some('d', 9)}. End" and got[4] == "x y z"
+
+
+def test_passages_of_odd_rows(odd, empty):
+    rows = {r["doc_id"]: r for r in sentence_spans.dedup_spans(odd, passages=True).collect()}
+    assert rows[7]["text"] is None and rows[3]["text"] == "" and rows[12]["text"] == ""
+    assert rows[11]["text"] == "same text again. " and rows[9]["kept"] == "kept-by-user"
+    assert sentence_spans.dedup_spans(empty, passages=True).count() == 0
