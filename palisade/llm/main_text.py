@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Words score above zero and tags below, b
 weights from labelled pages (those that mark their one article), and a linear scan
 finds the contiguous region with the largest sum, widened to whole blocks. Menus,
 notices, adverts, forms, comments and the like are known by element or by class, id
-or role; they score nothing, so that a region reaches across them, and are left out.
+or role; they score nothing, so that a region reaches across them, and are left out,
+unless they turn out to hold the page's article.
 
 Defined results: a null or empty page has empty text, and so has one without words
 outside such parts; a page cut short ends where it ends; repeated rows are extracted
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,12 +41,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are no part of an article, and words in class, id or role that say so.
 ASIDE = frozenset("head nav aside footer form button select menu dialog noscript object video audio canvas map fieldset".split())
 CLEAR = frozenset("html body article main".split())
-NAMED_ASIDE = re.compile(
-    r"^(nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|widgets?|ads?|adverts?|advertisements?|advertising|"
+#: What may stand in a head; anything else ends one that has no end tag.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template".split())
+_ASIDE_WORD = (
+    r"(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|widgets?|ads?|adverts?|advertisements?|advertising|"
     r"sponsor|sponsored|promo|promotion|banner|notice|notices|cookie|cookies|consent|gdpr|alert|newsletter|subscribe|signup|popup|modal|"
     r"overlay|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommended|recommendations|login|search|"
-    r"form|toolbar|pagination|pager|tags|copyright|contentinfo|complementary|skip)$"
+    r"form|toolbar|pagination|pager|tags|copyright|contentinfo|complementary|skip)"
 )
+#: Words that may stand beside one in a name that is an aside as a whole (site-notice, related-posts,
+#: nav-links), unlike in content-with-sidebar, no-sidebar, has-banner or search-result.
+_BESIDE = (
+    r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|mobile|sticky|fixed|user|blog|post|posts|article|articles|"
+    r"list|area|bar|box|links?|buttons?|icons?|items?|block|section|container|wrapper|wrap|inner|outer|slot|unit|panel|media|policy|[0-9]+)"
+)
+NAMED_ASIDE = re.compile(rf"^(?:{_BESIDE}[^a-z0-9]+)*{_ASIDE_WORD}(?:[^a-z0-9]+(?:{_ASIDE_WORD}|{_BESIDE}))*$")
+#: Asides that may well have more words than a short article, or articles of their own (comments);
+#: they turn out to be none only if they hold the page's main element. The others do so, too, if they
+#: hold all its article and main elements, or most of its unlinked words outside firm asides.
+FIRM = frozenset("nav aside footer button select menu object video audio canvas map".split())
+FIRM_NAME = re.compile(r"(?:^|[^a-z0-9])(?:comments?|commentlist|disqus|respond|reply|replies|notices?|cookies?|consent|gdpr|popup|modal|nav|navigation|menu|footer|related|recommended)(?:$|[^a-z0-9])")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|[^<]+|<""",
@@ -52,48 +68,87 @@ _TOKEN = re.compile(
 )
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
+def _aside_kind(name: str, attributes: str, in_article: bool) -> str:
+    """"firm" or "soft" for an element that looks like an aside, else ""."""
     if name in ASIDE or name == "header" and not in_article:
-        return True
+        return "firm" if name in FIRM else "soft"
     if not attributes or name in CLEAR:
-        return False
+        return ""
     values = (a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
-    return any(NAMED_ASIDE.match(word) for value in values for word in re.split(r"[^a-z0-9]+", value.lower()))
+    named = [word for value in values for word in value.lower().split() if NAMED_ASIDE.match(word)]
+    return "" if not named else "firm" if any(map(FIRM_NAME.search, named)) else "soft"
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, str]]:
     """(feature, text, whether in a part that is left out, tag name or "") in page order."""
-    out, open_tags, hidden, at = [], [], 0, 0
+    out, open_tags, asides, at = [], [], [], 0
+    links = firm = articles = mains = words = own = 0
+
+    def close(place: int, end: int) -> None:
+        """Ends the open elements from this one on, before token end."""
+        nonlocal links, firm, own
+        for t, kind, begin, *before in open_tags[place:]:
+            links -= t == "a"
+            firm -= kind == "firm"
+            own -= t in ("article", "main")
+            if kind:
+                asides.append((begin, end, kind, *(n - b for n, b in zip((words, articles, mains), before))))
+        del open_tags[place:]
+
+    def end_head(place: int) -> None:
+        if place >= 0 and open_tags[place][0] == "head":
+            close(place, len(out))
+
     while at < len(page):
         match = _TOKEN.match(page, at)
         at = match.end()
         if (name := match[2]) is None:
             if not match[0].startswith("<") or match[0] == "<":
-                inner = next((t for t, _ in reversed(open_tags) if t in BLOCKS or t == "a"), "")
-                out.append((f"word in {inner}", html.unescape(match[0]), hidden > 0, ""))
+                text = html.unescape(match[0])
+                if open_tags and text.strip():
+                    end_head(len(open_tags) - 1)
+                inner = next((t for t, *_ in reversed(open_tags) if t in BLOCKS or t == "a"), "")
+                out.append((f"word in {inner}", text, False, ""))
+                words += 0 if links or firm else len(text.split())
             continue
         name = name.lower()
         if match[1]:
-            places = [i for i, (t, _) in enumerate(open_tags) if t == name]
-            if places:
-                hidden -= sum(h for _, h in open_tags[places[-1] :])
-                was = any(h for _, h in open_tags[places[-1] :])
-                del open_tags[places[-1] :]
-                out.append((f"/{name}", "", hidden > 0 or was, name))
-            else:
-                out.append((f"/{name}", "", hidden > 0, name))
+            place = next((i for i in reversed(range(len(open_tags))) if open_tags[i][0] == name), None)
+            out.append((f"/{name}", "", False, name))
+            if place is not None:
+                close(place, len(out))
             continue
-        aside = _is_aside(name, match[3], any(t in ("article", "main") for t, _ in open_tags))
+        if name == "body":
+            end_head(next((i for i, tag in enumerate(open_tags) if tag[0] == "head"), -1))
+        elif name not in IN_HEAD:
+            end_head(len(open_tags) - 1)
+        kind = _aside_kind(name, match[3], own > 0)
         if name == "p" and open_tags and open_tags[-1][0] == "p":
-            hidden -= open_tags.pop()[1]
-        out.append((name, "", hidden > 0 or aside, name))
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not match[3].endswith("/"):
-            open_tags.append((name, aside))
-            hidden += aside
-    return out
+            close(len(open_tags) - 1, len(out))
+        out.append((name, "", False, name))
+        if name in RAW or name in VOID or match[3].endswith("/"):
+            if kind:
+                asides.append((len(out) - 1, len(out), kind, 0, 0, 0))
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
+        else:
+            open_tags.append((name, kind, len(out) - 1, words, articles, mains))
+            firm += kind == "firm"
+            mains += name == "main"
+            links += name == "a"
+            own += name in ("article", "main")
+            articles += name in ("article", "main")
+    close(0, len(out))
+    # Only now is it known what an element holds of the page.
+    change = [0] * (len(out) + 1)
+    for begin, end, kind, held_words, held_articles, held_mains in asides:
+        main, article = mains > 0 and held_mains == mains, articles > 0 and held_articles == articles
+        if not (main or kind == "soft" and (article or 2 * held_words > words)):
+            change[begin] += 1
+            change[end] -= 1
+    hidden = accumulate(change)
+    return [(feature, text, n > 0, name) for (feature, text, _, name), n in zip(out, hidden)]
 
 
 def score(token: tuple[str, str, bool, str], weights: dict[str, float]) -> float:

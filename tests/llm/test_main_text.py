@@ -61,3 +61,28 @@ def test_odd_rows(spark, weights):
     pages = spark.createDataFrame([(1, None, "x"), (1, "<p>a b</p>", "x"), (1, "<p>a b</p>", "x")], "page_id long, html string, text string")
     assert [r["text"] for r in main_text.extract(pages, weights).orderBy("html").collect()] == ["", "a b", "a b"]
     assert main_text.extract(pages.where("false")).count() == 0
+
+
+STORY = "".join(f"<p>This is sentence number {i} of a story that is long enough to be one.</p>" for i in range(6))
+TOLD = "\n".join(f"This is sentence number {i} of a story that is long enough to be one." for i in range(6))
+MENU = '<div class="main-nav"><a href="/">Home</a> <a href="/b">News</a></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><body>{STORY}</body></html>",
+        f"<head><title>x</title><meta name=a>{STORY}",
+        f"<head><noscript><link rel=a></noscript>{STORY}",
+        f"<body><form action=x id=aspnetForm>{MENU}<div>{STORY}</div></form></body>",
+        f"<body>{MENU}<div class='content-with-sidebar'>{STORY}</div></body>",
+        f"<body>{MENU}<div id='page' class='no-sidebar has-banner'>{STORY}</div></body>",
+        f"<body><div class='search-result'>{STORY}</div></body>",
+        f"<body><div class='header'>{MENU}<article>{STORY}</article></div></body>",
+        f"<body>{STORY}<section id='comments'><article><p>{'A comment. ' * 200}</p></article></section></body>",
+        f"<body>{STORY}<div class='cookie-notice'><p>{'We use cookies. ' * 100}</p></div></body>",
+        f"<body>{STORY}<form class='search-form'>Find it<input name=q></form><div class='related-posts'><p>Another story to read</p></div></body>",
+    ],
+)
+def test_asides_do_not_hide_the_article(weights, page):
+    assert main_text.main_text(page, weights) == TOLD
