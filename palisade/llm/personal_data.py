@@ -1,11 +1,12 @@
 """Personal data and the terms that give it away, in DataFrame functions alone.
 
 E-mail addresses, IP addresses, payment cards and phone numbers are the protected
-entities. For every term that stands near one, corpus counts over all documents
+entities. For every term in a document that holds one, corpus counts over all documents
 estimate how much the term reveals: the pointwise mutual information of term and
-entity, as a share of the information in the entity itself (1: whoever knows the
-term knows the entity). Terms above GENERALISE become a class name, above REMOVE
-they go. A pair needs MIN_CONTEXTS different contexts, so that copies of one
+entity by document, as a share of the information in the entity itself (1: whoever
+knows the term knows the entity). Terms above GENERALISE become a class name, above
+REMOVE they go, wherever they occur in the corpus outside base spans. A pair needs
+documents with MIN_CONTEXTS different contexts of the entity, so that copies of one
 mention are not taken for a pattern.
 
 Defined results: a null text is empty and has no spans; equal texts get equal
@@ -34,7 +35,7 @@ PATTERNS = {
 }
 #: What a text must contain to be searched for a kind at all.
 MARKERS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){14}", "phone": r"\+[0-9]"}
-#: Characters on either side of an entity that are its context, and the terms in it.
+#: Characters on either side of an entity that are its context; terms.
 CONTEXT = 80
 TERM = r"\p{L}{4,}"
 MIN_CONTEXTS = 2
@@ -92,7 +93,7 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
-    """A row for each term near an entity, from the different texts of docs."""
+    """A row for each entity of each different text of docs, with one of its contexts there."""
     text = F.col("text")
     searched = docs.select(text_of().alias("text")).withColumn("found", base_spans(text))
     rows = (
@@ -105,73 +106,90 @@ def _mentions(docs: DataFrame) -> DataFrame:
     start, end = F.col("span.start"), F.col("span.end")
     left_from = F.greatest(F.least(before, start), start - CONTEXT)
     right_to = F.least(F.greatest(after, end), end + CONTEXT)
-    contexts = rows.select(
-        *_text_key(text),
-        F.concat_ws(":", "span.rank", F.lower("span.value")).alias("entity"),
-        left_from.alias("left_from"),
-        end.alias("right_from"),
-        F.substring(text, left_from + 1, start - left_from).alias("left"),
-        F.substring(text, end + 1, right_to - end).alias("right"),
-    )
+    left, right = F.substring(text, left_from + 1, start - left_from), F.substring(text, end + 1, right_to - end)
+    entity = F.concat_ws(":", "span.rank", F.lower("span.value"))
+    contexts = rows.select(*_text_key(text), entity.alias("entity"), F.xxhash64(left, right).alias("context"))
+    return contexts.groupBy("text_id", "text_size", "entity").agg(F.min("context").alias("context"))
+
+
+def _terms(text: Column) -> Column:
+    """The hashes of the different terms of text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+
 
-    def terms(side: str, begin: str) -> Column:
-        moved = lambda x: F.struct((x["start"] + F.col(begin)).alias("start"), (x["end"] + F.col(begin)).alias("end"), F.lower(x["value"]).alias("term"))
-        return F.transform(placed(F.col(side), TERM), moved)
+def _outside(text: Column, found: Column) -> Column:
+    """text without its base spans."""
 
-    near = F.concat(terms("left", "left_from"), terms("right", "right_from"))
-    exploded = contexts.select("text_id", "text_size", "entity", F.xxhash64("left", "right").alias("context"), F.explode(near).alias("t"))
-    return exploded.select("text_id", "text_size", "entity", "context", F.xxhash64("t.term").alias("term"), "t.start", "t.end")
+    def cut(done: Column, span: Column) -> Column:
+        between = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), span["start"] - done["at"]))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], F.lit(" "), between).alias("out"))
+
+    rest = lambda done: F.concat(done["out"], F.lit(" "), F.substring(text, done["at"] + 1, F.char_length(text)))
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, rest)
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
     """In how many documents each term (by its hash) occurs."""
-    words = F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
+    terms = docs.select(F.explode(_terms(text_of())).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n_term"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """(text_id, text_size, extra): the spans of terms that reveal an entity, by text."""
+    """(text_id, text_size, flags): the terms of each text that reveal an entity, as (term, rank)."""
     n = max(docs.count(), 1)
+    key = ["text_id", "text_size"]
     mentions = written(_mentions(docs))
     # Documents and mentions are counted alike, with copies; contexts without.
-    texts = docs.select(*_text_key(text_of())).groupBy("text_id", "text_size").agg(F.count("*").alias("copies"))
-    told = mentions.select("text_id", "text_size").distinct()
-    copies = texts.join(told, ["text_id", "text_size"], "left_semi")
-    by_text = (
-        mentions.groupBy("text_id", "text_size", "entity", "term")
-        .agg(F.collect_set("context").alias("contexts"))
-        .join(copies, ["text_id", "text_size"])
-    )
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"))
-    contexts = mentions.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
+    texts = docs.select(*_text_key(text_of())).groupBy(key).agg(F.count("*").alias("copies"))
+    copies = texts.join(mentions.select(key).distinct(), key, "left_semi")
+    # An entity without MIN_CONTEXTS contexts has no pair with them.
     entities = (
-        mentions.select("text_id", "text_size", "entity").distinct().join(copies, ["text_id", "text_size"])
-        .groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+        mentions.join(copies, key).groupBy("entity", "context").agg(F.sum("copies").alias("n"))
+        .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n_contexts"))
     )
-    supported = written(
-        pairs.join(contexts.where(F.col("n_contexts") >= MIN_CONTEXTS), ["entity", "term"]).join(entities, "entity")
-    )
+    told = written(mentions.join(entities.where(F.col("n_contexts") >= MIN_CONTEXTS).drop("n_contexts"), "entity").join(copies, key))
+    searched = docs.select(*_text_key(text_of()), text_of().alias("text")).join(told.select(key).distinct(), key, "left_semi").dropDuplicates(key)
+    terms = searched.select(*key, F.explode(_terms(_outside(F.col("text"), base_spans(F.col("text"))))).alias("term"))
+    pairs = (
+        told.join(terms, key)
+        .groupBy("entity", "term", "context").agg(F.sum("copies").alias("n"), F.first("n_entity").alias("n_entity"))
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("n_contexts"), F.first("n_entity").alias("n_entity"))
+    )
+    supported = written(pairs.where(F.col("n_contexts") >= MIN_CONTEXTS))
     counts = _document_counts(docs).join(supported.select("term").distinct(), "term", "left_semi")
     information = F.log(F.lit(float(n)) / F.col("n_entity"))
     revealed = F.log(F.col("n_pair") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
     known = supported.join(counts, "term").withColumn("share", F.try_divide(revealed, information)).where(F.col("share") >= GENERALISE)
     rank = F.when(F.col("share") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
-    spans = mentions.join(known.select("entity", "term", rank.alias("rank")), ["entity", "term"])
-    return (
-        spans.groupBy("text_id", "text_size", "start", "end")
-        .agg(F.max("rank").alias("rank"))
-        .groupBy("text_id", "text_size")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("extra"))
-    )
+    flagged = written(known.groupBy("term").agg(F.max(rank).alias("rank")))
+    everywhere = docs.select(*_text_key(text_of()), F.explode(_terms(text_of())).alias("term")).join(flagged, "term")
+    return everywhere.groupBy(key).agg(F.collect_set(F.struct("term", "rank")).alias("flags"))
+
+
+def _flagged_spans(text: Column, found: Column, flags: Column) -> Column:
+    """(start, rank, end) of every occurrence of the flagged terms outside the base spans."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(text, TERM, -1), 1, F.size(words)).alias("gap"), words.alias("value"))
+    ranks = F.map_from_entries(flags)
+    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)").alias("spans"))
+
+    def add(done: Column, pair: Column) -> Column:
+        start = done["at"] + F.char_length(pair["gap"])
+        end = start + F.char_length(pair["value"])
+        rank = F.try_element_at(ranks, F.xxhash64(F.lower(pair["value"])))
+        span = F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(rank.isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span))).alias("spans"))
+
+    apart = lambda x: ~F.exists(found, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    return F.filter(F.aggregate(pairs, none, add, lambda done: done["spans"]), apart)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs with counts of the base kinds, base_spans and all spans: arrays of
     (start, rank, end), rank being the place of the kind in KINDS."""
     docs = without(docs, *RESULTS)
-    text, found, text_id, text_size, extra = fresh(docs, "__text", "__found", "__text_id", "__text_size", "__extra")
-    extras = written(disclosing_terms(docs)).toDF(text_id, text_size, extra)
+    text, found, text_id, text_size, flags = fresh(docs, "__text", "__found", "__text_id", "__text_size", "__flags")
+    extras = written(disclosing_terms(docs)).toDF(text_id, text_size, flags)
     own_id, own_size = fresh(docs, "__own_id", "__own_size")
     hashes = _text_key(F.col(text))
     rows = docs.withColumn(text, text_of()).withColumn(own_id, hashes[0]).withColumn(own_size, hashes[1])
@@ -184,7 +202,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns],
         *counted,
         bare.alias("base_spans"),
-        F.when(F.col(extra).isNull(), bare).otherwise(F.sort_array(F.concat(bare, F.col(extra)))).alias("spans"),
+        F.when(F.col(flags).isNull(), bare)
+        .otherwise(F.sort_array(F.concat(bare, _flagged_spans(text_of(), F.col(found), F.col(flags)))))
+        .alias("spans"),
     )
 
 
