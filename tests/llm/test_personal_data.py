@@ -91,14 +91,3 @@ def test_disclosing_terms_by_counting(spark, corpus):
             if s["rank"] >= len(personal_data.BASE):
                 got.add((corpus[r["doc_id"]][s["start"] : s["end"]].lower(), personal_data.KINDS[s["rank"]]))
     assert got == expected and ("zanzibar", "generalised") in got
-
-
-def test_disclosing_terms_go_wherever_they_occur(spark, corpus):
-    """Far from the entity, in texts without it, and counted by document across other entities."""
-    far = [f"{w} of Timbuktu, 1.2.3.{k}, mail {w} bob@x.org {'so ' * 60} and in TIMBUKTU again" for k, w in enumerate(("Anna", "Otto", "Emil"))]
-    texts = [*corpus, *far, "Nothing but Timbuktu and zanzibar; see timbuktu@z.org"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    clean = {r["doc_id"]: r["text"] for r in personal_data.sanitise(docs).collect()}
-    assert clean[texts.index("Zanzibar is far")] == "[TERM] is far"
-    assert not any("timbuktu" in t.lower() or "zanzibar" in t.lower() for t in clean.values())
-    assert "Anna" in clean[len(corpus)] and clean[len(texts) - 1].endswith("see [EMAIL]")
