@@ -2,10 +2,11 @@
 
 A unit is a run of white space with the word after it. Neither the byte-level nor
 the word-end tokenizers join anything across the start of a unit, so a text's ids
-are its units' ids in a row; each unit is encoded by the library once and kept, for all
-tasks that a Python worker runs. Units that are one plain word with its marks go to the
-library's merge model directly, without its normaliser and its splitter, which leave
-such words alone but for their case.
+are its units' ids in a row; each unit is encoded once and kept, for all tasks that a
+Python worker runs. Units of plain characters are cut where the tokenizer's splitter
+cuts them, and their pieces go to the library's merge model; other units go through
+the whole library. A text that holds the string of a special token, or characters that
+Python and the library differ on, is given to the library whole.
 """
 
 from __future__ import annotations
@@ -18,66 +19,90 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units of a generation (about 200 bytes each); a worker keeps two of them at most.
-KEPT_UNITS = 400_000
+#: Units of a generation (about 220 bytes each); a worker keeps two of them at most.
+KEPT_UNITS = 600_000
 #: Python and the libraries differ on whether these are white space.
 _UNCERTAIN = re.compile("[\x1c-\x1f]")
 _UNITS = re.compile(r"\s*\S+|\s+")
-#: Letters that no normalisation changes and whose case is one to one, then marks.
-_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?]*)")
+#: White space other than the space and the line feed.
+_OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Characters that no normalisation changes, whose case is one to one and whose class is sure.
+_PLAIN = re.compile(f"[ -~\n{_LETTERS}]*")
+#: Where the splitters cut plain units.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPACED_PIECES = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_WORD_PIECES = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
 def as_bytes(ids: Iterable[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-class UnitEncoder:
-    """Maps texts to ids as little-endian unsigned 32-bit integers.
-
-    plain encodes a plain word, with its space, or a run of marks."""
-
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], units: Callable[[str], list[str]], plain: Callable[[str], bytes], kept: int = KEPT_UNITS):
-        self.encode_batch, self.units, self.plain, self.kept = encode_batch, units, plain, kept
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        if piece not in self.known:
-            self.known[piece] = self.plain(piece)
-        return self.known[piece]
-
-    def _learn(self, units: Iterable[str]) -> None:
-        others = []
-        for unit in units:
-            if found := _PLAIN.fullmatch(unit):
-                word, marks = found.groups()
-                self.known[unit] = self._piece(word) + (self._piece(marks) if marks else b"")
-            else:
-                others.append(unit)
-        for unit, ids in zip(others, self.encode_batch(others) if others else []):
-            self.known[unit] = as_bytes(ids)
+class Known(dict):
+    """ids by unit, learned where missing; full, it starts a new generation, which
+    takes over what is still in use."""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        if len(self.known) > self.kept:
-            # Units that are still in use come back from the older generation.
-            self.older, self.known = self.known, {}
-        new = set().union(*split).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((unit, self.older[unit]) for unit in again)
-        self._learn(new - again)
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+    def __init__(self, learn: Callable[[str], bytes], kept: int):
+        self.learn, self.kept, self.older = learn, kept, {}
 
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.learn(unit)
+        self[unit] = ids
+        return ids
 
-def spaced_units(text: str) -> list[str]:
-    """Units of a tokenizer that keeps white space."""
-    return [text] if _UNCERTAIN.search(text) else _UNITS.findall(text)
+    def settle(self) -> None:
+        if len(self) > self.kept:
+            self.older = dict(self)
+            self.clear()
 
 
-def word_units(text: str) -> list[str]:
-    """Units of a tokenizer that drops white space."""
-    return [text] if _UNCERTAIN.search(text) else text.split()
+class UnitEncoder:
+    """Maps texts to ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, library, keeps_space: bool, kept: int = KEPT_UNITS):
+        self.library, self.keeps_space = library, keeps_space
+        self.specials = [token.content for token in library.get_added_tokens_decoder().values()]
+        self.alphabet, self.merge = byte_alphabet(), library.model.tokenize
+        self.units = Known(self._unit, kept)
+        #: By what follows a single space; a key that begins with a line feed has none before it.
+        self.spaced = Known(lambda key: self._unit(key if key[:1] == "\n" else f" {key}"), kept)
+
+    def _whole(self, text: str) -> bytes:
+        return as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _unit(self, unit: str) -> bytes:
+        if not _PLAIN.fullmatch(unit):
+            return self._whole(unit)
+        if self.keeps_space:
+            pieces = _SPACED_PIECES.findall(unit)
+        else:
+            pieces = _WORD_PIECES.findall(unit.lower())
+        if pieces != [unit]:
+            return b"".join(self.spaced[p[1:]] if p[0] == " " and not p.isspace() else self.units[p] for p in pieces)
+        if unit.isascii():
+            shown = unit.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
+        else:
+            shown = unit.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [x.id for x in self.merge(shown)]).tobytes()
+
+    def _text(self, text: str) -> bytes:
+        if _UNCERTAIN.search(text) or any(token in text for token in self.specials):
+            return self._whole(text)
+        if not self.keeps_space:
+            return b"".join(map(self.units.__getitem__, text.split()))
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in _OTHER_SPACES):
+            return b"".join(map(self.units.__getitem__, _UNITS.findall(text)))
+        # Every run of white space is one character here.
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return (self.units[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.units.settle()
+        self.spaced.settle()
+        return list(map(self._text, texts))
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -89,24 +114,11 @@ def byte_alphabet() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str, keeps_space: bool) -> UnitEncoder:
-    """Of a tokenizers file; the strings of special tokens in a text are ordinary text.
-
-    A tokenizer that drops white space also lower-cases."""
+    """Of a tokenizers file. A tokenizer that drops white space also lower-cases."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    merge, alphabet = library.model.tokenize, byte_alphabet()
-
-    def batch(units: list[str]) -> list[list[int]]:
-        return [x.ids for x in library.encode_batch_fast(units, add_special_tokens=False)]
-
-    def plain(piece: str) -> bytes:
-        piece = piece if keeps_space else piece.lower()
-        return array("I", [x.id for x in merge(piece.encode().decode("latin-1").translate(alphabet))]).tobytes()
-
-    return UnitEncoder(batch, spaced_units if keeps_space else word_units, plain)
+    return UnitEncoder(Tokenizer.from_file(path), keeps_space)
 
 
 def slices(texts: list[str], characters: int = 1 << 20) -> Iterable[list[str]]:

@@ -35,7 +35,6 @@ def test_stages_work_on_all_that_their_predecessors_keep(spark, small):
     assert not any(r["base_spans"] for r in again)
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     total = sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for t in clean.values())
     pieces = tables[4].collect()
     assert sum(r["length"] for r in pieces) == total

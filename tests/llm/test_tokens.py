@@ -12,13 +12,13 @@ from tokenizers import Tokenizer
 
 from palisade.llm import bitplane, packing, queries, sentencepieces
 from palisade.llm.common import shared_folder
+from palisade.llm.encode import UnitEncoder
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
 def library(name):
     found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
     return lambda text: [*found.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -26,6 +26,18 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_units_are_encoded_as_the_library_encodes_texts(name, keeps_space):
+    """Special strings, doubtful white space, accents, contractions and runs of spaces, in any order."""
+    whole, encoder = library(name), UnitEncoder(Tokenizer.from_file(public_tokenizers.path(name)), keeps_space, kept=50)
+    parts = ["a", "The", "é", "É", "e\u0301", "'s", "'LL", " ", " ", "  ", "\n", "\n\n", "\t", " \n", "\n ", "\r\n", "\xa0", "\u2003", "\x1c", "\x1f", "1", "23", "¼", "ª"]
+    parts += ["$$", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "中", "😀", "\u212a", "ß", "İ", "?!", "_", "'"]
+    choose = np.random.default_rng(5)
+    texts = ["hello <|endoftext|> there"] + ["".join(choose.choice(parts, choose.integers(0, 12))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert [*np.frombuffer(ids, "<u4").tolist(), 2] == whole(text), text
+
+
 @pytest.mark.parametrize("kind", [bitplane.BYTES, bitplane.BITS])
 @pytest.mark.parametrize("n", [0, 1, 999, 1000, 3501])
 def test_shard_round_trip(kind, n):
