@@ -1,11 +1,14 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score above zero and tags below, by
-weights from labelled pages (those that mark their one article), and a linear scan
-finds the contiguous region with the largest sum, widened to whole blocks. Menus,
-notices, adverts, forms, comments and the like are known by element or by class, id
-or role; they score nothing, so that a region reaches across them, and are left out,
-unless they turn out to hold the page's article.
+weights from labelled pages (those that mark their one article). The weight of a tag
+that stands for a menu, notice, advert, form, comment or the like also counts against
+each word that the element holds, so that these words cost more than they bring: how
+much, labelled pages say by element, class, id and role, and known names serve as the
+prior. A linear scan over each such element finds what stays of it, which is nothing if
+none of its words brings anything; the same scan over the page, in which what went counts
+nothing, finds the contiguous region with the largest sum, widened to whole blocks. An
+element that turns out to hold the page's article costs nothing.
 
 Defined results: a null or empty page has empty text, and so has one without words
 outside such parts; a page cut short ends where it ends; repeated rows are extracted
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
@@ -30,6 +34,9 @@ from palisade.llm.common import bounded_sample, text_of, without
 LABELLED_PAGES = 2000
 WORD_RANGE, TAG_RANGE = (0.3, 1.0), (-6.0, -0.1)
 UNSEEN_TAG, UNSEEN_WORD, UNSEEN_LINK_WORD = -0.35, 0.5, 0.25
+#: What the tag of an aside counts for against each word in it, at most and as a prior worth
+#: so many words; what labelled pages give SURE_WEIGHT or below is an aside even where it holds most words.
+ASIDE_WEIGHT, PRIOR_WORDS, SURE_WEIGHT = -2.0, 20, -1.75
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -68,97 +75,127 @@ _TOKEN = re.compile(
 )
 
 
-def _aside_kind(name: str, attributes: str, in_article: bool) -> str:
-    """"firm" or "soft" for an element that looks like an aside, else ""."""
+@dataclass
+class Element:
+    """An element whose tag may count against its words: a span of tokens."""
+
+    begin: int
+    end: int
+    marks: list[str]
+    aside: bool
+    firm: bool
+    words: int
+    articles: int
+    mains: int
+
+
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[list[str], bool, bool]:
+    """What may tell an aside: its element, its names; whether one is known as such, and firmly."""
+    marks, aside, firm = [], False, False
     if name in ASIDE or name == "header" and not in_article:
-        return "firm" if name in FIRM else "soft"
-    if not attributes or name in CLEAR:
-        return ""
-    values = (a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
-    named = [word for value in values for word in value.lower().split() if NAMED_ASIDE.match(word)]
-    return "" if not named else "firm" if any(map(FIRM_NAME.search, named)) else "soft"
+        marks, aside, firm = [name], True, name in FIRM
+    if attributes and name not in CLEAR:
+        for value in (a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)):
+            for word in value.lower().split():
+                marks.append(f".{word}")
+                if NAMED_ASIDE.match(word):
+                    aside, firm = True, firm or bool(FIRM_NAME.search(word))
+    return marks, aside, firm
 
 
-def tokens(page: str) -> list[tuple[str, str, bool, str]]:
-    """(feature, text, whether in a part that is left out, tag name or "") in page order."""
-    out, open_tags, asides, at = [], [], [], 0
-    links = firm = articles = mains = words = own = 0
+def parse(page: str) -> tuple[list[tuple[str, str, str]], list[Element], tuple[int, int, int]]:
+    """Tokens (feature, text, tag name or "") in page order, the elements with marks, and how
+    many unlinked words outside firm asides, articles or mains, and mains the page has."""
+    out, elements, open_tags, at = [], [], [], 0
+    n_open: dict[str, int] = {}
+    firm_open = articles = mains = words = 0
 
     def close(place: int, end: int) -> None:
         """Ends the open elements from this one on, before token end."""
-        nonlocal links, firm, own
-        for t, kind, begin, *before in open_tags[place:]:
-            links -= t == "a"
-            firm -= kind == "firm"
-            own -= t in ("article", "main")
-            if kind:
-                asides.append((begin, end, kind, *(n - b for n, b in zip((words, articles, mains), before))))
+        nonlocal firm_open
+        for name, _, begin, marks, aside, firm, *before in open_tags[place:]:
+            n_open[name] -= 1
+            firm_open -= firm
+            if marks:
+                held = (n - b for n, b in zip((words, articles, mains), before))
+                elements.append(Element(begin, end, marks, aside, firm, *held))
         del open_tags[place:]
 
-    def end_head(place: int) -> None:
-        if place >= 0 and open_tags[place][0] == "head":
-            close(place, len(out))
+    def find(name: str) -> int:
+        return next(i for i in reversed(range(len(open_tags))) if open_tags[i][0] == name)
 
     while at < len(page):
         match = _TOKEN.match(page, at)
         at = match.end()
+        inner = open_tags[-1][1] if open_tags else ""
         if (name := match[2]) is None:
             if not match[0].startswith("<") or match[0] == "<":
                 text = html.unescape(match[0])
-                if open_tags and text.strip():
-                    end_head(len(open_tags) - 1)
-                inner = next((t for t, *_ in reversed(open_tags) if t in BLOCKS or t == "a"), "")
-                out.append((f"word in {inner}", text, False, ""))
-                words += 0 if links or firm else len(text.split())
+                if open_tags and open_tags[-1][0] == "head" and text.strip():
+                    close(len(open_tags) - 1, len(out))
+                    inner = open_tags[-1][1] if open_tags else ""
+                out.append((f"word in {inner}", text, ""))
+                words += 0 if n_open.get("a") or firm_open else len(text.split())
             continue
         name = name.lower()
         if match[1]:
-            place = next((i for i in reversed(range(len(open_tags))) if open_tags[i][0] == name), None)
-            out.append((f"/{name}", "", False, name))
-            if place is not None:
-                close(place, len(out))
+            out.append((f"/{name}", "", name))
+            # What an end tag ends is found in as many steps as elements end with it.
+            if n_open.get(name):
+                close(find(name), len(out))
             continue
-        if name == "body":
-            end_head(next((i for i, tag in enumerate(open_tags) if tag[0] == "head"), -1))
-        elif name not in IN_HEAD:
-            end_head(len(open_tags) - 1)
-        kind = _aside_kind(name, match[3], own > 0)
-        if name == "p" and open_tags and open_tags[-1][0] == "p":
+        if name == "body" and n_open.get("head"):
+            close(find("head"), len(out))
+        elif open_tags and (open_tags[-1][0] == "head" and name not in IN_HEAD or name == "p" == open_tags[-1][0]):
             close(len(open_tags) - 1, len(out))
-        out.append((name, "", False, name))
+        inner = open_tags[-1][1] if open_tags else ""
+        marks, aside, firm = _marks(name, match[3], bool(n_open.get("article") or n_open.get("main")))
+        out.append((name, "", name))
         if name in RAW or name in VOID or match[3].endswith("/"):
-            if kind:
-                asides.append((len(out) - 1, len(out), kind, 0, 0, 0))
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
-        else:
-            open_tags.append((name, kind, len(out) - 1, words, articles, mains))
-            firm += kind == "firm"
-            mains += name == "main"
-            links += name == "a"
-            own += name in ("article", "main")
-            articles += name in ("article", "main")
+            continue
+        open_tags.append((name, name if name in BLOCKS or name == "a" else inner, len(out) - 1, marks, aside, firm, words, articles, mains))
+        n_open[name] = n_open.get(name, 0) + 1
+        firm_open += firm
+        mains += name == "main"
+        articles += name in ("article", "main")
     close(0, len(out))
-    # Only now is it known what an element holds of the page.
-    change = [0] * (len(out) + 1)
-    for begin, end, kind, held_words, held_articles, held_mains in asides:
-        main, article = mains > 0 and held_mains == mains, articles > 0 and held_articles == articles
-        if not (main or kind == "soft" and (article or 2 * held_words > words)):
-            change[begin] += 1
-            change[end] -= 1
-    hidden = accumulate(change)
-    return [(feature, text, n > 0, name) for (feature, text, _, name), n in zip(out, hidden)]
-
-
-def score(token: tuple[str, str, bool, str], weights: dict[str, float]) -> float:
-    feature, text, hidden, name = token
-    if hidden:
+    elements.sort(key=lambda e: (e.begin, -e.end))
+    return out, elements, (words, articles, mains)
+
+
+def element_weight(element: Element, page: tuple[int, int, int], weights: dict[str, float]) -> float:
+    """What the element's tag counts for against each of its words."""
+    words, articles, mains = page
+    weight = min(weights.get(f"in {mark}", ASIDE_WEIGHT if mark[0] != "." or NAMED_ASIDE.match(mark[1:]) else 0.0) for mark in element.marks)
+    if not weight or mains and element.mains == mains:
         return 0.0
-    if name:
-        return weights.get(feature, UNSEEN_TAG)
-    unseen = UNSEEN_LINK_WORD if feature == "word in a" else UNSEEN_WORD
-    return weights.get(feature, unseen) * len(text.split())
+    firm = element.firm or min(weights.get(f"in {mark}", 0.0) for mark in element.marks) <= SURE_WEIGHT
+    article = articles and element.articles == articles
+    most = not articles and 2 * element.words > words
+    return 0.0 if (article and not element.firm) or (most and not firm) else weight
+
+
+def score_page(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, str]], list[float], list[tuple[int, int]]]:
+    """Tokens, their scores, and the spans of the outermost elements that count against their words."""
+    found, elements, held = parse(page)
+    change, against = [0.0] * (len(found) + 1), []
+    for element in elements:
+        if weight := element_weight(element, held, weights):
+            change[element.begin] += weight
+            change[element.end] -= weight
+            if not against or element.begin >= against[-1][1]:
+                against.append((element.begin, element.end))
+    scores = []
+    for (feature, text, name), each in zip(found, accumulate(change)):
+        if name:
+            scores.append(weights.get(feature, UNSEEN_TAG))
+        else:
+            unseen = UNSEEN_LINK_WORD if feature == "word in a" else UNSEEN_WORD
+            scores.append((weights.get(feature, unseen) + each) * len(text.split()))
+    return found, scores, against
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -174,22 +211,28 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    found = tokens(page or "")
-    begin, end = best_region([score(t, weights) for t in found])
+    found, scores, against = score_page(page or "", weights)
+    left_out = [False] * len(found)
+    for first, last in against:
+        # What stays of such an element; the rest costs nothing, so that the region can reach across it.
+        a, b = best_region(scores[first:last])
+        for begin, end in ((first, first + a), (first + b, last)):
+            left_out[begin:end], scores[begin:end] = [True] * (end - begin), [0.0] * (end - begin)
+    begin, end = best_region(scores)
     if begin == end:
         return ""
-    while begin > 0 and found[begin][3] not in BLOCKS:
+    while begin > 0 and found[begin][2] not in BLOCKS:
         begin -= 1
-    while end < len(found) and found[end][3] not in BLOCKS:
+    while end < len(found) and found[end][2] not in BLOCKS:
         end += 1
     blocks, block = [], []
-    for _, text, hidden, name in found[begin:end]:
+    for (_, text, name), out in zip(found[begin:end], left_out[begin:end]):
         if name in BLOCKS:
             blocks.append("".join(block))
             block = []
         elif name == "br":
             block.append(" ")
-        elif not hidden:
+        elif not out:
             block.append(text)
     blocks.append("".join(block))
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
@@ -199,22 +242,39 @@ COUNTS = "feature string, inside long, outside long"
 
 
 def _counts(batches):
+    """Words by mark of the elements that hold them, and outside known asides also words
+    and tags by feature, inside and outside the article."""
     for batch in batches:
         inside, outside = {}, {}
+
+        def count(side: dict[str, int], feature: str, n: int) -> None:
+            side[feature] = side.get(feature, 0) + n
+
         for page in batch["html"]:
-            within = False
-            for feature, text, hidden, name in tokens(page):
+            found, elements, _ = parse(page)
+            change, within, words_in, words_out = [0] * (len(found) + 1), False, [0], [0]
+            for element in elements:
+                change[element.begin] += element.aside
+                change[element.end] -= element.aside
+            for (feature, text, name), asides in zip(found, accumulate(change)):
                 within = within or feature in ("article", "main")
-                if not hidden:
-                    counts = inside if within else outside
-                    counts[feature] = counts.get(feature, 0) + (1 if name else len(text.split()))
+                n = 0 if name else len(text.split())
+                words_in.append(words_in[-1] + n * within)
+                words_out.append(words_out[-1] + n * (not within))
+                if not asides:
+                    count(inside if within else outside, feature, 1 if name else n)
                 within = within and feature not in ("/article", "/main")
+            for element in elements:
+                for mark in set(element.marks):
+                    count(inside, f"in {mark}", words_in[element.end] - words_in[element.begin])
+                    count(outside, f"in {mark}", words_out[element.end] - words_out[element.begin])
         rows = [(f, inside.get(f, 0), outside.get(f, 0)) for f in {*inside, *outside}]
         yield pd.DataFrame(rows, columns=["feature", "inside", "outside"])
 
 
 def fit_weights(pages: DataFrame) -> dict[str, float]:
-    """Log-odds of a word or tag inside an article against outside, from at most LABELLED_PAGES pages."""
+    """Log-odds of being inside an article against outside, of words and tags and of the
+    words in an element by its marks, from at most LABELLED_PAGES pages."""
     lower = F.lower("html")
     marks = lambda pattern: F.regexp_count(lower, F.lit(pattern))
     labelled = (
@@ -222,21 +282,27 @@ def fit_weights(pages: DataFrame) -> dict[str, float]:
         .where((marks(r"<(article|main)[\s>]") == 1) & (marks(r"</(article|main)[\s>]") == 1))
     )
     labelled = bounded_sample(labelled, "order", LABELLED_PAGES).select("html")
-    # Features are element names; those that few pages use are not told apart.
+    # As many features as the tags, classes, ids and roles of so many pages.
     rows = (
         labelled.mapInPandas(_counts, COUNTS)
         .groupBy("feature")
         .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-        .orderBy((F.col("inside") + F.col("outside")).desc(), "feature")
-        .limit(1000)
         .collect()
     )
-    n_in, n_out = (sum(r[side] for r in rows) + len(rows) for side in ("inside", "outside"))
+    plain = [r for r in rows if not r["feature"].startswith("in ")]
+    n_in, n_out = (sum(r[side] for r in plain) + len(plain) for side in ("inside", "outside"))
     weights = {}
-    for r in rows:
+    for r in plain:
         odds = math.log((r["inside"] + 1) / n_in) - math.log((r["outside"] + 1) / n_out)
         low, high = WORD_RANGE if r["feature"].startswith("word in") else TAG_RANGE
         weights[r["feature"]] = min(high, max(low, odds))
+    for r in rows:
+        if r["feature"].startswith("in "):
+            mark = r["feature"][3:]
+            aside = mark[0] != "." or NAMED_ASIDE.match(mark[1:])
+            held_in, held_out = r["inside"] + (1 if aside else PRIOR_WORDS), r["outside"] + (PRIOR_WORDS if aside else 1)
+            # Binary fractions, so that sums come out even where elements end.
+            weights[r["feature"]] = round(64 * min(0.0, max(ASIDE_WEIGHT, math.log(held_in / held_out)))) / 64
     return weights
 
 

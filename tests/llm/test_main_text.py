@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -29,6 +30,33 @@ def test_op3_extracts_the_marked_articles(spark, small):
         assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
+def test_the_scan_decides(spark, small, weights, monkeypatch):
+    """With the whole page as best region, menus, adverts and footers are all in the text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").limit(40).collect()]
+    monkeypatch.setattr(main_text, "best_region", lambda scores: (0, len(scores)))
+    assert all(main_text.main_text(page, weights) != marked(page) for page in pages)
+
+
+def test_weights_come_from_labelled_pages(spark):
+    """A class that no list names is left out, if labelled pages have it outside their articles only."""
+    box = "<div class='zzbox'><p>{}</p></div>"
+    page = box + "<div class='zzmain'><article><p>{}</p></article></div>" + box
+    rows = [(i, page.format(f"Buy thing {i} now", f"Story number {i} has a few words more", "More things here")) for i in range(30)]
+    weights = main_text.fit_weights(spark.createDataFrame(rows, "page_id long, html string"))
+    assert weights["in .zzbox"] == main_text.ASIDE_WEIGHT and weights["in .zzmain"] == 0
+    told = "".join(f"<p>Paragraph {i} of the story</p>" for i in range(3))
+    want = "\n".join(f"Paragraph {i} of the story" for i in range(3))
+    inner = told.replace("<p>Paragraph 1", box.format("Buy " * 300) + "<p>Paragraph 1")
+    assert main_text.main_text(f"{box.format('Cheap ' * 300)}<div class='zzmain'>{inner}</div>{box.format('More ' * 99)}", weights) == want
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000, "<i>" * 100_000 + "</b>" * 100_000, "<div class=ad>" * 100_000, "<p class='a'>x" * 100_000, "<a '" * 50_000, "<!-- " * 50_000])
+def test_long_pages_take_linear_time(weights, page):
+    begun = time.process_time()
+    main_text.main_text(page, weights)
+    assert time.process_time() - begun < 20
+
+
 @pytest.mark.parametrize(
     "old, new",
     [
@@ -79,6 +107,8 @@ MENU = '<div class="main-nav"><a href="/">Home</a> <a href="/b">News</a></div>'
         f"<body>{MENU}<div id='page' class='no-sidebar has-banner'>{STORY}</div></body>",
         f"<body><div class='search-result'>{STORY}</div></body>",
         f"<body><div class='header'>{MENU}<article>{STORY}</article></div></body>",
+        *(f"<body>{MENU}<div class='{name}'>{STORY}</div></body>" for name in ("post social-issues", "entry tags-linux", "post-form")),
+        f"<body>{MENU}<section id='banner-story'>{STORY}</section></body>",
         f"<body>{STORY}<section id='comments'><article><p>{'A comment. ' * 200}</p></article></section></body>",
         f"<body>{STORY}<div class='cookie-notice'><p>{'We use cookies. ' * 100}</p></div></body>",
         f"<body>{STORY}<form class='search-form'>Find it<input name=q></form><div class='related-posts'><p>Another story to read</p></div></body>",
