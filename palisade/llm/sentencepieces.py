@@ -4,7 +4,7 @@ Normalisation walks the compiled character map of the model file by longest pref
 and records, for each normalised byte, where its source begins and ends; so every
 piece of the library's encoding is projected to a span of the original bytes. The
 ids are the library's own. Text is encoded a unit at a time (a run of spaces with
-what follows it), each unit once a task, where no piece of the vocabulary can reach
+what follows it), each unit once a worker, where no piece of the vocabulary can reach
 over the start of a unit; a model for which that does not hold is given whole texts.
 
 Defined results: a null text is empty and gives the begin and end ids alone; rows
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from palisade.llm.common import text_of
 from palisade.llm.encode import slices
 
 SPACE_MARK = "▁"
-KEPT_UNITS = 200_000
+#: Units that a worker keeps (about 260 bytes each) before it starts again.
+KEPT_UNITS = 500_000
 #: Field numbers of the model file's messages.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 CHARACTER_MAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
@@ -67,19 +69,29 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.texts = blob[4 + size :] if blob else b""
+        #: The bytes that mapped strings begin with: all others are left as they are.
+        self.heads = frozenset(b for b in range(256) if self.units and self._child(self._offset(self.units[0]), b) is not None)
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _child(self, node: int, byte: int) -> int | None:
+        """The place of the unit that byte leads to, if it does."""
+        place = node ^ byte
+        return place if place < len(self.units) and self.units[place] & 0x800000FF == byte else None
 
     def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
         """What replaces the longest mapped prefix of data[at:], and its length."""
         if not self.units:
             return None
-        offset = lambda u: (u >> 10) << ((u & 0x200) >> 6)
-        node, found = offset(self.units[0]), None
+        node, found = self._offset(self.units[0]), None
         for end in range(at, len(data)):
-            node ^= data[end]
-            unit = self.units[node]
-            if unit & 0x800000FF != data[end]:
+            place = self._child(node, data[end])
+            if place is None:
                 break
-            node ^= offset(unit)
+            unit = self.units[place]
+            node = place ^ self._offset(unit)
             if unit & 0x100:
                 found = self.units[node] & 0x7FFFFFFF, end + 1 - at
         if found is None:
@@ -101,9 +113,9 @@ class Model:
                 pieces.append(piece[1].decode())
                 self.is_byte.append(piece.get(3) == BYTE_PIECE)
             elif number == NORMALIZER:
-                normalizer = dict(fields(value))
+                normalizer |= dict(fields(value))
             elif number == TRAINER:
-                trainer = dict(fields(value))
+                trainer |= dict(fields(value))
         self.lengths = [len(p.encode()) for p in pieces]
         self.map = CharacterMap(normalizer.get(CHARACTER_MAP, b""))
         self.prefix = bool(normalizer.get(DUMMY_PREFIX, 1))
@@ -117,45 +129,58 @@ class Model:
 
     def normalise(self, text: str) -> tuple[bytes, list[int], list[int]]:
         """Normalised bytes with, for each, the first byte of its source and the byte after it."""
-        data, out, begins, ends = text.encode(), bytearray(), [], []
-        mark = SPACE_MARK.encode() if self.escape else b" "
+        data, mark = text.encode(), SPACE_MARK.encode() if self.escape else b" "
+        if not self.remove and self.map.heads.isdisjoint(data):
+            return self._unmapped(text, data, mark)
+        out, begins, ends = bytearray(), [], []
 
         def put(new: bytes, begin: int, end: int) -> None:
             out.extend(new)
             begins.extend([begin] * len(new))
             ends.extend([end] * len(new))
 
-        at, spaced = 0, self.remove
-        started = False
+        def mapped(at: int) -> tuple[bytes, int]:
+            found = self.map.longest(data, at) if data[at] in self.map.heads else None
+            n = _width(data[at])
+            return found or (data[at : at + n], n)
+
+        at, spaced, started = 0, self.remove, False
         while at < len(data):
-            found = self.map.longest(data, at)
-            if found is None:
-                lead = data[at]
-                n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                found = data[at : at + n], n
-            new, n = found
-            if self.remove and spaced:
-                stripped = new.lstrip(b" ")
-            else:
-                stripped = new
-            if stripped and not started:
+            new, n = mapped(at)
+            if not started and not (self.remove and new == b" "):
+                # The dummy prefix stands before the first character that is no space, even one that goes.
                 started = True
                 if self.prefix:
                     put(mark, at, at)
-            put(stripped.replace(b" ", mark), at, at + n)
-            if self.remove and new:
-                spaced = (stripped or b" ").endswith(b" ")
+            if started:
+                kept = new.lstrip(b" ") if spaced else new
+                put(kept.replace(b" ", mark), at, at + n)
+                if kept:
+                    spaced = self.remove and kept.endswith(b" ")
             at += n
         if self.remove:
             while out.endswith(mark) and out:
                 del out[-len(mark) :], begins[-len(mark) :], ends[-len(mark) :]
         return bytes(out), begins, ends
 
+    def _unmapped(self, text: str, data: bytes, mark: bytes) -> tuple[bytes, list[int], list[int]]:
+        """normalise() where the map has nothing for the text: only spaces change."""
+        head = len(mark) if self.prefix and data else 0
+        begins, ends = [0] * head, [0] * head
+        if text.isascii() and " " not in text:
+            return mark[:head] + data, begins + list(range(len(data))), ends + list(range(1, len(data) + 1))
+        at = 0
+        while at < len(data):
+            n = _width(data[at])
+            size = len(mark) if data[at] == 32 else n
+            begins += [at] * size
+            ends += [at + n] * size
+            at += n
+        return mark[:head] + data.replace(b" ", mark), begins, ends
+
     def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """The begin and the end of each piece in the bytes of text."""
         unknown = self.library.unk_id()
-        if self.by_unit and " " not in text and SPACE_MARK not in text and unknown not in ids:
-            return self._plain_spans(text.encode(), ids)
         normal, begins, ends = self.normalise(text)
         first, last, at = [], [], 0
         for i, k in enumerate(ids):
@@ -172,22 +197,10 @@ class Model:
             at += n
         return first, last
 
-    def _plain_spans(self, data: bytes, ids: list[int]) -> tuple[list[int], list[int]]:
-        """spans() where normalising only adds the dummy prefix."""
-        first, last, at = [], [], -len(SPACE_MARK.encode())
-        for k in ids:
-            begin = end = at
-            if self.is_byte[k]:
-                at = end = at + 1
-                while data[begin] & 0xC0 == 0x80:
-                    begin -= 1
-                while end < len(data) and data[end] & 0xC0 == 0x80:
-                    end += 1
-            else:
-                at = end = at + self.lengths[k]
-            first.append(max(begin, 0))
-            last.append(max(end, 0))
-        return first, last
+
+def _width(lead: int) -> int:
+    """Bytes of the character that begins with this one."""
+    return 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
 _MARKED = re.compile(" *[^ ]+(?: +\\Z)?| +")
@@ -257,12 +270,18 @@ class OffsetEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def offset_encoder(model_path: str) -> OffsetEncoder:
+    """Kept for all tasks of a worker."""
+    return OffsetEncoder(Model(model_path))
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids with begin and end ids, and the byte span (begins, ends) of every id,
     each as little-endian unsigned 32-bit integers."""
 
     def run(batches):
-        encoder = OffsetEncoder(Model(model_path))
+        encoder = offset_encoder(model_path)
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1).to_pylist()):

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from sentencepiece import SentencePieceProcessor
+from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from palisade.llm import bitplane, packing, queries, sentencepieces
@@ -142,25 +142,78 @@ def test_op10_matches_the_library(spark, small, texts):
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
 
 
+def check_offsets(model, text, ids, begins, ends):
+    """Every piece's span, given the library's own normaliser for what the span became."""
+    assert ids == model.encode(text, add_bos=True, add_eos=True)
+    assert len(ids) == len(begins) == len(ends)
+    raw, at = text.encode(), 0
+    for k, b, e in list(zip(ids, begins, ends))[1:-1]:
+        piece = model.id_to_piece(k)
+        if not piece.startswith("<0x"):
+            assert model.normalize(raw[b:e].decode()).strip("▁") == piece.strip("▁")
+        assert b <= at <= e or b == at
+        at = max(at, e)
+    assert at == len(raw)
+
+
 def test_offsets_of_odd_rows(spark, odd, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = SentencePieceProcessor(model_file=path)
-    rows = sentencepieces.decode(sentencepieces.encode(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), path), path).collect()
-    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
-    for r in rows:
-        text = texts[r["doc_id"]]
+    by_key = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    encoded = sentencepieces.decode(sentencepieces.encode(odd, path), path).collect()
+    want = by_key([(r["doc_id"], model.decode(model.encode(r["text"] or ""))) for r in odd.collect()])
+    assert by_key([(r["doc_id"], r["decoded"]) for r in encoded]) == want
+    texts = {(r["doc_id"], model.decode(model.encode(r["text"] or ""))): r["text"] or "" for r in odd.collect()}
+    for r in encoded:
+        check_offsets(model, texts[r["doc_id"], r["decoded"]], *(np.frombuffer(r[k], "<u4").tolist() for k in ("ids", "begins", "ends")))
+    assert sentencepieces.encode(empty, path).count() == 0
+
+
+#: Full-width, circled, ligated, combined, half-width, invisible and unmapped characters, and spaces.
+MAPPED = ["a", "Ｂ", "①", " ", "  ", "\u3000", "ﬁ", "é", "e\u0301", "中", "😀", "\n", "\t", "▁", "½", "㌀", "\x01", "ｶﾞ", "\u200b", "가", "\ufeff", "\ufffd", "ß", "xxxxx"]
+
+
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory):
+    """The public model with the library's own compiled character map, that of its NFKC rule."""
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    rule = SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        path.write_bytes(file.read() + rule)
+    return str(path)
+
+
+def mapped_texts():
+    choose = np.random.default_rng(8)
+    return ["", "ﬁ", " ①", *("".join(choose.choice(MAPPED, choose.integers(0, 10))) for _ in range(1500))]
+
+
+def test_normalisation_through_the_character_map(mapped):
+    model = sentencepieces.Model(mapped)
+    assert model.map.units and not model.by_unit
+    for text in mapped_texts():
+        normal, begins, ends = model.normalise(text)
+        assert normal == model.library.normalize(text).encode() and len(normal) == len(begins) == len(ends)
+        data = text.encode()
+        # A span is one longest mapped prefix, or one character that the map leaves alone.
+        for b, e in {*zip(begins, ends)}:
+            assert b == e or (found := model.map.longest(data, b)) is None and len(data[b:e].decode()) == 1 or found[1] == e - b
+
+
+def test_encoding_with_a_character_map(spark, mapped):
+    model = SentencePieceProcessor(model_file=mapped)
+    texts = [None, "Ｂ①", "Ｂ①", "ﬁnd ｶﾞ " * 3000, *mapped_texts()[:300]]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in sentencepieces.decode(sentencepieces.encode(docs, mapped), mapped).collect():
+        text = texts[r["doc_id"] or 0] or ""
         ids, begins, ends = (np.frombuffer(r[k], "<u4").tolist() for k in ("ids", "begins", "ends"))
         assert ids == model.encode(text, add_bos=True, add_eos=True) and r["decoded"] == model.decode(ids)
         assert len(ids) == len(begins) == len(ends)
-        raw, at = text.encode(), 0
+        raw = text.encode()
         for k, b, e in list(zip(ids, begins, ends))[1:-1]:
             piece = model.id_to_piece(k)
             if not piece.startswith("<0x"):
-                assert raw[b:e].decode().replace(" ", "▁") in (piece, piece.removeprefix("▁"))
-            assert b <= at <= e or b == at
-            at = max(at, e)
-        assert at == len(raw)
-    assert sentencepieces.encode(empty, path).count() == 0
+                assert piece.strip("▁") in model.normalize(raw[b:e].decode()), (text, piece)
 
 
 def test_character_map_longest_prefix():
