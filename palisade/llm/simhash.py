@@ -3,8 +3,10 @@
 Two nodes of the trie are visited together with the number of bits in which their
 prefixes differ; a pair that has spent more than the error budget is pruned. Spark
 deals out the pairs of nodes at one depth: every distinct fingerprint goes to the
-pairs that its node can still reach, and each pair is traversed to the leaves in
-one group, which returns a spanning forest of the links found, never all pairs.
+pairs that its node can still reach. A pair that would hold too many fingerprints is
+dealt again at a greater depth, as often as it takes, within what is left of its
+budget; every other pair is traversed to the leaves in one group, which returns a
+spanning forest of the links found, never all pairs.
 Links are then joined to components on Spark. Copies share a fingerprint and are
 one row from the first aggregation on.
 
@@ -17,6 +19,7 @@ gives an empty result; input columns named like a result column are replaced.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,14 @@ from palisade.llm.common import fresh, set_aside, text_of, written
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_DIFFERING = 2
-#: Fingerprints that a node of the dealt depth holds on average, and that depth's limits.
-NODE, LEAST_DEPTH, MOST_DEPTH = 1 << 17, 6, 24
+#: Fingerprints that a node of the first dealt depth holds on average, that depth's limits,
+#: how much deeper pairs go that hold more than PAIR, and the depth where none is split.
+NODE, LEAST_DEPTH, MOST_DEPTH, STEP, PAIR, LAST_DEPTH = 1 << 17, 6, 24, 6, 1 << 20, 60
 #: Nodes are compared directly when they make at most so many pairs; pairs of nodes
 #: are visited in runs of at most FRONTIER.
 LEAF_PAIRS, FRONTIER = 32, 1 << 18
+#: Dropped rows (two numbers each) are broadcast if they are at most so many.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -124,24 +130,36 @@ def trie_forest(values: np.ndarray, split: int, depth: int = 0, errors: int = 0,
     return parent
 
 
-def _reach(depth: int) -> list[int]:
-    """Masks of at most MAX_DIFFERING of the first depth bits."""
-    one = [1 << k for k in range(depth)]
+def _reach(bits: int) -> list[int]:
+    """Masks of at most MAX_DIFFERING of so many bits."""
+    one = [1 << k for k in range(bits)]
     return [0, *one, *(a | b for k, a in enumerate(one) for b in one[:k])]
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """Links (a, b) that join all of the distinct fingerprints (fp) that are near, through others or not."""
-    n = fingerprints.count()
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / NODE))))
-    prefix = F.shiftrightunsigned("fp", 64 - depth)
-    masks = F.array(*[F.lit(m).cast("long") for m in _reach(depth)])
-    dealt = fingerprints.select("fp", prefix.alias("own"), F.explode(masks).alias("mask")).select(
-        "fp",
-        F.least("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("first"),
-        F.greatest("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("second"),
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def _deal(rows: DataFrame, depth: int, step: int) -> DataFrame:
+    """rows (fp, first, second and others), where first and second are the prefixes of a
+    pair of nodes at depth, with those of every pair step bits deeper that fp can reach."""
+    masks = F.array(*[F.lit(m).cast("long") for m in _reach(step)])
+    others = [c for c in rows.columns if c not in ("first", "second")]
+    own = _prefix(depth + step)
+    other = F.when(F.col("first") == _prefix(depth), F.col("second")).otherwise(F.col("first"))
+    facing = F.shiftleft(other, step).bitwiseOR(own.bitwiseAND(F.lit((1 << step) - 1).cast("long"))).bitwiseXOR(F.col("mask"))
+    # Below a node and itself, a pair has its nodes in order; below two nodes the order stands.
+    spent = F.bit_count(F.col("first").bitwiseXOR(F.col("second"))) + F.bit_count("mask")
+    return (
+        rows.withColumn("mask", F.explode(masks))
+        .where(spent <= MAX_DIFFERING)
+        .select(*others, F.least(own, facing).alias("first"), F.greatest(own, facing).alias("second"))
     )
 
+
+def _traverse(dealt: DataFrame, depth: int) -> DataFrame:
+    """The links (a, b) within each pair of nodes at depth."""
+
     def traverse(group: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(group["fp"].to_numpy().view(np.uint64))
         first, second = int(group["first"].iat[0]), int(group["second"].iat[0])
@@ -155,7 +173,35 @@ def links(fingerprints: DataFrame) -> DataFrame:
         child = np.flatnonzero(parent != np.arange(len(values)))
         return pd.DataFrame({"a": values[child].view(np.int64), "b": values[parent[child]].view(np.int64)})
 
-    return dealt.groupBy("first", "second").applyInPandas(traverse, "a long, b long").distinct()
+    return dealt.groupBy("first", "second").applyInPandas(traverse, "a long, b long")
+
+
+def links(fingerprints: DataFrame, node: int = NODE, pair: int = PAIR) -> DataFrame:
+    """Links (a, b) that join all of the distinct fingerprints (fp) that are near, through others or not."""
+    n = fingerprints.count()
+    root = F.lit(0).cast("long")
+    rows, depth = fingerprints.select("fp", root.alias("first"), root.alias("second")), 0
+    step = min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / node))))
+    found = []
+    while True:
+        # How many fingerprints each deeper pair will hold, from the counts of nodes alone.
+        nodes = rows.groupBy("first", "second", F.shiftleft(_prefix(depth + step), 64 - depth - step).alias("fp")).agg(F.count("*").alias("n"))
+        held = _deal(nodes, depth, step).groupBy("first", "second").agg(F.sum("n").alias("n"))
+        dealt, last = _deal(rows, depth, step), depth + step == LAST_DEPTH
+        # Few pairs are left out at the first depth; deeper, most would hold one fingerprint.
+        held = written(held.where(F.col("n") > (1 if depth else pair)))
+        depth += step
+        full = held.where(F.lit(not last) & (F.col("n") > pair))
+        if last or full.isEmpty():
+            found.append(_traverse(dealt.join(held, ["first", "second"], "left_semi") if depth > step else dealt, depth))
+            break
+        fits = dealt.join(full, ["first", "second"], "left_anti")
+        if depth > step:
+            fits = fits.join(held, ["first", "second"], "left_semi")
+        found.append(_traverse(fits, depth))
+        rows = written(dealt.join(full, ["first", "second"], "left_semi").select("fp", "first", "second"))
+        step = min(STEP, LAST_DEPTH - depth)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,9 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Tables of their own: a join with what a shuffle has just summed up could not split a hub.
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select("b", "m", "a")
         edges = written(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -212,7 +260,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     chosen = classed.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("root").agg(F.min(place).alias("p"))
     chosen = written(chosen.select(F.col("p.doc_id").alias("keep_doc"), F.col("p.text_id").alias("keep_text")))
     of_chosen = lambda text_id: F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col(text_id) == F.col("keep_text"))
-    out = renamed.withColumn(identity, text).join(chosen, of_chosen(identity), "left_semi")
+    # Few rows go, as a rule: then the texts are filtered where they lie, not shuffled.
+    dropped = written(stored.join(chosen, of_chosen("text_id"), "left_anti").select(F.col("doc_id").alias("keep_doc"), F.col("text_id").alias("keep_text")))
+    marked = renamed.withColumn(identity, text)
+    if dropped.count() <= BROADCAST_ROWS:
+        out = marked.join(F.broadcast(dropped), of_chosen(identity), "left_anti")
+    else:
+        out = marked.join(chosen, of_chosen(identity), "left_semi")
     # Rows repeated in full are told apart only where there are any.
     times = stored.join(chosen, of_chosen("text_id"), "left_semi").groupBy("doc_id", "text_id").agg(F.count("*").alias("n"))
     if not times.where("n > 1").isEmpty():

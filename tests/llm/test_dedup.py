@@ -104,13 +104,38 @@ def test_links_over_all_node_pairs(spark):
     assert [got[v] for v in signed] == brute_components(values)
 
 
-def test_near_dedup_of_odd_rows(odd, empty):
+def test_dense_nodes_are_dealt_deeper(spark):
+    """A third of all fingerprints share their first 20 bits; pairs of at most 100 are traversed."""
+    rng = np.random.default_rng(11)
+    top = rng.integers(0, 2**64, dtype=np.uint64) & ~np.uint64(2**44 - 1)
+    near = top | rng.integers(0, 2**10, 120, dtype=np.uint64) << np.uint64(30)
+    cluster = [int(near[0]) ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(0, a, 11)]
+    values = sorted({*near.tolist(), *cluster, *rng.integers(0, 2**64, 60, dtype=np.uint64).tolist()})
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    fingerprints = spark.createDataFrame([(v,) for v in signed], "fp long")
+    root = list(range(len(values)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    place = {v: k for k, v in enumerate(signed)}
+    for r in simhash.links(fingerprints, node=128, pair=100).collect():
+        a, b = find(place[r["a"]]), find(place[r["b"]])
+        root[max(a, b)] = min(a, b)
+    assert [find(k) for k in range(len(values))] == brute_components(values)
+
+
+def test_near_dedup_of_odd_rows(odd, empty, monkeypatch):
     rows = simhash.near_duplicates(odd).collect()
     prints = [brute_fingerprint(r["text"]) for r in odd.collect()]
     assert len(rows) == len(prints)
-    stay = simhash.near_dedup(odd)
-    assert stay.columns == odd.columns
-    assert stay.count() == len(set(brute_components(prints)))
+    for most in (200_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        stay = simhash.near_dedup(odd)
+        assert stay.columns == odd.columns
+        assert stay.count() == len(set(brute_components(prints)))
     assert simhash.near_dedup(empty).count() == 0
 
 
