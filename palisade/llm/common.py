@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (as in tests) gets a folder of its own."""
+    Only a local session without that setting (as in tests) gets a folder of its own: the
+    executors of a cluster would each write to a disk of theirs."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="palisade-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/palisade-{uuid.uuid4().hex}"

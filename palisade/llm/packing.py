@@ -10,7 +10,8 @@ their place by their rank among the pieces of their length.
 
 Defined results: a null text is empty, its piece holds the end id alone; equal or
 repeated rows are packed each on its own; null doc_ids are packed like any other;
-other columns are ignored; an empty table gives an empty result.
+other columns of documents are ignored, those of pieces pass through, and those named
+like a result column are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_of, written
+from palisade.llm.common import fresh, text_of, without, written
 from palisade.llm.encode import library_encoder, slices
 
 WINDOW = 4096
@@ -108,42 +109,43 @@ def _slots(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
 
 def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (doc_id, start, length and any others) with sequence_id and offset."""
-    others = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(BUCKETS)).cast("int")
-    stored = written(pieces.select(*others, bucket.alias("bucket_")))
-    by_bucket = stored.groupBy("length", "bucket_").agg(F.count("*").alias("n_"))
-    earlier = Window.partitionBy("length").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = written(by_bucket.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0))))
+    pieces = without(pieces, "sequence_id", "offset")
+    others = [F.col(f"`{c}`") for c in pieces.columns]
+    bucket, n, before, rank = fresh(pieces, "__bucket", "__n", "__before", "__rank")
+    stored = written(pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(BUCKETS)).cast("int")))
+    by_bucket = stored.groupBy("length", bucket).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = written(by_bucket.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))))
     # At most `window` rows.
-    histogram = {r["length"]: r["n_"] for r in by_bucket.groupBy("length").agg(F.sum("n_").alias("n_")).collect()}
+    histogram = {r["length"]: r["total"] for r in by_bucket.groupBy("length").agg(F.sum(n).alias("total")).collect()}
     plan = stored.sparkSession.sparkContext.broadcast(_slots(patterns(histogram, window)))
 
-    within = Window.partitionBy("length", "bucket_").orderBy("doc_id", "start")
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "start")
     # window x BUCKETS rows at most, whatever the input.
     ranked = (
-        stored.withColumn("rank_", F.row_number().over(within) - 1)
-        .join(F.broadcast(by_bucket.drop("n_")), ["length", "bucket_"])
-        .select(*others, (F.col("rank_") + F.col("before_")).alias("rank_"))
+        stored.withColumn(rank, F.row_number().over(within) - 1)
+        .join(F.broadcast(by_bucket.drop(n)), ["length", bucket])
+        .select(*others, (F.col(rank) + F.col(before)).alias(rank))
     )
 
     def place(batches):
-        length, rank, each, first, offset = plan.value
+        length, served, each, first, offset = plan.value
         shift = np.int64(1) << 40
-        keys = length * shift + rank
+        keys = length * shift + served
         for batch in batches:
             table = pa.Table.from_batches([batch])
             own = table["length"].to_numpy().astype(np.int64)
-            mine = table["rank_"].to_numpy().astype(np.int64)
+            mine = table[rank].to_numpy().astype(np.int64)
             slot = np.searchsorted(keys, own * shift + mine, "right") - 1
-            turn = mine - rank[slot]
+            turn = mine - served[slot]
             yield from (
-                table.drop(["rank_"])
+                table.drop([rank])
                 .append_column("sequence_id", pa.array(first[slot] + turn // each[slot], pa.int64()))
                 .append_column("offset", pa.array(offset[slot] + turn % each[slot] * own, pa.int64()))
                 .to_batches()
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank_")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != rank)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 

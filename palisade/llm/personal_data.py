@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fresh, guarded, set_aside, text_of, without, written
+from palisade.llm.common import fresh, guarded, let, set_aside, text_of, without, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "generalised", "removed")
@@ -36,6 +36,7 @@ PATTERNS = {
 MARKERS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){14}", "phone": r"\+[0-9]"}
 #: Characters on either side of an entity that are its context, and the terms in it.
 CONTEXT = 80
+BLOCK = 1024
 TERM = r"\p{L}{4,}"
 MIN_CONTEXTS = 2
 GENERALISE, REMOVE = 0.8, 0.95
@@ -44,12 +45,13 @@ RESULTS = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans")
 
 
 def placed(text: Column, pattern: str) -> Column:
-    """(start, end, value) of every match, in order: the lengths of the matches and of what lies between add up."""
-    pairs = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
-    )
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("found"))
+    """(start, end, value) of every match, in order: the lengths of the matches and of what lies between add up.
+
+    They are added up in about as many blocks as a block has matches, since an array that grows is copied at each step."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = let(values, lambda v: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(v)).alias("gap"), v.alias("value")))
+    empty = lambda kind: F.expr(f"cast(array() as {kind})")
+    spans = "array<struct<start:int,end:int,value:string>>"
 
     def add(done: Column, pair: Column) -> Column:
         start = done["at"] + F.char_length(pair["gap"])
@@ -57,7 +59,31 @@ def placed(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(pairs, none, add, lambda done: done["found"])
+    def add_block(done: Column, block: Column) -> Column:
+        none = F.struct(done["at"].alias("at"), empty(spans).alias("found"))
+        return F.aggregate(
+            block, none, add, lambda inner: F.struct(inner["at"].alias("at"), F.concat(done["blocks"], F.array(inner["found"])).alias("blocks"))
+        )
+
+    def in_blocks(pairs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / width).cast("int")), lambda k: F.slice(pairs, k * width + 1, width))
+        none = F.struct(F.lit(0).alias("at"), empty(f"array<{spans}>").alias("blocks"))
+        return F.aggregate(blocks, none, add_block, lambda done: F.flatten(done["blocks"]))
+
+    return let(pairs, in_blocks)
+
+
+def _cut(text: Column) -> Column:
+    """text in blocks of BLOCK characters, so that what lies far behind is found without counting up to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _short(blocks: str, start: Column, length: Column) -> Column:
+    """At most BLOCK characters from start on, out of _cut blocks."""
+    block = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, block), F.lit("")), F.coalesce(F.get(blocks, block + 1), F.lit("")))
+    return F.substring(two, start - block * BLOCK + 1, length)
 
 
 def _digits(value: Column) -> Column:
@@ -95,23 +121,22 @@ def _mentions(docs: DataFrame) -> DataFrame:
     """A row for each term near an entity, from the different texts of docs."""
     text = F.col("text")
     searched = docs.select(text_of().alias("text")).withColumn("found", base_spans(text))
-    rows = (
-        guarded(searched, F.size("found") > 0)
-        .select("text", "found", F.posexplode("found").alias("i", "span"))
-    )
+    searched = guarded(searched, F.size("found") > 0).select(*_text_key(text), F.char_length("text").alias("n"), "found", _cut(text).alias("blocks"))
+    rows = searched.select("text_id", "text_size", "n", "found", "blocks", F.posexplode("found").alias("i", "span"))
     # A context ends where the entities before and after it do.
     before = F.coalesce(F.get("found", F.col("i") - 1)["end"], F.lit(0))
-    after = F.coalesce(F.get("found", F.col("i") + 1)["start"], F.char_length(text))
+    after = F.coalesce(F.get("found", F.col("i") + 1)["start"], F.col("n"))
     start, end = F.col("span.start"), F.col("span.end")
     left_from = F.greatest(F.least(before, start), start - CONTEXT)
     right_to = F.least(F.greatest(after, end), end + CONTEXT)
     contexts = rows.select(
-        *_text_key(text),
+        "text_id",
+        "text_size",
         F.concat_ws(":", "span.rank", F.lower("span.value")).alias("entity"),
         left_from.alias("left_from"),
         end.alias("right_from"),
-        F.substring(text, left_from + 1, start - left_from).alias("left"),
-        F.substring(text, end + 1, right_to - end).alias("right"),
+        _short("blocks", left_from, start - left_from).alias("left"),
+        _short("blocks", end, right_to - end).alias("right"),
     )
 
     def terms(side: str, begin: str) -> Column:
@@ -120,7 +145,8 @@ def _mentions(docs: DataFrame) -> DataFrame:
 
     near = F.concat(terms("left", "left_from"), terms("right", "right_from"))
     exploded = contexts.select("text_id", "text_size", "entity", F.xxhash64("left", "right").alias("context"), F.explode(near).alias("t"))
-    return exploded.select("text_id", "text_size", "entity", "context", F.xxhash64("t.term").alias("term"), "t.start", "t.end")
+    # Copies of a text have the same rows: they are one from here on.
+    return exploded.select("text_id", "text_size", "entity", "context", F.xxhash64("t.term").alias("term"), "t.start", "t.end").distinct()
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
@@ -138,11 +164,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     texts = docs.select(*_text_key(text_of())).groupBy("text_id", "text_size").agg(F.count("*").alias("copies"))
     told = mentions.select("text_id", "text_size").distinct()
     copies = texts.join(told, ["text_id", "text_size"], "left_semi")
-    by_text = (
-        mentions.groupBy("text_id", "text_size", "entity", "term")
-        .agg(F.collect_set("context").alias("contexts"))
-        .join(copies, ["text_id", "text_size"])
-    )
+    by_text = mentions.select("text_id", "text_size", "entity", "term").distinct().join(copies, ["text_id", "text_size"])
     pairs = by_text.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"))
     contexts = mentions.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
     entities = (

@@ -29,7 +29,8 @@ from palisade.llm.passages import passage_spans, repeated_passages
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
-_END = re.compile(r"[.!?]+\s+|\s*\n\s*")
+#: Each alternative begins a run of its class, so that no run is tried from every place in it.
+_END = re.compile(r"(?<![.!?])[.!?]+\s+|(?<!\s)\s*\n\s*")
 RESULTS = ("n_removed", "removed")
 RUNS = "doc_id long, text_id long, hash long, check int, first int, last int"
 

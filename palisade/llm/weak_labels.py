@@ -36,11 +36,11 @@ ROUNDS, LEARNING_RATE, DECAY = 80, 0.5, 1e-4
 EM_ROUNDS = 100
 KEPT_WORDS = 300_000
 #: Labelled documents that words are mined from, at most, and what a mined word needs.
-LABELLED_DOCS, MINED_DOCS, MINED_SHARE, MINED_WORDS = 20_000, 4, 0.95, 5_000
+LABELLED_DOCS, MINED_DOCS, MINED_SHARE = 20_000, 4, 0.95
 RESULTS = ("quality_score", "toxic_score", "kept")
 
 _SYMBOLS = re.compile(r"[#*$%&<>^~=_{}\[\]\\/@+`|]")
-_SHOUT = re.compile(r"[!?]{2,}(?=\s|$)")
+_SHOUT = re.compile(r"(?<![!?])[!?]{2,}(?=\s|$)")
 _LINE_END = re.compile(r"[.!?:;\"')]\s*$", re.M)
 _MARKS = "#*$%&|<>.,!?;:'\"()[]{}-_=+@/\\`~^"
 #: Common function words of four languages, and common insults.
@@ -188,8 +188,9 @@ def _training_rows(mined: frozenset):
 
 
 def mine_words(docs: DataFrame, labels: DataFrame) -> frozenset:
-    """Words that at least MINED_DOCS of at most LABELLED_DOCS labelled documents hold, of
-    which MINED_SHARE or more are toxic; the MINED_WORDS commonest."""
+    """Words that at least MINED_DOCS toxic ones of at most LABELLED_DOCS labelled documents
+    hold, MINED_SHARE or more of those that hold them: all of them, so that their number is
+    bounded by that of the labelled documents alone."""
 
     def count(batches):
         for batch in batches:
@@ -209,7 +210,7 @@ def mine_words(docs: DataFrame, labels: DataFrame) -> frozenset:
         .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
         .where((F.col("toxic") >= MINED_DOCS) & (F.col("toxic") >= MINED_SHARE * F.col("n")) & (F.char_length("word") > 2))
     )
-    return frozenset(r["word"] for r in words.orderBy(F.col("toxic").desc(), "word").limit(MINED_WORDS).collect())
+    return frozenset(r["word"] for r in words.select("word").collect())
 
 
 def fit_scorer(rows: list[tuple[float, list[int], list[float]]]) -> np.ndarray:

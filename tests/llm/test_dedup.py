@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -159,6 +160,13 @@ def brute_spans(docs):
     return out
 
 
+def test_sentences_of_long_texts_take_linear_time():
+    begun = time.process_time()
+    for text in (" " * 1_000_000, "." * 1_000_000 + "x", "\n " * 500_000 + "x", "x. " * 300_000):
+        assert "".join(sentence_spans.sentences(text)) == text
+    assert time.process_time() - begun < 20
+
+
 def test_op4_matches_brute_force(spark, small, texts):
     rows = sorted(queries.op4_sentence_spans(spark, small).collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in rows] == brute_spans(sorted(texts.items()))

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
+import regex
 
 from palisade.llm import personal_data, queries
 
@@ -49,6 +51,65 @@ def test_op8_base_matches_python(spark, small, texts):
         assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
 
 
+def brute_added(texts):
+    """The spans of revealing terms of each text, by counting over all of them one by one."""
+    mentions, n_pair, n_entity, n_term, contexts = [], {}, {}, {}, {}
+    for k, text in enumerate(texts):
+        spans, pairs = base(text), set()
+        for term in {t.lower() for t in regex.findall(r"\p{L}{4,}", text.lower())}:
+            n_term[term] = n_term.get(term, 0) + 1
+        for i, (start, rank, end) in enumerate(spans):
+            before = spans[i - 1][2] if i else 0
+            after = spans[i + 1][0] if i + 1 < len(spans) else len(text)
+            sides = (max(min(before, start), start - 80), start), (end, min(max(after, end), end + 80))
+            entity = (rank, text[start:end].lower())
+            for a, b in sides:
+                for m in regex.finditer(r"\p{L}{4,}", text[a:b]):
+                    pair = entity, m[0].lower()
+                    mentions.append((k, a + m.start(), a + m.end(), pair))
+                    contexts.setdefault(pair, set()).add(tuple(text[x:y] for x, y in sides))
+                    pairs.add(pair)
+        for pair in pairs:
+            n_pair[pair] = n_pair.get(pair, 0) + 1
+        for entity in {e for e, _ in pairs}:
+            n_entity[entity] = n_entity.get(entity, 0) + 1
+    found = [{} for _ in texts]
+    for k, a, b, pair in mentions:
+        if len(contexts[pair]) >= personal_data.MIN_CONTEXTS:
+            n, entity = len(texts), n_entity[pair[0]]
+            share = math.log(n_pair[pair] * n / (n_term[pair[1]] * entity)) / math.log(n / entity)
+            if share >= personal_data.GENERALISE:
+                rank = personal_data.KINDS.index("removed" if share >= personal_data.REMOVE else "generalised")
+                found[k][a, b] = max(rank, found[k].get((a, b), 0))
+    return [sorted((a, rank, b) for (a, b), rank in one.items()) for one in found]
+
+
+def test_op8_spans_match_counting(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    added = brute_added([r["text"] or "" for r in rows])
+    assert any(added)
+    got = {r["doc_id"]: r["spans"] for r in queries.op8_disclosure(spark, folder).collect()}
+    for r, more in zip(rows, added):
+        spans = sorted([*base(r["text"]), *more])
+        assert got[r["doc_id"]] == ",".join(f"{personal_data.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_repeated_rows_disclose_alike(spark, corpus):
+    """Copies of every row change nothing but the counts, which all double."""
+    once = {r["text"]: r["spans"] for r in personal_data.find_personal_data(spark.createDataFrame([(t,) for t in corpus], "text string")).collect()}
+    twice = personal_data.find_personal_data(spark.createDataFrame([(t,) for t in corpus * 2], "text string")).collect()
+    assert len(twice) == 2 * len(corpus) and all(r["spans"] == once[r["text"]] for r in twice)
+
+
+def test_many_addresses_in_one_text(spark):
+    """A million characters, an address every eight: no quadratic time."""
+    text, begun = "a1@b.co " * 125_000, time.time()
+    row = personal_data.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_email", "base_spans").first()
+    assert row["n_email"] == 125_000 and [(s["start"], s["end"]) for s in row["base_spans"]] == [(8 * k, 8 * k + 7) for k in range(125_000)]
+    assert time.time() - begun < 120
+
+
 ODD = [
     "a@b.c_d@e.f x@y@z.com a@b..c", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.4", "4111 1111 1111 1111, 4111-1111-1111-1111-1 9" + "9" * 30,
     "+1 (017) 555-7713) +12 +1234567890123456", "x" * 30000 + "@", "1" * 50000, "1 " * 30000, "+1" * 20000, None, "",

@@ -44,3 +44,15 @@ def test_stages_work_on_all_that_their_predecessors_keep(spark, small):
     assert np.max(list(filled.values())) <= 4096
     final = corpus_pipeline.run(spark, small)
     assert final.columns == tables[4].columns and final.count() == len(pieces)
+
+
+def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, ties, repeated rows, empty and very long texts and extra columns go through every stage."""
+    good = "\n".join(f"Line {k} of a plain text has several different words, of number {k * 7}." for k in range(20))
+    more = [(None, good, "en", "x"), (None, good, "en", "x"), (50, good, "en", "x"), (51, f"{good}\nWrite to a@b.co about it today, please.", "en", "x")]
+    for name, rows in (("odd", odd.unionByName(spark.createDataFrame(more, odd.schema))), ("empty", empty)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        # Equal texts leave one, the one with a doc_id; its near copy goes, or stays if no near copy.
+        assert {r["doc_id"] for r in pieces} in ({"odd": [{50}, {50, 51}], "empty": [set()]}[name])
+        assert sum(r["length"] for r in pieces if r["start"] == 0) >= (100 if name == "odd" else 0)

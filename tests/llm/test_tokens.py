@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -108,6 +109,11 @@ def test_packing_odd_rows(spark, odd, empty):
     for r in rows:
         assert len(r["ids"]) == 4 * r["length"]
     assert packing.pack(empty, path, 2).count() == 0
+    pieces = packing.cut_pieces(odd, path, 2).drop("ids")
+    for name in ("__bucket", "__n", "bucket_", "n_", "before_", "rank_", "offset"):
+        pieces = pieces.withColumn(name, F.lit("own"))
+    placed = packing.assign_sequences(pieces)
+    assert sorted(placed.columns) == sorted({*pieces.columns, "sequence_id"}) and {r["rank_"] for r in placed.collect()} == {"own"}
 
 
 def test_fill_is_the_closest():
