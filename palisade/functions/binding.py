@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,3 +10,14 @@ def let(body, **values: Column) -> Column:
     """body(bound), bound[name] being the value of that name."""
     bound = F.struct(*[value.alias(name) for name, value in values.items()])
     return F.transform(F.array(bound), body)[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

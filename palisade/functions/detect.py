@@ -1,10 +1,13 @@
 """Matching values against rules, as Catalyst expressions.
 
-Each rule is one literal regular expression, guarded by the cheap test that the
-value holds a text which every match of the rule must hold."""
+Every rule is one literal regular expression, evaluated only where the value holds a
+text that every match of the rule must hold. Those texts are looked for together: one
+pass of a trie of all of them yields the rules that can match at all; single characters,
+which a page may hold everywhere, are tested one by one."""
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -18,15 +21,39 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _trie(texts: list[str]) -> str:
+    """A pattern of the longest of texts at a place."""
+    heads: dict[str, list[str]] = {}
+    for text in texts:
+        if text:
+            heads.setdefault(text[0], []).append(text[1:])
+    branches = [re.escape(head) + _trie(rest) for head, rest in sorted(heads.items())]
+    if not branches:
+        return ""
+    whole = "" in texts
+    return branches[0] if len(branches) == 1 and not whole else f"(?:{'|'.join(branches)}){'?' if whole else ''}"
+
+
+def _guards(rules: tuple[Rule, ...]) -> tuple[dict[int, tuple[str, ...]], dict[str, list[int]]]:
+    """The texts that are tested one by one for some rules, by place, and the places of the
+    other rules by text of the trie: a text stands for those that it begins with, too."""
+    singles, owners = {}, {}
+    for i, rule in enumerate(rules):
+        texts = needed_texts(rule.pattern)
+        if texts and min(map(len, texts)) == 1:
+            singles[i] = texts
+        else:
+            for text in texts:
+                owners.setdefault(text, set()).add(i)
+    by_text = {t: sorted(set().union(*(owners[t[:n]] for n in range(1, len(t) + 1) if t[:n] in owners))) for t in sorted(owners)}
+    return singles, by_text
+
+
 def _first_match(pattern: str) -> str:
-    """SQL of the first match in b.v, null if there is none; b.low is b.v in lower case."""
+    """SQL of the first match in b.v, null if there is none."""
     java = _quoted(java_pattern(pattern))
     # regexp_substr knows no empty match.
-    found = f"CASE WHEN b.v RLIKE {java} THEN regexp_extract(b.v, {java}, 0) END" if may_be_empty(pattern) else f"regexp_substr(b.v, {java})"
-    texts = needed_texts(pattern)
-    if not texts:
-        return found
-    return f"CASE WHEN {' OR '.join(f'contains(b.low, {_quoted(t)})' for t in texts)} THEN {found} END"
+    return f"CASE WHEN b.v RLIKE {java} THEN regexp_extract(b.v, {java}, 0) END" if may_be_empty(pattern) else f"regexp_substr(b.v, {java})"
 
 
 def _applies(rule: Rule) -> str:
@@ -36,11 +63,18 @@ def _applies(rule: Rule) -> str:
 
 @lru_cache(maxsize=64)
 def _detections(rules: tuple[Rule, ...]) -> str:
-    """SQL lambda from struct(v, low, place) to its detections: written as text, as a plan
+    """SQL lambda from struct(v, low, place, able) to its detections: written as text, as a plan
     of hundreds of rules takes seconds to put together call by call."""
 
+    singles, by_text = _guards(rules)
+    in_trie = {i for places in by_text.values() for i in places}
+
     def hit(i: int, rule: Rule) -> str:
         matched = _first_match(rule.pattern)
+        if i in singles:
+            matched = f"CASE WHEN {' OR '.join(f'contains(b.low, {_quoted(t)})' for t in singles[i])} THEN {matched} END"
+        elif i in in_trie:
+            matched = f"CASE WHEN array_contains(b.able, {i}) THEN {matched} END"
         if rule.targets:
             matched = f"CASE WHEN {_applies(rule)} THEN {matched} END"
         return f"named_struct('i', {i}, 'm', {matched})"
@@ -55,11 +89,23 @@ def _detections(rules: tuple[Rule, ...]) -> str:
     return f"b -> transform(filter(array({hits}), x -> x.m IS NOT NULL), h -> transform(array(get(array({facts}), h.i)), f -> {put})[0])"
 
 
+@lru_cache(maxsize=64)
+def _able(rules: tuple[Rule, ...]) -> str:
+    """SQL lambda from a lower-cased value to the places of the rules whose texts it holds."""
+    _, by_text = _guards(rules)
+    if not by_text:
+        return "low -> cast(array() AS array<int>)"
+    places = ", ".join(f"{_quoted(t)}, array({', '.join(map(str, by_text[t]))})" for t in by_text)
+    found = f"array_distinct(regexp_extract_all(low, {_quoted(f'(?=({_trie(list(by_text))}))')}, 1))"
+    return f"low -> array_distinct(flatten(transform({found}, t -> element_at(map({places}), t))))"
+
+
 def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Column:
     """array<detection> of value: one for each rule that matches, in rule order; empty for null."""
     location = F.lit(location) if isinstance(location, str) else location
     none = F.expr(f"cast(array() as {DETECTIONS})")
     if not rules:
         return none
-    value = F.struct(value.alias("v"), F.lower(value).alias("low"), location.alias("place"))
+    able = F.call_function("transform", F.array(F.lower(value)), F.expr(_able(rules)))[0]
+    value = F.struct(value.alias("v"), F.lower(value).alias("low"), location.alias("place"), able.alias("able"))
     return F.coalesce(F.call_function("transform", F.array(value), F.expr(_detections(rules)))[0], none)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import fresh
+
 from palisade.model import detection, only, truncated
 
 # Patterns in the order in which they are tried, names and scores.
@@ -70,41 +74,40 @@ def header_anomalies(headers: Column, agent: Column) -> Column:
 def timed(requests: DataFrame, source: str, ts: str, order: str) -> DataFrame:
     """requests with gap_ms, timing_kind and timing_score.
 
-    One shuffle by source; the window is the last minute before a request, a range of
-    event time, of which the latest KEPT requests count."""
+    One shuffle by source; of the KEPT latest requests those of the last minute count, so
+    that a flood of requests costs no more than KEPT each."""
     by_source = Window.partitionBy(source).orderBy(F.col(ts), F.col(order))
-    at = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = requests.withColumn("at_", at).withColumn("gap_ms", F.col("at_") - F.lag("at_").over(by_source))
-    recent = Window.partitionBy(source).orderBy("at_").rangeBetween(-WINDOW_MS + 1, 0)
-    rows = rows.withColumn("recent_", F.array_sort(F.collect_list("at_").over(recent)))
-    kept = F.slice(F.col("recent_"), F.greatest(F.size("recent_") - KEPT + 1, F.lit(1)), KEPT)
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))), lambda i: F.get(kept, i) - F.get(kept, i - 1))
-    steps = F.when(F.size(kept) > 1, steps).otherwise(F.expr("cast(array() as array<bigint>)"))
-    rows = rows.withColumn("steps_", steps).withColumn("kept_", F.size(kept))
-    n = F.size("steps_")
-    mean = F.expr("aggregate(steps_, 0L, (a, x) -> a + x) div greatest(size(steps_), 1)")
-    rows = rows.withColumn("mean_", mean)
-    variance = F.expr("aggregate(steps_, 0L, (a, x) -> a + (x - mean_) * (x - mean_)) div greatest(size(steps_), 1)")
+    at, kept, steps, mean = fresh(requests, "__at", "__kept", "__steps", "__mean")
+    rows = requests.withColumn(at, F.unix_millis(F.col(ts).cast("timestamp")))
+    rows = rows.withColumn("gap_ms", F.col(at) - F.lag(at).over(by_source))
+    latest = F.collect_list(at).over(by_source.rowsBetween(-KEPT + 1, 0))
+    rows = rows.withColumn(kept, latest).withColumn(kept, F.filter(kept, lambda x: x > F.col(at) - WINDOW_MS))
+    between = F.zip_with(F.slice(kept, 2, KEPT), F.slice(kept, 1, F.size(kept) - 1), lambda x, y: x - y)
+    rows = rows.withColumn(steps, between)
+    n, size = F.size(steps), F.size(kept)
+    rows = rows.withColumn(mean, F.expr(f"aggregate({steps}, 0L, (a, x) -> a + x) div greatest(size({steps}), 1)"))
+    variance = F.expr(f"aggregate({steps}, 0L, (a, x) -> a + (x - {mean}) * (x - {mean})) div greatest(size({steps}), 1)")
     stddev = F.floor(F.sqrt(variance.cast("double")))
-    regular = (n >= LEAST_INTERVALS) & (stddev < REGULAR_STDDEV_MS) & (F.col("mean_") < REGULAR_MEAN_MS)
+    regular = (n >= LEAST_INTERVALS) & (stddev < REGULAR_STDDEV_MS) & (F.col(mean) < REGULAR_MEAN_MS)
     fast = F.col("gap_ms") < TOO_FAST_MS
-    kind = F.when(fast, "too-fast").when(regular, "regular").when(F.col("kept_") >= BURST, "burst")
-    score = F.when(F.col("gap_ms") < VERY_FAST_MS, 60).when(fast, 40).when(regular, 45).when(F.col("kept_") >= BURST, 50).otherwise(0)
-    return rows.withColumn("timing_kind", kind).withColumn("timing_score", score).drop("at_", "recent_", "steps_", "kept_", "mean_")
+    kind = F.when(fast, "too-fast").when(regular, "regular").when(size >= BURST, "burst")
+    score = F.when(F.col("gap_ms") < VERY_FAST_MS, 60).when(fast, 40).when(regular, 45).when(size >= BURST, 50).otherwise(0)
+    return rows.withColumn("timing_kind", kind).withColumn("timing_score", score).drop(at, kept, steps, mean)
 
 
 def classify(requests: DataFrame, agent: str = "user_agent", headers: str = "headers", tls: str = "tls_fingerprint") -> DataFrame:
     """requests with bot_class, confidence and detections. Good bots are let through unseen.
 
     With a column timing_score (of timed()) timing counts, too."""
-    ua, known = F.col(agent), F.col("ua_")
-    rows = requests.withColumn("ua_", user_agent_class(ua)).withColumn("odd_", header_anomalies(F.col(headers), ua))
+    kind, odd = fresh(requests, "__kind", "__odd")
+    ua, known = F.col(agent), F.col(kind)
+    rows = requests.withColumn(kind, user_agent_class(ua)).withColumn(odd, header_anomalies(F.col(headers), ua))
     tool = F.coalesce(*[F.when(F.col(tls) == print_, name) for print_, name in BAD_TLS])
     timing = F.col("timing_score") if "timing_score" in requests.columns else F.lit(0)
     ua_score = (
         F.when(ua.isNull(), 40).when(F.trim(ua) == "", 30).otherwise(known["score"])
     )
-    odd_score = F.aggregate("odd_", F.lit(0), lambda a, x: a + x["score"])
+    odd_score = F.aggregate(odd, F.lit(0), lambda a, x: a + x["score"])
     confidence = F.least(F.lit(255), ua_score + odd_score + timing + F.when(tool.isNotNull(), 50).otherwise(0))
     shown = truncated(F.coalesce(ua, F.lit("")), 100)
     found = F.concat(
@@ -114,7 +117,7 @@ def classify(requests: DataFrame, agent: str = "user_agent", headers: str = "hea
             F.when(known["kind"] == "bad", detection(97001, F.concat(F.lit("Bad Bot Signature: "), known["name"]), "ScannerDetection", shown, "header:User-Agent", 6, ("bot", "signature"))),
             F.when(known["kind"] == "suspicious", detection(97002, F.concat(F.lit("Suspicious Bot: "), known["name"]), "ScannerDetection", shown, "header:User-Agent", 4, ("bot", "suspicious"))),
         ),
-        F.transform("odd_", lambda x: detection(97100, F.concat(F.lit("Header Anomaly: "), x["reason"]), "ScannerDetection", x["reason"], "headers", 4, ("bot", "header-anomaly"))),
+        F.transform(odd, lambda x: detection(97100, F.concat(F.lit("Header Anomaly: "), x["reason"]), "ScannerDetection", x["reason"], "headers", 4, ("bot", "header-anomaly"))),
         only(
             F.when(timing > 0, detection(97101, "Request Timing Anomaly", "ScannerDetection", timing.cast("string"), "timing", 5, ("bot", "timing"))),
             F.when(tool.isNotNull(), detection(97102, "TLS Fingerprint Anomaly", "ScannerDetection", F.col(tls), "tls", 5, ("bot", "tls-fingerprint"))),
@@ -123,12 +126,31 @@ def classify(requests: DataFrame, agent: str = "user_agent", headers: str = "hea
     good = F.coalesce(known["kind"] == "good", F.lit(False))
     verdict = F.when(good, "good-bot").when(confidence >= 70, "bad-bot").when(confidence >= 30, "unknown").otherwise("human")
     rows = rows.withColumn("bot_class", verdict).withColumn("confidence", F.when(good, 0).otherwise(confidence))
-    return rows.withColumn("detections", F.when(good, F.slice(found, 1, 0)).otherwise(found)).drop("ua_", "odd_")
+    return rows.withColumn("detections", F.when(good, F.slice(found, 1, 0)).otherwise(found)).drop(kind, odd)
 
 
 def failure_velocity(attempts: DataFrame, ts: str, key: str, order: str, limit: int, seconds: int = 300) -> DataFrame:
-    """attempts with failures (of this key within the window, this one included) and velocity_exceeded."""
-    rows = attempts.withColumn("at_", F.unix_millis(F.col(ts).cast("timestamp")))
-    recent = Window.partitionBy(key).orderBy("at_").rangeBetween(-seconds * 1000 + 1, 0)
-    rows = rows.withColumn("failures", F.sum(F.when(~F.col("success"), 1).otherwise(0)).over(recent))
-    return rows.withColumn("velocity_exceeded", F.col("failures") >= limit).drop("at_")
+    """attempts with failures (of this key within the window, this one included) and velocity_exceeded.
+
+    Attempts of the same millisecond count in their order: those that come later are taken off again."""
+    at, failed = fresh(attempts, "__at", "__failed")
+    rows = attempts.withColumn(at, F.unix_millis(F.col(ts).cast("timestamp"))).withColumn(failed, F.when(~F.col("success"), 1).otherwise(0))
+    recent = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1000 + 1, 0)
+    later = Window.partitionBy(key, at).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("failures", F.sum(failed).over(recent) - F.coalesce(F.sum(failed).over(later), F.lit(0)))
+    return rows.withColumn("velocity_exceeded", F.col("failures") >= limit).drop(at, failed)
+
+
+#: Where logins are tried, and the failures that a source and a user may have within the window.
+LOGIN_PATHS = ("/login", "/signin", "/auth", "/api/login", "/api/auth", "/oauth/token")
+IP_FAILURES, USER_FAILURES, FAILURE_SECONDS = 10, 5, 300
+
+
+def credential_attempts(attempts: DataFrame, ts: str, path: str, ip: str, user: str, order: str, paths: tuple[str, ...] = LOGIN_PATHS) -> DataFrame:
+    """Attempts (with a column success) on a login path, with ip_failures, user_failures, stuffing
+    and the reason: too many failures of one source, or for one user, within the window."""
+    tried = attempts.where(reduce(Column.__or__, [F.startswith(F.lower(path), F.lit(p)) for p in paths]))
+    of_ip = failure_velocity(tried, ts, ip, order, IP_FAILURES, FAILURE_SECONDS).drop("velocity_exceeded").withColumnRenamed("failures", "ip_failures")
+    both = failure_velocity(of_ip, ts, user, order, USER_FAILURES, FAILURE_SECONDS).drop("velocity_exceeded").withColumnRenamed("failures", "user_failures")
+    reason = F.when(F.col("ip_failures") >= IP_FAILURES, "ip").when(F.col("user_failures") >= USER_FAILURES, "user")
+    return both.withColumn("stuffing", reason.isNotNull()).withColumn("reason", reason)

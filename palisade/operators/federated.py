@@ -22,17 +22,42 @@ def weighted_mean(updates: DataFrame, gradients: str, weight: str) -> DataFrame:
     return exploded(updates, gradients, weight).groupBy("i").agg((F.sum(w * g) / F.sum(w)).alias("value"))
 
 
+#: Ranges of values that an index is cut into before anything is ranked.
+RANGES = 64
+
+
+def _mean_of_ranks(updates: DataFrame, gradients: str, low, high) -> DataFrame:
+    """i, value: the mean of the values of ranks low(n) < rank <= high(n) of each index.
+
+    Values are counted within ranges of about n / RANGES; only ranges on a border are looked
+    into, value by value, so that no task ranks all nodes of an index."""
+    rows = exploded(updates, gradients).where("g is not null").select("i", F.col("g").cast("double").alias("g"))
+    points = rows.groupBy("i").agg(F.percentile_approx("g", [k / RANGES for k in range(1, RANGES)], 1000).alias("points"))
+    ranged = rows.join(points, "i").select("i", "g", F.size(F.filter("points", lambda p: p < F.col("g"))).alias("range"))
+    counted = ranged.groupBy("i", "range", "g").agg(F.count("*").alias("n"))
+    ranges = counted.groupBy("i", "range").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("g")).alias("sum"))
+    of_index = Window.partitionBy("i")
+    upto = of_index.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # RANGES rows an index.
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(of_index))
+    ranges = ranges.withColumn("low", low(F.col("all"))).withColumn("high", high(F.col("all")))
+    inside = (F.col("before") >= F.col("low")) & (F.col("before") + F.col("n") <= F.col("high"))
+    apart = (F.col("before") + F.col("n") <= F.col("low")) | (F.col("before") >= F.col("high"))
+    borders = ranges.where(~inside & ~apart).select("i", "range", "before", "low", "high")
+    within = Window.partitionBy("i", "range").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    looked = counted.join(borders, ["i", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    taken = F.greatest(F.least(F.col("at") + F.col("n"), F.col("high")) - F.greatest("at", "low"), F.lit(0))
+    parts = ranges.where(inside).select("i", "sum", "n").unionByName(looked.select("i", (taken * F.col("g")).alias("sum"), taken.alias("n")))
+    return parts.groupBy("i").agg((F.sum("sum") / F.sum("n")).alias("value"))
+
+
 def median(updates: DataFrame, gradients: str) -> DataFrame:
-    return exploded(updates, gradients).groupBy("i").agg(F.median(F.col("g").cast("double")).alias("value"))
+    return _mean_of_ranks(updates, gradients, lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2) + 1)
 
 
-def trimmed_mean(updates: DataFrame, gradients: str, node: str, share: float = 0.1) -> DataFrame:
+def trimmed_mean(updates: DataFrame, gradients: str, share: float = 0.1) -> DataFrame:
     """Without the floor(share * nodes) smallest and largest of each index."""
-    rows = exploded(updates, gradients, node)
-    at = Window.partitionBy("i")
-    ranked = rows.withColumn("rank_", F.row_number().over(at.orderBy("g", node))).withColumn("n_", F.count("*").over(at))
-    cut = F.floor(F.col("n_") * share)
-    return ranked.where((F.col("rank_") > cut) & (F.col("rank_") <= F.col("n_") - cut)).groupBy("i").agg(F.avg(F.col("g").cast("double")).alias("value"))
+    return _mean_of_ranks(updates, gradients, lambda n: F.floor(n * share), lambda n: n - F.floor(n * share))
 
 
 def as_array(values: DataFrame) -> DataFrame:

@@ -61,30 +61,3 @@ def entropy(text: Column) -> Column:
     runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*"), F.lit(0))
     term = lambda run: -(F.char_length(run) / n) * F.log2(F.char_length(run) / n)
     return F.when(n == 0, 0.0).otherwise(F.aggregate(runs, F.lit(0.0), lambda a, run: a + term(run)))
-
-
-def fingerprint(rows: DataFrame, path: str, query: str | None = None, body: str | None = None) -> DataFrame:
-    """rows with features of each request, as plain columns."""
-    text = F.coalesce(F.col(query), F.lit("")) if query else F.lit("")
-    content = F.coalesce(F.col(body), F.lit("")) if body else F.lit("")
-    count = lambda pattern, value: F.regexp_count(value, F.lit(pattern))
-    return (
-        rows.withColumn("path_length", F.char_length(path))
-        .withColumn("path_depth", F.size(F.filter(F.split(path, "/"), lambda x: x != "")))
-        .withColumn("n_parameters", F.when(text == "", 0).otherwise(F.size(F.split(text, "&"))))
-        .withColumn("n_digits", count("[0-9]", F.concat(F.col(path), text)))
-        .withColumn("n_special", count(r"[^A-Za-z0-9\s]", F.concat(F.col(path), text)))
-        .withColumn("entropy", entropy(F.concat(F.col(path), text)))
-        .withColumn("body_length", F.octet_length(content))
-        .withColumn("body_class", F.when(content == "", "none").when(content.rlike(r"^\s*[{\[]"), "json").when(content.rlike(r"^\s*<"), "markup").otherwise("text"))
-    )
-
-
-def baseline_anomaly(rows: DataFrame, endpoint: str, order: str, features: tuple[str, ...], least: int = LEAST_SAMPLES) -> DataFrame:
-    """rows with anomaly: the share of features outside the range of the endpoint's earlier
-    requests, 0 until it has `least` of them. Scored before it is learned from."""
-    earlier = Window.partitionBy(endpoint).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    outside = lambda f: ((F.col(f) < F.min(f).over(earlier)) | (F.col(f) > F.max(f).over(earlier))).cast("int")
-    scored = rows.withColumn("samples", F.count("*").over(earlier))
-    total = sum((F.coalesce(outside(f), F.lit(0)) for f in features), F.lit(0))
-    return scored.withColumn("anomaly", F.when(F.col("samples") >= least, total / len(features)).otherwise(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from palisade.config import Config
 from palisade.model import ATTACK_TYPES, LOCATION_WEIGHTS, SEVERITY_WEIGHTS
@@ -82,10 +83,11 @@ TIMING = """
 WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 3600000 AS t FROM events),
 w AS (
   SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap_ms,
-    list_sort(list(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)) AS recent
+    list(t) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS earlier
   FROM e
 ),
-k AS (SELECT *, recent[greatest(len(recent) - 99, 1):] AS kept FROM w),
+r AS (SELECT *, list_filter(earlier, lambda x: x > t - 60000) AS recent FROM w),
+k AS (SELECT *, recent[greatest(len(recent) - 99, 1):] AS kept FROM r),
 s AS (SELECT *, list_transform(range(2, len(kept) + 1), lambda i: kept[i] - kept[i - 1]) AS steps FROM k),
 m AS (SELECT *, len(steps) AS n, coalesce(list_sum(steps), 0)::BIGINT // greatest(len(steps), 1) AS mean FROM s),
 v AS (SELECT *, floor(sqrt((coalesce(list_sum(list_transform(steps, lambda x: (x - mean) * (x - mean))), 0)::BIGINT // greatest(n, 1))::DOUBLE)) AS sd FROM m)
@@ -95,6 +97,49 @@ SELECT event_id, coalesce(gap_ms, -1) AS gap_ms,
 FROM v
 """
 
+_NAMES = ("Host", "Accept", "User-Agent", "Cookie", "Content-Type")
+#: The header names that each of 23 clients sends, by the checksum that the query builds its requests with.
+_SENT = ", ".join(f"({c}, '{n}')" for c in range(23) for n in _NAMES if n == "Host" or zlib.crc32(f"{n}{c}".encode()) % 3)
+FINGERPRINT = f"""
+WITH sent AS (SELECT * FROM (VALUES {_SENT}) AS v(c, name)),
+lists AS (SELECT c, list(name ORDER BY name) AS names FROM sent GROUP BY c),
+r AS (
+  SELECT event_id AS o, CASE WHEN user_id % 10 = 0 THEN '/u/' || (user_id * 7 % 1000) || '/' || (event_id % 900) ELSE '/' || event_type END AS e,
+    CASE WHEN event_type = 'view' THEN 'GET' WHEN user_id % 29 = 3 THEN 'OTHER' WHEN user_id % 31 = 5 THEN 'DELETE' ELSE 'POST' END AS m,
+    repeat('a=1&', floor(value)::INT) || CASE WHEN floor(value)::INT % 13 = 7 THEN md5(props) ELSE '' END || 'b' AS q,
+    names, array_to_string(names, ',') AS h, len(names) AS nh,
+    CASE WHEN list_contains(names, 'Content-Type') THEN (['html', 'json', 'text', 'other'])[user_id % 23 % 4 + 1] ELSE 'none' END AS t
+  FROM events JOIN lists ON user_id % 23 = c
+), letters AS (SELECT o, unnest(string_split(q, '')) AS ch, strlen(q) AS n FROM r),
+ent AS (SELECT o, round(sum(-(k / n) * log2(k / n)), 9) AS x FROM (SELECT o, n, ch, count(*) AS k FROM letters WHERE ch <> '' GROUP BY ALL) GROUP BY o),
+f AS (SELECT r.*, x, least(len(regexp_extract_all(q, '&')) + 1, 255) AS np FROM r JOIN ent USING (o)),
+n AS (SELECT o, e, unnest(names) AS name FROM f),
+-- How often a name was sent before, to the endpoint and at all.
+k AS (SELECT *, row_number() OVER (PARTITION BY e, name ORDER BY o) - 1 AS ke, row_number() OVER (PARTITION BY name ORDER BY o) - 1 AS ka FROM n),
+kk AS (SELECT o, count(*) FILTER (ke >= 16) AS he, count(*) FILTER (ke = 15) AS ne, count(*) FILTER (ka >= 16) AS ha, count(*) FILTER (ka = 15) AS na FROM k GROUP BY o),
+w AS (
+  SELECT f.*, he, ha, count(*) OVER pe AS samples, row_number() OVER (ORDER BY o) AS nth,
+    max(nh) OVER pe AS nhe, max(nh) OVER pa AS nha, max(np) OVER pe AS npe, max(np) OVER pa AS npa, max(x) OVER pe AS xe, max(x) OVER pa AS xa,
+    coalesce(sum(ne) OVER pe, 0) AS re, coalesce(sum(na) OVER pa, 0) AS ra,
+    row_number() OVER (PARTITION BY e, m ORDER BY o) > 1 AS me, row_number() OVER (PARTITION BY m ORDER BY o) > 1 AS ma,
+    row_number() OVER (PARTITION BY e, t ORDER BY o) > 1 AS te, row_number() OVER (PARTITION BY t ORDER BY o) > 1 AS ta,
+    row_number() OVER (PARTITION BY e, h ORDER BY o) > 1 AS se, row_number() OVER (PARTITION BY h ORDER BY o) > 1 AS sa
+  FROM f JOIN kk USING (o)
+  WINDOW pe AS (PARTITION BY e ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), pa AS (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b AS (
+  SELECT *, nh > greatest(50, coalesce(CASE WHEN samples >= 10 THEN nhe ELSE nha END, 0)) AS f1,
+    nth > 1 AND NOT CASE WHEN samples >= 10 THEN se ELSE sa END AS f2,
+    m NOT IN ('GET', 'POST') AND NOT CASE WHEN samples >= 10 THEN me ELSE ma END AS f3,
+    t NOT IN ('none', 'form', 'json') AND NOT CASE WHEN samples >= 10 THEN te ELSE ta END AS f4,
+    np > greatest(20, coalesce(CASE WHEN samples >= 10 THEN npe ELSE npa END, 0)) + 5 AS f5,
+    x > greatest(5.0, coalesce(CASE WHEN samples >= 10 THEN xe ELSE xa END, 0)) + 1.0 AS f6,
+    CASE WHEN samples >= 10 THEN re - he ELSE ra - ha END > 2 AS f7 FROM w
+), s AS (SELECT *, least(0.1 * f1::INT + 0.15 * f2::INT + 0.2 * f3::INT + 0.15 * f4::INT + 0.1 * f5::INT + 0.2 * f6::INT + 0.1 * f7::INT, 1.0)::DOUBLE AS a FROM b)
+SELECT o AS event_id, samples, array_to_string(list_filter([CASE WHEN f1 THEN 'header_count' END, CASE WHEN f2 THEN 'header_order' END, CASE WHEN f3 THEN 'method' END,
+    CASE WHEN f4 THEN 'content_type' END, CASE WHEN f5 THEN 'parameters' END, CASE WHEN f6 THEN 'entropy' END, CASE WHEN f7 THEN 'missing_headers' END], lambda y: y IS NOT NULL), ',') AS factors,
+  round(a, 6) AS anomaly, CASE WHEN a >= 0.3 THEN floor(a * 5)::INT ELSE -1 END AS base_score FROM s
+"""
+
 _LE = ", ".join(f"count(*) FILTER (ms <= {b}) AS le_{b:g}" for b in BUCKETS)
 _HISTOGRAM = f"""SELECT event_type, {_LE}, count(*) AS le_inf, sum(ms)::BIGINT AS total, count(*) AS n
   FROM (SELECT event_type, floor(value)::BIGINT AS ms FROM events) GROUP BY event_type"""
@@ -159,9 +204,9 @@ ORACLES = {
     "top_offenders": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     "counters": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id",
     "timing": TIMING,
-    "failure_velocity": """SELECT event_id, failures, failures >= 3 AS velocity_exceeded FROM (
-      SELECT event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW)::BIGINT AS failures
-      FROM (SELECT *, epoch_us(ts) // 1000 AS t FROM events))""",
+    "failure_velocity": """WITH e AS (SELECT *, epoch_us(ts) // 1000 AS t FROM events),
+      j AS (SELECT a.event_id, count(*) FILTER (b.event_type = 'error') AS failures FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t - 86400000 AND (b.t, b.event_id) <= (a.t, a.event_id) GROUP BY a.event_id)
+      SELECT event_id, failures, failures >= 3 AS velocity_exceeded FROM j""",
     "intel_ip_join": """WITH s AS (SELECT s_suppkey AS k, floor(abs(s_acctbal))::BIGINT % 101 AS score, s_nationkey AS nation FROM supplier)
       SELECT c_custkey, 94000 AS rule_id, (score // 10)::INT AS base_score FROM customer JOIN s ON c_custkey = k WHERE score >= 50
       UNION ALL SELECT c_custkey, CASE WHEN nation % 4 = 0 THEN 94001 ELSE 94002 END, CASE WHEN nation % 4 = 0 THEN 4 ELSE 3 END
@@ -195,13 +240,7 @@ ORACLES = {
     "entropy": """WITH c AS (SELECT page_id, strlen(url) AS n, unnest(string_split(url, '')) AS ch FROM pages),
       k AS (SELECT page_id, n, ch, count(*) AS m FROM c WHERE ch <> '' GROUP BY ALL)
       SELECT page_id, round(sum(-(m / n) * log2(m / n)), 6) AS entropy FROM k GROUP BY page_id""",
-    "fingerprint_anomaly": r"""WITH f AS (
-      SELECT page_id, regexp_extract(url, '^https?://[^/]*/([a-z]+)', 1) AS e, string_split(url, '?')[1] AS path,
-        CASE WHEN position('?' IN url) > 0 THEN substr(url, position('?' IN url) + 1) ELSE '' END AS q FROM pages),
-      x AS (SELECT page_id, e, length(path) AS a, len(regexp_extract_all(path || q, '[0-9]')) AS b, len(regexp_extract_all(path || q, '[^A-Za-z0-9\s]')) AS c FROM f),
-      s AS (SELECT *, count(*) OVER w AS samples, min(a) OVER w AS a0, max(a) OVER w AS a1, min(b) OVER w AS b0, max(b) OVER w AS b1, min(c) OVER w AS c0, max(c) OVER w AS c1
-        FROM x WINDOW w AS (PARTITION BY e ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-      SELECT page_id, samples, CASE WHEN samples >= 10 THEN round(((a NOT BETWEEN a0 AND a1)::INT + (b NOT BETWEEN b0 AND b1)::INT + (c NOT BETWEEN c0 AND c1)::INT) / 3, 6) ELSE 0.0 END AS anomaly FROM s""",
+    "fingerprint_anomaly": FINGERPRINT,
     "ws_reassembly": f"""WITH f AS ({_FRAMES}), m AS (
       SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS message FROM f)
       SELECT conv_id, message, min(turn) AS first, max(turn) AS last, count(*) AS n_frames, sum(strlen(text))::INT AS n_bytes, md5(string_agg(text, '' ORDER BY turn)) AS body_md5

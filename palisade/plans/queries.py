@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.detect import detect
-from palisade.operators import api, bots, classifier, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators import anomaly, api, bots, classifier, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
 from palisade.plans.requests import decide_requests, is_excluded, split_uri
 from palisade.rules import CATALOGUE, load
 from palisade.streaming import bodies
@@ -21,8 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt out evenly before expression-heavy work; one file is one task otherwise."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Dealt out evenly where the files make fewer tasks than there are cores, as one small
+    file does; a table of more splits than that is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def waf_decisions_pages(spark, sf_dir):
@@ -198,13 +200,28 @@ def entropy(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.round(text_ml.entropy(F.col("url")), 6).alias("entropy"))
 
 
+def _requests(spark, sf_dir):
+    """Events as requests: the session's number decides what headers a client sends, the value how long its query is."""
+    user, n = F.col("user_id"), F.floor("value").cast("int")
+    client = user % 23
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("Host"), F.array(F.lit("h")), F.lit("Accept"), F.array(F.lit("*/*")), F.lit("User-Agent"), F.array(F.lit("u")), F.lit("Cookie"), F.array("props"),
+            F.lit("Content-Type"), F.array(F.concat(F.element_at(F.split(F.lit("text/html,application/json,text/plain,image/png"), ","), (client % 4 + 1).cast("int")), F.lit("; q=1"))),
+        ),
+        lambda name, _: (name == "Host") | (F.pmod(F.crc32(F.encode(F.concat(name, client.cast("string")), "UTF-8")), F.lit(3)) > 0),
+    )
+    method = F.when(F.col("event_type") == "view", "get").when(user % 29 == 3, "PROPFIND").when(user % 31 == 5, "DELETE").otherwise("POST")
+    query = F.concat(F.repeat(F.lit("a=1&"), n), F.when(n % 13 == 7, F.md5("props")).otherwise(F.lit("")), F.lit("b"))
+    page = F.when(user % 10 == 0, F.concat(F.lit("/u/"), (user * 7 % 1000).cast("string"), F.lit("/"), (F.col("event_id") % 900).cast("string"))).otherwise(F.concat(F.lit("/"), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", page.alias("path"), method.alias("method"), query.alias("query"), headers.alias("headers"))
+
+
 def fingerprint_anomaly(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    path, query = split_uri(F.col("url"))
-    rows = pages.select("page_id", F.regexp_extract("url", "^https?://[^/]*/([a-z]+)", 1).alias("endpoint"), path.alias("path"), query.alias("query"))
-    marked = text_ml.fingerprint(rows, "path", "query")
-    scored = text_ml.baseline_anomaly(marked, "endpoint", "page_id", ("path_length", "n_digits", "n_special"))
-    return scored.select("page_id", "samples", F.round("anomaly", 6).alias("anomaly"))
+    marked = anomaly.fingerprint(_requests(spark, sf_dir), "method", "query", "headers")
+    scored = anomaly.scores(marked, "path", "event_id")
+    found = anomaly.detections(F.col("anomaly"), threshold=0.3)
+    return scored.select("event_id", "samples", F.array_join("factors", ",").alias("factors"), F.round("anomaly", 6).alias("anomaly"), F.coalesce(found["base_score"], F.lit(-1)).alias("base_score"))
 
 
 def _frames(spark, sf_dir):
@@ -248,7 +265,7 @@ def gradient_median(spark, sf_dir):
 
 
 def gradient_trimmed(spark, sf_dir):
-    return federated.trimmed_mean(table(spark, sf_dir, "embeddings"), "embedding", "vec_id").withColumn("value", F.round("value", 6))
+    return federated.trimmed_mean(table(spark, sf_dir, "embeddings"), "embedding").withColumn("value", F.round("value", 6))
 
 
 def model_average(spark, sf_dir):

@@ -145,6 +145,8 @@ def _literals(items) -> frozenset | None:
             run = ""
         if name == "SUBPATTERN":
             better(_literals(value[-1]))
+        elif name == "IN" and len(value) <= 8 and all(str(kind) == "LITERAL" and c < 128 for kind, c in value):
+            better(frozenset(chr(c).lower() for _, c in value))
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
             better(_literals(value[2]))
         elif name == "BRANCH":
@@ -155,12 +157,13 @@ def _literals(items) -> frozenset | None:
 
 
 def needed_texts(pattern: str) -> tuple[str, ...]:
-    """Lower-case texts of which a lower-cased value must hold one for the pattern to match; () if unknown."""
+    """Lower-case texts, or single marks, of which a lower-cased value must hold one for the pattern to match; () if unknown."""
     try:
         found = _literals(regex_parser.parse(re.sub(r"^\(\?-?i\)", "", pattern), re.I))
     except (re.error, ValueError, OverflowError):
         return ()
-    return tuple(sorted(found)) if found and min(map(len, found)) >= 2 and len(found) <= 40 else ()
+    sure = found and len(found) <= 40 and all(len(t) > 1 or t > " " and not t.isalnum() for t in found)
+    return tuple(sorted(found)) if sure else ()
 
 
 def may_be_empty(pattern: str) -> bool:
