@@ -43,6 +43,18 @@ class Config:
     websocket_block_mode: bool = True
     max_frame: int = 64 << 10
     max_message: int = 1 << 20
+    response_inspection: bool = False
+    streaming: bool = False
+    websocket: bool = True
+    websocket_text: bool = True
+    websocket_binary: bool = False
+    websocket_close_code: int = 1008
+    ml_classifier: bool = False
+    ml_similarity: bool = False
+    ml_min_confidence: float = 0.4
+    ml_score_weight: float = 1.0
+    fingerprinting: bool = False
+    anomaly_threshold: float = 0.5
 
     @classmethod
     def from_json(cls, text: str) -> "Config":

@@ -25,28 +25,42 @@ def ngram_counts(rows: DataFrame, key: str, text: str, sizes=SIZES) -> DataFrame
     return rows.select(key, F.explode(ngrams(F.col(text), sizes)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n"))
 
 
-def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Multiset Jaccard and cosine of the n-gram counts of left and right (key, ngram, n),
-    for pairs that share any; right is a reference set, whose grams are the join keys."""
+def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = SIMILAR) -> DataFrame:
+    """Multiset Jaccard and cosine of the n-gram counts of left and right (key, ngram, n), for
+    every pair whose Jaccard similarity reaches threshold.
+
+    Such a pair shares one of the rarest n-grams of either side: as many of them as the
+    least overlap leaves out, and one. Only pairs that do, and whose sizes allow it, are counted."""
     sizes = lambda df, key, name: df.groupBy(key).agg(F.sum("n").alias(f"{name}_n"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(f"{name}_norm"))
+    l_sizes, r_sizes = sizes(left, left_key, "l"), sizes(right, right_key, "r")
+    rarity = left.select("ngram", "n").unionByName(right.select("ngram", "n")).groupBy("ngram").agg(F.sum("n").alias("common"))
+
+    def rarest(df: DataFrame, key: str, sized: DataFrame, n: str) -> DataFrame:
+        # Each occurrence counts: an n-gram is in if those that are rarer do not fill the prefix.
+        before = Window.partitionBy(key).orderBy("common", "ngram").rowsBetween(Window.unboundedPreceding, -1)
+        rows = df.join(rarity, "ngram").withColumn("rarer", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sized.select(key, n), key)
+        return rows.where(F.col("rarer") <= F.col(n) - F.ceil(F.col(n) * threshold)).select(key, "ngram", n)
+
+    few = rarest(left, left_key, l_sizes, "l_n").join(rarest(right, right_key, r_sizes, "r_n"), "ngram")
+    close = (F.col("l_n") >= F.col("r_n") * threshold) & (F.col("r_n") >= F.col("l_n") * threshold)
+    pairs = few.where(close).select(left_key, right_key).distinct()
     shared = (
-        left.join(right.withColumnRenamed("n", "m"), "ngram")
+        pairs.join(left, left_key).join(right.withColumnRenamed("n", "m"), [right_key, "ngram"])
         .groupBy(left_key, right_key)
         .agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.col("n") * F.col("m")).alias("dot"))
     )
-    rows = shared.join(sizes(left, left_key, "l"), left_key).join(sizes(right, right_key, "r"), right_key)
+    rows = shared.join(l_sizes, left_key).join(r_sizes, right_key)
     return rows.select(
         left_key, right_key,
         (F.col("both") / (F.col("l_n") + F.col("r_n") - F.col("both"))).alias("jaccard"),
         (F.col("dot") / (F.col("l_norm") * F.col("r_norm"))).alias("cosine"),
-    )
+    ).where(F.col("jaccard") >= threshold)
 
 
-def most_similar(pairs: DataFrame, key: str, other: str, threshold: float = SIMILAR) -> DataFrame:
+def most_similar(pairs: DataFrame, key: str, other: str) -> DataFrame:
     """The best partner of each key; ties go to the smallest."""
     return (
-        pairs.where(F.col("jaccard") >= threshold)
-        .groupBy(key)
+        pairs.groupBy(key)
         .agg(F.min_by(other, F.struct(-F.col("jaccard"), F.col(other))).alias(other), F.max("jaccard").alias("jaccard"))
     )
 

@@ -8,10 +8,12 @@ import zlib
 from palisade.config import Config
 from palisade.model import ATTACK_TYPES, LOCATION_WEIGHTS, SEVERITY_WEIGHTS
 from palisade.operators import intel, sensitive, supply_chain
+from palisade.operators.attack_payloads import PAYLOADS
 from palisade.operators.attack_phrases import PHRASES
 from palisade.operators.metrics import BUCKETS
-from palisade.plans.queries import SELECTION
+from palisade.plans.queries import ALIKE, SELECTION
 from palisade.rules import CATALOGUE, Rule, load, re2_pattern
+from palisade.rules.examples import example
 
 
 def quoted(text: str) -> str:
@@ -149,6 +151,20 @@ _LINES = " UNION ALL ".join(
     + [f"""SELECT 'waf_latency_ms{suffix}{{type="' || event_type || '"}} ' || {column} FROM h""" for suffix, column in (("_sum", "total"), ("_count", "n"))]
 )
 
+#: Attacks that some turns have in them, so that bodies have something to find.
+_ATTACKED = "text || CASE WHEN (conv_id + turn) % 5 = 1 THEN ' 1 UNION SELECT password FROM users-- <script>alert(1)</script>' WHEN (conv_id + turn) % 7 = 2 THEN '; cat /etc/passwd' ELSE '' END"
+_FRAMES_WITH_ATTACKS = f"SELECT conv_id, turn, {_ATTACKED} AS text, turn % 3 = 2 AS fin FROM conversations WHERE text IS NOT NULL"
+#: ended: buffers of chunks as they end, by the last chunk of a body or by one that is too much.
+_BUFFERS = f"""f AS (SELECT conv_id, turn, text, fin, strlen(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM ({_FRAMES_WITH_ATTACKS})),
+  b AS (
+    SELECT conv_id, k, turn, turn AS first, n AS size, text AS body, n > 1500 AS too_large, fin OR n > 1500 AS ends, 0::BIGINT AS buffer FROM f WHERE k = 1
+    UNION ALL
+    SELECT f.conv_id, f.k, f.turn, CASE WHEN b.ends THEN f.turn ELSE b.first END, CASE WHEN b.ends THEN f.n ELSE b.size + f.n END,
+      CASE WHEN b.ends THEN f.text ELSE b.body || f.text END, CASE WHEN b.ends THEN f.n ELSE b.size + f.n END > 1500,
+      fin OR CASE WHEN b.ends THEN f.n ELSE b.size + f.n END > 1500, b.buffer + b.ends::BIGINT FROM b JOIN f ON f.conv_id = b.conv_id AND f.k = b.k + 1
+  ), ended AS (SELECT conv_id, buffer, first, turn AS last, size::BIGINT AS size, too_large, body FROM b WHERE ends)"""
+#: Rules whose patterns both engines read alike on chunks cut at any byte.
+BODY_RULES = load(Config(paranoia=2))
 _FRAMES = "SELECT conv_id, turn, text, turn % 3 = 2 AS fin FROM conversations WHERE text IS NOT NULL"
 
 
@@ -184,11 +200,46 @@ _CLASSIFY = f"""WITH p AS (SELECT kind, m, lower(t) AS t FROM (VALUES {_PHRASES}
   j AS (SELECT page_id, kind, any_value(k) AS k, sum(n * weight) AS f, sum(weight) AS pr, count(*) AS c FROM g JOIN z USING (ngram) GROUP BY page_id, kind)
   SELECT page_id, kind, round(least((0.6 * f / total + 0.4 * pr / k) * (1 + 0.5 * c / d), 1.0), 6) AS score FROM j JOIN s USING (page_id)"""
 
+_HALF = (len(CATALOGUE) + 1) // 2
+_PAYLOADS = ", ".join(f"({k}, '{kind}', {_chars(text)})" for k, (kind, text) in enumerate((kind, text) for kind, texts in PAYLOADS.items() for text in texts))
+_VALUES = f"""a AS (SELECT * FROM (VALUES {_PAYLOADS}) AS x(k, kind, attack)),
+  u AS (SELECT page_id, url || '?q=' || replace(attack, '1', page_id::VARCHAR) || CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^https?://([^/?#]+)', 1) ELSE '' END AS uri
+    FROM pages JOIN a ON page_id % (SELECT count(*) FROM a) = k)"""
+_AFTER_Q = "(SELECT page_id AS id, substr(uri, position('?q=' IN uri) + 3) AS t FROM u)"
+_BOTH_PARTS = "(SELECT 2 * page_id AS id, left(uri, position('?' IN uri) - 1) AS t FROM u UNION ALL SELECT 2 * page_id + 1, substr(uri, position('?' IN uri) + 1) FROM u)"
+_CUT = "list_transform(range(1, length(t) - {0}), lambda i: substr(t, i, {1}))"
+_ALL_CUTS = " || ".join(_CUT.format(n - 2, n) for n in (2, 3, 4))
+
+
+def _likeness(source: str) -> str:
+    """best: (id, payload, kind, similarity) of source (id, t)."""
+    return f"""pg AS (SELECT k, kind, unnest(list_distinct({_ALL_CUTS})) AS ngram FROM (SELECT k, kind, lower(attack) AS t FROM a)),
+  vg AS (SELECT id, unnest(list_distinct({_ALL_CUTS})) AS ngram FROM (SELECT id, lower(t) AS t FROM {source})),
+  ps AS (SELECT k, kind, count(*) AS m FROM pg GROUP BY ALL), vs AS (SELECT id, count(*) AS n FROM vg GROUP BY id),
+  like_ AS (SELECT id, k, count(*) AS b FROM vg JOIN pg USING (ngram) GROUP BY ALL),
+  sim AS (SELECT id, k AS payload, kind, b / (n + m - b) AS similarity FROM like_ JOIN vs USING (id) JOIN ps USING (k)),
+  best AS (SELECT * FROM sim WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, payload) = 1)"""
+
+
+_TOLD = f"""p AS (SELECT kind, m, lower(t) AS t FROM (VALUES {_PHRASES}) AS v(kind, m, t)),
+  w AS (SELECT kind, ngram, count(*) / sqrt(any_value(m)) AS x FROM ({_PHRASE_GRAMS}) GROUP BY kind, ngram),
+  z AS (SELECT kind, ngram, x / max(x) OVER (PARTITION BY kind) AS weight, count(*) OVER (PARTITION BY kind) AS k FROM w),
+  g AS (SELECT id, ngram, count(*) AS n FROM (SELECT id, unnest({_ALL_CUTS}) AS ngram FROM (SELECT id, lower(t) AS t FROM {_BOTH_PARTS})) GROUP BY ALL),
+  s AS (SELECT id, sum(n) AS total, count(*) AS d FROM g GROUP BY id),
+  j AS (SELECT id, kind, any_value(k) AS k, sum(n * weight) AS f, sum(weight) AS pr, count(*) AS c FROM g JOIN z USING (ngram) GROUP BY id, kind),
+  scored AS (SELECT id, kind, least((0.6 * f / total + 0.4 * pr / k) * (1 + 0.5 * c / d), 1.0) AS score FROM j JOIN s USING (id)),
+  kinds AS (SELECT * FROM (VALUES ('SqlInjection', 1), ('Xss', 2), ('CommandInjection', 3), ('PathTraversal', 4)) AS x(kind, place)),
+  told AS (SELECT id, place, score FROM scored JOIN kinds USING (kind) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, place DESC) = 1)"""
+
 ORACLES = {
     "waf_decisions_pages": WAF_DECISIONS,
     "rule_hits_by_family": f"SELECT attack_type, rule_id, count(*) AS n FROM ({hits('documents', 'doc_id', 'text', CATALOGUE)}) GROUP BY ALL",
     "score_by_attack_type": f"SELECT conv_id, attack_type, sum(score)::BIGINT AS score, count(*) AS n FROM ({hits('conversations', 'conv_id', 'text', PL2)}) GROUP BY conv_id, attack_type",
     "rule_selector_filter": f"SELECT rule_id, count(*) AS n FROM ({hits('pages', 'page_id', 'html', SELECTED)}) GROUP BY rule_id",
+    "rule_evidence": f"""WITH x AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_chars(example(r.pattern))})" for k, r in enumerate(CATALOGUE))}) AS v(k, example)),
+      p AS (SELECT page_id, url, unnest([page_id % {_HALF}, page_id % {_HALF} + {_HALF}]) AS k FROM pages),
+      v AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN example || ' ' || url ELSE example END AS t FROM p JOIN x USING (k))
+      SELECT rule_id, count(*) AS n FROM ({hits("v", "page_id", "t", CATALOGUE, "query")}) GROUP BY rule_id""",
     "exclusion_antijoin": """SELECT page_id, CASE WHEN position('?' IN url) > 0 THEN left(url, position('?' IN url) - 1) ELSE url END AS path,
       CASE WHEN position('?' IN url) > 0 THEN substr(url, position('?' IN url) + 1) ELSE '' END AS query
       FROM pages WHERE NOT starts_with(url, 'https://m.') AND NOT starts_with(url, 'http://m.')""",
@@ -232,11 +283,17 @@ ORACLES = {
       UNION ALL SELECT 'Allows resources from any source', 'High' FROM p WHERE k = 3)
       SELECT issue, severity, count(*) AS n FROM x GROUP BY ALL""",
     "ngram_counts": f"WITH {_grams('g', 'item_id', 'benchmark')} SELECT item_id, ngram, n FROM g",
-    "jaccard_similarity": f"""WITH {_grams('r', 'item_id', 'benchmark')}, {_grams('l', 'conv_id', '(SELECT * FROM conversations WHERE turn = 0)')},
-      ls AS (SELECT conv_id, sum(n)::BIGINT AS s, sqrt(sum(n * n)::DOUBLE) AS z FROM l GROUP BY conv_id),
+    "jaccard_similarity": f"""WITH {_grams('r', 'item_id', 'benchmark')}, {_grams('l', 'turn_id', "(SELECT conv_id || ':' || turn AS turn_id, text FROM conversations)")},
+      ls AS (SELECT turn_id, sum(n)::BIGINT AS s, sqrt(sum(n * n)::DOUBLE) AS z FROM l GROUP BY turn_id),
       rs AS (SELECT item_id, sum(n)::BIGINT AS s, sqrt(sum(n * n)::DOUBLE) AS z FROM r GROUP BY item_id),
-      b AS (SELECT conv_id, item_id, sum(least(l.n, r.n))::BIGINT AS both_n, sum(l.n * r.n)::BIGINT AS dot FROM l JOIN r USING (ngram) GROUP BY conv_id, item_id)
-      SELECT conv_id, item_id, round(both_n / (ls.s + rs.s - both_n), 6) AS jaccard, round(dot / (ls.z * rs.z), 6) AS cosine FROM b JOIN ls USING (conv_id) JOIN rs USING (item_id)""",
+      b AS (SELECT turn_id, item_id, sum(least(l.n, r.n))::BIGINT AS both_n, sum(l.n * r.n)::BIGINT AS dot FROM l JOIN r USING (ngram) GROUP BY turn_id, item_id)
+      SELECT turn_id, item_id, round(both_n / (ls.s + rs.s - both_n), 6) AS jaccard, round(dot / (ls.z * rs.z), 6) AS cosine FROM b JOIN ls USING (turn_id) JOIN rs USING (item_id)
+      WHERE both_n / (ls.s + rs.s - both_n) >= {ALIKE}""",
+    "ml_similarity": f"WITH {_VALUES}, {_likeness(_AFTER_Q)} SELECT id AS page_id, payload, kind, round(similarity, 6) AS similarity FROM best",
+    "ml_detections": f"""WITH {_VALUES}, {_likeness(_BOTH_PARTS)}, {_TOLD},
+      d AS (SELECT id, 99000 + place AS rule_id, floor(score * 10)::INT AS base_score FROM told WHERE score >= 0.4
+        UNION ALL SELECT id, 99100 + place, floor(similarity * 8)::INT FROM best JOIN kinds USING (kind))
+      SELECT id // 2 AS page_id, rule_id, CASE WHEN id % 2 = 0 THEN 'path' ELSE 'query' END AS location, base_score FROM d""",
     "entropy": """WITH c AS (SELECT page_id, strlen(url) AS n, unnest(string_split(url, '')) AS ch FROM pages),
       k AS (SELECT page_id, n, ch, count(*) AS m FROM c WHERE ch <> '' GROUP BY ALL)
       SELECT page_id, round(sum(-(m / n) * log2(m / n)), 6) AS entropy FROM k GROUP BY page_id""",
@@ -245,9 +302,22 @@ ORACLES = {
       SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS message FROM f)
       SELECT conv_id, message, min(turn) AS first, max(turn) AS last, count(*) AS n_frames, sum(strlen(text))::INT AS n_bytes, md5(string_agg(text, '' ORDER BY turn)) AS body_md5
       FROM m GROUP BY conv_id, message HAVING bool_or(fin)""",
-    "buffered_bodies": f"""WITH f AS ({_FRAMES})
-      SELECT conv_id, sum(strlen(text))::BIGINT AS size, sum(strlen(text)) > 4000 AS too_large,
-        CASE WHEN sum(strlen(text)) <= 4000 THEN md5(string_agg(text, '' ORDER BY turn)) END AS body_md5 FROM f GROUP BY conv_id""",
+    "buffered_bodies": f"""WITH RECURSIVE {_BUFFERS}
+      SELECT conv_id, buffer, first, last, size, too_large, CASE WHEN NOT too_large THEN md5(body) END AS body_md5 FROM ended""",
+    "body_decisions": f"""WITH RECURSIVE {_BUFFERS}, hit AS ({hits("(SELECT * FROM ended WHERE NOT too_large)", "conv_id, last", "body", BODY_RULES)}),
+      d AS (SELECT conv_id, last, sum(score)::INT AS score, string_agg(rule_id::VARCHAR, ',' ORDER BY ord) AS rule_ids FROM hit GROUP BY ALL)
+      SELECT conv_id, last, coalesce(score, 0) AS score, coalesce(rule_ids, '') AS rule_ids,
+        CASE WHEN score >= 25 THEN 'block' WHEN score >= 10 THEN 'warn' ELSE 'allow' END AS decision FROM ended LEFT JOIN d USING (conv_id, last)""",
+    "response_detections": f"""WITH hit AS ({hits("pages", "page_id", "html", PL2)})
+      SELECT page_id, string_agg(rule_id::VARCHAR, ',' ORDER BY ord) AS header, count(*)::INT AS n_detections FROM hit GROUP BY page_id""",
+    "early_termination": f"""WITH f AS (SELECT conv_id, turn, text FROM ({_FRAMES_WITH_ATTACKS})),
+      w AS (SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 256), '') || text AS t FROM f),
+      h AS ({hits("w", "conv_id, turn", "t", BODY_RULES)}),
+      k AS (SELECT conv_id, turn, rule_id, min(ord) AS ord FROM h GROUP BY conv_id, turn, rule_id QUALIFY row_number() OVER (PARTITION BY conv_id, rule_id ORDER BY turn) = 1),
+      sc AS (SELECT k.*, round(base * {LOCATION_WEIGHTS["body"]})::INT AS score FROM k JOIN (VALUES {", ".join(f"({r.id}, {r.base})" for r in BODY_RULES)}) AS b(rule_id, base) USING (rule_id)),
+      r AS (SELECT *, sum(score) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running,
+        coalesce(sum(score) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc)
+      SELECT conv_id, turn, rule_id, score, running, running >= 12 AS stopped FROM r WHERE before < 12""",
     "stream_overlap_dedup": f"""WITH f AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM ({_FRAMES})),
       w AS (SELECT conv_id, turn, coalesce(right(lag(h) OVER (PARTITION BY conv_id ORDER BY turn), 512), '') || h AS h FROM f)
       SELECT conv_id, turn, (length(h) // 2)::INT AS n_bytes, md5(unhex(h)) AS window_md5 FROM w""",

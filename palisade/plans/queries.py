@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.functions.detect import detect
 from palisade.operators import anomaly, api, bots, classifier, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators.attack_payloads import PAYLOADS
 from palisade.plans.requests import decide_requests, is_excluded, split_uri
 from palisade.rules import CATALOGUE, load
+from palisade.rules.examples import example
 from palisade.streaming import bodies
 
 
@@ -55,6 +57,19 @@ def rule_selector_filter(spark, sf_dir):
     return found.groupBy(F.col("d.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
+def rule_evidence(spark, sf_dir):
+    """How often each rule fires on texts written from the rules' own patterns, two for each page."""
+    examples = [(k, example(r.pattern)) for k, r in enumerate(CATALOGUE)]
+    # One row for each rule.
+    known = F.broadcast(spark.createDataFrame(examples, "k int, example string"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
+    half = (len(examples) + 1) // 2
+    two = pages.select("page_id", "url", F.explode(F.array(F.col("page_id") % half, F.col("page_id") % half + half)).alias("k")).join(known, "k")
+    value = F.when(F.col("page_id") % 2 == 0, F.concat("example", F.lit(" "), "url")).otherwise(F.col("example"))
+    found = two.select(F.explode(detect(value, "query", CATALOGUE)).alias("d"))
+    return found.groupBy(F.col("d.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+
+
 def exclusion_antijoin(spark, sf_dir):
     config = Config(exclude_paths=("https://m.", "http://m."))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -188,12 +203,41 @@ def ngram_counts(spark, sf_dir):
     return rows
 
 
+#: Prose of one language is about this alike.
+ALIKE = 0.3
+
+
 def jaccard_similarity(spark, sf_dir):
+    """Every turn of every conversation against every benchmark item."""
     items = text_ml.ngram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    openings = table(spark, sf_dir, "conversations").where("turn = 0")
-    queries_ = text_ml.ngram_counts(openings, "conv_id", "text")
-    pairs = text_ml.similarity(queries_, items, "conv_id", "item_id")
-    return pairs.select("conv_id", "item_id", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    pairs = text_ml.similarity(text_ml.ngram_counts(turns, "turn_id", "text"), items, "turn_id", "item_id", ALIKE)
+    return pairs.select("turn_id", "item_id", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
+
+
+def _with_payloads(spark, sf_dir):
+    """Pages whose query has a known payload in it, changed by the page's number: value."""
+    payloads = [(i, x) for i, x in enumerate(x for texts in PAYLOADS.values() for x in texts)]
+    # The payloads: a fixed few.
+    known = F.broadcast(spark.createDataFrame(payloads, "payload int, attack string"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    joined = pages.join(known, F.col("page_id") % len(payloads) == F.col("payload"))
+    own = F.replace("attack", F.lit("1"), F.col("page_id").cast("string"))
+    return joined.select("page_id", F.concat(F.col("url"), F.lit("?q="), own, F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^https?://([^/?#]+)", 1)).otherwise(F.lit(""))).alias("uri"))
+
+
+def ml_similarity(spark, sf_dir):
+    rows = _with_payloads(spark, sf_dir)
+    value = F.regexp_extract("uri", r"(?s)\?q=(.*)", 1)
+    return classifier.closest_payload(rows.select("page_id", value.alias("value")), "page_id", "value").withColumn("similarity", F.round("similarity", 6))
+
+
+def ml_detections(spark, sf_dir):
+    """Detections of the classifier and of known payloads within whole decisions."""
+    config = Config(ml_classifier=True, ml_similarity=True)
+    rows = decide_requests(_with_payloads(spark, sf_dir), config, uri="uri", key="page_id")
+    found = rows.select("page_id", F.explode("detections").alias("d")).where("d.rule_id between 99000 and 99199")
+    return found.select("page_id", F.col("d.rule_id").alias("rule_id"), F.col("d.location").alias("location"), F.col("d.base_score").alias("base_score"))
 
 
 def entropy(spark, sf_dir):
@@ -235,9 +279,35 @@ def ws_reassembly(spark, sf_dir):
     return found.select("conv_id", "message", "first", "last", "n_frames", F.octet_length("body").alias("n_bytes"), F.md5("body").alias("body_md5"))
 
 
+def _attacked(spark, sf_dir):
+    """Frames with attacks in some turns, so that bodies have something to find."""
+    of = F.col("conv_id") + F.col("turn")
+    attack = F.when(of % 5 == 1, " 1 UNION SELECT password FROM users-- <script>alert(1)</script>").when(of % 7 == 2, "; cat /etc/passwd").otherwise("")
+    return _frames(spark, sf_dir).withColumn("data", F.concat("data", F.encode(attack, "UTF-8")))
+
+
+#: So little that some bodies are too large.
+SMALL = Config(paranoia=2, max_body=1500)
+
+
 def buffered_bodies(spark, sf_dir):
-    found = bodies.buffered(_frames(spark, sf_dir), "conv_id", "turn", "data", Config(max_body=4000))
-    return found.select("conv_id", "size", "too_large", F.md5("body").alias("body_md5"))
+    found = bodies.buffered(_attacked(spark, sf_dir), "conv_id", "turn", "data", "fin", SMALL)
+    return found.select("conv_id", "buffer", "first", "last", "size", "too_large", F.md5("body").alias("body_md5"))
+
+
+def body_decisions(spark, sf_dir):
+    """From base64 chunks to decisions."""
+    chunks = _attacked(spark, sf_dir).withColumn("data", F.base64("data"))
+    found = bodies.decide_bodies(chunks, "conv_id", "turn", "data", "fin", SMALL)
+    ids = F.array_join(F.transform("detections", lambda d: d["rule_id"].cast("string")), ",")
+    return found.select("conv_id", "last", "score", ids.alias("rule_ids"), "decision")
+
+
+def response_detections(spark, sf_dir):
+    """Pages as response bodies of one chunk: what is found is logged, in a header."""
+    chunks = spread(table(spark, sf_dir, "pages").select("page_id", F.base64(F.encode("html", "UTF-8")).alias("data")))
+    found = bodies.log_responses(chunks.withColumns({"index": F.lit(0), "fin": F.lit(True)}), "page_id", "index", "data", "fin", Config(paranoia=2, response_inspection=True))
+    return found.where("header is not null").select("page_id", "header", F.size("detections").alias("n_detections"))
 
 
 def stream_overlap_dedup(spark, sf_dir):
@@ -246,8 +316,8 @@ def stream_overlap_dedup(spark, sf_dir):
 
 
 def early_termination(spark, sf_dir):
-    config = Config(paranoia=4, early_threshold=12)
-    rows = bodies.inspected(_frames(spark, sf_dir), "conv_id", "turn", "data", config)
+    config = Config(paranoia=2, early_threshold=12)
+    rows = bodies.inspected(_attacked(spark, sf_dir), "conv_id", "turn", "data", config)
     return rows.select("conv_id", "turn", F.col("detection.rule_id").alias("rule_id"), "score", "running", "stopped")
 
 
@@ -331,10 +401,10 @@ def ml_classify(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        waf_decisions_pages, rule_hits_by_family, score_by_attack_type, rule_selector_filter, exclusion_antijoin, card_luhn, card_brand_mask,
+        waf_decisions_pages, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
         email_bulk, sensitive_scan, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
-        ngram_counts, jaccard_similarity, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, stream_overlap_dedup,
+        ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,
         graphql_inspection, jwt_inspection, bot_classes, ml_classify,
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.functions.detect import detect
 from palisade.model import DETECTIONS
-from palisade.operators import scoring
+from palisade.operators import classifier, scoring
 from palisade.rules import Rule, excluded_ids, load
 
 
@@ -63,13 +63,42 @@ def responded(decision: Column, detections: Column, score: Column) -> Column:
     )
 
 
-def decide_requests(requests: DataFrame, config: Config = Config(), uri: str = "uri", headers: str | None = None, body: str | None = None, extra: tuple[Rule, ...] = ()) -> DataFrame:
-    """requests with detections, score, decision and response; nothing is shuffled."""
+def _learned(requests: DataFrame, key: str, uri: str, headers: str | None, body: str | None, config: Config) -> DataFrame:
+    """key, learned: what the classifier and known payloads say of a request's values, in their order."""
+    path, query = split_uri(F.col(uri))
+    part = lambda place, value: F.struct(F.lit(place).alias("location"), value.alias("value"))
+    parts = [F.array(part("path", path), part("query", query))]
+    if headers:
+        pairs = F.array_sort(F.map_entries(headers))
+        of_one = lambda pair: F.transform(pair["value"], lambda v: F.struct(F.concat(F.lit("header:"), pair["key"]).alias("location"), v.alias("value")))
+        parts.append(F.coalesce(F.flatten(F.transform(pairs, of_one)), F.expr("cast(array() as array<struct<location:string,value:string>>)")))
+    if body:
+        parts.append(F.array(part("body", F.col(body))))
+    values = requests.where(~is_excluded(F.col(uri), config)).select(F.col(key).alias("of"), F.posexplode(F.concat(*parts)).alias("place", "x")).where("x.value <> ''")
+    values = values.select(F.struct("of", "place").alias("id"), "x.location", "x.value")
+    found = classifier.ml_detections(values, "id", "value", "location", config).where(F.size("detections") > 0)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("id.place").alias("place"), "detections")))
+    return found.groupBy(F.col("id.of").alias("of")).agg(F.flatten(F.transform(listed, lambda x: x["detections"])).alias("learned"))
+
+
+def decide_requests(
+    requests: DataFrame, config: Config = Config(), uri: str = "uri", headers: str | None = None, body: str | None = None, extra: tuple[Rule, ...] = (), key: str | None = None
+) -> DataFrame:
+    """requests with detections, score, decision and response; nothing is shuffled.
+
+    Where config asks for the classifier or known payloads, key names a unique column by which
+    their detections are joined; they follow those of the rules."""
     rules = load(config, extra)
     found = request_detections(F.col(uri), F.col(headers) if headers else None, rules, F.col(body) if body else None)
     found = F.when(is_excluded(F.col(uri), config), F.expr(f"cast(array() as {DETECTIONS})")).otherwise(found)
+    if config.ml_classifier or config.ml_similarity:
+        if key is None:
+            raise ValueError("the classifier and known payloads need a key")
+        learned = _learned(requests, key, uri, headers, body, config).withColumnsRenamed({"of": "__of", "learned": "__learned"})
+        requests = requests.join(learned, F.col(key) == F.col("__of"), "left")
+        found = F.concat(found, F.coalesce("__learned", F.expr(f"cast(array() as {DETECTIONS})")))
     path, _ = split_uri(F.col(uri))
     rows = requests.withColumn("detections", without_excluded(found, path, rules, config))
-    rows = rows.withColumn("score", scoring.total(F.col("detections"), rules, config))
+    rows = rows.drop("__of", "__learned").withColumn("score", scoring.total(F.col("detections"), rules, config))
     rows = rows.withColumn("decision", scoring.decide(F.col("detections"), F.col("score"), config))
     return rows.withColumn("response", responded(F.col("decision"), F.col("detections"), F.col("score")))

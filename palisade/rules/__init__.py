@@ -123,7 +123,7 @@ def java_pattern(pattern: str) -> str:
 
 def re2_pattern(pattern: str) -> str:
     """For DuckDB's engine."""
-    return re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\u([0-9A-Fa-f]{4})", r"\1\\x{\2}", pattern)
 
 
 def _literals(items) -> frozenset | None:

@@ -5,12 +5,16 @@ key alone. The stateful forms in palisade.streaming.live give the same rows."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.config import Config
 from palisade.functions.detect import detect
+from palisade.model import DETECTIONS
 from palisade.operators import scoring
+from palisade.plans.requests import responded
 from palisade.rules import Rule, load
 
 CONTROL = ("ping", "pong", "close")
@@ -26,13 +30,75 @@ def as_text(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
 
-def buffered(chunks: DataFrame, key: str, index: str, data: str, config: Config = Config()) -> DataFrame:
-    """key, body, size, too_large: the chunks of each body joined; one beyond max_body is allowed unseen."""
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(index), F.col(data).alias("data"))))
-    size = F.sum(F.octet_length(data))
-    grouped = chunks.groupBy(key).agg(F.when(size <= config.max_body, pieces).alias("pieces"), size.alias("size"))
-    body = F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
-    return grouped.select(key, body.alias("body"), "size", (F.col("size") > config.max_body).alias("too_large"))
+def _in_buffers(rows: DataFrame, keys: list[str], index: str, data: str, ends: str, limit: int, last_counts: bool) -> DataFrame:
+    """keys, buffer, first, last, size, too_large, body, n of the buffers that have ended.
+
+    Chunks of a key join a buffer in order; one that makes it larger than limit ends it without
+    a body, and the next chunk begins a new one. A chunk with ends set ends its buffer, too;
+    whether it is held against the limit is last_counts. Chunks are sorted within their
+    partition and folded one after the other, so that no more than limit bytes of one buffer,
+    and a batch of chunks, are held at a time."""
+    size = F.octet_length(data)
+    # What is larger than the limit on its own is never joined: its bytes need not travel.
+    sent = rows.select(*keys, F.col(index).alias("i"), size.cast("long").alias("n"), F.col(ends).alias("e"), F.when((size <= limit) | (F.lit(not last_counts) & F.col(ends)), F.col(data)).alias("d"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[: len(keys)])
+    at = sent.schema["i"].dataType.simpleString()
+    schema = f"{kinds}, buffer long, first {at}, last {at}, size long, too_large boolean, body binary, n long"
+
+    def fold(batches):
+        now, number, held, total, first, n = None, 0, [], 0, None, 0
+        for batch in batches:
+            out = []
+            for *key, i, length, last, data in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != now:
+                    now, number, held, total, n = key, 0, [], 0, 0
+                first = i if n == 0 else first
+                total, n = total + length, n + 1
+                over = total > limit if last_counts or not last else total - length > limit
+                if not over:
+                    held.append(data)
+                if over and not last or last:
+                    out.append((*key, number, first, i, total, over, None if over else b"".join(held), n))
+                    number, held, total, n = number + 1, [], 0, 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+
+    plain = sent.sparkSession.createDataFrame([], schema).schema
+    names, types = plain.names, [to_arrow_type(f.dataType) for f in plain.fields]
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "i").mapInArrow(fold, schema)
+
+
+def buffered(chunks: DataFrame, key: str, index: str, data: str, last: str, config: Config = Config()) -> DataFrame:
+    """key, buffer, first, last, size, too_large, body: the chunks of each body joined up to its last
+    one. What exceeds max_body is let through unseen, and the chunk after it begins a fresh buffer."""
+    return _in_buffers(chunks, [key], index, data, last, config.max_body, True).drop("n")
+
+
+def decide_bodies(chunks: DataFrame, key: str, index: str, data: str, last: str, config: Config = Config()) -> DataFrame:
+    """key, last, detections, score, decision, response of every request body that ends, from chunks in base64.
+
+    Without body_inspection nothing is looked at; what is no base64 is let through unseen. With
+    streaming, chunks are looked at as they come (inspected and finalized)."""
+    rules = load(config)
+    known = chunks.withColumn(data, decoded(data)).where(F.col(data).isNotNull() & F.lit(config.body_inspection))
+    if config.streaming:
+        found = finalized(inspected(known, key, index, data, config, rules), key, index, config, rules)
+        ended = known.where(last).groupBy(key).agg(F.max(index).alias("last"))
+        rows = ended.join(found.select(key, "detections"), key, "left").withColumn("detections", F.coalesce("detections", F.expr(f"cast(array() as {DETECTIONS})")))
+    else:
+        rows = buffered(known, key, index, data, last, config).select(key, "last", detect(as_text(F.col("body")), "body", rules).alias("detections"))
+    rows = rows.withColumn("score", scoring.total(F.col("detections"), rules, config))
+    rows = rows.withColumn("decision", scoring.decide(F.col("detections"), F.col("score"), config))
+    return rows.withColumn("response", responded(F.col("decision"), F.col("detections"), F.col("score")))
+
+
+def log_responses(chunks: DataFrame, key: str, index: str, data: str, last: str, config: Config = Config()) -> DataFrame:
+    """key, last, detections, header of every response body that ends: they are never blocked; a
+    header names the rules found. Nothing is looked at unless config.response_inspection is set."""
+    known = chunks.withColumn(data, decoded(data)).where(F.col(data).isNotNull() & F.lit(config.response_inspection))
+    rows = buffered(known, key, index, data, last, config).select(key, "last", detect(as_text(F.col("body")), "response_body", load(config)).alias("detections"))
+    ids = F.array_join(F.transform("detections", lambda d: d["rule_id"].cast("string")), ",")
+    return rows.withColumn("header", F.when(F.size("detections") > 0, ids))
 
 
 def overlapped(chunks: DataFrame, key: str, index: str, data: str, overlap: int) -> DataFrame:
@@ -70,27 +136,23 @@ def finalized(rows: DataFrame, key: str, index: str, config: Config = Config(),
     return grouped.withColumn("decision", scoring.decide(F.col("detections"), F.col("score"), config))
 
 
-def frames(rows: DataFrame, opcode: str, data: str, binary: bool = False, config: Config = Config()) -> DataFrame:
-    """Frames that are looked at: no control frames, binary ones on demand, none that is too large."""
-    wanted = ~F.col(opcode).isin(*CONTROL) & (F.lit(binary) | (F.col(opcode) != "binary"))
+def frames(rows: DataFrame, opcode: str, data: str, config: Config = Config()) -> DataFrame:
+    """Frames that are looked at: no control frames, text (with what continues it) and binary ones as
+    config says, unknown opcodes always, none that is too large."""
+    unwanted = [*CONTROL, *(() if config.websocket_text else ("text", "continuation")), *(() if config.websocket_binary else ("binary",))]
+    wanted = F.lit(config.websocket) & ~F.col(opcode).isin(*unwanted)
     return rows.where(wanted & (F.octet_length(data) <= config.max_frame))
 
 
 def messages(rows: DataFrame, keys: list[str], index: str, fin: str, data: str, opcode: str, config: Config = Config()) -> DataFrame:
     """keys, message, opcode (of the final frame), first and last index, body, n_frames, overflow.
 
-    A message ends with a final frame; what has no final frame yet is not returned. The
-    final frame is not counted against max_message."""
-    before = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("message", F.coalesce(F.sum(F.col(fin).cast("int")).over(before), F.lit(0)))
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(data).alias("d"))))
-    grouped = numbered.groupBy(*keys, "message").agg(
-        F.max_by(opcode, index).alias("opcode"), F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n_frames"),
-        F.coalesce(F.sum(F.when(~F.col(fin), F.octet_length(data))), F.lit(0)).alias("open_size"), F.bool_or(fin).alias("ended_"), pieces.alias("pieces_"),
-    )
-    body = F.aggregate("pieces_", F.lit(b""), lambda a, x: F.concat(a, x["d"].cast("binary")))
-    return grouped.where("ended_").select(
-        *keys, "message", "opcode", "first", "last", "n_frames", (F.col("open_size") > config.max_message).alias("overflow"), body.alias("body")
+    A message ends with a final frame, which is not counted against max_message, or with the
+    frame that makes it too large; what has not ended yet is not returned."""
+    found = _in_buffers(rows, keys, index, data, fin, config.max_message, False)
+    opcodes = rows.select(*keys, F.col(index).alias("last"), F.col(opcode).alias("opcode"))
+    return found.join(opcodes, [*keys, "last"]).select(
+        *keys, F.col("buffer").alias("message"), "opcode", "first", "last", F.col("n").alias("n_frames"), F.col("too_large").alias("overflow"), "body"
     )
 
 
@@ -102,5 +164,7 @@ def decide_messages(found: DataFrame, client_to_server: str, config: Config = Co
     rows = found.withColumn("detections", F.when(~F.col("overflow"), detect(as_text(F.col("body")), place, rules)).otherwise(detect(F.lit(None).cast("string"), place, rules)))
     rows = rows.withColumn("score", scoring.total(F.col("detections"), rules, config))
     decision = scoring.decide(F.col("detections"), F.col("score"), config, config.websocket_block_mode)
-    action = F.when(F.col("overflow"), "close:1008").when(decision == "block", "close:1008").otherwise("allow")
+    # What does not block drops nothing but the frames that are too much.
+    close = F.lit(f"close:{config.websocket_close_code}" if config.websocket_block_mode else "drop")
+    action = F.when(F.col("overflow"), close).when(decision == "block", close).otherwise("allow")
     return rows.withColumn("decision", decision).withColumn("action", action)
