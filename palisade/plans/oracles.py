@@ -200,6 +200,55 @@ _CLASSIFY = f"""WITH p AS (SELECT kind, m, lower(t) AS t FROM (VALUES {_PHRASES}
   j AS (SELECT page_id, kind, any_value(k) AS k, sum(n * weight) AS f, sum(weight) AS pr, count(*) AS c FROM g JOIN z USING (ngram) GROUP BY page_id, kind)
   SELECT page_id, kind, round(least((0.6 * f / total + 0.4 * pr / k) * (1 + 0.5 * c / d), 1.0), 6) AS score FROM j JOIN s USING (page_id)"""
 
+OPENAPI_VALIDATION = r"""
+WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k, round(value, 1)::VARCHAR AS v FROM events),
+r AS (
+  SELECT event_id, k, user_id::VARCHAR AS u,
+    CASE event_type WHEN 'view' THEN '/users/' || CASE WHEN k % 5 = 0 THEN 'u' ELSE '' END || user_id WHEN 'click' THEN '/users/me'
+      WHEN 'purchase' THEN '/orders' WHEN 'signup' THEN '//orders/' ELSE '/orders/' || user_id END AS path,
+    upper((['get', 'POST', 'Delete', 'GET'])[k % 4 + 1]) AS method,
+    CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'yes' END AS q_full, CASE WHEN k % 7 < 5 THEN CASE WHEN k % 7 = 2 THEN v ELSE user_id::VARCHAR END END AS q_page,
+    CASE WHEN k % 11 = 3 THEN v || 'x' ELSE v END AS q_price, CASE WHEN k % 2 = 0 THEN 't' END AS h_token,
+    CASE WHEN k % 13 < 4 THEN '' WHEN k % 13 < 9 THEN props ELSE props || '}' END AS body,
+    CASE WHEN k % 17 < 9 THEN 'application/json' WHEN k % 17 < 14 THEN 'text/plain' END AS kind
+  FROM e
+), s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM r),
+templates(t, place, n, s1, s2) AS (VALUES ('me', 1, 2, 'users', 'me'), ('id', 2, 2, 'users', NULL), ('orders', 1, 1, 'orders', NULL)),
+operations(t, method) AS (VALUES ('me', 'GET'), ('id', 'GET'), ('id', 'DELETE'), ('orders', 'GET'), ('orders', 'POST')),
+parameters(t, method, loc, name, needed, kind) AS (VALUES ('me', 'GET', 'header', 'X-Token', true, 'string'), ('id', 'GET', 'path', 'id', true, 'integer'), ('id', 'GET', 'query', 'full', false, 'boolean'),
+  ('id', 'DELETE', 'path', 'id', true, 'integer'), ('orders', 'GET', 'query', 'page', true, 'integer'), ('orders', 'GET', 'query', 'price', false, 'number'), ('orders', 'POST', 'query', 'page', true, 'integer')),
+f AS (SELECT s.*, t, place FROM s JOIN templates ON n = len(seg) AND s1 = seg[1] AND (s2 IS NULL OR s2 = seg[2])),
+o AS (SELECT f.* FROM f JOIN operations USING (t, method) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place) = 1),
+g AS (SELECT o.*, p.loc, p.name, p.needed, p.kind AS type, CASE WHEN p.loc = 'path' THEN seg[2] WHEN p.name = 'X-Token' THEN h_token WHEN p.name = 'full' THEN q_full WHEN p.name = 'page' THEN q_page ELSE q_price END AS value
+  FROM o JOIN parameters p ON p.t = o.t AND p.method = o.method)
+SELECT event_id, 98300 AS rule_id, 'path' AS location, path AS matched FROM s WHERE event_id NOT IN (SELECT event_id FROM f)
+UNION ALL SELECT event_id, 98301, 'method', method || '; allowed: ' || (SELECT string_agg(x.method, ', ' ORDER BY x.method) FROM operations x WHERE x.t = a.t)
+  FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place) = 1) a WHERE event_id NOT IN (SELECT event_id FROM o)
+UNION ALL SELECT event_id, 98302, loc || '.' || name, 'missing' FROM g WHERE needed AND value IS NULL
+UNION ALL SELECT event_id, 98303, loc || '.' || name, value FROM g WHERE type = 'integer' AND NOT regexp_full_match(value, '[+-]?[0-9]+') OR type = 'number' AND try_cast(value AS DOUBLE) IS NULL AND value IS NOT NULL OR type = 'boolean' AND value NOT IN ('true', 'false')
+UNION ALL SELECT event_id, 98305, 'body', 'parse error' FROM o WHERE body <> '' AND kind = 'application/json' AND NOT json_valid(body)
+"""
+
+GRAPHQL_VALIDATION = r"""
+WITH e AS (SELECT event_id, event_type AS f, user_id, json_extract_string(props, '$.k')::INT AS k FROM events),
+roots(f, type, id_needed, deprecated) AS (VALUES ('view', 'Item', true, false), ('click', 'Item', true, false), ('purchase', 'Order', false, true), ('signup', 'Boolean', false, false)),
+members(type, name, deprecated, currency_needed) AS (VALUES ('Item', 'id', false, false), ('Item', 'name', false, false), ('Item', 'price', true, false), ('Order', 'id', false, false), ('Order', 'item', false, false), ('Order', 'total', false, true)),
+known_args(f, a) AS (VALUES ('view', 'id'), ('click', 'id'), ('click', 'at'), ('signup', 'name')),
+q AS (SELECT e.*, CASE k % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'nme' END AS a, roots.* EXCLUDE (f), roots.f IS NOT NULL AS found FROM e LEFT JOIN roots USING (f) WHERE k % 10 <> 1),
+m AS (SELECT q.event_id, q.f, q.type, unnest([struct_pack(name := (['id', 'name', 'price', 'total', 'total', '__typename'])[k % 6 + 1], currency := k % 6 = 4), struct_pack(name := (['id', 'item', 'nope'])[k % 5 % 3 + 1], currency := false)], recursive := true)
+  FROM q WHERE found),
+j AS (SELECT m.*, members.name IS NOT NULL AS found, deprecated, currency_needed FROM m LEFT JOIN members USING (type, name) WHERE m.name <> '__typename')
+SELECT event_id, 98352 AS rule_id, 'query' AS location, 'parse error' AS matched FROM e WHERE k % 10 = 1
+UNION ALL SELECT event_id, 98351, 'q.' || f, f FROM q WHERE NOT found
+UNION ALL SELECT event_id, 98356, 'q.' || f, f FROM q WHERE deprecated
+UNION ALL SELECT event_id, 98352, 'q.' || f || '.' || a, a FROM q WHERE found AND a IS NOT NULL AND (f, a) NOT IN (SELECT (f, a) FROM known_args)
+UNION ALL SELECT event_id, 98353, 'q.' || f || '.id', 'missing' FROM q WHERE id_needed AND a IS DISTINCT FROM 'id'
+UNION ALL SELECT event_id, 98351, 'q.' || f || '.' || name, name FROM j WHERE NOT found
+UNION ALL SELECT event_id, 98356, 'q.' || f || '.' || name, name FROM j WHERE deprecated
+UNION ALL SELECT event_id, 98353, 'q.' || f || '.' || name || '.currency', 'missing' FROM j WHERE currency_needed AND NOT currency
+UNION ALL SELECT event_id, 98352, 'q.' || f || '.' || name || '.currency', 'currency' FROM j WHERE found AND currency AND NOT currency_needed
+"""
+
 _HALF = (len(CATALOGUE) + 1) // 2
 _PAYLOADS = ", ".join(f"({k}, '{kind}', {_chars(text)})" for k, (kind, text) in enumerate((kind, text) for kind, texts in PAYLOADS.items() for text in texts))
 _VALUES = f"""a AS (SELECT * FROM (VALUES {_PAYLOADS}) AS x(k, kind, attack)),
@@ -336,6 +385,8 @@ ORACLES = {
       CASE event_id % 6 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 3 END AS base_score FROM events WHERE event_id % 6 <> 4""",
     "graphql_inspection": """SELECT event_id, 98001 AS rule_id, '__typename' AS matched FROM events WHERE event_type = 'view'
       UNION ALL SELECT event_id, 98002, 'depth=' || (event_id % 13) || ' (max=10)' FROM events WHERE event_id % 13 > 10""",
+    "openapi_validation": OPENAPI_VALIDATION,
+    "graphql_validation": GRAPHQL_VALIDATION,
     "jwt_inspection": """SELECT event_id, 98200 AS rule_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 98201 FROM events WHERE event_id % 3 <> 0
       UNION ALL SELECT event_id, 98203 FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 98204 FROM events WHERE event_id < 500""",
     "bot_classes": """WITH a(k, base, ids) AS (VALUES (0, 0, ''), (1, 90, '97001'), (2, 20, '97002'), (3, 30, '97100,97100'), (4, 30, '97003'), (5, 40, '97004')),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.detect import detect
-from palisade.operators import anomaly, api, bots, classifier, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators import anomaly, api, bots, classifier, federated, intel, metrics, schema, scoring, sensitive, supply_chain, text_ml
 from palisade.operators.attack_payloads import PAYLOADS
 from palisade.plans.requests import decide_requests, is_excluded, split_uri
 from palisade.rules import CATALOGUE, load
@@ -382,6 +382,66 @@ def jwt_inspection(spark, sf_dir):
     return found.select("event_id", F.col("d.rule_id").alias("rule_id"))
 
 
+#: A document with fixed segments beside parameters, and a method that only the latter have.
+OPENAPI = {
+    "paths": {
+        "/users/{id}": {
+            "get": {"parameters": [{"in": "path", "name": "id", "required": True, "schema": {"type": "integer"}}, {"in": "query", "name": "full", "schema": {"type": "boolean"}}]},
+            "delete": {"parameters": [{"in": "path", "name": "id", "required": True, "schema": {"type": "integer"}}]},
+        },
+        "/users/me": {"get": {"parameters": [{"in": "header", "name": "X-Token", "required": True, "schema": {"type": "string"}}]}},
+        "/orders": {
+            "parameters": [{"in": "query", "name": "page", "required": True, "schema": {"type": "integer"}}],
+            "get": {"parameters": [{"in": "query", "name": "price", "schema": {"type": "number"}}]},
+            "post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/Order"}}}}},
+        },
+    }
+}
+
+
+def openapi_validation(spark, sf_dir):
+    """Events as calls: their type is where they go, their number how."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    value, user = F.round("value", 1).cast("string"), F.col("user_id").cast("string")
+    path = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("/users/"), F.when(k % 5 == 0, F.concat(F.lit("u"), user)).otherwise(user)))
+        .when(F.col("event_type") == "click", "/users/me").when(F.col("event_type") == "purchase", "/orders").when(F.col("event_type") == "signup", "//orders/")
+        .otherwise(F.concat(F.lit("/orders/"), user))
+    )
+    method = F.element_at(F.array(*map(F.lit, ("get", "POST", "Delete", "GET"))), k % 4 + 1)
+    pairs = F.array(
+        F.struct(F.lit("full").alias("name"), F.when(k % 3 == 0, "true").when(k % 3 == 1, "yes").alias("value")),
+        F.struct(F.lit("page").alias("name"), F.when(k % 7 < 5, F.when(k % 7 == 2, value).otherwise(user)).alias("value")),
+        F.struct(F.lit("price").alias("name"), F.when(k % 11 == 3, F.concat(value, F.lit("x"))).otherwise(value).alias("value")),
+    )
+    query = F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["value"].isNotNull()), lambda p: F.struct(p["name"], F.array(p["value"]))))
+    headers = F.when(k % 2 == 0, F.create_map(F.lit("x-token"), F.array(F.lit("t")))).otherwise(F.expr("cast(map() as map<string,array<string>>)"))
+    body = F.when(k % 13 < 4, "").when(k % 13 < 9, F.col("props")).otherwise(F.concat("props", F.lit("}")))
+    kind = F.when(k % 17 < 9, "application/json; charset=utf-8").when(k % 17 < 14, "text/plain")
+    found = schema.openapi_violations(schema.compile_openapi(OPENAPI), path, method, query, headers, kind, body)
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(schema.enforced(found, {"invalid-content-type": "ignore"})).alias("d"))
+    return rows.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.location").alias("location"), F.col("d.matched_value").alias("matched"))
+
+
+GRAPHQL = """
+type Query { view(id: ID!): Item click(id: ID!, at: Int = 1): Item purchase: [Order!]! @deprecated(reason: "old") signup(name: String): Boolean }
+type Item { id: ID! name: String! price: Float @deprecated }
+type Order { id: ID! item: Item! total(currency: String!): Float }
+"""
+
+
+def graphql_validation(spark, sf_dir):
+    """Events as queries of two levels: the type is the field, the number what is asked of it."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    given = F.when(k % 3 == 0, F.concat(F.lit("(id: "), F.col("user_id").cast("string"), F.lit(")"))).when(k % 3 == 1, '(nme: "x { y }")').otherwise("")
+    inner = F.element_at(F.array(*map(F.lit, ("id", "name", "price", "total", 'total(currency: "EUR")', "__typename"))), k % 6 + 1)
+    other = F.element_at(F.array(*map(F.lit, ("id", "item", "nope"))), k % 5 % 3 + 1)
+    text = F.concat(F.lit("query q { a: "), "event_type", given, F.lit(" { "), inner, F.lit(" , "), other, F.lit(" } # }\n}"))
+    body = F.when(k % 10 == 0, F.to_json(F.struct(text.alias("query")))).when(k % 10 == 1, F.concat(text, F.lit(" {"))).otherwise(text)
+    rows = spread(table(spark, sf_dir, "events").select("event_id", body.alias("body"))).select("event_id", F.explode(schema.graphql_violations(GRAPHQL, F.col("body"))).alias("d"))
+    return rows.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.location").alias("location"), F.col("d.matched_value").alias("matched"))
+
+
 def bot_classes(spark, sf_dir):
     agents = ("Googlebot/2.1", "sqlmap/1.0", "curl/8.0", "Mozilla/5.0 (X11) Chrome/120.0", "")
     agent = F.when(F.col("event_id") % 6 < 5, F.element_at(F.array(*[F.lit(a) for a in agents]), F.least(F.col("event_id") % 6 + 1, F.lit(5)).cast("int")))
@@ -406,6 +466,6 @@ QUERIES = {
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,
-        graphql_inspection, jwt_inspection, bot_classes, ml_classify,
+        graphql_inspection, openapi_validation, graphql_validation, jwt_inspection, bot_classes, ml_classify,
     )
 }
