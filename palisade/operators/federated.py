@@ -128,3 +128,61 @@ def shares(values: DataFrame, n: int, seed: int) -> DataFrame:
 def from_shares(held: DataFrame, n: int) -> DataFrame:
     """The sums, of indexes with more than half of the n shares."""
     return held.groupBy("i").agg(F.sum("value").alias("value"), F.count("*").alias("held")).where(F.col("held") >= n // 2 + 1).drop("held")
+
+
+#: The length of a feature vector, headers that count, orders of the accountant, and the gates.
+FEATURES, HEADERS = 256, 10
+ORDERS = tuple(1.0 + k / 10 for k in range(1, 65))
+BATCH, LEAST_SAMPLES = 32, 1000
+
+
+def _byte_runs(data: Column) -> Column:
+    """How often each different byte occurs, in no order that matters."""
+    pairs = F.array_join(F.sort_array(F.regexp_extract_all(F.hex(data), F.lit("..")  , F.lit(0))), "")
+    return F.transform(F.regexp_extract_all(pairs, F.lit(r"(..)(?:\1)*"), F.lit(0)), lambda run: F.char_length(run) / 2)
+
+
+def byte_entropy(data: Column) -> Column:
+    """Shannon entropy of the bytes, as a share of 8 bits."""
+    n = F.octet_length(data)
+    bits = F.aggregate(_byte_runs(data), F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
+    return F.when(n == 0, 0.0).otherwise(bits / 8)
+
+
+def printable_share(data: Column) -> Column:
+    n = F.octet_length(data)
+    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda x: x.between("20", "7E"))) / n)
+
+
+def request_features(path: Column, query: Column, headers: Column, body: Column) -> Column:
+    """array<float> of FEATURES numbers; headers: array<struct(name, value)>; query and body (binary) may be null."""
+    has = lambda text: F.contains(path, F.lit(text)).cast("double")
+    count = lambda text, mark: F.regexp_count(text, F.lit(mark))
+    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
+    size = F.octet_length
+    of_path = F.array(size(path) / 1000, count(path, "/") / 10, has(".."), has("'"), has("<"))
+    of_query = F.when(query.isNull(), zeros(4)).otherwise(
+        F.array(size(query) / 1000, count(query, "=") / 10, count(query, "&") / 10, byte_entropy(F.encode(query, "UTF-8")))
+    )
+    pairs = F.flatten(F.transform(F.slice(headers, 1, HEADERS), lambda h: F.array(size(h["name"]) / 100, size(h["value"]) / 1000)))
+    of_headers = F.slice(F.concat(F.array(F.size(headers) / 20), pairs, zeros(2 * HEADERS)), 1, 2 * HEADERS + 1)
+    of_body = F.when(body.isNull(), zeros(3)).otherwise(F.array(size(body) / 10_000, byte_entropy(body), printable_share(body)))
+    text = F.concat(path, F.lit(" "), F.coalesce(query, F.lit("")), F.lit(" "), F.coalesce(F.make_valid_utf8(body.cast("string")), F.lit("")))
+    # The characters by their number's rest, sorted: 16 counts, each the length of a run.
+    rests = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c == "", "").otherwise(F.hex(F.pmod(F.ascii(c), F.lit(16))))), "")
+    buckets = F.array(*[F.regexp_count(rests, F.lit(f"{k:X}")) / F.greatest(size(text), F.lit(1)) for k in range(16)])
+    used = 5 + 4 + 1 + 2 * HEADERS + 3 + 16
+    return F.concat(of_path, of_query, of_headers, of_body, buckets, zeros(FEATURES - used)).cast("array<float>")
+
+
+def renyi_epsilon(rounds: DataFrame, sigma: str, sensitivity: str, delta: float, *by: str) -> DataFrame:
+    """by, epsilon: what Gaussian noise of so many rounds has spent, the least over ORDERS."""
+    spent = rounds.groupBy(*by).agg(F.sum(F.pow(F.col(sensitivity) / F.col(sigma), 2)).alias("moment"))
+    of = lambda order: order * F.col("moment") / 2 + math.log(order - 1) / order - math.log(order * delta) / order
+    return spent.select(*by, F.array_min(F.array(*map(of, ORDERS))).alias("epsilon"))
+
+
+def gates(nodes: DataFrame, samples: str, since_sync: str, interval: int = 3600, batch: int = BATCH, least: int = LEAST_SAMPLES) -> DataFrame:
+    """nodes with batches (full ones have been trained on), contributes and syncs (seconds since the last one reach interval)."""
+    batches = F.floor(F.col(samples) / batch)
+    return nodes.withColumn("batches", batches).withColumn("contributes", (F.col(samples) >= least) & (batches > 0)).withColumn("syncs", F.col(since_sync).isNull() | (F.col(since_sync) >= interval))

@@ -135,6 +135,23 @@ def patches_by_cve(patches, cve: str) -> list[Patch]:
     return [p for p in patches if p.cve == cve]
 
 
+def added(table: DataFrame, *more: DataFrame) -> DataFrame:
+    """A reputation table (key, score, category) or a list (key, list) with more entries; of equal keys (and lists) the last counts."""
+    parts = [t.withColumn("__age", F.lit(-i)) for i, t in enumerate((table, *more))]
+    same = ["key", *(["list"] if "list" in table.columns else [])]
+    others = [c for c in table.columns if c not in same]
+    rows = reduce(DataFrame.unionByName, parts).groupBy(*same)
+    if not others:
+        return rows.agg(F.first("__age")).select(*same)
+    return rows.agg(F.min_by(F.struct(*others), "__age").alias("x")).select(*same, *[f"x.{c}" for c in others]).select(*table.columns)
+
+
+def entry_counts(**tables: DataFrame) -> DataFrame:
+    """name and n of each table, and of each list in it."""
+    rows = [t.select(F.concat_ws(":", F.lit(name), *(["list"] if "list" in t.columns else [])).alias("name")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, rows).groupBy("name").agg(F.count("*").alias("n"))
+
+
 #: Valid lengths of hexadecimal digests in a feed.
 HASH_LENGTHS = (32, 40, 64)
 

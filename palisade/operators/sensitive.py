@@ -114,3 +114,38 @@ def scan(text: Column, location: str = "response_body", bulk: int = BULK_EMAILS)
 
 def _keys(text: Column, pattern: str, name: str, tags: tuple[str, ...], location: str) -> Column:
     return F.transform(matches(text, pattern), lambda k: detection(95200, name, "DataLeakage", mask_key(k), location, 8, tags))
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """array<struct(value, position)> of every match; positions are in bytes."""
+    found = matches(text, pattern)
+    gaps = F.slice(F.split(text, java_pattern(pattern), -1), 1, F.size(found))
+    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<value:string,position:int>>)").alias("found"))
+
+    def add(done: Column, pair: Column) -> Column:
+        start = done["at"] + F.octet_length(pair["gap"])
+        one = F.struct(pair["value"].alias("value"), start.alias("position"))
+        return F.struct((start + F.octet_length(pair["value"])).alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), none, add, lambda done: done["found"])
+
+
+def scan_detailed(text: Column) -> Column:
+    """array<struct(data_type, detail, masked, position)>: cards without separators, social security
+    numbers, API keys and, each once, private keys; position is the byte where a match begins."""
+    made = lambda kind, detail, masked, position: F.struct(
+        F.lit(kind).alias("data_type"), detail.alias("detail"), masked.alias("masked"), position.cast("int").alias("position")
+    )
+    nothing = F.lit(None).cast("string")
+    cards = F.filter(_placed(text, CARD), lambda x: luhn(x["value"]))
+    numbers = F.filter(_placed(text, SSN), lambda x: valid_ssn(digits(x["value"])))
+    found = [
+        F.transform(cards, lambda x: made("credit card", card_brand(x["value"]), mask_card(x["value"]), x["position"])),
+        F.transform(numbers, lambda x: made("social security number", nothing, mask_ssn(x["value"]), x["position"])),
+    ]
+    of_key = lambda provider: lambda x: made("api key", F.lit(provider), mask_key(x["value"]), x["position"])
+    found += [F.transform(_placed(text, pattern), of_key(provider)) for provider, pattern in API_KEYS]
+    for kind, header in PRIVATE_KEYS:
+        one = made("private key", F.lit(kind), F.lit(f"-----BEGIN {kind} PRIVATE KEY-----"), F.octet_length(F.substring_index(text, header, 1)))
+        found.append(F.when(F.contains(text, F.lit(header)), F.array(one)).otherwise(F.slice(F.array(one), 1, 0)))
+    return F.concat(*found)

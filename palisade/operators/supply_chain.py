@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.model import DETECTIONS, detection, only
@@ -72,3 +72,19 @@ def policy_issues(policy: Column) -> Column:
         F.when(has("default-src *"), made("default-src", "Allows resources from any source", "High")),
         F.when(~has("script-src") & ~has("default-src"), made("script-src", "Missing script-src directive", "Medium")),
     )
+
+
+def script_hashes(rows: DataFrame, content: str, allowed: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with script_hash (sha256-...) and script_status: allowed (hash in allowed), known good
+    (hash in known, with its name as script_name) or unknown. Spark plans the joins."""
+    hashed = rows.withColumn("script_hash", integrity(F.col(content), 256))
+    allowed = allowed.select(F.col("hash").alias("__allowed")).distinct()
+    known = known.groupBy(F.col("hash").alias("__known")).agg(F.min("name").alias("script_name"))
+    joined = hashed.join(allowed, F.col("script_hash") == F.col("__allowed"), "left").join(known, F.col("script_hash") == F.col("__known"), "left")
+    status = F.when(F.col("__allowed").isNotNull(), "allowed").when(F.col("__known").isNotNull(), "known good").otherwise("unknown")
+    return joined.withColumn("script_status", status).withColumn("script_name", F.when(status == "known good", F.col("script_name"))).drop("__allowed", "__known")
+
+
+def stats(checked: DataFrame) -> DataFrame:
+    """script_status, n."""
+    return checked.groupBy("script_status").agg(F.count("*").alias("n"))

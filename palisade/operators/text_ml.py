@@ -25,6 +25,12 @@ def ngram_counts(rows: DataFrame, key: str, text: str, sizes=SIZES) -> DataFrame
     return rows.select(key, F.explode(ngrams(F.col(text), sizes)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n"))
 
 
+def by_frequency(counts: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """counts (key, ngram, n) with place: the commonest n-gram of each key first, of equals the first by text."""
+    placed = counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "ngram")))
+    return placed if n is None else placed.where(F.col("place") <= n)
+
+
 def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = SIMILAR) -> DataFrame:
     """Multiset Jaccard and cosine of the n-gram counts of left and right (key, ngram, n), for
     every pair whose Jaccard similarity reaches threshold.

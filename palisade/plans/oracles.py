@@ -11,7 +11,7 @@ from palisade.operators import intel, sensitive, supply_chain
 from palisade.operators.attack_payloads import PAYLOADS
 from palisade.operators.attack_phrases import PHRASES
 from palisade.operators.metrics import BUCKETS
-from palisade.plans.queries import ALIKE, SELECTION
+from palisade.plans.queries import ALIKE, PATCHED, SELECTION, SENSITIVE
 from palisade.rules import CATALOGUE, Rule, load, re2_pattern
 from palisade.rules.examples import example
 
@@ -249,6 +249,60 @@ UNION ALL SELECT event_id, 98353, 'q.' || f || '.' || name || '.currency', 'miss
 UNION ALL SELECT event_id, 98352, 'q.' || f || '.' || name || '.currency', 'currency' FROM j WHERE found AND currency AND NOT currency_needed
 """
 
+def _examples(texts) -> str:
+    """v: (doc_id, text), a page's address between two of texts."""
+    values = ", ".join(f"({k}, {_chars(x)})" for k, x in enumerate(texts))
+    return f"""x AS (SELECT * FROM (VALUES {values}) AS y(k, example)),
+      v AS (SELECT page_id AS doc_id, a.example || ' ' || url || ' ' || b.example AS text FROM pages JOIN x a ON page_id % {len(texts)} = a.k JOIN x b ON (page_id * 7 + 3) % {len(texts)} = b.k)"""
+
+
+_SCANNED = f"{_cards(95001, 'Credit Card', sensitive.CARD)} UNION ALL {_cards(95002, 'Credit Card (Formatted)', sensitive.CARD_SEPARATED)} UNION ALL {_SSN} UNION ALL {_KEYS} UNION ALL {_PRIVATE}"
+_MAILS = f"SELECT 95101, 'Bulk Email Exposure' FROM documents WHERE len(regexp_extract_all(text, {quoted(sensitive.EMAIL)})) >= 2"
+
+
+def _at(pattern: str) -> str:
+    """doc_id, found and the byte where it begins: what lies before is what is left when it and all behind it go."""
+    p = quoted(re2_pattern(pattern))
+    return f"""SELECT doc_id, unnest(m) AS found, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[:i], lambda y: strlen(y))) + coalesce(list_sum(list_transform(m[:i - 1], lambda y: strlen(y))), 0))) AS position
+      FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, string_split(regexp_replace(text, {p}, chr(1), 'g'), chr(1)) AS g FROM v)"""
+
+
+_DETAILED = " UNION ALL ".join(
+    [
+        f"SELECT doc_id, 'credit card' AS data_type, {_BRAND.format('found')} AS detail, position FROM ({_at(sensitive.CARD)}) WHERE {_LUHN.format('found')}",
+        f"""SELECT doc_id, 'social security number', '', position FROM (SELECT *, {_DIGITS.format("found")} AS d FROM ({_at(sensitive.SSN)}))
+          WHERE length(d) = 9 AND left(d, 3)::INT NOT IN (0, 666) AND left(d, 3)::INT < 900 AND substr(d, 4, 2) <> '00' AND substr(d, 6, 4) <> '0000'""",
+        *(f"SELECT doc_id, 'api key', {quoted(name)}, position FROM ({_at(pattern)})" for name, pattern in sensitive.API_KEYS),
+        *(f"SELECT doc_id, 'private key', '{kind}', strlen(left(text, position('{header}' IN text) - 1)) FROM v WHERE contains(text, '{header}')" for kind, header in sensitive.PRIVATE_KEYS),
+    ]
+)
+_BYTES = "list_transform(range(1, strlen({0}) + 1), lambda i: substr(hex(encode({0})), 2 * i - 1, 2))"
+_FEATURES = f"""
+WITH r AS (SELECT page_id, url, html, string_split(url, '?')[1] AS path, CASE WHEN position('?' IN url) > 0 THEN substr(url, position('?' IN url) + 1) END AS q, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
+b AS (SELECT page_id, 'q' AS part, unnest({_BYTES.format("q")}) AS x FROM r WHERE q IS NOT NULL UNION ALL SELECT page_id, 'b', unnest({_BYTES.format("html")}) FROM r),
+n AS (SELECT page_id, part, x, count(*) AS k, sum(count(*)) OVER (PARTITION BY page_id, part) AS n FROM b GROUP BY page_id, part, x),
+h AS (SELECT page_id, part, sum(-(k / n) * log2(k / n)) / 8 AS entropy, sum(k) FILTER (x BETWEEN '20' AND '7E') / any_value(n) AS printable FROM n GROUP BY page_id, part),
+t AS (SELECT page_id, path || ' ' || coalesce(q, '') || ' ' || html AS whole FROM r),
+c AS (SELECT page_id, ord(ch) % 16 AS bucket, count(*) AS k FROM (SELECT page_id, unnest(string_split(whole, '')) AS ch FROM t) WHERE ch <> '' GROUP BY ALL),
+f AS (
+  SELECT page_id, 0 AS i, strlen(path) / 1000 AS value FROM r
+  UNION ALL SELECT page_id, 1, (length(path) - length(replace(path, '/', ''))) / 10 FROM r
+  UNION ALL SELECT page_id, 2, contains(path, '..')::INT FROM r UNION ALL SELECT page_id, 3, contains(path, chr(39))::INT FROM r UNION ALL SELECT page_id, 4, contains(path, '<')::INT FROM r
+  UNION ALL SELECT page_id, 5, strlen(q) / 1000 FROM r WHERE q IS NOT NULL
+  UNION ALL SELECT page_id, 6, (length(q) - length(replace(q, '=', ''))) / 10 FROM r WHERE q IS NOT NULL
+  UNION ALL SELECT page_id, 7, (length(q) - length(replace(q, '&', ''))) / 10 FROM r WHERE q IS NOT NULL
+  UNION ALL SELECT page_id, 8, entropy FROM h WHERE part = 'q'
+  UNION ALL SELECT page_id, 9, 2 / 20 FROM r UNION ALL SELECT page_id, 10, 4 / 100 FROM r UNION ALL SELECT page_id, 11, strlen(host) / 1000 FROM r
+  UNION ALL SELECT page_id, 12, 11 / 100 FROM r UNION ALL SELECT page_id, 13, strlen(left(url, 20)) / 1000 FROM r
+  UNION ALL SELECT page_id, 30, strlen(html) / 10000 FROM r UNION ALL SELECT page_id, 31, entropy FROM h WHERE part = 'b' UNION ALL SELECT page_id, 32, printable FROM h WHERE part = 'b'
+  UNION ALL SELECT c.page_id, 33 + bucket, k / strlen(whole) FROM c JOIN t USING (page_id)
+)
+SELECT page_id, i::INT AS i, round(value::FLOAT::DOUBLE, 5) AS value FROM f WHERE round(value::FLOAT::DOUBLE, 5) <> 0
+"""
+_ORDER_VALUES = ", ".join(f"({1 + k / 10})" for k in range(1, 65))
+_DECISION = "CASE event_type WHEN 'error' THEN 'block' WHEN 'signup' THEN 'warn' ELSE 'allow' END"
+_HIT = "SELECT user_id, 942100 AS rule_id, 'SQL Injection' AS attack_type FROM events WHERE event_type IN ('error', 'signup') UNION ALL SELECT user_id, 941100, 'Cross-Site Scripting' FROM events WHERE event_type = 'error'"
+
 _HALF = (len(CATALOGUE) + 1) // 2
 _PAYLOADS = ", ".join(f"({k}, '{kind}', {_chars(text)})" for k, (kind, text) in enumerate((kind, text) for kind, texts in PAYLOADS.items() for text in texts))
 _VALUES = f"""a AS (SELECT * FROM (VALUES {_PAYLOADS}) AS x(k, kind, attack)),
@@ -296,6 +350,31 @@ ORACLES = {
     "card_brand_mask": f"SELECT doc_id, {_BRAND.format('found')} AS brand, '****-****-****-' || right(found, 4) AS masked FROM ({_every(LONG_NUMBER)}) WHERE {_LUHN.format('found')}",
     "email_bulk": f"SELECT * FROM (SELECT doc_id, len(regexp_extract_all(text, {quoted(sensitive.EMAIL)}))::INT AS n_emails FROM documents) WHERE n_emails >= 1",
     "sensitive_scan": f"SELECT rule_id, rule_name, count(*) AS n FROM ({_cards(95001, 'Credit Card', sensitive.CARD)} UNION ALL {_cards(95002, 'Credit Card (Formatted)', sensitive.CARD_SEPARATED)} UNION ALL {_SSN} UNION ALL {_KEYS} UNION ALL {_PRIVATE} UNION ALL {_MAIL}) GROUP BY ALL",
+    "sensitive_evidence": f"WITH {_examples(SENSITIVE)} SELECT rule_id, rule_name, count(*) AS n FROM ({_SCANNED} UNION ALL {_MAILS}) GROUP BY ALL".replace("FROM documents", "FROM v"),
+    "sensitive_detailed": f"WITH {_examples(SENSITIVE)} SELECT doc_id, data_type, detail, position::INT AS position FROM ({_DETAILED})",
+    "patch_evidence": f"WITH {_examples(PATCHED)} " + " UNION ALL ".join(
+        f"SELECT doc_id, {p.rule_id} AS rule_id, {intel.SEVERITY_BASE[p.severity]} AS base_score FROM v WHERE {' OR '.join(matched('text', x) for x in p.patterns)}" for p in intel.PATCHES
+    ),
+    "metrics_report": f"""WITH d AS ({_HIT}), e AS (SELECT {_DECISION} AS decision FROM events)
+      SELECT 'totals' AS section, 'requests' AS name, count(*) AS n FROM e UNION ALL SELECT 'totals', 'allowed', count(*) FROM e WHERE decision = 'allow'
+      UNION ALL SELECT 'totals', 'warned', count(*) FROM e WHERE decision = 'warn' UNION ALL SELECT 'totals', 'blocked', count(*) FROM e WHERE decision = 'block' UNION ALL SELECT 'totals', 'detections', count(*) FROM d
+      UNION ALL SELECT 'by_attack_type', attack_type, count(*) FROM d GROUP BY attack_type UNION ALL SELECT 'by_rule', rule_id::VARCHAR, count(*) FROM d GROUP BY rule_id
+      UNION ALL SELECT * FROM (SELECT 'top_offenders', user_id::VARCHAR, count(*) FROM d GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10)""",
+    "protocol_report": f"""WITH e AS (SELECT {_DECISION} AS decision, floor(value)::BIGINT AS ms FROM events)
+      SELECT 'waf_requests_total' AS name, 'counter' AS kind, count(*)::DOUBLE AS value FROM e UNION ALL SELECT 'waf_requests_allowed_total', 'counter', count(*) FROM e WHERE decision = 'allow'
+      UNION ALL SELECT 'waf_requests_warned_total', 'counter', count(*) FROM e WHERE decision = 'warn' UNION ALL SELECT 'waf_requests_blocked_total', 'counter', count(*) FROM e WHERE decision = 'block'
+      UNION ALL SELECT 'waf_latency_mean_ms', 'gauge', round(avg(ms), 6) FROM e UNION ALL SELECT 'waf_latency_max_ms', 'gauge', max(ms) FROM e""",
+    "credential_attempts": """WITH e AS (SELECT event_id AS o, user_id AS u, user_id % 7 AS ip, epoch_us(ts) // 100000 AS t, event_type <> 'purchase' AS failed FROM events WHERE event_type <> 'view'),
+      j AS (SELECT a.o, count(*) FILTER (b.ip = a.ip AND b.failed) AS i, count(*) FILTER (b.u = a.u AND b.failed) AS n
+        FROM e a JOIN e b ON a.ip = b.ip AND b.t > a.t - 300000 AND (b.t, b.o) <= (a.t, a.o) GROUP BY a.o)
+      SELECT o AS event_id, i AS ip_failures, n AS user_failures, CASE WHEN i >= 10 THEN 'ip' WHEN n >= 5 THEN 'user' ELSE 'none' END AS reason FROM j""",
+    "script_hashes": """WITH h AS (SELECT page_id, url, 'sha256-' || to_base64(unhex(sha256(html))) AS hash FROM pages),
+      k AS (SELECT hash, min(url) AS name FROM h WHERE contains(url, '/fr/') GROUP BY hash)
+      SELECT page_id, h.hash AS script_hash, CASE WHEN h.hash IN (SELECT hash FROM h WHERE starts_with(url, 'https://')) THEN 'allowed' WHEN k.hash IS NOT NULL THEN 'known good' ELSE 'unknown' END AS script_status,
+        CASE WHEN h.hash NOT IN (SELECT hash FROM h WHERE starts_with(url, 'https://')) THEN coalesce(name, '') ELSE '' END AS script_name FROM h LEFT JOIN k ON h.hash = k.hash""",
+    "federated_features": _FEATURES,
+    "renyi_epsilon": f"""WITH m AS (SELECT event_type, sum(power(1.0 / (value + 20), 2)) AS moment FROM events GROUP BY event_type), o(a) AS (VALUES {_ORDER_VALUES})
+      SELECT event_type, round(min(a * moment / 2 + ln(a - 1) / a - ln(a * 0.00001) / a), 6) AS epsilon FROM m, o GROUP BY event_type""",
     "latency_histogram": _HISTOGRAM,
     "prometheus_export": f"WITH h AS ({_HISTOGRAM}) {_LINES}",
     "percentile_nearest_rank": """WITH l AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL),

@@ -103,6 +103,102 @@ def sensitive_scan(spark, sf_dir):
     return found.groupBy(F.col("d.rule_id").alias("rule_id"), F.col("d.rule_name").alias("rule_name")).agg(F.count("*").alias("n"))
 
 
+#: A text for each kind of sensitive data, from the patterns themselves where those say it all.
+SENSITIVE = (
+    "4111111111111111", "5500000000000004", "340000000000009", "6011000000000004", "3530111333300000", "30000000000004", "4111-1111-1111-1111", "5500 0000 0000 0004",
+    "4111111111111112", "078-05-1120", "000-12-3456", "123 45 6789",
+    *(example(pattern) for _, pattern in sensitive.API_KEYS), *(header for _, header in sensitive.PRIVATE_KEYS), "one@example.org, two@example.org",
+)
+
+
+def _with_examples(spark, sf_dir, examples):
+    """doc_id, text: a page's address between two of the examples."""
+    known = [(k, x) for k, x in enumerate(examples)]
+    # A fixed few.
+    left, right = (F.broadcast(spark.createDataFrame(known, f"{k} int, {x} string")) for k, x in (("a", "first"), ("b", "second")))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    both = pages.join(left, F.col("page_id") % len(known) == F.col("a")).join(right, (F.col("page_id") * 7 + 3) % len(known) == F.col("b"))
+    return spread(both.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "first", "url", "second").alias("text")))
+
+
+def sensitive_evidence(spark, sf_dir):
+    """Every kind of sensitive data, on texts that hold two of them."""
+    found = _with_examples(spark, sf_dir, SENSITIVE).select(F.explode(sensitive.scan(F.col("text"), bulk=2)).alias("d"))
+    return found.groupBy(F.col("d.rule_id").alias("rule_id"), F.col("d.rule_name").alias("rule_name")).agg(F.count("*").alias("n"))
+
+
+def sensitive_detailed(spark, sf_dir):
+    rows = _with_examples(spark, sf_dir, SENSITIVE)
+    return rows.select("doc_id", F.explode(sensitive.scan_detailed(F.col("text"))).alias("m")).select("doc_id", "m.data_type", F.coalesce("m.detail", F.lit("")).alias("detail"), "m.position")
+
+
+PATCHED = tuple(example(pattern) for patch in intel.PATCHES for pattern in patch.patterns)
+
+
+def patch_evidence(spark, sf_dir):
+    """Every pattern of every patch, on texts written from them."""
+    found = _with_examples(spark, sf_dir, PATCHED).select("doc_id", F.explode(intel.patch_detections(F.col("text"), "query")).alias("d"))
+    return found.select("doc_id", F.col("d.rule_id").alias("rule_id"), F.col("d.base_score").alias("base_score"))
+
+
+def _decided(spark, sf_dir):
+    """Events as decided requests."""
+    kind = F.col("event_type")
+    decision = F.when(kind == "error", "block").when(kind == "signup", "warn").otherwise("allow")
+    found = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(t).alias("attack_type")) for i, t in ((942100, "SQL Injection"), (941100, "Cross-Site Scripting"))])
+    hits = F.when(kind == "error", found).when(kind == "signup", F.slice(found, 1, 1)).otherwise(F.slice(found, 1, 0))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", decision.alias("decision"), hits.alias("detections"), F.floor("value").cast("long").alias("ms"))
+
+
+def metrics_report(spark, sf_dir):
+    """The nested metrics document, section by section."""
+    one = metrics.report(_decided(spark, sf_dir), "decision", "ms", "detections", "user_id")
+    part = lambda section, rows: F.transform(rows, lambda x: F.struct(F.lit(section).alias("section"), x["name"].alias("name"), x["n"].alias("n")))
+    totals = F.array(*[F.struct(F.lit("totals").alias("section"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("requests", "allowed", "warned", "blocked", "detections")])
+    listed = [part(c, F.col(c)) for c in ("by_attack_type", "by_rule", "top_offenders")]
+    return one.select(F.explode(F.concat(totals, *listed)).alias("r")).select("r.*")
+
+
+def protocol_report(spark, sf_dir):
+    rows = metrics.protocol_report(_decided(spark, sf_dir), "decision", "ms")
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def credential_attempts(spark, sf_dir):
+    """Events as logins: their time runs a hundred times faster, some go elsewhere."""
+    events = table(spark, sf_dir, "events")
+    path = F.when(F.col("event_type") == "view", "/index").when(F.col("event_type") == "click", "/Login/form").otherwise("/api/auth")
+    rows = events.select(
+        "event_id", F.timestamp_millis(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000).cast("long")).alias("ts"), path.alias("path"),
+        (F.col("user_id") % 7).alias("ip"), "user_id", (F.col("event_type") == "purchase").alias("success"),
+    )
+    found = bots.credential_attempts(rows, "ts", "path", "ip", "user_id", "event_id")
+    return found.select("event_id", "ip_failures", "user_failures", F.coalesce("reason", F.lit("none")).alias("reason"))
+
+
+def script_hashes(spark, sf_dir):
+    """Pages as scripts: those from safe addresses are allowed, French ones are known."""
+    pages = table(spark, sf_dir, "pages")
+    hashed = pages.select("url", supply_chain.integrity(F.col("html"), 256).alias("hash"))
+    known = hashed.where(F.contains("url", F.lit("/fr/"))).select("hash", F.col("url").alias("name"))
+    found = supply_chain.script_hashes(pages.select("page_id", "html"), "html", hashed.where(F.startswith("url", F.lit("https://"))), known)
+    return found.select("page_id", "script_hash", "script_status", F.coalesce("script_name", F.lit("")).alias("script_name"))
+
+
+def federated_features(spark, sf_dir):
+    """The 256 features of every page as a request: its address, two headers and its text."""
+    path, query = split_uri(F.col("url"))
+    headers = F.array(F.struct(F.lit("Host").alias("name"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("value")), F.struct(F.lit("X-Long-Name").alias("name"), F.substring("url", 1, 20).alias("value")))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = pages.select("page_id", F.posexplode(federated.request_features(path, query, headers, F.encode("html", "UTF-8"))).alias("i", "value"))
+    return rows.select("page_id", "i", F.round(F.col("value").cast("double"), 5).alias("value")).where("value <> 0")
+
+
+def renyi_epsilon(spark, sf_dir):
+    rounds = table(spark, sf_dir, "events").select("event_type", (F.col("value") + 20).alias("sigma"), F.lit(1.0).alias("sensitivity"))
+    return federated.renyi_epsilon(rounds, "sigma", "sensitivity", 1e-5, "event_type").withColumn("epsilon", F.round("epsilon", 6))
+
+
 def latency_histogram(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("ms", F.floor("value").cast("long"))
     rows = metrics.histogram(events, "ms", "event_type")
@@ -462,7 +558,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         waf_decisions_pages, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
-        email_bulk, sensitive_scan, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
+        email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,

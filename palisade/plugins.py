@@ -12,11 +12,15 @@ from palisade.model import DETECTIONS
 from palisade.rules import Rule
 
 
+PHASES = ("pre-detection", "detection", "post-detection", "scoring")
+
+
 @dataclass(frozen=True)
 class Plugin:
     """detect(value, location) -> array<detection>; adjust(detections, score) -> signed Column.
 
-    Of a detector that says so, later detectors are skipped where it found something."""
+    Of a detector that says so, later detectors are skipped where it found something. Detectors
+    and adjustments count only if the plugin takes part in the detection and scoring phases."""
 
     name: str
     rules: tuple[Rule, ...] = ()
@@ -24,6 +28,11 @@ class Plugin:
     adjust: Callable[[Column, Column], Column] | None = None
     skip_remaining: bool = False
     enabled: bool = True
+    phases: tuple[str, ...] = ("detection", "scoring")
+
+    def __post_init__(self):
+        if unknown := set(self.phases) - set(PHASES):
+            raise ValueError(f"unknown phases: {sorted(unknown)}")
 
 
 @dataclass
@@ -43,13 +52,16 @@ class Registry:
     def active(self) -> list[Plugin]:
         return [p for p in self.plugins.values() if p.enabled]
 
+    def in_phase(self, phase: str) -> list[Plugin]:
+        return [p for p in self.active() if phase in p.phases]
+
     def rules(self) -> tuple[Rule, ...]:
         return tuple(rule for p in self.active() for rule in p.rules)
 
     def detections(self, value: Column, location: Column) -> Column:
         none = F.expr(f"cast(array() as {DETECTIONS})")
         found, stopped = none, F.lit(False)
-        for plugin in self.active():
+        for plugin in self.in_phase("detection"):
             if plugin.detect is None:
                 continue
             own = F.when(stopped, none).otherwise(F.coalesce(plugin.detect(value, location), none))
@@ -60,4 +72,4 @@ class Registry:
 
     def adjustment(self, detections: Column, score: Column) -> Column:
         """The sum of all adjustments; applying it to a score is up to the caller."""
-        return sum((p.adjust(detections, score) for p in self.active() if p.adjust), F.lit(0))
+        return sum((p.adjust(detections, score) for p in self.in_phase("scoring") if p.adjust), F.lit(0))
