@@ -7,11 +7,11 @@ import zlib
 
 from palisade.config import Config
 from palisade.model import ATTACK_TYPES, LOCATION_WEIGHTS, SEVERITY_WEIGHTS
-from palisade.operators import intel, sensitive, supply_chain
+from palisade.operators import api, bots, intel, sensitive, supply_chain
 from palisade.operators.attack_payloads import PAYLOADS
 from palisade.operators.attack_phrases import PHRASES
 from palisade.operators.metrics import BUCKETS
-from palisade.plans.queries import ALIKE, PATCHED, SELECTION, SENSITIVE
+from palisade.plans.queries import AGENTS, ALIKE, GRAPHQL_PARTS, JSON_VALUES, JWT_CLAIMS, JWT_HEADS, KEYS, PATCHED, POLICIES, SELECTION, SENSITIVE
 from palisade.rules import CATALOGUE, Rule, load, re2_pattern
 from palisade.rules.examples import example
 
@@ -303,6 +303,74 @@ _ORDER_VALUES = ", ".join(f"({1 + k / 10})" for k in range(1, 65))
 _DECISION = "CASE event_type WHEN 'error' THEN 'block' WHEN 'signup' THEN 'warn' ELSE 'allow' END"
 _HIT = "SELECT user_id, 942100 AS rule_id, 'SQL Injection' AS attack_type FROM events WHERE event_type IN ('error', 'signup') UNION ALL SELECT user_id, 941100, 'Cross-Site Scripting' FROM events WHERE event_type = 'error'"
 
+def _picked(texts, n: str) -> str:
+    return f"(CASE ({n}) % {len(texts)} {' '.join(f'WHEN {k} THEN ' + ('NULL' if x is None else _chars(x) or quoted('')) for k, x in enumerate(texts))} END)"
+
+
+_JSON_BODY = f"""'{{"' || {_picked(KEYS, 'event_id')} || '": ' || {_picked(JSON_VALUES, 'event_id * 3 + user_id')} || ', "k2" : ' || props || '}}'"""
+_DEPTH_STEPS = r"""list_transform(regexp_extract_all(regexp_replace(t, '"[^"]*"', '', 'g'), '[{}\[\]]'), lambda c: CASE WHEN c IN ('{', '[') THEN 1 ELSE -1 END)"""
+
+
+def _json_hit(pattern: str, rule_id: int, base: int) -> str:
+    p = quoted(re2_pattern(pattern))
+    return f"SELECT event_id, {rule_id} AS rule_id, {base} AS base_score, regexp_extract(t, {p}) AS matched FROM b WHERE regexp_matches(t, {p})"
+
+
+_GRAPHQL = (
+    f"""WITH b AS (SELECT event_id, CASE WHEN event_type = 'view' THEN '[' ELSE 'query q ' END || repeat('{{ user ', (user_id % 13)::INT) || {_picked(GRAPHQL_PARTS, 'event_id')} || repeat(' }}', (user_id % 13)::INT) AS t FROM events),
+  s AS (SELECT event_id, list_transform(regexp_extract_all(t, '[{{}}]'), lambda c: CASE WHEN c = '{{' THEN 1 ELSE -1 END) AS s FROM b),
+  d AS (SELECT event_id, coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0)::INT AS depth FROM s),
+  w AS (SELECT event_id, len(list_filter(regexp_extract_all(regexp_replace(t, '"[^"]*("|$)', '', 'g') || chr(1), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x NOT IN ({", ".join(map(quoted, api.KEYWORDS))})))
+    - regexp_matches(regexp_replace(t, '"[^"]*("|$)', '', 'g'), '[\\p{{L}}\\p{{N}}_]$')::INT AS n FROM b),
+  o AS (SELECT event_id, CASE WHEN starts_with(trim(t), '[') THEN len(regexp_extract_all(t, '"query"')) ELSE 0 END AS batch, len(regexp_extract_all(t, {quoted(api.OPERATION)})) AS ops FROM b),
+  a AS (SELECT event_id, t, unnest(regexp_extract_all(t, '@\\w+')) AS x FROM b)
+  SELECT event_id, 98001 AS rule_id, regexp_extract(t, {quoted(api.INTROSPECTION)}) AS matched FROM b WHERE regexp_matches(t, {quoted(api.INTROSPECTION)})
+  UNION ALL SELECT event_id, 98002, 'depth=' || depth || ' (max=10)' FROM d WHERE depth > 10
+  UNION ALL SELECT event_id, 98003, 'fields=' || n || ' (max=100)' FROM w WHERE n > 100
+  UNION ALL SELECT event_id, 98004, CASE WHEN batch > 10 THEN 'batch_size=' || batch ELSE 'operations=' || ops END || ' (max=10)' FROM o WHERE batch > 10 OR ops > 10
+  UNION ALL SELECT event_id, 98005, x || ' (count=' || k || ')' FROM (SELECT *, (length(t) - length(replace(t, x, ''))) // length(x) AS k FROM a WHERE lower(x) IN ({", ".join(quoted(x.lower()) for x in api.DIRECTIVES)})) WHERE k > 5"""
+    + "".join(f" UNION ALL SELECT event_id, 98010, regexp_extract(t, {quoted(p)}) FROM b WHERE regexp_matches(t, {quoted(p)})" for p, _ in api.GRAPHQL_INJECTIONS)
+)
+
+
+def _url64(text: str) -> str:
+    return f"replace(translate(to_base64(encode({text})), '+/', '-_'), '=', '')"
+
+
+def _part(place: int) -> str:
+    part = f"translate(string_split(token, '.')[{place}], '-_', '+/')"
+    return f"try(decode(from_base64({part} || repeat('=', ((4 - length({part}) % 4) % 4)::INT))))"
+
+
+def _holds(value: str, texts) -> str:
+    return "(" + " OR ".join(f"contains({value}, {quoted(t)})" for t in texts) + ")"
+
+
+_spelled = lambda *names: [x for n in names for x in (f'"alg":"{n}"', f'"alg": "{n}"')]
+_CLAIMS = f"""'{{"sub":"' || user_id || '",' || {_picked(JWT_CLAIMS, 'user_id + event_id')} || CASE WHEN event_id % 2 = 0 THEN '"exp":' ELSE '"exp": ' END || (event_id + 1700000000) || '}}'"""
+_JWT = f"""WITH t AS (SELECT event_id, props, {_url64(_picked(JWT_HEADS, 'event_id'))} || '.' || {_url64(_CLAIMS)} || CASE WHEN event_id % 11 = 4 THEN '' ELSE '.c2ln' END AS token FROM events),
+  h AS (SELECT event_id, CASE event_id % 5 WHEN 3 THEN ' ' || token WHEN 4 THEN 'Basic ' || props ELSE 'Bearer ' || token END AS header FROM t),
+  k AS (SELECT event_id, CASE WHEN starts_with(header, 'Bearer ') THEN trim(substr(header, 8)) WHEN regexp_matches(header, {quoted(api.TOKEN)}) THEN trim(header) END AS token FROM h),
+  d AS (SELECT event_id, {_part(1)} AS head, {_part(2)} AS claims FROM k WHERE len(string_split(token, '.')) = 3)
+  SELECT event_id, 98200 AS rule_id FROM d WHERE {_holds("head", api.NO_ALGORITHM)}
+  UNION ALL SELECT event_id, 98201 FROM d WHERE {_holds("head", _spelled(*api.WEAK_ALGORITHMS))}
+  UNION ALL SELECT event_id, 98202 FROM d WHERE NOT {_holds("head", _spelled("RS256", "HS256"))}
+  {"".join(f"UNION ALL SELECT event_id, 98203 FROM d WHERE contains(claims, {quoted(t)}) " for t, _ in api.SUSPICIOUS_CLAIMS)}
+  UNION ALL SELECT event_id, 98204 FROM d WHERE regexp_extract(claims, '"exp": ?([0-9]+)', 1)::BIGINT < 1700000500
+  UNION ALL SELECT event_id, 98205 FROM d WHERE {_holds("lower(claims)", api.CLAIM_INJECTIONS)}"""
+
+_BOTS = f"""WITH a AS (SELECT event_id, user_id AS u, {_picked(AGENTS, 'event_id')} AS ua,
+    CASE event_id % 4 WHEN 0 THEN {_picked([p for p, _ in bots.BAD_TLS], 'user_id')} WHEN 1 THEN md5(props) END AS tls FROM events),
+  k AS (SELECT *, CASE {" ".join(f"WHEN contains(lower(ua), '{p}') THEN 'good:0'" for p, _ in bots.GOOD_BOTS)} {" ".join(f"WHEN contains(lower(ua), '{p}') THEN 'bad:{n}'" for p, _, n in bots.BAD_BOTS)}
+    {" ".join("WHEN " + matched("ua", p.replace(chr(92) + "z", "$")) + f" THEN 'suspicious:{n}'" for p, _, n in bots.SUSPICIOUS)} ELSE 'unknown:0' END AS c FROM a),
+  m AS (SELECT *, regexp_matches(lower(coalesce(ua, '')), '{"|".join(bots.BROWSERS)}') AS browser, tls IN ({", ".join(quoted(p) for p, _ in bots.BAD_TLS)}) AS tool FROM k),
+  s AS (SELECT *, [CASE WHEN u % 2 <> 0 THEN 15 END, CASE WHEN u % 3 = 0 THEN 10 END, CASE WHEN browser AND u % 5 <= 1 THEN 20 END, CASE WHEN browser AND u % 7 <= 3 THEN 10 END] AS odd FROM m),
+  f AS (SELECT *, list_filter(odd, lambda x: x IS NOT NULL) AS o, CASE WHEN ua IS NULL THEN 40 WHEN trim(ua) = '' THEN 30 ELSE split_part(c, ':', 2)::INT END AS base FROM s),
+  r AS (SELECT *, starts_with(c, 'good') AS good, least(255, base + coalesce(list_sum(o), 0) + CASE WHEN coalesce(tool, false) THEN 50 ELSE 0 END)::INT AS conf,
+    array_to_string(list_filter([CASE WHEN ua IS NULL THEN '97004' END, CASE WHEN trim(ua) = '' THEN '97003' END, CASE WHEN starts_with(c, 'bad') THEN '97001' END, CASE WHEN starts_with(c, 'suspicious') THEN '97002' END]
+      || list_transform(o, lambda x: '97100') || [CASE WHEN tool THEN '97102' END], lambda x: x IS NOT NULL), ',') AS ids FROM f)
+  SELECT event_id, CASE WHEN good THEN 'good-bot' WHEN conf >= 70 THEN 'bad-bot' WHEN conf >= 30 THEN 'unknown' ELSE 'human' END AS bot_class, CASE WHEN good THEN 0 ELSE conf END AS confidence, CASE WHEN good THEN '' ELSE ids END AS rule_ids FROM r"""
+
 _HALF = (len(CATALOGUE) + 1) // 2
 _PAYLOADS = ", ".join(f"({k}, '{kind}', {_chars(text)})" for k, (kind, text) in enumerate((kind, text) for kind, texts in PAYLOADS.items() for text in texts))
 _VALUES = f"""a AS (SELECT * FROM (VALUES {_PAYLOADS}) AS x(k, kind, attack)),
@@ -403,13 +471,12 @@ ORACLES = {
         UNION ALL SELECT page_id, unnest(regexp_extract_all(body, {quoted(supply_chain.INLINE_SCRIPT)}, 1)) FROM b)
       SELECT page_id, rule_name, count(*) AS n FROM ({_SCRIPTS}) GROUP BY page_id, rule_name""",
     "sri_sha": "SELECT page_id, 'sha256-' || to_base64(unhex(sha256(html))) AS sha256 FROM pages",
-    "csp_issues": """WITH p AS (SELECT page_id % 4 AS k FROM pages), x AS (
-      SELECT 'Allows scripts from any source' AS issue, 'Critical' AS severity FROM p WHERE k = 0
-      UNION ALL SELECT 'Contains ''unsafe-inline'' which allows inline scripts', 'Medium' FROM p WHERE k = 1
-      UNION ALL SELECT 'Contains ''unsafe-eval'' which allows eval()', 'High' FROM p WHERE k = 1
-      UNION ALL SELECT 'Missing script-src directive', 'Medium' FROM p WHERE k = 2
-      UNION ALL SELECT 'Allows resources from any source', 'High' FROM p WHERE k = 3)
-      SELECT issue, severity, count(*) AS n FROM x GROUP BY ALL""",
+    "csp_issues": f"""WITH p AS (SELECT page_id, {_picked(POLICIES, "page_id")} AS t FROM pages)
+      SELECT page_id, 'script-src' AS directive, 'Contains ''unsafe-inline'' which allows inline scripts' AS issue, 'Medium' AS severity FROM p WHERE contains(t, {quoted("'unsafe-inline'")})
+      UNION ALL SELECT page_id, 'script-src', 'Contains ''unsafe-eval'' which allows eval()', 'High' FROM p WHERE contains(t, {quoted("'unsafe-eval'")})
+      UNION ALL SELECT page_id, 'script-src', 'Allows scripts from any source', 'Critical' FROM p WHERE contains(t, 'script-src *') OR contains(t, 'script-src ''self'' *')
+      UNION ALL SELECT page_id, 'default-src', 'Allows resources from any source', 'High' FROM p WHERE contains(t, 'default-src *')
+      UNION ALL SELECT page_id, 'script-src', 'Missing script-src directive', 'Medium' FROM p WHERE NOT contains(t, 'script-src') AND NOT contains(t, 'default-src')""",
     "ngram_counts": f"WITH {_grams('g', 'item_id', 'benchmark')} SELECT item_id, ngram, n FROM g",
     "jaccard_similarity": f"""WITH {_grams('r', 'item_id', 'benchmark')}, {_grams('l', 'turn_id', "(SELECT conv_id || ':' || turn AS turn_id, text FROM conversations)")},
       ls AS (SELECT turn_id, sum(n)::BIGINT AS s, sqrt(sum(n * n)::DOUBLE) AS z FROM l GROUP BY turn_id),
@@ -460,18 +527,13 @@ ORACLES = {
     "json_depth": """WITH b AS (SELECT event_id, regexp_replace(repeat('{"a]{":[', (event_id % 14)::INT) || props || repeat(']}', (event_id % 14)::INT), '"[^"]*"', '', 'g') AS t FROM events),
       k AS (SELECT event_id, list_transform(regexp_extract_all(t, '[{}\\[\\]]'), lambda c: CASE WHEN c IN ('{', '[') THEN 1 ELSE -1 END) AS s FROM b)
       SELECT event_id, coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0)::INT AS depth FROM k""",
-    "json_inspection": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 98100 WHEN 1 THEN 98101 ELSE 98102 END AS rule_id,
-      CASE event_id % 6 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 3 END AS base_score FROM events WHERE event_id % 6 <> 4""",
-    "graphql_inspection": """SELECT event_id, 98001 AS rule_id, '__typename' AS matched FROM events WHERE event_type = 'view'
-      UNION ALL SELECT event_id, 98002, 'depth=' || (event_id % 13) || ' (max=10)' FROM events WHERE event_id % 13 > 10""",
+    "json_inspection": f"WITH b AS (SELECT event_id, {_JSON_BODY} AS t FROM events), k AS (SELECT event_id, {_DEPTH_STEPS} AS s FROM b), " + "j AS (SELECT event_id, coalesce(list_max(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))), 0)::INT AS depth FROM k) "
+    + " UNION ALL ".join(_json_hit(x, i, base) for x, i, base in [*((rf'"\${op}"\s*:', 98100, 8) for op in api.NOSQL_OPERATORS), *((x, 98101, 9) for x in api.PROTOTYPES), *((x, 98102, base) for x, _, base in api.SUSPICIOUS_KEYS)])
+    + " UNION ALL SELECT event_id, 98103, 6, 'depth=' || depth || ' (max=20)' FROM j WHERE depth > 20",
+    "graphql_inspection": _GRAPHQL,
     "openapi_validation": OPENAPI_VALIDATION,
     "graphql_validation": GRAPHQL_VALIDATION,
-    "jwt_inspection": """SELECT event_id, 98200 AS rule_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 98201 FROM events WHERE event_id % 3 <> 0
-      UNION ALL SELECT event_id, 98203 FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 98204 FROM events WHERE event_id < 500""",
-    "bot_classes": """WITH a(k, base, ids) AS (VALUES (0, 0, ''), (1, 90, '97001'), (2, 20, '97002'), (3, 30, '97100,97100'), (4, 30, '97003'), (5, 40, '97004')),
-      c AS (SELECT event_id, k, CASE WHEN k = 0 THEN 0 ELSE base + CASE WHEN event_type = 'error' THEN 50 ELSE 0 END END AS confidence,
-        CASE WHEN k > 0 AND event_type = 'error' THEN ids || ',97102' ELSE ids END AS rule_ids FROM events JOIN a ON event_id % 6 = k)
-      SELECT event_id, CASE WHEN k = 0 THEN 'good-bot' WHEN confidence >= 70 THEN 'bad-bot' WHEN confidence >= 30 THEN 'unknown' ELSE 'human' END AS bot_class,
-        confidence::INT AS confidence, rule_ids FROM c""",
+    "jwt_inspection": _JWT,
+    "bot_classes": _BOTS,
     "ml_classify": _CLASSIFY,
 }

@@ -287,11 +287,20 @@ def sri_sha(spark, sf_dir):
     return pages.select("page_id", supply_chain.integrity(F.col("html"), 256).alias("sha256"))
 
 
+POLICIES = (
+    "script-src *", "default-src 'self'; script-src 'unsafe-inline' 'unsafe-eval'", "img-src *", "default-src *", "script-src 'self' *; default-src *",
+    "default-src 'none'", "style-src 'unsafe-inline'", "script-src 'self' 'unsafe-eval'", "",
+)
+
+
+def _one_of(texts, n):
+    return F.element_at(F.array(*[F.lit(x) for x in texts]), (n % len(texts) + 1).cast("int"))
+
+
 def csp_issues(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    policy = F.element_at(F.array(*[F.lit(p) for p in ("script-src *", "default-src 'self'; script-src 'unsafe-inline' 'unsafe-eval'", "img-src *", "default-src *")]), (F.col("page_id") % 4 + 1).cast("int"))
-    found = pages.select("page_id", F.explode(supply_chain.policy_issues(policy)).alias("x"))
-    return found.groupBy(F.col("x.issue").alias("issue"), F.col("x.severity").alias("severity")).agg(F.count("*").alias("n"))
+    found = pages.select("page_id", F.explode(supply_chain.policy_issues(_one_of(POLICIES, F.col("page_id")))).alias("x"))
+    return found.select("page_id", F.col("x.directive").alias("directive"), F.col("x.issue").alias("issue"), F.col("x.severity").alias("severity"))
 
 
 def ngram_counts(spark, sf_dir):
@@ -455,29 +464,36 @@ def json_depth(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", api.json_depth(body).alias("depth"))
 
 
+#: Every key that JSON inspection knows, and some that it does not.
+KEYS = (
+    *(f"${x}" for x in api.NOSQL_OPERATORS), "__proto__", "constructor", "prototype", "isAdmin", "is_admin", "admin", "role", "permissions", "privileges", "password",
+    "password_hash", "api_key", "secret", "internal", "_id", "id", "name", "admins", "$", "$Where",
+)
+JSON_VALUES = ("true", '"admin"', '{"x": "$ne"}', "1", "[[[[[[[[[[[[[[[[[[[[[0]]]]]]]]]]]]]]]]]]]]]")
+
+
 def json_inspection(spark, sf_dir):
-    key = F.element_at(F.array(*[F.lit(k) for k in ("$ne", "__proto__", "isAdmin", "password", "name", "_id")]), (F.col("event_id") % 6 + 1).cast("int"))
-    body = F.concat(F.lit('{"'), key, F.lit('": '), F.col("props"), F.lit("}"))
+    """Event properties beside a key and a value by the event's number."""
+    n = F.col("event_id")
+    body = F.concat(F.lit('{"'), _one_of(KEYS, n), F.lit('": '), _one_of(JSON_VALUES, n * 3 + F.col("user_id")), F.lit(', "k2" : '), F.col("props"), F.lit("}"))
     found = table(spark, sf_dir, "events").select("event_id", F.explode(api.json_detections(body)).alias("d"))
-    return found.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.base_score").alias("base_score"))
+    return found.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.base_score").alias("base_score"), F.col("d.matched_value").alias("matched"))
+
+
+GRAPHQL_PARTS = (
+    "name", "__typename", "__schema { types }", "@include @include @INCLUDE @include @include @include @include", "@skip(if: $a) name", '" ; DROP TABLE', '"x<script"', "${{ 1 }}", "$where : 1", "$regex: 1",
+    "query a { b } " * 12, '{"query": 1}, ' * 11, "f1 " * 95, 'f2 "quoted words" ' * 60,
+)
 
 
 def graphql_inspection(spark, sf_dir):
-    n = (F.col("event_id") % 13).cast("int")
-    body = F.concat(F.lit("query q "), F.repeat(F.lit("{ user "), n), F.when(F.col("event_type") == "view", "__typename ").otherwise("name "), F.repeat(F.lit("} "), n))
+    """Nested queries, as deep as an event's user and with a part by its number."""
+    n, part = (F.col("user_id") % 13).cast("int"), _one_of(GRAPHQL_PARTS, F.col("event_id"))
+    body = F.concat(F.when(F.col("event_type") == "view", "[").otherwise("query q "), F.repeat(F.lit("{ user "), n), part, F.repeat(F.lit(" }"), n))
     found = table(spark, sf_dir, "events").select("event_id", F.explode(api.graphql_detections(body)).alias("d"))
     return found.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.matched_value").alias("matched"))
 
 
-def jwt_inspection(spark, sf_dir):
-    url64 = lambda c: F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), "=", "")
-    head = F.when(F.col("event_id") % 3 == 0, '{"alg":"none"}').otherwise('{"alg":"HS256"}')
-    claims = F.concat(F.lit('{"sub":"'), F.col("user_id").cast("string"), F.when(F.col("event_type") == "error", '","admin":true,"exp":').otherwise('","exp":'), (F.lit(1_700_000_000) + F.col("event_id")).cast("string"), F.lit("}"))
-    header = F.concat(F.lit("Bearer "), url64(head), F.lit("."), url64(claims), F.lit(".c2ln"))
-    found = table(spark, sf_dir, "events").select("event_id", F.explode(api.jwt_detections(header, now=1_700_000_500, weak=True)).alias("d"))
-    return found.select("event_id", F.col("d.rule_id").alias("rule_id"))
-
-
 #: A document with fixed segments beside parameters, and a method that only the latter have.
 OPENAPI = {
     "paths": {
@@ -538,12 +554,36 @@ def graphql_validation(spark, sf_dir):
     return rows.select("event_id", F.col("d.rule_id").alias("rule_id"), F.col("d.location").alias("location"), F.col("d.matched_value").alias("matched"))
 
 
+JWT_HEADS = ('{"alg":"none"}', '{"alg":"HS256"}', '{"typ":"JWT","alg": "HS512"}', '{"alg":"RS256"}', '{"alg": "none"}', '{"alg":"None"}', '{"alg":"nOnE"}', "{é")
+JWT_CLAIMS = ("", '"admin":true,', '"role": "admin",', '"is_admin":true,"isAdmin":true,', '"n":"<Script>",', """"n":"' OR 1",""", '"n":"; drop x",', '"admin":false,')
+
+
+def jwt_inspection(spark, sf_dir):
+    """Tokens by the event's number and user; some are cut, or no tokens."""
+    n = F.col("event_id")
+    url64 = lambda c: F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/\r\n", "-_"), "=", "")
+    claims = F.concat(F.lit('{"sub":"'), F.col("user_id").cast("string"), F.lit('",'), _one_of(JWT_CLAIMS, F.col("user_id") + n), F.when(n % 2 == 0, '"exp":').otherwise('"exp": '), (n + 1_700_000_000).cast("string"), F.lit("}"))
+    token = F.concat(url64(_one_of(JWT_HEADS, n)), F.lit("."), url64(claims), F.when(n % 11 == 4, "").otherwise(".c2ln"))
+    header = F.when(n % 5 == 3, F.concat(F.lit(" "), token)).when(n % 5 == 4, F.concat(F.lit("Basic "), "props")).otherwise(F.concat(F.lit("Bearer "), token))
+    found = table(spark, sf_dir, "events").select("event_id", F.explode(api.jwt_detections(header, now=1_700_000_500, weak=True, allowed=("RS256", "HS256"))).alias("d"))
+    return found.select("event_id", F.col("d.rule_id").alias("rule_id"))
+
+
+AGENTS = (
+    *(f"Some {p.title()}/2.1" for p, _ in bots.GOOD_BOTS), *(f"x {p.upper()} 1.0" for p, *_ in bots.BAD_BOTS), "curl/8.0", "Mozilla/5.0 (X11) Chrome/120.0 Safari", "Mozilla/5.0", "", "  ", None,
+    "Wget/1.2", "python-requests/2.0", "my-spider", "Firefox",
+)
+
+
 def bot_classes(spark, sf_dir):
-    agents = ("Googlebot/2.1", "sqlmap/1.0", "curl/8.0", "Mozilla/5.0 (X11) Chrome/120.0", "")
-    agent = F.when(F.col("event_id") % 6 < 5, F.element_at(F.array(*[F.lit(a) for a in agents]), F.least(F.col("event_id") % 6 + 1, F.lit(5)).cast("int")))
-    headers = F.create_map(F.lit("Accept"), F.array(F.lit("*/*")), F.lit("accept-language"), F.array(F.lit("en")))
-    tls = F.when(F.col("event_type") == "error", "6734f37431670b3ab4292b8f60f29984")
-    rows = table(spark, sf_dir, "events").select("event_id", agent.alias("user_agent"), headers.alias("headers"), tls.alias("tls_fingerprint"))
+    """Every signature as a user agent, with more and fewer headers and some TLS fingerprints."""
+    n, user = F.col("event_id"), F.col("user_id")
+    headers = F.map_filter(
+        F.create_map(*[x for name in ("Accept", "accept-language", "Accept-Encoding", "Connection") for x in (F.lit(name), F.array(F.lit("x")))]),
+        lambda name, _: ((name == "Accept") & (user % 2 == 0)) | ((name == "accept-language") & (user % 3 > 0)) | ((name == "Accept-Encoding") & (user % 5 > 1)) | ((name == "Connection") & (user % 7 > 3)),
+    )
+    tls = F.when(n % 4 == 0, _one_of([p for p, _ in bots.BAD_TLS], user)).when(n % 4 == 1, F.md5("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", _one_of(AGENTS, n).alias("user_agent"), headers.alias("headers"), tls.alias("tls_fingerprint"))
     found = bots.classify(rows)
     ids = F.array_join(F.transform("detections", lambda d: d["rule_id"].cast("string")), ",")
     return found.select("event_id", "bot_class", "confidence", ids.alias("rule_ids"))
