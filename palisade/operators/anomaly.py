@@ -45,7 +45,7 @@ def fingerprint(requests: DataFrame, method: str, query: str, headers: str) -> D
         "*",
         F.when(upper.isin(*METHODS), upper).otherwise("OTHER").alias("method_class"),
         content_type(F.get(given, 0)).alias("content_class"),
-        F.coalesce(F.least(F.size(headers), F.lit(255)), F.lit(0)).alias("header_count"),
+        F.least(F.coalesce(F.size(headers), F.lit(0)), F.lit(255)).alias("header_count"),
         F.coalesce(F.transform(F.sort_array(F.map_keys(headers)), lambda n: F.lower(n)), F.expr("cast(array() as array<string>)")).alias("header_names"),
         F.when(text == "", 0).otherwise(F.least(F.regexp_count(text, F.lit("&")) + 1, F.lit(255))).alias("parameters"),
         F.round(entropy(text), 9).alias("query_entropy"),
