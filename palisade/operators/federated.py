@@ -95,7 +95,7 @@ def local_gradient(samples: DataFrame, weights: list[float], features: str, labe
     w = F.array(*[F.lit(float(x)) for x in weights])
     dot = F.aggregate(F.zip_with(w, F.col(features), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     error = (1 / (1 + F.exp(-dot)) - F.col(label) / 255) * F.col(confidence)
-    return samples.select(error.alias("e_"), F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg(F.col("e_") * F.col("x")).alias("value"))
+    return samples.select(error.alias("error"), F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.avg(F.col("error") * F.col("x")).alias("value"))
 
 
 def gaussian_sigma(sensitivity: float, epsilon: float, delta: float) -> float:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import fresh
 from palisade.model import DETECTIONS, detection, only
 from palisade.rules import java_pattern
 
@@ -32,27 +33,28 @@ INDICATORS = {
 SEVERITY_BASE = {"Critical": 10, "High": 8, "Medium": 5, "Low": 3, "Info": 1}
 
 
-def _listed(rows: DataFrame, key: str, lists: DataFrame) -> DataFrame:
-    """rows with lists_: the names of the lists (key, list) that hold the key. Spark picks
-    the join; dimension tables are as large as their feeds."""
-    by_key = lists.groupBy(F.col("key").alias("key_")).agg(F.collect_set("list").alias("lists_"))
-    return rows.join(by_key, F.col(key) == F.col("key_"), "left").drop("key_")
+def _listed(rows: DataFrame, key: str, lists: DataFrame, into: str) -> DataFrame:
+    """rows with, as column `into`, the names of the lists (key, list) that hold the key. Spark
+    picks the join; dimension tables are as large as their feeds."""
+    (at,) = fresh(rows, "__listed")
+    by_key = lists.groupBy(F.col("key").alias(at)).agg(F.collect_set("list").alias(into))
+    return rows.join(by_key, F.col(key) == F.col(at), "left").drop(at)
 
 
 def _check(rows: DataFrame, key: str, reputation: DataFrame, lists: DataFrame, table: dict, first: tuple, location: str, lower: bool) -> DataFrame:
     """reputation: key, score, category; lists: key, list. A key is in reputation once."""
-    lookup = "lookup_"
+    lookup, at, score, category, listed = fresh(rows, "__lookup", "__key", "__score", "__category", "__lists")
     rows = rows.withColumn(lookup, F.lower(key) if lower else F.col(key))
-    known = reputation.select(F.col("key").alias("rkey_"), F.col("score").alias("rscore_"), F.col("category").alias("rcategory_"))
-    rows = _listed(rows.join(known, F.col(lookup) == F.col("rkey_"), "left"), lookup, lists)
+    known = reputation.select(F.col("key").alias(at), F.col("score").alias(score), F.col("category").alias(category))
+    rows = _listed(rows.join(known, F.col(lookup) == F.col(at), "left"), lookup, lists, listed)
     rule_id, name, tags = first
-    bad = detection(rule_id, F.concat(F.lit(name), F.col("rcategory_")), "Reconnaissance", F.col(key), location, F.floor(F.col("rscore_") / 10), tags)
+    bad = detection(rule_id, F.concat(F.lit(name), F.col(category)), "Reconnaissance", F.col(key), location, F.floor(F.col(score) / 10), tags)
     member = [
-        F.when(F.array_contains("lists_", which), detection(i, n, "Reconnaissance", F.col(key), location, base, t))
+        F.when(F.array_contains(listed, which), detection(i, n, "Reconnaissance", F.col(key), location, base, t))
         for which, (i, n, base, t) in table.items()
     ]
-    found = only(F.when(F.col("rscore_") >= LOG_THRESHOLD, bad), *member)
-    return rows.withColumn("detections", found).drop(lookup, "rkey_", "rscore_", "rcategory_", "lists_")
+    found = only(F.when(F.col(score) >= LOG_THRESHOLD, bad), *member)
+    return rows.withColumn("detections", found).drop(lookup, at, score, category, listed)
 
 
 def check_ips(rows: DataFrame, key: str, reputation: DataFrame, lists: DataFrame) -> DataFrame:
@@ -66,9 +68,10 @@ def check_domains(rows: DataFrame, key: str, reputation: DataFrame, lists: DataF
 def check_indicators(rows: DataFrame, key: str, kind: str, indicators: DataFrame) -> DataFrame:
     """kind: url or hash; exact and case-sensitive."""
     rule_id, name, base, tags, location = INDICATORS[kind]
-    known = indicators.select(F.col("key").alias("ikey_")).distinct()
-    found = only(F.when(F.col("ikey_").isNotNull(), detection(rule_id, name, "Reconnaissance", F.col(key), location, base, tags)))
-    return rows.join(known, F.col(key) == F.col("ikey_"), "left").withColumn("detections", found).drop("ikey_")
+    (at,) = fresh(rows, "__key")
+    known = indicators.select(F.col("key").alias(at)).distinct()
+    found = only(F.when(F.col(at).isNotNull(), detection(rule_id, name, "Reconnaissance", F.col(key), location, base, tags)))
+    return rows.join(known, F.col(key) == F.col(at), "left").withColumn("detections", found).drop(at)
 
 
 def composite_reputation(ip: Column, domain: Column, behaviour: Column) -> Column:

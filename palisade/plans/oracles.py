@@ -404,6 +404,15 @@ _TOLD = f"""p AS (SELECT kind, m, lower(t) AS t FROM (VALUES {_PHRASES}) AS v(ki
 
 ORACLES = {
     "waf_decisions_pages": WAF_DECISIONS,
+    "header_decisions": f"""WITH x AS (SELECT * FROM (VALUES {_PAYLOADS}) AS x(k, kind, attack)),
+      r AS (SELECT page_id, attack, url, '*/*' AS accept, 'curl/8' AS tool, string_split(url, '?')[1] AS path, CASE WHEN position('?' IN url) > 0 THEN substr(url, position('?' IN url) + 1) END AS query
+        FROM pages JOIN x ON page_id % (SELECT count(*) FROM x) = k),
+      found AS (SELECT 0 AS place, * FROM ({hits("r", "page_id", "path", PL2, "path")}) UNION ALL SELECT 1, * FROM ({hits("r", "page_id", "query", PL2, "query")})
+        UNION ALL SELECT 2, * FROM ({hits("r", "page_id", "accept", PL2, "header")}) UNION ALL SELECT 3, * FROM ({hits("r", "page_id", "url", PL2, "header")})
+        UNION ALL SELECT 4, * FROM ({hits("r", "page_id", "attack", PL2, "header")}) UNION ALL SELECT 5, * FROM ({hits("r", "page_id", "tool", PL2, "header")})),
+      s AS (SELECT page_id, sum(score)::INT AS score, string_agg(rule_id::VARCHAR, ',' ORDER BY place, ord) AS ids FROM found GROUP BY page_id),
+      d AS (SELECT page_id, coalesce(score, 0) AS score, ids, CASE WHEN score >= 25 THEN 'block' WHEN score >= 10 THEN 'warn' ELSE 'allow' END AS decision FROM pages LEFT JOIN s USING (page_id))
+      SELECT page_id, decision, score, CASE WHEN decision = 'block' THEN 403 ELSE 0 END AS status, CASE WHEN decision <> 'allow' THEN ids ELSE '' END AS rules_header, CASE WHEN decision <> 'allow' THEN score::VARCHAR ELSE '' END AS score_header FROM d""",
     "rule_hits_by_family": f"SELECT attack_type, rule_id, count(*) AS n FROM ({hits('documents', 'doc_id', 'text', CATALOGUE)}) GROUP BY ALL",
     "score_by_attack_type": f"SELECT conv_id, attack_type, sum(score)::BIGINT AS score, count(*) AS n FROM ({hits('conversations', 'conv_id', 'text', PL2)}) GROUP BY conv_id, attack_type",
     "rule_selector_filter": f"SELECT rule_id, count(*) AS n FROM ({hits('pages', 'page_id', 'html', SELECTED)}) GROUP BY rule_id",

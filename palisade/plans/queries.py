@@ -37,6 +37,22 @@ def waf_decisions_pages(spark, sf_dir):
     return rows.select("page_id", "decision", "score", ids.alias("rule_ids"), F.size("detections").alias("n_detections"))
 
 
+def header_decisions(spark, sf_dir):
+    """Pages as requests with a known payload in one of three headers: decision and response."""
+    payloads = list(enumerate(x for texts in PAYLOADS.values() for x in texts))
+    # The payloads: a fixed few.
+    known = F.broadcast(spark.createDataFrame(payloads, "k int, attack string"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url").join(known, F.col("page_id") % len(payloads) == F.col("k")))
+    headers = F.create_map(F.lit("User-Agent"), F.array("attack", F.lit("curl/8")), F.lit("Cookie"), F.array("url"), F.lit("accept"), F.array(F.lit("*/*")))
+    rows = decide_requests(pages.withColumn("headers", headers), Config(paranoia=2), uri="url", headers="headers")
+    response = F.col("response")
+    return rows.select(
+        "page_id", "decision", "score", F.coalesce(response["status"], F.lit(0)).alias("status"),
+        F.coalesce(F.try_element_at(response["headers"], F.lit("X-WAF-Rule")), F.try_element_at(response["headers"], F.lit("X-WAF-Detected")), F.lit("")).alias("rules_header"),
+        F.coalesce(F.try_element_at(response["headers"], F.lit("X-WAF-Score")), F.lit("")).alias("score_header"),
+    )
+
+
 def rule_hits_by_family(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = docs.select(F.explode(detect(F.col("text"), "body", CATALOGUE)).alias("d"))
@@ -597,7 +613,7 @@ def ml_classify(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        waf_decisions_pages, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
+        waf_decisions_pages, header_decisions, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
         email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.config import Config
+from palisade.functions import binding
 from palisade.functions.detect import detect
 from palisade.model import DETECTIONS
 from palisade.operators import scoring
@@ -117,13 +118,14 @@ def inspected(chunks: DataFrame, key: str, index: str, data: str, config: Config
     windows = overlapped(chunks, key, index, data, config.overlap)
     found = windows.select(key, index, F.explode(detect(as_text(F.col("window")), location, rules)).alias("detection"))
     first = Window.partitionBy(key, F.col("detection.rule_id")).orderBy(index)
-    fresh = found.withColumn("rank_", F.row_number().over(first)).where("rank_ = 1").drop("rank_")
-    fresh = fresh.withColumn("score", scoring.detection_score(F.col("detection"), (), config))
+    rank, before = binding.fresh(found, "__rank", "__before")
+    firsts = found.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    firsts = firsts.withColumn("score", scoring.detection_score(F.col("detection"), (), config))
     # All of a chunk counts before the threshold is looked at.
     upto = Window.partitionBy(key).orderBy(index).rangeBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy(index).rangeBetween(Window.unboundedPreceding, -1)
-    rows = fresh.withColumn("running", F.sum("score").over(upto)).withColumn("before_", F.coalesce(F.sum("score").over(before), F.lit(0)))
-    return rows.where(F.col("before_") < config.early_threshold).drop("before_").withColumn("stopped", F.col("running") >= config.early_threshold)
+    earlier = Window.partitionBy(key).orderBy(index).rangeBetween(Window.unboundedPreceding, -1)
+    rows = firsts.withColumn("running", F.sum("score").over(upto)).withColumn(before, F.coalesce(F.sum("score").over(earlier), F.lit(0)))
+    return rows.where(F.col(before) < config.early_threshold).drop(before).withColumn("stopped", F.col("running") >= config.early_threshold)
 
 
 def finalized(rows: DataFrame, key: str, index: str, config: Config = Config(), rules: tuple[Rule, ...] | None = None) -> DataFrame:
