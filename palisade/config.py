@@ -9,6 +9,25 @@ from palisade.model import LOCATION_WEIGHTS
 
 Selector = int | str
 
+# The names of a configuration document, by section, and the fields they set.
+DOCUMENT = {
+    "": {
+        "paranoia_level": "paranoia", "sqli_enabled": "sqli", "xss_enabled": "xss", "path_traversal_enabled": "path_traversal", "command_injection_enabled": "command_injection",
+        "protocol_enabled": "protocol", "body_inspection_enabled": "body_inspection", "max_body_size": "max_body", "response_inspection_enabled": "response_inspection",
+    },
+    "scoring": {"enabled": "scoring", "block_threshold": "block_threshold", "log_threshold": "log_threshold", "category_weights": "category_weights", "location_weights": "location_weights"},
+    "rules": {"enabled": "enabled", "disabled": "disabled", "exclusions": "exclusions"},
+    "streaming": {"enabled": "streaming", "window_overlap": "overlap", "early_termination_threshold": "early_threshold"},
+    "ml": {
+        "classifier_enabled": "ml_classifier", "similarity_enabled": "ml_similarity", "min_confidence": "ml_min_confidence", "score_weight": "ml_score_weight",
+        "fingerprinting_enabled": "fingerprinting", "anomaly_threshold": "anomaly_threshold",
+    },
+    "websocket": {
+        "enabled": "websocket", "inspect_text_frames": "websocket_text", "inspect_binary_frames": "websocket_binary", "max_frame_size": "max_frame", "block_mode": "websocket_block_mode",
+        "max_message_size": "max_message", "block_close_code": "websocket_close_code",
+    },
+}
+
 
 @dataclass(frozen=True)
 class Exclusion:
@@ -58,11 +77,19 @@ class Config:
 
     @classmethod
     def from_json(cls, text: str) -> "Config":
-        """Unknown keys are ignored, missing ones have their defaults, dashes count as underscores."""
-        known = {f.name for f in fields(cls)}
-        given = {k.replace("-", "_"): v for k, v in json.loads(text).items()}
-        given["paranoia"] = given.pop("paranoia_level", given.get("paranoia", cls.paranoia))
+        """Unknown keys are ignored, missing ones have their defaults, dashes count as underscores.
+
+        Sections set their fields (DOCUMENT); the fields themselves may be given as well."""
+        plain = lambda section: {k.replace("-", "_"): v for k, v in section.items()}
+        document, known = plain(json.loads(text)), {f.name for f in fields(cls)}
+        given = {k: v for k, v in document.items() if not (k in DOCUMENT and isinstance(v, dict))}
+        for section, names in DOCUMENT.items():
+            part = document if not section else document.get(section)
+            if isinstance(part, dict):
+                given |= {names[k]: v for k, v in plain(part).items() if k in names}
         kept = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known}
+        if "location_weights" in kept:
+            kept["location_weights"] = LOCATION_WEIGHTS | kept["location_weights"]
         kept["exclusions"] = tuple(
             Exclusion(tuple(x["rules"]), tuple((x.get("conditions") or {}).get("paths") or ())) for x in given.get("exclusions", ())
         )

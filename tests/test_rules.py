@@ -112,3 +112,13 @@ def test_needed_texts():
 def test_config_from_json():
     config = Config.from_json('{"paranoia-level": 9, "sqli": false, "exclude-paths": ["/x"], "unknown": 1}')
     assert (config.paranoia, config.clamped().paranoia, config.sqli, config.exclude_paths) == (9, 4, False, ("/x",))
+
+
+def test_config_sections():
+    config = Config.from_json(
+        '{"max-body-size": 9, "response-inspection-enabled": true, "scoring": {"block-threshold": 7, "location-weights": {"query": 2.0}}, "streaming": {"enabled": true, "window-overlap": 5},'
+        ' "ml": {"classifier-enabled": true, "score-weight": 0.5}, "websocket": {"block-mode": false, "inspect-binary-frames": true}, "rules": {"disabled": [942100]}}'
+    )
+    assert (config.max_body, config.response_inspection, config.block_threshold, config.streaming, config.overlap) == (9, True, 7, True, 5)
+    assert (config.ml_classifier, config.ml_score_weight, config.websocket_block_mode, config.websocket_binary, config.disabled) == (True, 0.5, False, True, (942100,))
+    assert config.location_weights["query"] == 2.0 and config.location_weights["path"] == 1.2
