@@ -48,7 +48,7 @@ def test_stages_work_on_all_that_their_predecessors_keep(spark, small):
 
 def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
     """Nulls, ties, repeated rows, empty and very long texts and extra columns go through every stage."""
-    good = "\n".join(f"Line {k} of a plain text has several different words, of number {k * 7}." for k in range(20))
+    good = "\n".join(f"Line{k} has{k} several{k} plain{k} words in it, number {k * 7}." for k in range(20))
     more = [(None, good, "en", "x"), (None, good, "en", "x"), (50, good, "en", "x"), (51, f"{good}\nWrite to a@b.co about it today, please.", "en", "x")]
     for name, rows in (("odd", odd.unionByName(spark.createDataFrame(more, odd.schema))), ("empty", empty)):
         rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
