@@ -125,5 +125,6 @@ def passage_spans(text: str, passages) -> list[tuple[int, int]]:
             spans[-1][1] = first + PASSAGE
         else:
             spans.append([first, first + PASSAGE])
-    size = lambda end: len(data[:end].decode())
-    return [(size(begins[a]), size(begins[b])) for a, b in spans]
+    # Characters before each byte: those bytes count that go on with no character.
+    upto = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+    return [(int(upto[begins[a]]), int(upto[begins[b]])) for a, b in spans]
