@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Units of a generation (about 250 bytes each); a worker keeps two of them at most, as long as it lives.
-KEPT_UNITS = 250_000
+KEPT_UNITS = 150_000
 #: Python and the libraries differ on whether these are white space.
 _UNCERTAIN = re.compile("[\x1c-\x1f]")
 _UNITS = re.compile(r"\s*\S+|\s+")
