@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, exact and near deduplication, personal data, packing."""
+"""The corpus pipeline: quality rules, exact and near deduplication, personal data, packing.
+
+Defined results: a null text is empty and fails the quality rules; of equal texts the
+largest doc_id stays, of linked fingerprints the smallest, null doc_ids last in either
+case; rows repeated in full leave one; very long texts are cut into pieces, not dropped;
+extra columns pass through all stages but packing; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
