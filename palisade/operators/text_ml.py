@@ -35,10 +35,30 @@ def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Multiset Jaccard and cosine of the n-gram counts of left and right (key, ngram, n), for
     every pair whose Jaccard similarity reaches threshold.
 
-    Such a pair shares one of the rarest n-grams of either side: as many of them as the
-    least overlap leaves out, and one. Only pairs that do, and whose sizes allow it, are counted."""
+    From SIMILAR on, such a pair shares one of the rarest n-grams of either side: as many of
+    them as the least overlap leaves out, and one; only pairs that do are counted. Below, nearly
+    all n-grams would be among them: pairs are counted directly. Either way only pairs whose
+    sizes allow it are looked at."""
     sizes = lambda df, key, name: df.groupBy(key).agg(F.sum("n").alias(f"{name}_n"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(f"{name}_norm"))
     l_sizes, r_sizes = sizes(left, left_key, "l"), sizes(right, right_key, "r")
+    close = (F.col("l_n") >= F.col("r_n") * threshold) & (F.col("r_n") >= F.col("l_n") * threshold)
+    other = right.withColumnRenamed("n", "m")
+    if threshold >= SIMILAR:
+        pairs = _sharing_rare(left, right, left_key, right_key, l_sizes, r_sizes, threshold).where(close).select(left_key, right_key).distinct()
+        both = pairs.join(left, left_key).join(other, [right_key, "ngram"])
+    else:
+        both = left.join(l_sizes.select(left_key, "l_n"), left_key).join(other.join(r_sizes.select(right_key, "r_n"), right_key), "ngram").where(close)
+    shared = both.groupBy(left_key, right_key).agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.col("n") * F.col("m")).alias("dot"))
+    rows = shared.join(l_sizes, left_key).join(r_sizes, right_key)
+    return rows.select(
+        left_key, right_key,
+        (F.col("both") / (F.col("l_n") + F.col("r_n") - F.col("both"))).alias("jaccard"),
+        (F.col("dot") / (F.col("l_norm") * F.col("r_norm"))).alias("cosine"),
+    ).where(F.col("jaccard") >= threshold)
+
+
+def _sharing_rare(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l_sizes: DataFrame, r_sizes: DataFrame, threshold: float) -> DataFrame:
+    """left_key, l_n, right_key, r_n of pairs that share one of their rarest n-grams; no common n-gram is a join key."""
     rarity = left.select("ngram", "n").unionByName(right.select("ngram", "n")).groupBy("ngram").agg(F.sum("n").alias("common"))
 
     def rarest(df: DataFrame, key: str, sized: DataFrame, n: str) -> DataFrame:
@@ -47,20 +67,7 @@ def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         rows = df.join(rarity, "ngram").withColumn("rarer", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sized.select(key, n), key)
         return rows.where(F.col("rarer") <= F.col(n) - F.ceil(F.col(n) * threshold)).select(key, "ngram", n)
 
-    few = rarest(left, left_key, l_sizes, "l_n").join(rarest(right, right_key, r_sizes, "r_n"), "ngram")
-    close = (F.col("l_n") >= F.col("r_n") * threshold) & (F.col("r_n") >= F.col("l_n") * threshold)
-    pairs = few.where(close).select(left_key, right_key).distinct()
-    shared = (
-        pairs.join(left, left_key).join(right.withColumnRenamed("n", "m"), [right_key, "ngram"])
-        .groupBy(left_key, right_key)
-        .agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.col("n") * F.col("m")).alias("dot"))
-    )
-    rows = shared.join(l_sizes, left_key).join(r_sizes, right_key)
-    return rows.select(
-        left_key, right_key,
-        (F.col("both") / (F.col("l_n") + F.col("r_n") - F.col("both"))).alias("jaccard"),
-        (F.col("dot") / (F.col("l_norm") * F.col("r_norm"))).alias("cosine"),
-    ).where(F.col("jaccard") >= threshold)
+    return rarest(left, left_key, l_sizes, "l_n").join(rarest(right, right_key, r_sizes, "r_n"), "ngram")
 
 
 def most_similar(pairs: DataFrame, key: str, other: str) -> DataFrame:

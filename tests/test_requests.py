@@ -127,7 +127,8 @@ def test_first_of_equally_close_payloads(spark):
     assert [(r["id"], r["kind"], r["similarity"]) for r in classifier.closest_payload(rows, "id", "text").collect()] == [(1, "CommandInjection", 1.0)]
 
 
-def test_similar_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_similar_pairs_match_brute_force(spark, threshold):
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list("abc "), rng.integers(3, 40))) for _ in range(40)]
     counts = text_ml.ngram_counts(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k", "text")
@@ -143,9 +144,9 @@ def test_similar_pairs_match_brute_force(spark):
     for i, a in enumerate(known):
         for j, b in enumerate(known):
             both = sum(min(n, b.get(g, 0)) for g, n in a.items())
-            if both and (share := both / (sum(a.values()) + sum(b.values()) - both)) >= 0.3:
+            if both and (share := both / (sum(a.values()) + sum(b.values()) - both)) >= threshold:
                 want[i, j] = round(share, 9)
-    got = text_ml.similarity(counts, counts.withColumnRenamed("k", "k2"), "k", "k2", 0.3).collect()
+    got = text_ml.similarity(counts, counts.withColumnRenamed("k", "k2"), "k", "k2", threshold).collect()
     assert {(r["k"], r["k2"]): round(r["jaccard"], 9) for r in got} == want and len(got) == len(want)
 
 
