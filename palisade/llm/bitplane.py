@@ -37,6 +37,8 @@ BLOCK = 1 << 16
 SHARD_IDS = 1 << 20
 BYTES, BITS = 0, 1
 LEVEL = 3
+#: Units of a generation of the encoder: more than elsewhere, as nothing else needs the memory here.
+KEPT_UNITS = 600_000
 
 
 def _planes(block: np.ndarray, kind: int) -> list[bytes]:
@@ -106,7 +108,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_s
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder, end = library_encoder(tokenizer, keeps_space), np.array([end_id], "<u4").tobytes()
+        encoder, end = library_encoder(tokenizer, keeps_space, KEPT_UNITS), np.array([end_id], "<u4").tobytes()
         part, shard, held, owners, lengths, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def closed():

@@ -113,12 +113,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, keeps_space: bool) -> UnitEncoder:
-    """Of a tokenizers file. A tokenizer that drops white space also lower-cases."""
+def library_encoder(path: str, keeps_space: bool, kept: int = KEPT_UNITS) -> UnitEncoder:
+    """Of a tokenizers file, kept for all tasks of a worker. A tokenizer that drops white space also lower-cases."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
-    return UnitEncoder(Tokenizer.from_file(path), keeps_space)
+    return UnitEncoder(Tokenizer.from_file(path), keeps_space, kept)
 
 
 def slices(texts: list[str], characters: int = 1 << 20) -> Iterable[list[str]]:
