@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from palisade.llm import divergence as d
 from palisade.llm import line_quality as q
 from palisade.llm.common import SPACE
 
@@ -63,4 +64,43 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM keyed
 """
 
-ORACLES = {"op5_line_quality": OP5, "op9_exact_dedup": OP9}
+_SHARE = f"1 + {d.UNIT}::HUGEINT * (%s + {d.ADDED}) // (%s + {d.ADDED} * v)"
+
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), vocabulary AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT id) >= {d.LEAST_DOCS}
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM vocabulary GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), grid AS (
+  SELECT g.lang, g.source, v.term, v.lang_n, (SELECT any_value(s.v) FROM sizes s WHERE s.lang = g.lang) AS v FROM groups g JOIN vocabulary v USING (lang)
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN vocabulary USING (lang, term) GROUP BY ALL
+), counts AS (
+  SELECT g.*, s.lang_total, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM grid g LEFT JOIN found USING (lang, source, term) JOIN sizes s ON s.lang = g.lang
+), shares AS (
+  SELECT *, {_SHARE % ("n", "total")} AS p, {_SHARE % ("lang_n", "lang_total")} AS q FROM counts
+), distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+), both_parts AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {d.TOP_TERMS}
+"""
+
+ORACLES = {"op5_line_quality": OP5, "op9_exact_dedup": OP9, "op12_count_trees": OP12}
