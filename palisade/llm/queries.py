@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bitplane, divergence, exact_dedup, line_quality, main_text, packing, personal_data, sentence_spans, sentencepieces, simhash, weak_labels, whitening
+from palisade.llm import bitplane, divergence, exact_dedup, line_quality, main_text, packing, personal_data, sentence_spans, sentencepieces, simhash, toxicity, weak_labels, whitening
 from palisade.llm.common import shared_folder, table
 
 #: The id that ends each document.
@@ -100,7 +100,12 @@ def op12_count_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op13_attentive_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bitplane_ids, op2_weak_labels, op3_best_region, op4_sentence_spans, op4_passage_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces, op11_spectrum_slices, op12_count_trees)
+    for f in (op1_bitplane_ids, op2_weak_labels, op3_best_region, op4_sentence_spans, op4_passage_spans, op5_line_quality, op6_simhash_trie, op7_bin_slack, op8_disclosure, op9_exact_dedup, op10_offset_pieces, op11_spectrum_slices, op12_count_trees, op13_attentive_gru)
 }
