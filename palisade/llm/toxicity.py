@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -44,7 +44,9 @@ WARM_PASSES, PASSES, STEP, RATE, HIDDEN = 2, 8, 128, 4e-3, 0.25
 #: only say which text they are from.
 LEAST_TEXTS = 4
 #: Words that a scoring task keeps and windows that it scores together.
-KEPT_WORDS, TOGETHER = 150_000, 2048
+KEPT_WORDS, TOGETHER = 100_000, 2048
+#: Words, or training texts, whose n-grams are looked up at a time.
+PORTION = 8192
 
 RESULTS = ("held_out", "score", "predicted")
 _WORDS = re.compile(r"\w+")
@@ -70,10 +72,13 @@ class Words:
     """Feature buckets of different words, in flat arrays."""
 
     def __init__(self, words: list[str]):
-        found = [features(w) for w in words]
-        self.word = np.array([f[0] for f in found], np.int64)
-        self.size = np.array([len(f) - 1 for f in found], np.int64)
-        self.gram = np.array([b for f in found for b in f[1:]], np.int64)
+        word, size, gram = [], [], [np.zeros(0, np.int32)]
+        for k in range(0, len(words), PORTION):
+            found = [features(w) for w in words[k : k + PORTION]]
+            word += [f[0] for f in found]
+            size += [len(f) - 1 for f in found]
+            gram.append(np.array([b for f in found for b in f[1:]], np.int32))
+        self.word, self.size, self.gram = np.array(word, np.int64), np.array(size, np.int64), np.concatenate(gram)
         self.begin = np.cumsum(self.size) - self.size
 
     def grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,15 @@ def embed(net: dict[str, np.ndarray], words: Words, rows: np.ndarray) -> np.ndar
     return np.concatenate([net["word"][words.word[rows]], np.add.reduceat(net["gram"][grams], begin) / words.size[rows, None].astype(np.float32)], axis=1)
 
 
+def gate_inputs(net: dict[str, np.ndarray], words: Words) -> np.ndarray:
+    """What each of words gives all gates."""
+    out = np.zeros((len(words.word), 6 * STATES), np.float32)
+    for k in range(0, len(out), PORTION):
+        rows = np.arange(k, min(k + PORTION, len(out)))
+        out[rows] = embed(net, words, rows) @ net["in"] + net["in_bias"]
+    return out
+
+
 def read(net: dict[str, np.ndarray], table: np.ndarray, ids: np.ndarray, keep: bool = False):
     """The logit of each window. ids (windows, WINDOW) are rows of table, the words' inputs of
     all gates; -1 is no word. With keep also what the way back needs."""
@@ -201,28 +215,30 @@ class Adam:
 
 
 def _logits(net: dict[str, np.ndarray], words: Words, ids: np.ndarray) -> np.ndarray:
-    table = embed(net, words, np.arange(len(words.word))) @ net["in"] + net["in_bias"]
+    table = gate_inputs(net, words)
     return np.concatenate([read(net, table, ids[k : k + TOGETHER]) for k in range(0, len(ids), TOGETHER)])
 
 
 def _known(doc: np.ndarray, ids: np.ndarray, words: Words) -> dict[str, np.ndarray]:
     """Which buckets of words and of n-grams are in LEAST_TEXTS documents."""
-    pairs = np.unique(np.stack([np.repeat(doc, WINDOW), ids.ravel()], axis=1)[ids.ravel() >= 0], axis=0)
-    grams, _ = words.grams(pairs[:, 1])
-    out = {}
-    for name, owner, bucket in (("word", pairs[:, 0], words.word[pairs[:, 1]]), ("gram", np.repeat(pairs[:, 0], words.size[pairs[:, 1]]), grams)):
-        texts = np.unique(owner * BUCKETS + bucket) % BUCKETS
-        out[name] = np.bincount(texts, minlength=BUCKETS) >= LEAST_TEXTS
-    return out
-
-
-def train(doc: np.ndarray, label: np.ndarray, check: np.ndarray, windows: list[list[str]], seed: int = 0) -> dict[str, np.ndarray]:
-    """A network from windows of words, their documents (numbers from 0 on), and each document's label and
+    counts = {"word": np.zeros(BUCKETS, np.int64), "gram": np.zeros(BUCKETS, np.int64)}
+    order = np.argsort(doc, kind="stable")
+    for one in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
+        rows = np.unique(ids[one])
+        rows = rows[rows >= 0]
+        counts["word"][np.unique(words.word[rows])] += 1
+        counts["gram"][np.unique(words.grams(rows)[0])] += 1
+    return {name: n >= LEAST_TEXTS for name, n in counts.items()}
+
+
+def train(doc: np.ndarray, label: np.ndarray, check: np.ndarray, windows: Iterable[str], seed: int = 0) -> dict[str, np.ndarray]:
+    """A network from windows of words (joined by blanks), their documents (numbers from 0 on), and each document's label and
     whether it is kept to set the threshold (which ends up in the bias)."""
     rng, net = np.random.default_rng(seed), new_network(seed)
     place: dict[str, int] = {}
-    ids = np.full((len(windows), WINDOW), -1, np.int64)
-    for row, found in zip(ids, windows):
+    ids = np.full((len(doc), WINDOW), -1, np.int32)
+    for row, window in zip(ids, windows):
+        found = window.split(" ")
         row[: len(found)] = [place.setdefault(w, len(place)) for w in found]
     words, adam = Words(list(place)), Adam(net)
     learned = np.flatnonzero(~check[doc])
@@ -300,7 +316,7 @@ def _train_task(sample: pa.Table) -> pa.Table:
         check[:] = False
     file = io.BytesIO()
     if len(set(label)) == 2:
-        np.savez(file, **train(doc, label, check, [w.split(" ") for w in rows["words"].to_pylist()]))
+        np.savez(file, **train(doc, label, check, (w.as_py() for w in rows["words"])))
     else:
         np.savez(file, constant=np.array([float(label.max())]))
     return pa.table({"model": pa.array([file.getvalue()], pa.binary())})
@@ -340,8 +356,7 @@ class Scorer:
         new = list({w for w in words if w not in place})
         if new:
             used = len(place)
-            known = Words(new)
-            gates = embed(self.net, known, np.arange(len(new))) @ self.net["in"] + self.net["in_bias"]
+            gates = gate_inputs(self.net, Words(new))
             if used + len(new) > len(self.table):
                 self.table = np.concatenate([self.table[:used], np.zeros((max(len(new), used, 1024), 6 * STATES), np.float32)])
             self.table[used : used + len(new)] = gates
