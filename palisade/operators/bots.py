@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,7 +83,8 @@ def timed(requests: DataFrame, source: str, ts: str, order: str) -> DataFrame:
     rows = rows.withColumn("gap_ms", F.col(at) - F.lag(at).over(by_source))
     latest = F.collect_list(at).over(by_source.rowsBetween(-KEPT + 1, 0))
     rows = rows.withColumn(kept, latest).withColumn(kept, F.filter(kept, lambda x: x > F.col(at) - WINDOW_MS))
-    between = F.zip_with(F.slice(kept, 2, KEPT), F.slice(kept, 1, F.size(kept) - 1), lambda x, y: x - y)
+    # Without a time a request has no gaps, and counts for none.
+    between = F.zip_with(F.slice(kept, 2, KEPT), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), lambda x, y: x - y)
     rows = rows.withColumn(steps, between)
     n, size = F.size(steps), F.size(kept)
     rows = rows.withColumn(mean, F.expr(f"aggregate({steps}, 0L, (a, x) -> a + x) div greatest(size({steps}), 1)"))
@@ -95,6 +97,20 @@ def timed(requests: DataFrame, source: str, ts: str, order: str) -> DataFrame:
     return rows.withColumn("timing_kind", kind).withColumn("timing_score", score).drop(at, kept, steps, mean)
 
 
+def timing_of(gap: int | None, kept: list[int]) -> tuple[str | None, int]:
+    """timing_kind and timing_score of one request: the time since the one before, and the times of the
+    last minute, this one included. For streams, which have them as state."""
+    if gap is not None and gap < TOO_FAST_MS:
+        return "too-fast", 60 if gap < VERY_FAST_MS else 40
+    steps = [b - a for a, b in zip(kept, kept[1:])]
+    if len(steps) >= LEAST_INTERVALS:
+        mean = sum(steps) // len(steps)
+        variance = sum((x - mean) ** 2 for x in steps) // len(steps)
+        if math.isqrt(variance) < REGULAR_STDDEV_MS and mean < REGULAR_MEAN_MS:
+            return "regular", 45
+    return ("burst", 50) if len(kept) >= BURST else (None, 0)
+
+
 def classify(requests: DataFrame, agent: str = "user_agent", headers: str = "headers", tls: str = "tls_fingerprint") -> DataFrame:
     """requests with bot_class, confidence and detections. Good bots are let through unseen.
 
@@ -146,10 +162,14 @@ LOGIN_PATHS = ("/login", "/signin", "/auth", "/api/login", "/api/auth", "/oauth/
 IP_FAILURES, USER_FAILURES, FAILURE_SECONDS = 10, 5, 300
 
 
+def on_login_path(path: Column, paths: tuple[str, ...] = LOGIN_PATHS) -> Column:
+    return reduce(Column.__or__, [F.startswith(F.lower(path), F.lit(p)) for p in paths])
+
+
 def credential_attempts(attempts: DataFrame, ts: str, path: str, ip: str, user: str, order: str, paths: tuple[str, ...] = LOGIN_PATHS) -> DataFrame:
     """Attempts (with a column success) on a login path, with ip_failures, user_failures, stuffing
     and the reason: too many failures of one source, or for one user, within the window."""
-    tried = attempts.where(reduce(Column.__or__, [F.startswith(F.lower(path), F.lit(p)) for p in paths]))
+    tried = attempts.where(on_login_path(F.col(path), paths))
     of_ip = failure_velocity(tried, ts, ip, order, IP_FAILURES, FAILURE_SECONDS).drop("velocity_exceeded").withColumnRenamed("failures", "ip_failures")
     both = failure_velocity(of_ip, ts, user, order, USER_FAILURES, FAILURE_SECONDS).drop("velocity_exceeded").withColumnRenamed("failures", "user_failures")
     reason = F.when(F.col("ip_failures") >= IP_FAILURES, "ip").when(F.col("user_failures") >= USER_FAILURES, "user")

@@ -5,8 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from palisade.functions.binding import fresh
 
 
 def exploded(updates: DataFrame, gradients: str, *keep: str) -> DataFrame:
@@ -111,10 +116,37 @@ def noisy(values: DataFrame, sensitivity: float, epsilon: float, delta: float |
 
 
 def within_budget(requests: DataFrame, order: str, epsilon: float, delta: float, by: str) -> DataFrame:
-    """requests with spent sums and whether they stay within the budget."""
-    running = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = requests.withColumn("epsilon_spent", F.sum("epsilon").over(running)).withColumn("delta_spent", F.sum("delta").over(running))
-    return rows.withColumn("within", (F.col("epsilon_spent") <= epsilon) & (F.col("delta_spent") <= delta))
+    """requests with within: whether each may still be spent, and epsilon_spent and delta_spent after it.
+
+    What one is refused is not spent, so that smaller ones after it may still fit: an ordered fold,
+    for which a running sum will not do. Requests are sorted within their partition and folded a batch
+    at a time; two sums of one key are held. A null amount is nothing, a null key is a key; of equal
+    places in the order the smaller amount comes first."""
+    place, eps, dlt, begins = fresh(requests, "__place", "__epsilon", "__delta", "__begins")
+    amount = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    rows = requests.withColumns({eps: amount("epsilon"), dlt: amount("delta"), place: F.col(order)})
+    results = {"within": "boolean", "epsilon_spent": "double", "delta_spent": "double"}
+    kept = [f for f in requests.schema.fields if f.name.lower() not in results]
+    schema = T.StructType([*kept, *(T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType) for n, t in results.items())])
+    names = [f.name for f in kept]
+
+    def fold(batches):
+        spent = (0.0, 0.0)
+        for batch in batches:
+            out = []
+            for start, e, d in zip(*(batch.column(n).to_pylist() for n in (begins, eps, dlt))):
+                if start:
+                    spent = (0.0, 0.0)
+                fits = spent[0] + e <= epsilon and spent[1] + d <= delta
+                if fits:
+                    spent = (spent[0] + e, spent[1] + d)
+                out.append((fits, *spent))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.bool_(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], schema=to_arrow_schema(schema))
+
+    first = Window.partitionBy(by).orderBy(place, eps, dlt)
+    marked = rows.withColumn(begins, F.row_number().over(first) == 1)
+    return marked.mapInArrow(fold, schema)
 
 
 def shares(values: DataFrame, n: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ schemas, and responses not at all."""
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Mapping
 from functools import reduce
 
@@ -40,9 +41,12 @@ VIOLATIONS = {
 METHODS = ("get", "post", "put", "delete", "patch", "head", "options", "trace")
 NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\z"
 TEMPLATES = (
-    "array<struct<segments:array<string>,names:array<string>,operations:array<struct<method:string,has_schema:boolean,"
+    "array<struct<names:array<string>,operations:array<struct<method:string,has_schema:boolean,"
     "parameters:array<struct<location:string,name:string,required:boolean,type:string>>>>>>"
 )
+#: The trie of templates: edges of fixed segments in buckets by hash, and of each node the child
+#: behind a parameter and the template that ends there.
+EDGES, NODES = "array<array<struct<key:string,child:int>>>", "array<struct<parameter:int,template:int>>"
 
 
 def _violation(kind: str, location, actual) -> Column:
@@ -96,15 +100,50 @@ def compile_openapi(document: str | Mapping) -> list[dict]:
     return [{"segments": list(s), "names": [names.get(s[: k + 1]) if s[k] is None else None for k in range(len(s))], "operations": found[s]} for s in ordered]
 
 
+def path_trie(schema: list[dict]) -> tuple[list[list[dict]], list[dict]]:
+    """(EDGES, NODES) of templates. An edge's bucket is the hash of "node/segment", so that a look-up
+    takes as long in a large document as in a small one."""
+    nodes: list[dict] = [{}]
+    fixed: dict[str, int] = {}
+    for number, template in enumerate(schema):
+        at = 0
+        for segment in template["segments"]:
+            known, key = (nodes[at], "parameter") if segment is None else (fixed, f"{at}/{segment}")
+            if key not in known:
+                known[key] = len(nodes)
+                nodes.append({})
+            at = known[key]
+        nodes[at]["template"] = number
+    buckets: list[list[dict]] = [[] for _ in range(1 << (2 * len(fixed)).bit_length())]
+    for key, child in fixed.items():
+        buckets[zlib.crc32(key.encode()) % len(buckets)].append({"key": key, "child": child})
+    return buckets, nodes
+
+
+def fitting(schema: list[dict], segments: Column) -> Column:
+    """The templates (TEMPLATES) that a path's segments fit, in the order in which they are tried: at each
+    segment the fixed one before the parameter. One step a segment, from all nodes that the path has reached."""
+    buckets, nodes = path_trie(schema)
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    edges, known, templates = literal(buckets, EDGES), literal(nodes, NODES), literal([{k: t[k] for k in ("names", "operations")} for t in schema], TEMPLATES)
+
+    def child(key: Column) -> Column:
+        bucket = F.get(edges, (F.crc32(key.cast("binary")) % len(buckets)).cast("int"))
+        return F.get(F.filter(bucket, lambda e: e["key"] == key), 0)["child"]
+
+    def step(reached: Column, segment: Column) -> Column:
+        fixed = lambda n: let(lambda b: child(b["key"]), key=F.concat_ws("/", n.cast("string"), segment))
+        return F.flatten(F.transform(reached, lambda n: F.array_compact(F.array(fixed(n), F.get(known, n)["parameter"]))))
+
+    ends = lambda reached: F.array_compact(F.transform(reached, lambda n: F.get(known, n)["template"]))
+    numbers = F.aggregate(segments, F.array(F.lit(0)), step, ends)
+    return F.coalesce(F.transform(numbers, lambda i: F.get(templates, i)), F.expr(f"cast(array() as {TEMPLATES})"))
+
+
 def openapi_violations(schema: list[dict], path: Column, method: Column, query: Column, headers: Column, content_type: Column, body: Column) -> Column:
     """array<detection>; query and headers map a name to its values, header names in lower case."""
-    templates = F.from_json(F.lit(json.dumps(schema)), TEMPLATES)
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
 
-    def fits(segments: Column) -> Column:
-        alike = lambda t: F.forall(F.zip_with(t["segments"], segments, lambda a, b: a.isNull() | (a == b)), lambda x: x)
-        return F.filter(templates, lambda t: (F.size(t["segments"]) == F.size(segments)) & alike(t))
-
     def checked(b: Column) -> Column:
         # The first template that has the method: one with a fixed segment may lack it.
         able = F.flatten(F.transform(b["fit"], lambda t: F.transform(F.filter(t["operations"], lambda o: o["method"] == b["method"]), lambda o: F.struct(o.alias("o"), t["names"].alias("names")))))
@@ -131,7 +170,7 @@ def openapi_violations(schema: list[dict], path: Column, method: Column, query:
         rest = F.concat(F.array_compact(F.transform(operation["o"]["parameters"], of_parameter)), only(of_body))
         return F.when(unknown.isNotNull(), F.array(unknown)).otherwise(rest)
 
-    located = lambda b: let(checked, segments=b["segments"], fit=fits(b["segments"]), method=F.upper(method))
+    located = lambda b: let(checked, segments=b["segments"], fit=fitting(schema, b["segments"]), method=F.upper(method))
     return F.coalesce(let(located, segments=segments), F.expr(f"cast(array() as {DETECTIONS})"))
 
 

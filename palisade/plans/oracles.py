@@ -11,7 +11,7 @@ from palisade.operators import api, bots, intel, sensitive, supply_chain
 from palisade.operators.attack_payloads import PAYLOADS
 from palisade.operators.attack_phrases import PHRASES
 from palisade.operators.metrics import BUCKETS
-from palisade.plans.queries import AGENTS, ALIKE, GRAPHQL_PARTS, JSON_VALUES, JWT_CLAIMS, JWT_HEADS, KEYS, PATCHED, POLICIES, SELECTION, SENSITIVE
+from palisade.plans.queries import AGENTS, ALIKE, BUDGET, GRAPHQL_PARTS, JSON_VALUES, JWT_CLAIMS, JWT_HEADS, KEYS, PATCHED, POLICIES, SELECTION, SENSITIVE
 from palisade.rules import CATALOGUE, Rule, load, re2_pattern
 from palisade.rules.examples import example
 
@@ -514,6 +514,13 @@ ORACLES = {
         CASE WHEN score >= 25 THEN 'block' WHEN score >= 10 THEN 'warn' ELSE 'allow' END AS decision FROM ended LEFT JOIN d USING (conv_id, last)""",
     "response_detections": f"""WITH hit AS ({hits("pages", "page_id", "html", PL2)})
       SELECT page_id, string_agg(rule_id::VARCHAR, ',' ORDER BY ord) AS header, count(*)::INT AS n_detections FROM hit GROUP BY page_id""",
+    "privacy_budget": f"""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice)::DOUBLE AS e, (o_orderkey % 30)::DOUBLE AS d,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, floor(o_totalprice), o_orderkey % 30) AS n FROM orders),
+      f AS (SELECT o_custkey, 0::BIGINT AS n, NULL::BIGINT AS o_orderkey, false AS within, 0::DOUBLE AS es, 0::DOUBLE AS ds FROM (SELECT DISTINCT o_custkey FROM orders)
+        UNION ALL SELECT o.o_custkey, o.n, o.o_orderkey::BIGINT, es + e <= {BUDGET[0]} AND ds + d <= {BUDGET[1]},
+          CASE WHEN es + e <= {BUDGET[0]} AND ds + d <= {BUDGET[1]} THEN es + e ELSE es END, CASE WHEN es + e <= {BUDGET[0]} AND ds + d <= {BUDGET[1]} THEN ds + d ELSE ds END
+        FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
+      SELECT o_custkey, o_orderkey, within, es AS epsilon_spent, ds AS delta_spent FROM f WHERE n > 0""",
     "early_termination": f"""WITH f AS (SELECT conv_id, turn, text FROM ({_FRAMES_WITH_ATTACKS})),
       w AS (SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 256), '') || text AS t FROM f),
       h AS ({hits("w", "conv_id, turn", "t", BODY_RULES)}),

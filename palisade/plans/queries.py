@@ -459,6 +459,17 @@ def gradient_trimmed(spark, sf_dir):
     return federated.trimmed_mean(table(spark, sf_dir, "embeddings"), "embedding").withColumn("value", F.round("value", 6))
 
 
+#: So little that most customers are refused an order in between.
+BUDGET = (300_000.0, 60.0)
+
+
+def privacy_budget(spark, sf_dir):
+    """Orders spend a budget of their customer: money for epsilon, days for delta."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("double").alias("epsilon"), (F.col("o_orderkey") % 30).cast("double").alias("delta"))
+    found = federated.within_budget(rows, "o_orderkey", *BUDGET, by="o_custkey")
+    return found.select("o_custkey", "o_orderkey", "within", "epsilon_spent", "delta_spent")
+
+
 def model_average(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     shared = federated.as_array(federated.mean(rows, "embedding")).select(F.col("values").alias("shared_"))
@@ -617,7 +628,7 @@ QUERIES = {
         email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
-        early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, model_average, gradient_topk, json_depth, json_inspection,
+        early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, privacy_budget, model_average, gradient_topk, json_depth, json_inspection,
         graphql_inspection, openapi_validation, graphql_validation, jwt_inspection, bot_classes, ml_classify,
     )
 }

@@ -1,10 +1,12 @@
 """Bodies that arrive in chunks, and WebSocket frames: as windows over finished data.
 
 Chunks are ordered by their index within a body; every operator shuffles by the body's
-key alone. The stateful forms in palisade.streaming.live give the same rows."""
+key alone. A null chunk or frame is empty. palisade.streaming.stateful has the same operators as state
+of a stream."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +20,14 @@ from palisade.operators import scoring
 from palisade.plans.requests import responded
 from palisade.rules import Rule, load
 
+#: Bytes of chunks that are Python values at a time, besides one buffer.
+SLICE = 4 << 20
 CONTROL = ("ping", "pong", "close")
 
 
 def decoded(data: str | Column) -> Column:
-    """Bytes of base64 text; null, which is let through, if it is not base64."""
-    return F.try_to_binary(F.col(data) if isinstance(data, str) else data, F.lit("base64"))
+    """Bytes of base64 text, none of null; null, which is let through, if it is not base64."""
+    return F.try_to_binary(F.coalesce(F.col(data) if isinstance(data, str) else data, F.lit("")), F.lit("base64"))
 
 
 def as_text(data: Column) -> Column:
@@ -39,26 +43,38 @@ def _in_buffers(rows: DataFrame, keys: list[str], index: str, data: str, ends: s
     whether it is held against the limit is last_counts. Chunks are sorted within their
     partition and folded one after the other, so that no more than limit bytes of one buffer,
     and a batch of chunks, are held at a time."""
-    size = F.octet_length(data)
+    size = F.coalesce(F.octet_length(data), F.lit(0))
+    at_, bytes_, ends_, data_ = binding.fresh(rows.select(*keys), "index_", "bytes_", "ends_", "data_")
     # What is larger than the limit on its own is never joined: its bytes need not travel.
-    sent = rows.select(*keys, F.col(index).alias("i"), size.cast("long").alias("n"), F.col(ends).alias("e"), F.when((size <= limit) | (F.lit(not last_counts) & F.col(ends)), F.col(data)).alias("d"))
+    joined = (size <= limit) | (F.lit(not last_counts) & F.col(ends))
+    sent = rows.select(*keys, F.col(index).alias(at_), size.cast("long").alias(bytes_), F.coalesce(F.col(ends), F.lit(False)).alias(ends_), F.when(joined, F.coalesce(F.col(data), F.lit(b""))).alias(data_))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[: len(keys)])
-    at = sent.schema["i"].dataType.simpleString()
+    at = sent.schema[at_].dataType.simpleString()
     schema = f"{kinds}, buffer long, first {at}, last {at}, size long, too_large boolean, body binary, n long"
 
+    def portions(batches):
+        """Rows as Python values, of at most SLICE bytes (or one row) at a time."""
+        for batch in batches:
+            ends = np.cumsum(np.minimum(np.asarray(batch.column(len(keys) + 1)), limit + 1))
+            begin = 0
+            while begin < len(ends):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE, "right")))
+                yield zip(*(column.to_pylist() for column in batch.slice(begin, end - begin).columns))
+                begin = end
+
     def fold(batches):
         now, number, held, total, first, n = None, 0, [], 0, None, 0
-        for batch in batches:
+        for rows in portions(batches):
             out = []
-            for *key, i, length, last, data in zip(*(column.to_pylist() for column in batch.columns)):
+            for *key, i, length, last, data in rows:
                 if key != now:
                     now, number, held, total, n = key, 0, [], 0, 0
                 first = i if n == 0 else first
                 total, n = total + length, n + 1
-                over = total > limit if last_counts or not last else total - length > limit
+                over = total > limit if last_counts or not last else False
                 if not over:
                     held.append(data)
-                if over and not last or last:
+                if over or last:
                     out.append((*key, number, first, i, total, over, None if over else b"".join(held), n))
                     number, held, total, n = number + 1, [], 0, 0
             if out:
@@ -66,7 +82,7 @@ def _in_buffers(rows: DataFrame, keys: list[str], index: str, data: str, ends: s
 
     plain = sent.sparkSession.createDataFrame([], schema).schema
     names, types = plain.names, [to_arrow_type(f.dataType) for f in plain.fields]
-    return sent.repartition(*keys).sortWithinPartitions(*keys, "i").mapInArrow(fold, schema)
+    return sent.repartition(*keys).sortWithinPartitions(*keys, at_).mapInArrow(fold, schema)
 
 
 def buffered(chunks: DataFrame, key: str, index: str, data: str, last: str, config: Config = Config()) -> DataFrame:
@@ -138,12 +154,16 @@ def finalized(rows: DataFrame, key: str, index: str, config: Config = Config(),
     return grouped.withColumn("decision", scoring.decide(F.col("detections"), F.col("score"), config))
 
 
-def frames(rows: DataFrame, opcode: str, data: str, config: Config = Config()) -> DataFrame:
-    """Frames that are looked at: no control frames, text (with what continues it) and binary ones as
-    config says, unknown opcodes always, none that is too large."""
+def wanted_frames(opcode: Column, data: Column, config: Config = Config()) -> Column:
+    """Whether a frame is looked at: no control frame, text (with what continues it) and binary ones as
+    config says, unknown opcodes always, none that is too large. Null is an unknown opcode and no data."""
     unwanted = [*CONTROL, *(() if config.websocket_text else ("text", "continuation")), *(() if config.websocket_binary else ("binary",))]
-    wanted = F.lit(config.websocket) & ~F.col(opcode).isin(*unwanted)
-    return rows.where(wanted & (F.octet_length(data) <= config.max_frame))
+    return F.lit(config.websocket) & ~F.coalesce(opcode.isin(*unwanted), F.lit(False)) & (F.coalesce(F.octet_length(data), F.lit(0)) <= config.max_frame)
+
+
+def frames(rows: DataFrame, opcode: str, data: str, config: Config = Config()) -> DataFrame:
+    """The frames that are looked at."""
+    return rows.where(wanted_frames(F.col(opcode), F.col(data), config))
 
 
 def messages(rows: DataFrame, keys: list[str], index: str, fin: str, data: str, opcode: str, config: Config = Config()) -> DataFrame:

@@ -218,3 +218,48 @@ def test_plugins_take_part_in_their_phases(spark):
 
 def test_examples_hold_what_rules_need():
     assert len({example(r.pattern) for r in CATALOGUE}) > 250
+
+
+def test_a_refused_request_spends_nothing(spark):
+    """One large refusal leaves room for the small ones after it; nulls, ties, odd names, empty tables."""
+    rows = [("a", 1, 4.0, 0.1), ("a", 2, 9.0, 0.1), ("a", 3, 5.0, 0.1), ("a", 4, None, 0.9), ("a", 5, 1.0, None), ("a", 5, 1.0, None), (None, 1, 10.0, 0.0), (None, 2, 1.0, 0.0), ("b", None, 10.0, 0.4)]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "k string, n int, epsilon double, delta double, `within` string")
+    got = federated.within_budget(df, "n", 10.0, 0.5, "k")
+    assert [(r["k"], r["n"], r["within"], r["epsilon_spent"], round(r["delta_spent"], 9)) for r in got.orderBy("k", "n", "epsilon_spent").collect()] == [
+        (None, 1, True, 10.0, 0.0), (None, 2, False, 10.0, 0.0), ("a", 1, True, 4.0, 0.1), ("a", 2, False, 4.0, 0.1), ("a", 3, True, 9.0, 0.2),
+        ("a", 4, False, 9.0, 0.2), ("a", 5, True, 10.0, 0.2), ("a", 5, False, 10.0, 0.2), ("b", None, True, 10.0, 0.4)]
+    assert federated.within_budget(df.where("false"), "n", 1.0, 1.0, "k").count() == 0
+
+
+def brute_fitting(compiled, path):
+    parts = [x for x in path.split("/") if x]
+    alike = lambda t: len(t["segments"]) == len(parts) and all(a is None or a == b for a, b in zip(t["segments"], parts))
+    return [[o["method"] for o in t["operations"]] for t in compiled if alike(t)]
+
+
+def test_a_trie_of_ten_thousand_templates(spark):
+    """The same templates in the same order as when each is tried, in about the time that a few take."""
+    import time
+
+    def document(n):
+        paths = {f"/v{i % 5}/s{i}/{{id}}/x{i % 7}": {"get": {}} for i in range(n)}
+        paths |= {"/": {"head": {}}, "/v1/{any}/7/x1": {"put": {}}, "/v1/s1/7/{last}": {"post": {}}, "/{a}/{b}/{c}/{d}": {"delete": {}}, "/v1/s1/{id}": {"patch": {}}}
+        return schema.compile_openapi({"paths": paths})
+
+    small, large = document(10), document(10_000)
+    paths = ["/", "", "/v1/s1/7/x1", "/v1/s1/8/x1", "/v1/s1/7/zz", "v1//s1/7/", "/a/b/c/d", "/a/b", "/v3/s9998/q/x2", "/v3/s9998/q/x3", "/v1/s1/7/x1/more"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1)
+    segments = F.filter(F.split("path", "/"), lambda x: x != "")
+    for compiled in (small, large):
+        found = rows.select("path", F.transform(schema.fitting(compiled, segments), lambda t: t["operations"]["method"]).alias("m")).collect()
+        assert {r["path"]: r["m"] for r in found} == {p: brute_fitting(compiled, p) for p in paths}
+    assert spark.range(1).select(F.size(schema.fitting(small, F.lit(None).cast("array<string>")))).first()[0] == 0
+    many = spark.range(200_000).select(F.concat(F.lit("/v"), F.col("id") % 5, F.lit("/s"), F.col("id") % 10_000, F.lit("/7/x"), F.col("id") % 7).alias("path")).coalesce(1)
+    took = []
+    for compiled in (small, large):
+        made = many.select(F.size(schema.fitting(compiled, segments)).alias("n"))
+        made.agg(F.sum("n")).collect()
+        began = time.time()
+        made.agg(F.sum("n")).collect()
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 2
