@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.binding import fresh
+from palisade.functions.binding import fresh, let
 from palisade.model import detection
 from palisade.operators.text_ml import LEAST_SAMPLES, entropy
 
@@ -128,6 +128,87 @@ def scores(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
     return requests.join(result.withColumnRenamed("o_", key), F.col(order) == F.col(key)).drop(key)
 
 
+#: A learned baseline: rows of (endpoint, kind, value) with how often it came, its largest amount and the
+#: order of the request that brought it. The baseline of all requests has common set, and no endpoint.
+MODEL = ("common", "endpoint", "kind", "value", "n", "amount", "first")
+AMOUNTS = ("header_count", "parameters", "query_entropy")
+
+
+def learned(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
+    """The MODEL of requests (a fingerprint each), of each endpoint and of all requests.
+
+    Every request gives a few rows, which Spark sums within each task before it shuffles: an endpoint may
+    have a third of all requests. Models of parts of the requests give that of all of them (merged)."""
+    text = lambda c: F.col(c).cast("string")
+    # Named so that the names outlive a lambda.
+    seen = lambda kind, value, amount=F.lit(None): F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value, F.lit("amount"), amount.cast("double"))
+    none = F.lit("")
+    fixed = F.array(
+        seen("requests", none), *[seen(name, none, F.col(name)) for name in AMOUNTS],
+        seen("order", F.xxhash64(F.concat_ws("\n", "header_names")).cast("string")), seen("method", text("method_class")), seen("type", text("content_class")),
+    )
+    headers = F.transform(F.array_distinct("header_names"), lambda n: seen("header", n))
+    rows = requests.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("common"), F.col(endpoint).alias("endpoint"), F.col(order).alias("first"), F.concat(fixed, headers).alias("seen"))
+    rows = rows.select("common", F.when(~F.col("common"), F.col("endpoint")).alias("endpoint"), F.explode("seen").alias("seen"), "first")
+    return merged(rows.select("common", "endpoint", "seen.kind", "seen.value", F.lit(1).cast("long").alias("n"), "seen.amount", "first"))
+
+
+def merged(*models: DataFrame) -> DataFrame:
+    """One MODEL of several, of requests that no two of them have in common: the same as if all had
+    been learned from at once. Of the header orders of a baseline the first KEPT_ORDERS stay."""
+    rows = models[0].select(*MODEL)
+    for other in models[1:]:
+        rows = rows.unionByName(other.select(*MODEL))
+    summed = rows.groupBy("common", "endpoint", "kind", "value").agg(F.sum("n").alias("n"), F.max("amount").alias("amount"), F.min("first").alias("first"))
+    orders = summed.where("kind = 'order'").withColumn("place", F.row_number().over(Window.partitionBy("common", "endpoint").orderBy("first", "value")))
+    return summed.where("kind <> 'order'").unionByName(orders.where(F.col("place") <= KEPT_ORDERS).drop("place")).select(*MODEL)
+
+
+def _baselines(model: DataFrame) -> DataFrame:
+    """A row of each baseline: what `judged` asks of it."""
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    some = lambda kind, more=F.lit(True): F.collect_set(F.when((F.col("kind") == kind) & more, F.col("value")))
+    return model.groupBy("common", "endpoint").agg(
+        F.max(of("requests", F.col("n"))).alias("samples"), *[F.max(of(a, F.col("amount"))).alias(f"most_{a}") for a in AMOUNTS],
+        some("order").alias("orders"), some("method").alias("methods"), some("type").alias("types"), some("header", F.col("n") >= EXPECTED_AFTER).alias("expected"),
+    )
+
+
+def judged(requests: DataFrame, endpoint: str, model: DataFrame) -> DataFrame:
+    """requests (a fingerprint each) with samples of the endpoint, the factors that count, and anomaly,
+    by a MODEL that they do not change: yesterday's, for example. scores() learns as it goes."""
+    baselines = _baselines(model).drop("common")
+    own, common, known_as = fresh(requests, "__own", "__common", "__endpoint")
+    packed = baselines.where(F.col("endpoint").isNotNull()).select(F.col("endpoint").alias(known_as), F.struct(*[c for c in baselines.columns if c != "endpoint"]).alias(own))
+    empty = F.struct(
+        F.lit(0).cast("long").alias("samples"), *[F.lit(None).cast("double").alias(f"most_{a}") for a in AMOUNTS],
+        *[F.expr("cast(array() as array<string>)").alias(c) for c in ("orders", "methods", "types", "expected")],
+    )
+    # One row, and one even of an empty model.
+    everyone = _baselines(model.where("common")).agg(F.first(F.struct(*[c for c in baselines.columns if c != "endpoint"])).alias(common))
+    rows = requests.join(packed, F.col(endpoint) == F.col(known_as), "left").crossJoin(F.broadcast(everyone))
+
+    def factors(x: Column) -> Column:
+        b, most = x["b"], lambda name, least: F.greatest(F.lit(least), F.coalesce(x["b"][f"most_{name}"], F.lit(least)))
+        header_order = F.xxhash64(F.concat_ws("\n", "header_names")).cast("string")
+        found = {
+            "header_count": F.col("header_count") > most("header_count", float(MOST_HEADERS)),
+            "header_order": (F.size(b["orders"]) > 0) & ~F.array_contains(b["orders"], header_order),
+            "method": ~F.col("method_class").isin(*EXPECTED_METHODS) & ~F.array_contains(b["methods"], F.col("method_class")),
+            "content_type": ~F.col("content_class").isin(*EXPECTED_TYPES) & ~F.array_contains(b["types"], F.col("content_class")),
+            "parameters": F.col("parameters") > most("parameters", float(MOST_PARAMETERS)) + PARAMETER_SLACK,
+            "entropy": F.col("query_entropy") > most("query_entropy", MOST_ENTROPY) + ENTROPY_SLACK,
+            "missing_headers": F.size(F.array_except(b["expected"], F.col("header_names"))) > MOST_MISSING,
+        }
+        return F.array_compact(F.array(*[F.when(test, name) for name, test in found.items()]))
+
+    whole = F.coalesce(F.when(F.col(own)["samples"] >= LEAST_SAMPLES, F.col(own)), F.col(common), empty)
+    weights = F.create_map(*[F.lit(v) for pair in WEIGHTS.items() for v in pair])
+    total = F.aggregate("factors", F.lit(0.0), lambda a, name: a + F.element_at(weights, name), lambda a: F.least(a, F.lit(1.0)))
+    marked = rows.withColumn("samples", F.coalesce(F.col(own)["samples"], F.lit(0).cast("long"))).withColumn("factors", let(factors, b=whole))
+    return marked.withColumn("anomaly", total).drop(own, common, known_as)
+
+
 def detections(anomaly: Column, threshold: float = 0.5, weight: float = 1.0) -> Column:
     """The detection of an anomalous request, null for any other."""
     value = F.format_string("anomaly_score=%.2f", anomaly)

@@ -35,19 +35,11 @@ def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Multiset Jaccard and cosine of the n-gram counts of left and right (key, ngram, n), for
     every pair whose Jaccard similarity reaches threshold.
 
-    From SIMILAR on, such a pair shares one of the rarest n-grams of either side: as many of
-    them as the least overlap leaves out, and one; only pairs that do are counted. Below, nearly
-    all n-grams would be among them: pairs are counted directly. Either way only pairs whose
-    sizes allow it are looked at."""
+    Candidates come from the rarer n-grams of each side (_candidates); only theirs are counted in full."""
     sizes = lambda df, key, name: df.groupBy(key).agg(F.sum("n").alias(f"{name}_n"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(f"{name}_norm"))
     l_sizes, r_sizes = sizes(left, left_key, "l"), sizes(right, right_key, "r")
-    close = (F.col("l_n") >= F.col("r_n") * threshold) & (F.col("r_n") >= F.col("l_n") * threshold)
-    other = right.withColumnRenamed("n", "m")
-    if threshold >= SIMILAR:
-        pairs = _sharing_rare(left, right, left_key, right_key, l_sizes, r_sizes, threshold).where(close).select(left_key, right_key).distinct()
-        both = pairs.join(left, left_key).join(other, [right_key, "ngram"])
-    else:
-        both = left.join(l_sizes.select(left_key, "l_n"), left_key).join(other.join(r_sizes.select(right_key, "r_n"), right_key), "ngram").where(close)
+    pairs = _candidates(left, right, left_key, right_key, l_sizes, r_sizes, threshold)
+    both = pairs.join(left, left_key).join(right.withColumnRenamed("n", "m"), [right_key, "ngram"])
     shared = both.groupBy(left_key, right_key).agg(F.sum(F.least("n", "m")).alias("both"), F.sum(F.col("n") * F.col("m")).alias("dot"))
     rows = shared.join(l_sizes, left_key).join(r_sizes, right_key)
     return rows.select(
@@ -57,17 +49,34 @@ def similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     ).where(F.col("jaccard") >= threshold)
 
 
-def _sharing_rare(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l_sizes: DataFrame, r_sizes: DataFrame, threshold: float) -> DataFrame:
-    """left_key, l_n, right_key, r_n of pairs that share one of their rarest n-grams; no common n-gram is a join key."""
+def _candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l_sizes: DataFrame, r_sizes: DataFrame, threshold: float) -> DataFrame:
+    """left_key, right_key of pairs that can reach threshold.
+
+    All n-grams have one order, rarest first. A side's prefix is what the least overlap leaves out, and one
+    n-gram: a similar pair shares some of it, so that no commonest n-gram is a join key. Beyond the prefix
+    that ends first (its last n-gram is in front of the other's) a pair can share no more than what that side
+    has left there; what it shares before is counted, and pairs whose sum is too small go."""
     rarity = left.select("ngram", "n").unionByName(right.select("ngram", "n")).groupBy("ngram").agg(F.sum("n").alias("common"))
 
-    def rarest(df: DataFrame, key: str, sized: DataFrame, n: str) -> DataFrame:
+    def rarest(df: DataFrame, key: str, sized: DataFrame, side: str) -> DataFrame:
+        """key, order, n, size, rest (occurrences beyond the prefix) and end (its last n-gram) of a side's prefixes."""
+        size, order = f"{side}_n", F.struct("common", F.xxhash64("ngram").alias("h"), "ngram")
+        rows = df.join(rarity, "ngram").join(sized.select(key, size), key).withColumn("order", order)
         # Each occurrence counts: an n-gram is in if those that are rarer do not fill the prefix.
-        before = Window.partitionBy(key).orderBy("common", "ngram").rowsBetween(Window.unboundedPreceding, -1)
-        rows = df.join(rarity, "ngram").withColumn("rarer", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sized.select(key, n), key)
-        return rows.where(F.col("rarer") <= F.col(n) - F.ceil(F.col(n) * threshold)).select(key, "ngram", n)
-
-    return rarest(left, left_key, l_sizes, "l_n").join(rarest(right, right_key, r_sizes, "r_n"), "ngram")
+        upto = Window.partitionBy(key).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") - F.col("n") <= F.col(size) - F.ceil(F.col(size) * threshold))
+        whole = Window.partitionBy(key)
+        rest, end = F.col(size) - F.max("upto").over(whole), F.max("order").over(whole)
+        end = F.struct(end["common"].alias("common"), end["h"].alias("h"))
+        return rows.select(key, "ngram", F.col("n").alias(f"{side}_here"), size, rest.alias(f"{side}_rest"), end.alias(f"{side}_end"))
+
+    met = rarest(left, left_key, l_sizes, "l").join(rarest(right, right_key, r_sizes, "r"), "ngram")
+    met = met.where((F.col("l_n") >= F.col("r_n") * threshold) & (F.col("r_n") >= F.col("l_n") * threshold))
+    # Equal ends (or, never seen, equal hashes of different ones) are either side's.
+    rest = F.when(F.col("l_end") < F.col("r_end"), F.col("l_rest")).when(F.col("l_end") > F.col("r_end"), F.col("r_rest")).otherwise(F.greatest("l_rest", "r_rest"))
+    least = (F.col("l_n") + F.col("r_n")) * threshold / (1 + threshold)
+    found = met.groupBy(left_key, right_key).agg(F.sum(F.least("l_here", "r_here")).alias("before"), F.first(rest).alias("rest"), F.first(least).alias("least"))
+    return found.where(F.col("before") + F.col("rest") >= F.col("least") - 1e-6).select(left_key, right_key)
 
 
 def most_similar(pairs: DataFrame, key: str, other: str) -> DataFrame:

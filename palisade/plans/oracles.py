@@ -102,8 +102,7 @@ FROM v
 _NAMES = ("Host", "Accept", "User-Agent", "Cookie", "Content-Type")
 #: The header names that each of 23 clients sends, by the checksum that the query builds its requests with.
 _SENT = ", ".join(f"({c}, '{n}')" for c in range(23) for n in _NAMES if n == "Host" or zlib.crc32(f"{n}{c}".encode()) % 3)
-FINGERPRINT = f"""
-WITH sent AS (SELECT * FROM (VALUES {_SENT}) AS v(c, name)),
+_FEATURES = f"""WITH sent AS (SELECT * FROM (VALUES {_SENT}) AS v(c, name)),
 lists AS (SELECT c, list(name ORDER BY name) AS names FROM sent GROUP BY c),
 r AS (
   SELECT event_id AS o, CASE WHEN user_id % 10 = 0 THEN '/u/' || (user_id * 7 % 1000) || '/' || (event_id % 900) ELSE '/' || event_type END AS e,
@@ -115,7 +114,13 @@ r AS (
 ), letters AS (SELECT o, unnest(string_split(q, '')) AS ch, strlen(q) AS n FROM r),
 ent AS (SELECT o, round(sum(-(k / n) * log2(k / n)), 9) AS x FROM (SELECT o, n, ch, count(*) AS k FROM letters WHERE ch <> '' GROUP BY ALL) GROUP BY o),
 f AS (SELECT r.*, x, least(len(regexp_extract_all(q, '&')) + 1, 255) AS np FROM r JOIN ent USING (o)),
-n AS (SELECT o, e, unnest(names) AS name FROM f),
+n AS (SELECT o, e, unnest(names) AS name FROM f)"""
+_FACTORS = """array_to_string(list_filter([CASE WHEN f1 THEN 'header_count' END, CASE WHEN f2 THEN 'header_order' END, CASE WHEN f3 THEN 'method' END,
+    CASE WHEN f4 THEN 'content_type' END, CASE WHEN f5 THEN 'parameters' END, CASE WHEN f6 THEN 'entropy' END, CASE WHEN f7 THEN 'missing_headers' END], lambda y: y IS NOT NULL), ',') AS factors"""
+_ANOMALY = "least(0.1 * f1::INT + 0.15 * f2::INT + 0.2 * f3::INT + 0.15 * f4::INT + 0.1 * f5::INT + 0.2 * f6::INT + 0.1 * f7::INT, 1.0)::DOUBLE AS a"
+
+FINGERPRINT = f"""
+{_FEATURES},
 -- How often a name was sent before, to the endpoint and at all.
 k AS (SELECT *, row_number() OVER (PARTITION BY e, name ORDER BY o) - 1 AS ke, row_number() OVER (PARTITION BY name ORDER BY o) - 1 AS ka FROM n),
 kk AS (SELECT o, count(*) FILTER (ke >= 16) AS he, count(*) FILTER (ke = 15) AS ne, count(*) FILTER (ka >= 16) AS ha, count(*) FILTER (ka = 15) AS na FROM k GROUP BY o),
@@ -136,12 +141,30 @@ w AS (
     np > greatest(20, coalesce(CASE WHEN samples >= 10 THEN npe ELSE npa END, 0)) + 5 AS f5,
     x > greatest(5.0, coalesce(CASE WHEN samples >= 10 THEN xe ELSE xa END, 0)) + 1.0 AS f6,
     CASE WHEN samples >= 10 THEN re - he ELSE ra - ha END > 2 AS f7 FROM w
-), s AS (SELECT *, least(0.1 * f1::INT + 0.15 * f2::INT + 0.2 * f3::INT + 0.15 * f4::INT + 0.1 * f5::INT + 0.2 * f6::INT + 0.1 * f7::INT, 1.0)::DOUBLE AS a FROM b)
-SELECT o AS event_id, samples, array_to_string(list_filter([CASE WHEN f1 THEN 'header_count' END, CASE WHEN f2 THEN 'header_order' END, CASE WHEN f3 THEN 'method' END,
-    CASE WHEN f4 THEN 'content_type' END, CASE WHEN f5 THEN 'parameters' END, CASE WHEN f6 THEN 'entropy' END, CASE WHEN f7 THEN 'missing_headers' END], lambda y: y IS NOT NULL), ',') AS factors,
+), s AS (SELECT *, {_ANOMALY} FROM b)
+SELECT o AS event_id, samples, {_FACTORS},
   round(a, 6) AS anomaly, CASE WHEN a >= 0.3 THEN floor(a * 5)::INT ELSE -1 END AS base_score FROM s
 """
 
+#: What a baseline knows after it has learned from some requests; an endpoint of few asks that of all.
+_KNOWN = "count(*) AS samples, max(nh) AS nh, max(np) AS np, max(x) AS x, list(DISTINCT h) AS hs, list(DISTINCT m) AS ms, list(DISTINCT t) AS ts"
+FINGERPRINT_MODEL = f"""
+{_FEATURES}, l AS (SELECT * FROM f WHERE o % 4 < 3), own AS (SELECT e, {_KNOWN} FROM l GROUP BY e), everyone AS (SELECT {_KNOWN} FROM l),
+often AS (SELECT e, list(name) AS names FROM (SELECT e, name FROM n WHERE o % 4 < 3 GROUP BY ALL HAVING count(*) >= 16) GROUP BY e),
+always AS (SELECT list(name) AS names FROM (SELECT name FROM n WHERE o % 4 < 3 GROUP BY ALL HAVING count(*) >= 16)),
+j AS (
+  SELECT f.*, coalesce(own.samples, 0) AS samples, own.samples >= 10 AS known, CASE WHEN known THEN own.nh ELSE a.nh END AS mh, CASE WHEN known THEN own.np ELSE a.np END AS mp,
+    CASE WHEN known THEN own.x ELSE a.x END AS mx, CASE WHEN known THEN own.hs ELSE a.hs END AS hs, CASE WHEN known THEN own.ms ELSE a.ms END AS ms,
+    CASE WHEN known THEN own.ts ELSE a.ts END AS ts, coalesce(CASE WHEN known THEN often.names ELSE always.names END, []) AS wanted
+  FROM f LEFT JOIN own USING (e) LEFT JOIN often USING (e), everyone a, always
+), b AS (
+  SELECT *, nh > greatest(50, mh) AS f1, NOT list_contains(hs, h) AS f2, m NOT IN ('GET', 'POST') AND NOT list_contains(ms, m) AS f3,
+    t NOT IN ('none', 'form', 'json') AND NOT list_contains(ts, t) AS f4, np > greatest(20, mp) + 5 AS f5, x > greatest(5.0, mx) + 1.0 AS f6,
+    len(list_filter(wanted, lambda y: NOT list_contains(names, y))) > 2 AS f7 FROM j
+), s AS (SELECT *, {_ANOMALY} FROM b)
+SELECT o AS event_id, samples, {_FACTORS}, round(a, 6) AS anomaly FROM s
+"""
+
 _LE = ", ".join(f"count(*) FILTER (ms <= {b}) AS le_{b:g}" for b in BUCKETS)
 _HISTOGRAM = f"""SELECT event_type, {_LE}, count(*) AS le_inf, sum(ms)::BIGINT AS total, count(*) AS n
   FROM (SELECT event_type, floor(value)::BIGINT AS ms FROM events) GROUP BY event_type"""
@@ -502,6 +525,7 @@ ORACLES = {
       k AS (SELECT page_id, n, ch, count(*) AS m FROM c WHERE ch <> '' GROUP BY ALL)
       SELECT page_id, round(sum(-(m / n) * log2(m / n)), 6) AS entropy FROM k GROUP BY page_id""",
     "fingerprint_anomaly": FINGERPRINT,
+    "fingerprint_model": FINGERPRINT_MODEL,
     "ws_reassembly": f"""WITH f AS ({_FRAMES}), m AS (
       SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS message FROM f)
       SELECT conv_id, message, min(turn) AS first, max(turn) AS last, count(*) AS n_frames, sum(strlen(text))::INT AS n_bytes, md5(string_agg(text, '' ORDER BY turn)) AS body_md5

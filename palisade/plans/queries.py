@@ -389,6 +389,15 @@ def fingerprint_anomaly(spark, sf_dir):
     return scored.select("event_id", "samples", F.array_join("factors", ",").alias("factors"), F.round("anomaly", 6).alias("anomaly"), F.coalesce(found["base_score"], F.lit(-1)).alias("base_score"))
 
 
+def fingerprint_model(spark, sf_dir):
+    """A baseline of the first half of all requests, brought up to date with some of the rest, judges all of them."""
+    marked = anomaly.fingerprint(_requests(spark, sf_dir), "method", "query", "headers")
+    first, later = marked.where("event_id % 4 < 2"), marked.where("event_id % 4 = 2")
+    model = anomaly.merged(anomaly.learned(first, "path", "event_id"), anomaly.learned(later, "path", "event_id"))
+    found = anomaly.judged(marked, "path", model)
+    return found.select("event_id", "samples", F.array_join("factors", ",").alias("factors"), F.round("anomaly", 6).alias("anomaly"))
+
+
 def _frames(spark, sf_dir):
     """Turns as frames: a conversation's last turn of each run of three is final."""
     rows = table(spark, sf_dir, "conversations").where("text is not null")
@@ -627,7 +636,7 @@ QUERIES = {
         waf_decisions_pages, header_decisions, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
         email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
-        ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
+        ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, fingerprint_model, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, privacy_budget, model_average, gradient_topk, json_depth, json_inspection,
         graphql_inspection, openapi_validation, graphql_validation, jwt_inspection, bot_classes, ml_classify,
     )

@@ -263,3 +263,28 @@ def test_a_trie_of_ten_thousand_templates(spark):
         made.agg(F.sum("n")).collect()
         took.append(time.time() - began)
     assert took[1] < 3 * took[0] + 2
+
+
+def test_baselines_merge_and_persist(spark, tmp_path):
+    """Day by day as all at once; judging by what came before as scores() does; more orders than are kept."""
+    rng = np.random.default_rng(8)
+    names = [f"H{i}" for i in range(9)]
+    rows = []
+    for i in range(240):
+        some = {n: ["v"] for n in rng.permutation(names)[: rng.integers(1, 9)]} | ({"Content-Type": [["text/html", "image/png", "application/json"][i % 3]]} if i % 4 == 0 else {})
+        rows.append((i, ["/a", "/b", f"/c{i}", None][rng.choice(4, p=[0.5, 0.3, 0.15, 0.05])], ["GET", "put", "TRACE"][i % 17 % 3], "&".join("ab" * int(rng.integers(0, 40))), some))
+    docs = spark.createDataFrame(rows, "o int, path string, method string, query string, headers map<string,array<string>>")
+    marked = anomaly.fingerprint(docs, "method", "query", "headers").withColumn("samples", F.lit("own"))
+    folder = str(tmp_path / "day1")
+    anomaly.learned(marked.where("o < 150"), "path", "o").write.parquet(folder)
+    both = anomaly.merged(spark.read.parquet(folder), anomaly.learned(marked.where("o >= 150"), "path", "o"))
+    once = anomaly.learned(marked, "path", "o")
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, once.collect()))
+    assert once.where("common and kind = 'order'").count() == anomaly.KEPT_ORDERS
+    learning = {r["o"]: (r["factors"], round(r["anomaly"], 9)) for r in anomaly.scores(marked.drop("samples"), "path", "o").collect()}
+    for last in (0, 5, 60, 150, 239):
+        one, model = marked.where(F.col("o") == last), anomaly.learned(marked.where(F.col("o") < last), "path", "o")
+        got = anomaly.judged(one, "path", model).first()
+        if rows[last][1] is not None:  # requests without a path have no baseline of their own here
+            assert (got["factors"], round(got["anomaly"], 9)) == learning[last]
+    assert anomaly.judged(marked.where("false"), "path", once).count() == 0
