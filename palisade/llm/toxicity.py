@@ -19,7 +19,6 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Iterable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ WARM_PASSES, PASSES, STEP, RATE, HIDDEN = 2, 8, 128, 4e-3, 0.25
 #: only say which text they are from.
 LEAST_TEXTS = 4
 #: Words that a scoring task keeps and windows that it scores together.
-KEPT_WORDS, TOGETHER = 100_000, 2048
+KEPT_WORDS, TOGETHER = 100_000, 1024
 #: Words, or training texts, whose n-grams are looked up at a time.
 PORTION = 8192
 
@@ -61,26 +60,44 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), max(0, n - WINDOW)] if n else []
 
 
-def features(word: str) -> list[int]:
-    """The bucket of the word, then those of its character n-grams."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + k] for k in GRAMS for i in range(max(1, len(marked) - k + 1))]
-    return [crc32(word.encode()) % BUCKETS, *[crc32(g.encode()) % BUCKETS for g in grams]]
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of 32-bit hashes."""
+    return ((hashes ^ (hashes >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
 class Words:
-    """Feature buckets of different words, in flat arrays."""
+    """Feature buckets of different words, in flat arrays: of the word, and of the n-grams of "<word>".
+
+    Hashes are sums of characters times powers, so that all words' are found together."""
 
     def __init__(self, words: list[str]):
-        word, size, gram = [], [], [np.zeros(0, np.int32)]
-        for k in range(0, len(words), PORTION):
-            found = [features(w) for w in words[k : k + PORTION]]
-            word += [f[0] for f in found]
-            size += [len(f) - 1 for f in found]
-            gram.append(np.array([b for f in found for b in f[1:]], np.int32))
-        self.word, self.size, self.gram = np.array(word, np.int64), np.array(size, np.int64), np.concatenate(gram)
+        parts = [self._features(words[k : k + PORTION]) for k in range(0, len(words), PORTION)] or [self._features([])]
+        self.word, self.size, self.gram = (np.concatenate(x) for x in zip(*parts))
         self.begin = np.cumsum(self.size) - self.size
 
+    @staticmethod
+    def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket of each word, how many n-grams it has, their buckets word by word)."""
+        marked = "".join(f"<{w}>" for w in words)
+        chars = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4")
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        end = np.cumsum(length)
+        place = np.arange(len(chars)) - np.repeat(end - length, length)
+        powers = np.multiply.accumulate(np.full(int(length.max(initial=1)), 16777619, np.uint32))
+        whole = np.add.reduceat(chars * powers[place], end - length, dtype=np.uint32) if len(words) else np.zeros(0, np.uint32)
+        counts = [np.maximum(length - n + 1, 0) for n in GRAMS]
+        size = sum(counts)
+        at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int32)
+        left = np.repeat(end, length) - np.arange(len(chars))  # characters from here to the word's end
+        for n, count in zip(GRAMS, counts):
+            starts = np.flatnonzero(left >= n)
+            h = np.full(len(starts), n, np.uint32)
+            for k in range(n):
+                h = (h ^ chars[starts + k]) * np.uint32(16777619)
+            out[np.repeat(at, length)[starts] + place[starts]] = _mixed(h)
+            at = at + count
+        return _mixed(whole).astype(np.int64), size, out
+
     def grams(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-gram buckets of rows one after the other, where each row begins)."""
         size = self.size[rows]
@@ -121,24 +138,37 @@ def read(net: dict[str, np.ndarray], table: np.ndarray, ids: np.ndarray, keep: b
     all gates; -1 is no word. With keep also what the way back needs."""
     n, steps, s = len(ids), ids.shape[1], STATES
     there, short = ids >= 0, bool((ids < 0).any())
-    h, states, kept = np.zeros((2, n, s), np.float32), np.zeros((steps, n, 2 * s), np.float32), []
+    states, kept, half = np.zeros((steps, n, 2 * s), table.dtype), [], table.dtype.type(0.5)
+    x, h = np.empty((2, n, 3 * s), table.dtype), np.zeros((2, n, s), table.dtype)
+    sides = table.reshape(len(table), 2, 3 * s)
     for t in range(steps):
         at, back = t, steps - 1 - t
-        x = np.stack([table[ids[:, at], : 3 * s], table[ids[:, back], 3 * s :]])
+        x[0], x[1] = sides[ids[:, at], 0], sides[ids[:, back], 1]
         g = h @ net["turn"]
-        gates = _sigmoid(x[:, :, : 2 * s] + g[:, :, : 2 * s])
-        z, r = gates[:, :, :s], gates[:, :, s:]
-        new = np.tanh(x[:, :, 2 * s :] + r * g[:, :, 2 * s :])
-        after = new + z * (h - new)
+        gates = x[:, :, : 2 * s] + g[:, :, : 2 * s]
+        gates *= half
+        np.tanh(gates, out=gates)
+        gates *= half
+        gates += half
+        z, r, rest = gates[:, :, :s], gates[:, :, s:], g[:, :, 2 * s :]
+        new = r * rest
+        new += x[:, :, 2 * s :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
         m = None
         if short:
             m = np.stack([there[:, at], there[:, back]])[:, :, None]
             after = np.where(m, after, h)
         if keep:
-            kept.append((h, z, r, new, g[:, :, 2 * s :], m))
+            kept.append((h, z, r, new, rest, m))
         h = after
         states[at, :, :s], states[back, :, s:] = h[0], h[1]
-    seen = np.tanh(states @ net["look"] + net["look_bias"])
+    seen = states.reshape(-1, 2 * s) @ net["look"]
+    seen += net["look_bias"]
+    np.tanh(seen, out=seen)
+    seen = seen.reshape(steps, n, -1)
     weight = seen @ net["seek"]
     if short:
         weight = np.where(there.T, weight, -1e9)

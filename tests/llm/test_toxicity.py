@@ -38,14 +38,37 @@ def test_slopes_are_those_of_the_loss(net):
             assert got == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=2e-2, abs=3e-5), name
 
 
+def buckets(word):
+    """The bucket of a word and of each of its n-grams, number by number."""
+    mixed = lambda h: ((h ^ (h >> 15)) * 2654435761 % 2**32) >> 17
+    marked, whole, grams = f"<{word}>", 0, []
+    for k, c in enumerate(marked):
+        whole = (whole + ord(c) * pow(16777619, k + 1, 2**32)) % 2**32
+    for n in t.GRAMS:
+        for i in range(len(marked) - n + 1):
+            h = n
+            for c in marked[i : i + n]:
+                h = (h ^ ord(c)) * 16777619 % 2**32
+            grams.append(mixed(h))
+    return mixed(whole), grams
+
+
+def test_features_of_many_words():
+    some = ["a", "é", "ab", "zebra", "😀x", "Q" * 5000, "abc", "ſtraße"]
+    words = t.Words(some)
+    for k, w in enumerate(some):
+        assert (words.word[k], words.grams(np.array([k]))[0].tolist()) == buckets(w)
+    assert len(t.Words([]).word) == 0
+
+
 def brute_score(net, text):
     """Each window, word by word."""
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     words, best, s = t.words_of(text), -np.inf, t.STATES
     inputs = []
     for w in words:
-        buckets = t.features(w)
-        x = np.concatenate([net["word"][buckets[0]], np.mean([net["gram"][b] for b in buckets[1:]], axis=0)])
+        word, grams = buckets(w)
+        x = np.concatenate([net["word"][word], np.mean([net["gram"][b] for b in grams], axis=0)])
         inputs.append(x @ net["in"] + net["in_bias"])
     starts = {k for k in range(0, len(words), t.STRIDE) if k + t.WINDOW < len(words)} | {max(0, len(words) - t.WINDOW)}
     for k in starts if words else ():
