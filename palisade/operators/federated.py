@@ -23,8 +23,8 @@ def mean(updates: DataFrame, gradients: str) -> DataFrame:
 
 
 def weighted_mean(updates: DataFrame, gradients: str, weight: str) -> DataFrame:
-    w, g = F.col(weight).cast("double"), F.col("g").cast("double")
-    return exploded(updates, gradients, weight).groupBy("i").agg((F.sum(w * g) / F.sum(w)).alias("value"))
+    w, g = F.col("weight_").cast("double"), F.col("g").cast("double")
+    return exploded(updates.select(F.col(weight).alias("weight_"), gradients), gradients, "weight_").groupBy("i").agg((F.sum(w * g) / F.sum(w)).alias("value"))
 
 
 #: Ranges of values that an index is cut into before anything is ranked.

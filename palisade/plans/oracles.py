@@ -175,8 +175,8 @@ _LINES = " UNION ALL ".join(
 )
 
 #: Attacks that some turns have in them, so that bodies have something to find.
-_ATTACKED = "text || CASE WHEN (conv_id + turn) % 5 = 1 THEN ' 1 UNION SELECT password FROM users-- <script>alert(1)</script>' WHEN (conv_id + turn) % 7 = 2 THEN '; cat /etc/passwd' ELSE '' END"
-_FRAMES_WITH_ATTACKS = f"SELECT conv_id, turn, {_ATTACKED} AS text, turn % 3 = 2 AS fin FROM conversations WHERE text IS NOT NULL"
+_ATTACKED = "coalesce(text, '') || CASE WHEN (conv_id + turn) % 5 = 1 THEN ' 1 UNION SELECT password FROM users-- <script>alert(1)</script>' WHEN (conv_id + turn) % 7 = 2 THEN '; cat /etc/passwd' ELSE '' END"
+_FRAMES_WITH_ATTACKS = f"SELECT conv_id, turn, {_ATTACKED} AS text, turn % 3 = 2 AS fin FROM conversations"
 #: ended: buffers of chunks as they end, by the last chunk of a body or by one that is too much.
 _BUFFERS = f"""f AS (SELECT conv_id, turn, text, fin, strlen(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM ({_FRAMES_WITH_ATTACKS})),
   b AS (
@@ -188,7 +188,7 @@ _BUFFERS = f"""f AS (SELECT conv_id, turn, text, fin, strlen(text) AS n, row_num
   ), ended AS (SELECT conv_id, buffer, first, turn AS last, size::BIGINT AS size, too_large, body FROM b WHERE ends)"""
 #: Rules whose patterns both engines read alike on chunks cut at any byte.
 BODY_RULES = load(Config(paranoia=2))
-_FRAMES = "SELECT conv_id, turn, text, turn % 3 = 2 AS fin FROM conversations WHERE text IS NOT NULL"
+_FRAMES = "SELECT conv_id, turn, coalesce(text, '') AS text, turn % 3 = 2 AS fin FROM conversations"
 
 
 def _grams(name: str, key: str, source: str) -> str:
@@ -483,6 +483,8 @@ ORACLES = {
     "top_offenders": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     "counters": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id",
     "timing": TIMING,
+    "bot_timing": f"""SELECT event_id, CASE WHEN timing_score >= 70 THEN 'bad-bot' WHEN timing_score >= 30 THEN 'unknown' ELSE 'human' END AS bot_class, timing_score AS confidence,
+      CASE WHEN timing_score > 0 THEN '97101:' || timing_score ELSE '' END AS detections FROM ({TIMING})""",
     "failure_velocity": """WITH e AS (SELECT *, epoch_us(ts) // 1000 AS t FROM events),
       j AS (SELECT a.event_id, count(*) FILTER (b.event_type = 'error') AS failures FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t - 86400000 AND (b.t, b.event_id) <= (a.t, a.event_id) GROUP BY a.event_id)
       SELECT event_id, failures, failures >= 3 AS velocity_exceeded FROM j""",

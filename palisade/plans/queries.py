@@ -248,6 +248,17 @@ def timing(spark, sf_dir):
     )
 
 
+def bot_timing(spark, sf_dir):
+    """Requests of one browser, told from bots by their timing alone."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    shrunk = events.withColumn("ts", F.timestamp_millis(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long")))
+    sent = F.create_map(*[F.lit(x) for name in ("Accept", "Accept-Language", "Accept-Encoding", "Connection") for x in (name, "x")])
+    rows = bots.timed(shrunk, "user_id", "ts", "event_id").withColumns({"user_agent": F.lit("Mozilla/5.0 (X11) Chrome/120.0 Safari"), "headers": sent, "tls_fingerprint": F.lit(None).cast("string")})
+    found = bots.classify(rows)
+    ids = F.array_join(F.transform("detections", lambda d: F.concat_ws(":", d["rule_id"], d["matched_value"])), ",")
+    return found.select("event_id", "bot_class", "confidence", ids.alias("detections"))
+
+
 def failure_velocity(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("success"))
     rows = bots.failure_velocity(events, "ts", "user_id", "event_id", limit=3, seconds=86_400)
@@ -399,8 +410,8 @@ def fingerprint_model(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    """Turns as frames: a conversation's last turn of each run of three is final."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    """Turns as frames: a conversation's last turn of each run of three is final. A turn without a text is an empty frame."""
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", "role", F.encode("text", "UTF-8").alias("data"), F.lit("text").alias("opcode"), (F.col("turn") % 3 == 2).alias("fin"), (F.col("role") == "user").alias("c2s"))
 
 
@@ -413,7 +424,7 @@ def _attacked(spark, sf_dir):
     """Frames with attacks in some turns, so that bodies have something to find."""
     of = F.col("conv_id") + F.col("turn")
     attack = F.when(of % 5 == 1, " 1 UNION SELECT password FROM users-- <script>alert(1)</script>").when(of % 7 == 2, "; cat /etc/passwd").otherwise("")
-    return _frames(spark, sf_dir).withColumn("data", F.concat("data", F.encode(attack, "UTF-8")))
+    return _frames(spark, sf_dir).withColumn("data", F.concat(F.coalesce("data", F.lit(b"")), F.encode(attack, "UTF-8")))
 
 
 #: So little that some bodies are too large.
@@ -634,7 +645,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         waf_decisions_pages, header_decisions, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
-        email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing,
+        email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing, bot_timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
         ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, fingerprint_model, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, privacy_budget, model_average, gradient_topk, json_depth, json_inspection,

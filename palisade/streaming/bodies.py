@@ -120,9 +120,10 @@ def log_responses(chunks: DataFrame, key: str, index: str, data: str, last: str,
 
 def overlapped(chunks: DataFrame, key: str, index: str, data: str, overlap: int) -> DataFrame:
     """chunks with window: the last bytes of the chunk before, and the chunk. Binary throughout."""
-    before = F.lag(data).over(Window.partitionBy(key).orderBy(index))
+    here = F.coalesce(F.col(data), F.lit(b""))
+    before = F.lag(here).over(Window.partitionBy(key).orderBy(index))
     tail = F.substring(before, F.greatest(F.octet_length(before) - overlap + 1, F.lit(1)), F.lit(overlap))
-    return chunks.withColumn("window", F.concat(F.coalesce(tail, F.lit(b"")), F.col(data)))
+    return chunks.withColumn("window", F.concat(F.coalesce(tail, F.lit(b"")), here))
 
 
 def inspected(chunks: DataFrame, key: str, index: str, data: str, config: Config = Config(), rules: tuple[Rule, ...] | None = None, location: str = "body") -> DataFrame:

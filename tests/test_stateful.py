@@ -1,5 +1,6 @@
 """State of streams against the same operators over finished data."""
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -34,9 +35,12 @@ class Stream:
 
 @pytest.fixture()
 def stream(spark, tmp_path):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield lambda schema: Stream(spark, tmp_path, schema)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
 
 
 def dealt(rows, batches, seed=0, key=0):
@@ -82,25 +86,26 @@ def test_a_chunk_ahead_of_its_turn_waits(stream):
     assert turns == [[], [], [(0, 2, b"123")], [(3, 3, b"4")]]
 
 
-def test_silent_bodies_are_forgotten(spark, stream, tmp_path):
-    import time
-
+def test_silent_bodies_are_forgotten(stream, tmp_path):
+    """With a timer Spark runs batches with or without data, so the test waits for what they show."""
     chunks, got = stream(CHUNKS), []
-    chunks.add([("a", 0, b"1", False), ("b", 0, b"1", False)])
-    query = stateful.buffered(chunks.rows, idle_ms=4000).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: got.extend(df.collect())).start()
+    made = stateful.buffered(chunks.rows, idle_ms=2000).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds")
+    query = made.foreachBatch(lambda df, _: got.extend((r["key"], bytes(r["body"])) for r in df.collect())).start()
+
+    def until(test):
+        end = time.time() + 60
+        while not test() and time.time() < end and query.isActive:
+            time.sleep(0.2)
+        assert test(), query.exception()
+
     try:
-        query.processAllAvailable()
-        chunks.add([("b", 1, b"2", True)])
-        query.processAllAvailable()
-        assert [(r["key"], bytes(r["body"])) for r in got] == [("b", b"12")]
-        time.sleep(5)
-        chunks.add([("c", 0, b"", False)])
-        query.processAllAvailable()
-        time.sleep(1)
+        chunks.add([("a", 0, b"1", False), ("b", 0, b"1", True)])
+        until(lambda: got == [("b", b"1")])
+        # State rows go when the timer of "a" has fired.
+        until(lambda: sum(x["numRowsTotal"] for x in query.lastProgress["stateOperators"]) == 0)
         # "a" begins anew: its chunk 0 is forgotten.
         chunks.add([("a", 0, b"7", True)])
-        query.processAllAvailable()
-        assert [(r["key"], bytes(r["body"])) for r in got[1:]] == [("a", b"7")]
+        until(lambda: got[1:] == [("a", b"7")])
     finally:
         query.stop()
 
