@@ -5,8 +5,9 @@ entities. For every term that stands near one, corpus counts over all documents
 estimate how much the term reveals: the pointwise mutual information of term and
 entity, as a share of the information in the entity itself (1: whoever knows the
 term knows the entity). Terms above GENERALISE become a class name, above REMOVE
-they go. A pair needs MIN_CONTEXTS different contexts, so that copies of one
-mention are not taken for a pattern.
+they go, wherever they stand and in whichever document. A pair needs MIN_CONTEXTS
+different contexts, so that copies of one mention are not taken for a pattern; how
+often term and entity occur, alone and together, is counted by document.
 
 Defined results: a null text is empty and has no spans; equal texts get equal
 spans; rows are never merged or dropped; an empty table gives an empty result;
@@ -44,34 +45,43 @@ SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 RESULTS = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans")
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """(start, end, value) of every match, in order: the lengths of the matches and of what lies between add up.
+def scanned(items: Column, zero: Column, step, kind: str) -> Column:
+    """array<kind> of what step makes of each item: step(state, item) is (next state, output); zero the first state.
 
-    They are added up in about as many blocks as a block has matches, since an array that grows is copied at each step."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = let(values, lambda v: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(v)).alias("gap"), v.alias("value")))
+    Outputs are put together in about as many blocks as a block has items, since an array that grows
+    is copied at each step."""
     empty = lambda kind: F.expr(f"cast(array() as {kind})")
-    spans = "array<struct<start:int,end:int,value:string>>"
 
-    def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
+    def add(done: Column, item: Column) -> Column:
+        state, output = step(done["state"], item)
+        return F.struct(state.alias("state"), F.concat(done["found"], F.array(output)).alias("found"))
 
     def add_block(done: Column, block: Column) -> Column:
-        none = F.struct(done["at"].alias("at"), empty(spans).alias("found"))
+        none = F.struct(done["state"].alias("state"), empty(f"array<{kind}>").alias("found"))
         return F.aggregate(
-            block, none, add, lambda inner: F.struct(inner["at"].alias("at"), F.concat(done["blocks"], F.array(inner["found"])).alias("blocks"))
+            block, none, add, lambda inner: F.struct(inner["state"].alias("state"), F.concat(done["blocks"], F.array(inner["found"])).alias("blocks"))
         )
 
-    def in_blocks(pairs: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / width).cast("int")), lambda k: F.slice(pairs, k * width + 1, width))
-        none = F.struct(F.lit(0).alias("at"), empty(f"array<{spans}>").alias("blocks"))
+    def in_blocks(items: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / width).cast("int")), lambda k: F.slice(items, k * width + 1, width))
+        none = F.struct(zero.alias("state"), empty(f"array<array<{kind}>>").alias("blocks"))
         return F.aggregate(blocks, none, add_block, lambda done: F.flatten(done["blocks"]))
 
-    return let(pairs, in_blocks)
+    return let(items, in_blocks)
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """(start, end, value) of every match, in order: the lengths of the matches and of what lies between add up."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = let(values, lambda v: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(v)).alias("gap"), v.alias("value")))
+
+    def add(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(pair["gap"])
+        end = start + F.char_length(pair["value"])
+        return end, F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+
+    return scanned(pairs, F.lit(0), add, "struct<start:int,end:int,value:string>")
 
 
 def _cut(text: Column) -> Column:
@@ -86,6 +96,13 @@ def _short(blocks: str, start: Column, length: Column) -> Column:
     return F.substring(two, start - block * BLOCK + 1, length)
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, out of _cut blocks: in time of their number, wherever they lie."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -149,43 +166,48 @@ def _mentions(docs: DataFrame) -> DataFrame:
     return exploded.select("text_id", "text_size", "entity", "context", F.xxhash64("t.term").alias("term"), "t.start", "t.end").distinct()
 
 
-def _document_counts(docs: DataFrame) -> DataFrame:
-    """In how many documents each term (by its hash) occurs."""
-    words = F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n_term"))
+def _terms(text: Column) -> Column:
+    """The hashes of the different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
+def _entities(docs: DataFrame) -> DataFrame:
+    """A row for each entity of each different text of docs."""
+    text = F.col("text")
+    held = docs.select(text_of().alias("text")).withColumn("found", base_spans(text))
+    held = guarded(held, F.size("found") > 0).select(*_text_key(text), F.explode("found").alias("span"))
+    return held.select("text_id", "text_size", F.concat_ws(":", "span.rank", F.lower("span.value")).alias("entity")).distinct()
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """(text_id, text_size, extra): the spans of terms that reveal an entity, by text."""
+    """(text_id, text_size, extra): of each text with such terms the hashes and ranks of those that reveal an entity.
+
+    A term is looked at if it stands near an entity in enough contexts; from there on it counts
+    wherever it stands: n_pair are the documents that hold both, and no document keeps the term."""
     n = max(docs.count(), 1)
-    mentions = written(_mentions(docs))
-    # Documents and mentions are counted alike, with copies; contexts without.
-    texts = docs.select(*_text_key(text_of())).groupBy("text_id", "text_size").agg(F.count("*").alias("copies"))
-    told = mentions.select("text_id", "text_size").distinct()
-    copies = texts.join(told, ["text_id", "text_size"], "left_semi")
-    by_text = mentions.select("text_id", "text_size", "entity", "term").distinct().join(copies, ["text_id", "text_size"])
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"))
-    contexts = mentions.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    entities = (
-        mentions.select("text_id", "text_size", "entity").distinct().join(copies, ["text_id", "text_size"])
-        .groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    )
-    supported = written(
-        pairs.join(contexts.where(F.col("n_contexts") >= MIN_CONTEXTS), ["entity", "term"]).join(entities, "entity")
-    )
-    counts = _document_counts(docs).join(supported.select("term").distinct(), "term", "left_semi")
+    key = ["text_id", "text_size"]
+    # Documents are counted with copies; contexts without.
+    texts = written(docs.select(*_text_key(text_of())).groupBy(*key).agg(F.count("*").alias("copies")))
+    holders = written(_entities(docs))
+    entities = holders.join(texts, key).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    contexts = _mentions(docs).select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
+    supported = written(contexts.where(F.col("n_contexts") >= MIN_CONTEXTS).join(entities, "entity").select("entity", "term", "n_entity"))
+    counts = docs.select(F.explode(_terms(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # No term is in more of an entity's documents than it is in documents: common terms can't get there.
     information = F.log(F.lit(float(n)) / F.col("n_entity"))
+    most = F.log(F.lit(float(n)) / F.greatest("n_term", "n_entity"))
+    able = supported.join(counts, "term").where(F.try_divide(most, information) >= GENERALISE - 1e-9)
+    able = written(able)
+    # Of all terms of all texts only these are kept: few, as each is about as rare as its entity.
+    able_terms = able.select("term").distinct()
+    standing = written(docs.select(*_text_key(text_of()), F.explode(_terms(text_of())).alias("term")).join(able_terms, "term", "left_semi").distinct())
+    together = standing.join(able.select("entity", "term"), "term").join(holders, [*key, "entity"], "left_semi").join(texts, key)
+    pairs = together.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"))
     revealed = F.log(F.col("n_pair") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
-    known = supported.join(counts, "term").withColumn("share", F.try_divide(revealed, information)).where(F.col("share") >= GENERALISE)
+    known = able.join(pairs, ["entity", "term"]).withColumn("share", F.try_divide(revealed, information)).where(F.col("share") >= GENERALISE)
     rank = F.when(F.col("share") >= REMOVE, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
-    spans = mentions.join(known.select("entity", "term", rank.alias("rank")), ["entity", "term"])
-    return (
-        spans.groupBy("text_id", "text_size", "start", "end")
-        .agg(F.max("rank").alias("rank"))
-        .groupBy("text_id", "text_size")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("extra"))
-    )
+    ranked = known.groupBy("term").agg(F.max(rank).alias("rank"))
+    return standing.join(ranked, "term").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "rank"))).alias("extra"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -197,8 +219,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     own_id, own_size = fresh(docs, "__own_id", "__own_size")
     hashes = _text_key(F.col(text))
     rows = docs.withColumn(text, text_of()).withColumn(own_id, hashes[0]).withColumn(own_size, hashes[1])
-    rows = rows.withColumn(found, base_spans(F.col(text))).drop(text)
     rows = rows.join(extras, (F.col(own_id) == F.col(text_id)) & (F.col(own_size) == F.col(text_size)), "left")
+    # The spans of a text's terms, before the text itself is dropped.
+    more = F.transform(placed(F.col(text), TERM), lambda x: F.struct(x["start"].alias("start"), F.try_element_at(extra, F.xxhash64(F.lower(x["value"]))).alias("rank"), x["end"].alias("end")))
+    more = F.filter(more, lambda x: x["rank"].isNotNull())
+    rows = rows.withColumn(found, base_spans(F.col(text))).withColumn(extra, F.when(F.col(extra).isNotNull(), more)).drop(text)
     bare = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
     count = lambda rank: F.size(F.filter(found, lambda x: x["rank"] == rank)).cast("long")
     counted = [count(rank).alias(f"n_{kind}") for rank, kind in enumerate(BASE)]
@@ -223,15 +248,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text = text_of()
     names = F.array(*[F.lit("" if k == "removed" else "[TERM]" if k == "generalised" else f"[{k.upper()}]") for k in KINDS])
 
-    def put(done: Column, span: Column) -> Column:
-        at, end = done["at"], F.greatest(done["at"], span["end"])
-        between = F.substring(text, at + 1, span["start"] - at)
-        new = F.concat(done["out"], between, F.get(names, span["rank"]))
-        return F.struct(end.alias("at"), F.when(span["start"] >= at, new).otherwise(done["out"]).alias("out"))
+    def put(at: Column, span: Column) -> tuple[Column, Column]:
+        """What is put for a span that begins in front of another's end goes with that one."""
+        piece = F.struct(at.alias("from"), F.greatest(at, span["start"]).alias("to"), F.when(span["start"] >= at, F.get(names, span["rank"])).otherwise("").alias("new"))
+        return F.greatest(at, span["end"]), piece
+
+    def cleaned(blocks: Column) -> Column:
+        pieces = scanned(F.col("spans"), F.lit(0), put, "struct<from:int,to:int,new:string>")
+        parts = F.transform(pieces, lambda x: F.concat(_between(blocks, x["from"], x["to"]), x["new"]))
+        last = F.array_max(F.col("spans.end"))
+        return F.concat(F.array_join(parts, ""), _between(blocks, last, F.char_length(text)))
 
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, rest)
-    clean = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    clean = F.when(F.size("spans") > 0, let(_cut(text), cleaned)).otherwise(F.col("text"))
     length = F.char_length(clean).cast("long")
     now = {"text": clean}
     if "n_chars" in docs.columns:
