@@ -43,11 +43,16 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
     "td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style textarea title iframe noframes noembed xmp template svg math".split())
+#: Elements whose content is no text of the page; xmp's is text, but no markup.
+RAW = frozenset("script style textarea title iframe noframes noembed template svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are no part of an article, and words in class, id or role that say so.
 ASIDE = frozenset("head nav aside footer form button select menu dialog noscript object video audio canvas map fieldset".split())
 CLEAR = frozenset("html body article main".split())
+#: An aside by name only as long as it doesn't hold most of the words of its article (of the page, outside of one).
+FORMS = frozenset("form fieldset".split())
+#: Where tags are part of what is shown, and cost nothing.
+SET = frozenset("table pre math code".split())
 #: What may stand in a head; anything else ends one that has no end tag.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template".split())
 _ASIDE_WORD = (
@@ -87,6 +92,22 @@ class Element:
     words: int
     articles: int
     mains: int
+    titles: int
+    links: int
+    nested: bool
+
+
+@dataclass
+class Page:
+    """Unlinked words outside firm asides, articles or mains, mains and first-level headings of a page; the
+    spans of its articles and mains, with their words; and where tags are part of what is shown."""
+
+    words: int
+    articles: int
+    mains: int
+    titles: int
+    marked: list[tuple[int, int, int, str]]
+    set: list[tuple[int, int]]
 
 
 def _marks(name: str, attributes: str, in_article: bool) -> tuple[list[str], bool, bool]:
@@ -103,22 +124,27 @@ def _marks(name: str, attributes: str, in_article: bool) -> tuple[list[str], boo
     return marks, aside, firm
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, str]], list[Element], tuple[int, int, int]]:
-    """Tokens (feature, text, tag name or "") in page order, the elements with marks, and how
-    many unlinked words outside firm asides, articles or mains, and mains the page has."""
+def parse(page: str) -> tuple[list[tuple[str, str, str]], list[Element], Page]:
+    """Tokens (feature, text, tag name or "") in page order, the elements with marks, and what the page has."""
     out, elements, open_tags, at = [], [], [], 0
     n_open: dict[str, int] = {}
-    firm_open = articles = mains = words = 0
+    firm_open = articles = mains = words = titles = links = 0
+    marked: list[tuple[int, int, int, str]] = []
+    set_: list[tuple[int, int]] = []
 
     def close(place: int, end: int) -> None:
         """Ends the open elements from this one on, before token end."""
         nonlocal firm_open
-        for name, _, begin, marks, aside, firm, *before in open_tags[place:]:
+        for name, _, begin, marks, aside, firm, nested, *before in open_tags[place:]:
             n_open[name] -= 1
             firm_open -= firm
+            held = [n - b for n, b in zip((words, articles, mains, titles, links), before)]
             if marks:
-                held = (n - b for n, b in zip((words, articles, mains), before))
-                elements.append(Element(begin, end, marks, aside, firm, *held))
+                elements.append(Element(begin, end, marks, aside, firm, *held, nested))
+            if name in ("article", "main"):
+                marked.append((begin, end, held[0], name))
+            elif name in SET:
+                set_.append((begin, end))
         del open_tags[place:]
 
     def find(name: str) -> int:
@@ -151,50 +177,76 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[Element], tuple[i
         inner = open_tags[-1][1] if open_tags else ""
         marks, aside, firm = _marks(name, match[3], bool(n_open.get("article") or n_open.get("main")))
         out.append((name, "", name))
-        if name in RAW or name in VOID or match[3].endswith("/"):
-            if name in RAW:
+        if name in RAW or name == "xmp" or name in VOID or match[3].endswith("/"):
+            if name in RAW or name == "xmp":
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                if name == "xmp":
+                    text = page[at : end.start() if end else len(page)]
+                    out += [(f"word in {inner}", text, ""), ("/xmp", "", "xmp")]
+                    words += 0 if firm_open else len(text.split())
                 at = end.end() if end else len(page)
             continue
-        open_tags.append((name, name if name in BLOCKS or name == "a" else inner, len(out) - 1, marks, aside, firm, words, articles, mains))
+        nested = inner not in ("", "html", "body")
+        open_tags.append((name, name if name in BLOCKS or name == "a" else inner, len(out) - 1, marks, aside, firm, nested, words, articles, mains, titles, links))
         n_open[name] = n_open.get(name, 0) + 1
         firm_open += firm
         mains += name == "main"
         articles += name in ("article", "main")
+        titles += name == "h1"
+        links += name == "a"
     close(0, len(out))
     elements.sort(key=lambda e: (e.begin, -e.end))
-    return out, elements, (words, articles, mains)
+    return out, elements, Page(words, articles, mains, titles, sorted(marked), set_)
 
 
-def element_weight(element: Element, page: tuple[int, int, int], weights: dict[str, float]) -> float:
+def element_weight(element: Element, page: Page, weights: dict[str, float]) -> float:
     """What the element's tag counts for against each of its words."""
-    words, articles, mains = page
     weight = min(weights.get(f"in {mark}", ASIDE_WEIGHT if mark[0] != "." or NAMED_ASIDE.match(mark[1:]) else 0.0) for mark in element.marks)
-    if not weight or mains and element.mains == mains:
+    if not weight or page.mains and element.mains == page.mains:
         return 0.0
+    if element.marks[0] in FORMS:
+        # The words of the innermost article around it, where there is one.
+        around = [held for begin, end, held, _ in page.marked if begin < element.begin and element.end <= end]
+        if 2 * element.words > (around[-1] if around else page.words):
+            return 0.0
+    if element.marks == ["header"] and element.nested and element.titles and element.titles == page.titles and not element.links:
+        return 0.0  # the article's own, not the site's
     firm = element.firm or min(weights.get(f"in {mark}", 0.0) for mark in element.marks) <= SURE_WEIGHT
-    article = articles and element.articles == articles
-    most = not articles and 2 * element.words > words
+    article = page.articles and element.articles == page.articles
+    most = not page.articles and 2 * element.words > page.words
     return 0.0 if (article and not element.firm) or (most and not firm) else weight
 
 
 def score_page(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str, str]], list[float], list[tuple[int, int]]]:
-    """Tokens, their scores, and the spans of the outermost elements that count against their words."""
+    """Tokens, their scores, and the spans of the outermost elements that count against their words.
+
+    In an article (in a page's only main, if it has no article) nothing but asides and what weighs against words is left out:
+    tags cost nothing there, and no word counts for less than an unseen link's."""
     found, elements, held = parse(page)
-    change, against = [0.0] * (len(found) + 1), []
+    change, free, against = [0.0] * (len(found) + 1), [0] * (len(found) + 1), []
     for element in elements:
         if weight := element_weight(element, held, weights):
             change[element.begin] += weight
             change[element.end] -= weight
             if not against or element.begin >= against[-1][1]:
                 against.append((element.begin, element.end))
+    wanted = "article" if any(name == "article" for *_, name in held.marked) else "main"
+    for begin, end in (*((b, e) for b, e, _, name in held.marked if name == wanted), *held.set):
+        free[begin] += 1
+        free[end] -= 1
+    marked = [0] * (len(found) + 1)
+    for begin, end, _, name in held.marked:
+        marked[begin] += name == wanted
+        marked[end] -= name == wanted
     scores = []
-    for (feature, text, name), each in zip(found, accumulate(change)):
+    for (feature, text, name), each, set_, inside in zip(found, accumulate(change), accumulate(free), accumulate(marked)):
         if name:
-            scores.append(weights.get(feature, UNSEEN_TAG))
+            cost = weights.get(feature, UNSEEN_TAG)
+            scores.append(max(cost, 0.0) if set_ else cost)
         else:
             unseen = UNSEEN_LINK_WORD if feature == "word in a" else UNSEEN_WORD
-            scores.append((weights.get(feature, unseen) + each) * len(text.split()))
+            word = weights.get(feature, unseen)
+            scores.append(((max(word, UNSEEN_LINK_WORD) if inside else word) + each) * len(text.split()))
     return found, scores, against
 
 

@@ -116,3 +116,37 @@ MENU = '<div class="main-nav"><a href="/">Home</a> <a href="/b">News</a></div>'
 )
 def test_asides_do_not_hide_the_article(weights, page):
     assert main_text.main_text(page, weights) == TOLD
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return main_text.fit_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+SOME = " ".join(f"word{k} flows here" for k in range(20))
+FIRST, LAST = "The opening line of the text.", "And so it ends."
+ROWS40 = "".join(f"<tr><td>a{k}</td><td>{k}</td></tr>" for k in range(40))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><nav>Home About</nav><article><form>{SOME}</form></article>", SOME),
+        (f"<body><main><form action='/x'><p>{SOME}</p><input></form></main>", SOME),
+        (f"<body><main><fieldset>{SOME}</fieldset></main>", SOME),
+        (f"<body><article><p>{FIRST} {SOME}</p><form><label>Your mail</label><input><button>Go</button></form><p>{LAST}</p></article>", f"{FIRST} {SOME}\n{LAST}"),
+        (f"<body><article><p>{FIRST}</p><table>{ROWS40}</table><p>{LAST}</p></article>", "\n".join([FIRST, *[x for k in range(40) for x in (f"a{k}", str(k))], LAST])),
+        (f"<body><article><p>{FIRST}</p><table>{ROWS40[: 20 * 27]}</table><p>five words end it here</p></article>", None),
+        (f"<body><article><p>{FIRST}</p><pre>{'<span>x</span> <span>=</span> ' * 60}</pre><p>{LAST}</p></article>", f"{FIRST}\n{'x = ' * 60}".strip() + f"\n{LAST}"),
+        (f"<body><article><p>{FIRST} {SOME}</p><ol>{''.join(f'<li><a href=/{k}>Ref {k}</a></li>' for k in range(12))}</ol></article>", "\n".join([f"{FIRST} {SOME}", *[f"Ref {k}" for k in range(12)]])),
+        (f"<body><article><p>{FIRST} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{FIRST} x=2 holds."),
+        (f"<body><article><p>{FIRST}</p><xmp><b>a &amp; b</b></xmp><p>{LAST}</p></article>", f"{FIRST}\n<b>a &amp; b</b>\n{LAST}"),
+        (f"<body><div><header><h1>A title</h1></header><p>{SOME}</p></div>", f"A title\n{SOME}"),
+        (f"<body><div><header><h1>A site</h1></header><h1>A title</h1><p>{SOME}</p></div>", f"A title\n{SOME}"),
+        (f"<body><header><h1>A site</h1></header><div><p>{SOME}</p></div>", SOME),
+    ],
+)
+def test_articles_stay_whole(fitted, page, text):
+    """Tables, code, formulas, reference lists and what follows them; forms that hold the article."""
+    got = main_text.main_text(page, fitted)
+    assert got == text if text is not None else got.endswith("five words end it here")
