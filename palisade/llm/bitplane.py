@@ -37,8 +37,8 @@ BLOCK = 1 << 16
 SHARD_IDS = 1 << 20
 BYTES, BITS = 0, 1
 LEVEL = 3
-#: Units of a generation of the encoder: more than elsewhere, as nothing else needs the memory here.
-KEPT_UNITS = 600_000
+#: Units of a generation of the encoder: at most two of them and a run of texts, about 200 MB a worker.
+KEPT_UNITS = 300_000
 
 
 def _planes(block: np.ndarray, kind: int) -> list[bytes]:

@@ -19,8 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units of a generation (about 250 bytes each); a worker keeps two of them at most, as long as it lives.
+#: Units of a generation, of all an encoder's maps together. A worker keeps two generations at most, and what a
+#: run of texts (`slices`) adds before they are counted: about UNIT_BYTES each.
 KEPT_UNITS = 150_000
+UNIT_BYTES = 250
 #: Python and the libraries differ on whether these are white space.
 _UNCERTAIN = re.compile("[\x1c-\x1f]")
 _UNITS = re.compile(r"\s*\S+|\s+")
@@ -40,11 +42,10 @@ def as_bytes(ids: Iterable[int]) -> bytes:
 
 
 class Known(dict):
-    """ids by unit, learned where missing; full, it starts a new generation, which
-    takes over what is still in use."""
+    """ids by unit, learned where missing. A new generation takes over what is still in use."""
 
-    def __init__(self, learn: Callable[[str], bytes], kept: int):
-        self.learn, self.kept, self.older = learn, kept, {}
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.older = learn, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
@@ -53,27 +54,38 @@ class Known(dict):
         self[unit] = ids
         return ids
 
-    def settle(self) -> None:
-        if len(self) > self.kept:
-            self.older = dict(self)
-            self.clear()
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
 
 class UnitEncoder:
     """Maps texts to ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, library, keeps_space: bool, kept: int = KEPT_UNITS):
-        self.library, self.keeps_space = library, keeps_space
+        self.library, self.keeps_space, self.kept = library, keeps_space, kept
         self.specials = [token.content for token in library.get_added_tokens_decoder().values()]
         self.alphabet, self.merge = byte_alphabet(), library.model.tokenize
-        self.units = Known(self._unit, kept)
+        self.units = Known(self._unit)
         #: By what follows a single space; a key that begins with a line feed has none before it.
-        self.spaced = Known(lambda key: self._unit(key if key[:1] == "\n" else f" {key}"), kept)
+        self.spaced = Known(self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return as_bytes(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _merged(self, shown: str) -> bytes:
+        return array("I", [x.id for x in self.merge(shown)]).tobytes()
+
+    def _spaced(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():  # one piece, whatever the splitter
+            return self._merged(f"{self.alphabet[32]}{key}")
+        return self._unit(key if key[:1] == "\n" else f" {key}")
+
     def _unit(self, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():
+            if self.keeps_space or unit.islower():
+                return self._merged(unit)
+            return self.units[unit.lower()]
         if not _PLAIN.fullmatch(unit):
             return self._whole(unit)
         if self.keeps_space:
@@ -86,7 +98,7 @@ class UnitEncoder:
             shown = unit.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
         else:
             shown = unit.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [x.id for x in self.merge(shown)]).tobytes()
+        return self._merged(shown)
 
     def _text(self, text: str) -> bytes:
         if _UNCERTAIN.search(text) or any(token in text for token in self.specials):
@@ -100,8 +112,9 @@ class UnitEncoder:
         return (self.units[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.units.settle()
-        self.spaced.settle()
+        if len(self.units) + len(self.spaced) > self.kept:
+            self.units.turn()
+            self.spaced.turn()
         return list(map(self._text, texts))
 
 

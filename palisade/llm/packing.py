@@ -16,6 +16,8 @@ like a result column are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,8 +27,8 @@ from palisade.llm.common import fresh, text_of, without, written
 from palisade.llm.encode import library_encoder, slices
 
 WINDOW = 4096
-#: Ranks are counted within so many buckets of each length: a common length is not one group.
-BUCKETS = 64
+#: Ranks are counted within buckets of about so many pieces of one length, however common it is.
+BUCKET = 500_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -111,20 +113,24 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (doc_id, start, length and any others) with sequence_id and offset."""
     pieces = without(pieces, "sequence_id", "offset")
     others = [F.col(f"`{c}`") for c in pieces.columns]
-    bucket, n, before, rank = fresh(pieces, "__bucket", "__n", "__before", "__rank")
-    stored = written(pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(BUCKETS)).cast("int")))
-    by_bucket = stored.groupBy("length", bucket).agg(F.count("*").alias(n))
-    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = written(by_bucket.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))))
+    bucket, n, before, rank, row, total = fresh(pieces, "__bucket", "__n", "__before", "__rank", "__row", "__total")
+    # A number of its own for each row, since repeated rows have nothing else to part them by.
+    stored = written(pieces.withColumn(row, F.monotonically_increasing_id()))
+    totals = stored.groupBy("length").agg(F.count("*").alias(total))
     # At most `window` rows.
-    histogram = {r["length"]: r["total"] for r in by_bucket.groupBy("length").agg(F.sum(n).alias("total")).collect()}
+    histogram = {r["length"]: r[total] for r in totals.collect()}
     plan = stored.sparkSession.sparkContext.broadcast(_slots(patterns(histogram, window)))
+    buckets = F.from_json(F.lit(json.dumps([-(-histogram.get(k, 0) // BUCKET) for k in range(window + 1)])), "array<bigint>")
+    dealt = stored.withColumn(bucket, F.pmod(F.xxhash64(row), F.greatest(F.get(buckets, F.col("length").cast("int")), F.lit(1))))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = dealt.groupBy("length", bucket).agg(F.count("*").alias(n))
+    by_bucket = written(by_bucket.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))))
 
-    within = Window.partitionBy("length", bucket).orderBy("doc_id", "start")
-    # window x BUCKETS rows at most, whatever the input.
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "start", row)
+    # A row for each BUCKET pieces and length: Spark broadcasts it while it is small.
     ranked = (
-        stored.withColumn(rank, F.row_number().over(within) - 1)
-        .join(F.broadcast(by_bucket.drop(n)), ["length", bucket])
+        dealt.withColumn(rank, F.row_number().over(within) - 1)
+        .join(by_bucket.drop(n), ["length", bucket])
         .select(*others, (F.col(rank) + F.col(before)).alias(rank))
     )
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from palisade.llm import bitplane, packing, queries, sentencepieces
 from palisade.llm.common import shared_folder
-from palisade.llm.encode import UnitEncoder
+from palisade.llm.encode import UNIT_BYTES, UnitEncoder
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -39,6 +39,23 @@ def test_units_are_encoded_as_the_library_encodes_texts(name, keeps_space):
         assert [*np.frombuffer(ids, "<u4").tolist(), 2] == whole(text), text
 
 
+def test_a_full_cache_is_bounded():
+    """Ever new units, each once: two generations and a run of texts stay, of UNIT_BYTES each at most."""
+    import tracemalloc
+
+    encoder = UnitEncoder(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), True, kept=20_000)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng, most, run = np.random.default_rng(1), 0, 2_000
+    tracemalloc.start()
+    for _ in range(60):
+        encoder.encode([" ".join("".join(w) + "," for w in letters[rng.integers(0, 26, (run, 9))])])
+        most = max(most, sum(len(m) + len(m.older) for m in (encoder.units, encoder.spaced)))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Each word brings itself, its part before the comma, and the comma.
+    assert 40_000 < most <= 2 * (20_000 + 2 * run + 1) and held < most * UNIT_BYTES
+
+
 @pytest.mark.parametrize("kind", [bitplane.BYTES, bitplane.BITS])
 @pytest.mark.parametrize("n", [0, 1, 999, 1000, 3501])
 def test_shard_round_trip(kind, n):
@@ -240,3 +257,16 @@ def test_character_map_longest_prefix():
     assert found.longest(b"abc", 0) == (b"yz", 2)
     assert found.longest(b"ac", 0) == (b"x", 1)
     assert found.longest(b"b", 0) is None
+
+
+def test_no_bucket_outgrows_its_bound(spark, monkeypatch):
+    """Pieces of one length, repeated rows among them: places stay gapless, no rank is counted over many more than BUCKET."""
+    monkeypatch.setattr(packing, "BUCKET", 500)
+    rows = [(None if i % 3 else i, 0, 4096 if i % 5 else 1000) for i in range(9_000)]
+    placed = packing.assign_sequences(spark.createDataFrame(rows, "doc_id long, start long, length long")).toPandas()
+    assert len(placed) == 9_000 and set(placed[placed.length == 4096].offset) == {0}
+    assert placed[placed.length == 4096].sequence_id.nunique() == 7_200
+    for _, one in placed.groupby("sequence_id"):
+        one = one.sort_values("offset")
+        assert one.offset.tolist() == [0, *one.length.cumsum().tolist()[:-1]] and one.length.sum() <= 4096
+    assert placed.sequence_id.nunique() == 7_200 + 450
