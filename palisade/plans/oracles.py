@@ -528,6 +528,10 @@ ORACLES = {
       SELECT page_id, round(sum(-(m / n) * log2(m / n)), 6) AS entropy FROM k GROUP BY page_id""",
     "fingerprint_anomaly": FINGERPRINT,
     "fingerprint_model": FINGERPRINT_MODEL,
+    "plugin_decisions": """WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[a-z]{12,}') AS w FROM conversations),
+      s AS (SELECT *, CASE WHEN len(w) > 0 THEN 6 + least(20, len(w)) ELSE 0 END::INT AS score FROM w)
+      SELECT conv_id, turn, score, CASE WHEN len(w) = 0 OR score < 9 THEN 'allow' WHEN score >= 20 THEN 'block' ELSE 'warn' END AS decision,
+        CASE WHEN len(w) > 0 THEN 'body,long' ELSE '' END AS tags, coalesce(w[-1], '') AS last FROM s""",
     "ws_reassembly": f"""WITH f AS ({_FRAMES}), m AS (
       SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS message FROM f)
       SELECT conv_id, message, min(turn) AS first, max(turn) AS last, count(*) AS n_frames, sum(strlen(text))::INT AS n_bytes, md5(string_agg(text, '' ORDER BY turn)) AS body_md5

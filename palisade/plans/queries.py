@@ -409,6 +409,37 @@ def fingerprint_model(spark, sf_dir):
     return found.select("event_id", "samples", F.array_join("factors", ",").alias("factors"), F.round("anomaly", 6).alias("anomaly"))
 
 
+def long_words():
+    """A detector of a user's own: words of twelve letters and more."""
+    import re
+
+    from palisade.plugins import Found
+
+    word = re.compile("[a-z]{12,}")
+
+    def detect(value, location):
+        found = word.findall(value)
+        if found:
+            what = {"rule_id": 96100, "rule_name": "Long words", "attack_type": "Protocol Attack", "matched_value": found[0], "base_score": 5}
+            yield Found(what, min(20, len(found)), ("long", location), {"last": found[-1]})
+
+    return detect
+
+
+def plugin_decisions(spark, sf_dir):
+    """Turns as bodies, decided on by a table function's detections and what it adds to their score."""
+    from palisade.plugins import detected, table_function
+
+    found = detected(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), {"body": F.col("text"), "query": F.col("role")}, table_function(long_words))
+    config = Config(block_threshold=20, log_threshold=9)
+    score = scoring.total(F.col("plugin_detections"), (), config) + F.col("plugin_adjustment")
+    rows = found.withColumn("score", score)
+    return rows.select(
+        "conv_id", "turn", "score", scoring.decide(F.col("plugin_detections"), F.col("score"), config).alias("decision"),
+        F.array_join("plugin_tags", ",").alias("tags"), F.coalesce(F.try_element_at("plugin_metadata", F.lit("last")), F.lit("")).alias("last"),
+    )
+
+
 def _frames(spark, sf_dir):
     """Turns as frames: a conversation's last turn of each run of three is final. A turn without a text is an empty frame."""
     rows = table(spark, sf_dir, "conversations")
@@ -647,7 +678,7 @@ QUERIES = {
         waf_decisions_pages, header_decisions, rule_hits_by_family, score_by_attack_type, rule_selector_filter, rule_evidence, exclusion_antijoin, card_luhn, card_brand_mask,
         email_bulk, sensitive_scan, sensitive_evidence, sensitive_detailed, patch_evidence, metrics_report, protocol_report, credential_attempts, script_hashes, federated_features, renyi_epsilon, latency_histogram, percentile_nearest_rank, top_offenders, counters, prometheus_export, timing, bot_timing,
         failure_velocity, intel_ip_join, intel_domain_join, reputation_composite, virtual_patches, script_patterns, sri_sha, csp_issues,
-        ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, fingerprint_model, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
+        ngram_counts, jaccard_similarity, ml_similarity, ml_detections, entropy, fingerprint_anomaly, fingerprint_model, plugin_decisions, ws_reassembly, buffered_bodies, body_decisions, response_detections, stream_overlap_dedup,
         early_termination, gradient_mean, gradient_weighted, gradient_median, gradient_trimmed, privacy_budget, model_average, gradient_topk, json_depth, json_inspection,
         graphql_inspection, openapi_validation, graphql_validation, jwt_inspection, bot_classes, ml_classify,
     )
