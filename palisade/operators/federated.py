@@ -27,16 +27,20 @@ def weighted_mean(updates: DataFrame, gradients: str, weight: str) -> DataFrame:
     return exploded(updates.select(F.col(weight).alias("weight_"), gradients), gradients, "weight_").groupBy("i").agg((F.sum(w * g) / F.sum(w)).alias("value"))
 
 
-#: Ranges of values that an index is cut into before anything is ranked.
-RANGES = 64
+#: Ranges of values that an index is cut into before anything is ranked, where it has more values than one task may rank.
+RANGES, RANKED = 64, 100_000
 
 
 def _mean_of_ranks(updates: DataFrame, gradients: str, low, high) -> DataFrame:
     """i, value: the mean of the values of ranks low(n) < rank <= high(n) of each index.
 
-    Values are counted within ranges of about n / RANGES; only ranges on a border are looked
-    into, value by value, so that no task ranks all nodes of an index."""
+    Values of up to RANKED nodes are ranked as they are. Those of more are counted within ranges of about
+    n / RANGES; only ranges on a border are looked into, value by value, so that no task ranks all nodes of an index."""
     rows = exploded(updates, gradients).where("g is not null").select("i", F.col("g").cast("double").alias("g"))
+    if updates.count() <= RANKED:
+        of_index = Window.partitionBy("i")
+        ranked = rows.withColumn("at", F.row_number().over(of_index.orderBy("g"))).withColumn("all", F.count("*").over(of_index))
+        return ranked.where((F.col("at") > low(F.col("all"))) & (F.col("at") <= high(F.col("all")))).groupBy("i").agg(F.avg("g").alias("value"))
     points = rows.groupBy("i").agg(F.percentile_approx("g", [k / RANGES for k in range(1, RANGES)], 1000).alias("points"))
     ranged = rows.join(points, "i").select("i", "g", F.size(F.filter("points", lambda p: p < F.col("g"))).alias("range"))
     counted = ranged.groupBy("i", "range", "g").agg(F.count("*").alias("n"))

@@ -163,7 +163,9 @@ def test_anomalies_of_a_new_endpoint_and_a_known_one(spark):
     assert (hit["rule_id"], hit["base_score"], hit["matched_value"]) == (99200, 3, "anomaly_score=0.60")
 
 
-def test_ranks_without_sorting_an_index(spark):
+@pytest.mark.parametrize("ranked", [0, 100_000])
+def test_ranks_without_sorting_an_index(spark, monkeypatch, ranked):
+    monkeypatch.setattr(federated, "RANKED", ranked)
     rng = np.random.default_rng(1)
     values = np.round(rng.normal(size=(301, 3)), 1)
     values[:120, 1] = 0.5
