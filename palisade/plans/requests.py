@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import Config
+from palisade.functions.binding import fresh
 from palisade.functions.detect import detect
-from palisade.model import DETECTIONS
-from palisade.operators import classifier, scoring
+from palisade.model import DETECTIONS, only
+from palisade.operators import anomaly, classifier, scoring
 from palisade.rules import Rule, excluded_ids, load
 
 
@@ -81,13 +82,27 @@ def _learned(requests: DataFrame, key: str, uri: str, headers: str | None, body:
     return found.groupBy(F.col("id.of").alias("of")).agg(F.flatten(F.transform(listed, lambda x: x["detections"])).alias("learned"))
 
 
+def _unusual(requests: DataFrame, uri: str, headers: str | None, method: str, baseline: DataFrame, config: Config) -> DataFrame:
+    """requests with __unusual: the detection of one that is unlike what the baseline has learned of its path."""
+    path_, query_, headers_ = fresh(requests, "__path", "__query", "__headers")
+    path, query = split_uri(F.col(uri))
+    given = F.col(headers) if headers else F.expr("cast(map() as map<string,array<string>>)")
+    # A fingerprint's columns are named by the operator: those of requests wait in a struct.
+    packed = requests.select(F.struct("*").alias("own_"), F.col(method).alias("method_"), path.alias(path_), query.alias(query_), given.alias(headers_))
+    judged = anomaly.judged(anomaly.fingerprint(packed, "method_", query_, headers_), path_, baseline)
+    found = anomaly.detections(F.col("anomaly"), config.anomaly_threshold, config.ml_score_weight)
+    return judged.select("own_.*", F.when(~is_excluded(F.col(f"own_.{uri}"), config), found).alias("__unusual"))
+
+
 def decide_requests(
-    requests: DataFrame, config: Config = Config(), uri: str = "uri", headers: str | None = None, body: str | None = None, extra: tuple[Rule, ...] = (), key: str | None = None
-) -> DataFrame:
+    requests: DataFrame, config: Config = Config(), uri: str = "uri", headers: str | None = None, body: str | None = None, extra: tuple[Rule, ...] = (), key: str | None = None,
+    method: str | None = None, baseline: DataFrame | None = None,
+) -> DataFrame:
     """requests with detections, score, decision and response; nothing is shuffled.
 
     Where config asks for the classifier or known payloads, key names a unique column by which
-    their detections are joined; they follow those of the rules."""
+    their detections are joined; they follow those of the rules. Where it asks for fingerprints, method names
+    the column of the request's method, and baseline is what was learned before (anomaly.learned)."""
     rules = load(config, extra)
     found = request_detections(F.col(uri), F.col(headers) if headers else None, rules, F.col(body) if body else None)
     found = F.when(is_excluded(F.col(uri), config), F.expr(f"cast(array() as {DETECTIONS})")).otherwise(found)
@@ -97,8 +112,13 @@ def decide_requests(
         learned = _learned(requests, key, uri, headers, body, config).withColumnsRenamed({"of": "__of", "learned": "__learned"})
         requests = requests.join(learned, F.col(key) == F.col("__of"), "left")
         found = F.concat(found, F.coalesce("__learned", F.expr(f"cast(array() as {DETECTIONS})")))
+    if config.fingerprinting:
+        if method is None or baseline is None:
+            raise ValueError("fingerprints need a method and a baseline")
+        requests = _unusual(requests, uri, headers, method, baseline, config)
+        found = F.concat(found, only(F.col("__unusual")))
     path, _ = split_uri(F.col(uri))
     rows = requests.withColumn("detections", without_excluded(found, path, rules, config))
-    rows = rows.drop("__of", "__learned").withColumn("score", scoring.total(F.col("detections"), rules, config))
+    rows = rows.drop("__of", "__learned", "__unusual").withColumn("score", scoring.total(F.col("detections"), rules, config))
     rows = rows.withColumn("decision", scoring.decide(F.col("detections"), F.col("score"), config))
     return rows.withColumn("response", responded(F.col("decision"), F.col("detections"), F.col("score")))

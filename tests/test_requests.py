@@ -122,6 +122,21 @@ def test_learned_detections_join_decisions(spark):
         decide_requests(rows, config)
 
 
+def test_fingerprints_join_decisions(spark):
+    """By a baseline that was learned before, from the threshold that the configuration gives."""
+    usual = {"Host": ["h"], "Accept": ["a"]}
+    docs = spark.createDataFrame([(i, "/a", "GET", "x=1", usual) for i in range(12)], "o int, path string, method string, query string, headers map<string,array<string>>")
+    baseline = anomaly.learned(anomaly.fingerprint(docs, "method", "query", "headers"), "path", "o")
+    rows = [(1, "/a?x=2", "GET", usual), (2, "/a?" + "&".join(["v"] * 40), "TRACE", {"Host": ["h"]}), (3, "/skip", "TRACE", {"Host": ["h"]})]
+    requests = spark.createDataFrame(rows, "samples int, uri string, m string, headers map<string,array<string>>")
+    found = lambda config: {r["samples"]: [d["rule_id"] for d in r["detections"]] for r in decide_requests(requests, config, headers="headers", method="m", baseline=baseline).collect()}
+    # An order of headers, a method and more parameters than ever: 0.45.
+    assert found(Config(fingerprinting=True, anomaly_threshold=0.4, exclude_paths=("/skip",))) == {1: [], 2: [99200], 3: []}
+    assert found(Config(fingerprinting=True)) == found(Config()) == {1: [], 2: [], 3: []}
+    with pytest.raises(ValueError):
+        decide_requests(requests, Config(fingerprinting=True))
+
+
 def test_first_of_equally_close_payloads(spark):
     rows = spark.createDataFrame([(1, "; ID"), (2, "nothing of the kind"), (3, "")], "id int, text string")
     assert [(r["id"], r["kind"], r["similarity"]) for r in classifier.closest_payload(rows, "id", "text").collect()] == [(1, "CommandInjection", 1.0)]
