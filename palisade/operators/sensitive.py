@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import scanned
 from palisade.model import detection
 from palisade.rules import java_pattern
 
@@ -120,14 +121,12 @@ def _placed(text: Column, pattern: str) -> Column:
     """array<struct(value, position)> of every match; positions are in bytes."""
     found = matches(text, pattern)
     gaps = F.slice(F.split(text, java_pattern(pattern), -1), 1, F.size(found))
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<value:string,position:int>>)").alias("found"))
 
-    def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.octet_length(pair["gap"])
-        one = F.struct(pair["value"].alias("value"), start.alias("position"))
-        return F.struct((start + F.octet_length(pair["value"])).alias("at"), F.concat(done["found"], F.array(one)).alias("found"))
+    def add(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.octet_length(pair["gap"])
+        return start + F.octet_length(pair["value"]), F.struct(pair["value"].alias("value"), start.alias("position"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), none, add, lambda done: done["found"])
+    return scanned(F.arrays_zip(gaps.alias("gap"), found.alias("value")), F.lit(0), add, "struct<value:string,position:int>")
 
 
 def scan_detailed(text: Column) -> Column:

@@ -190,3 +190,11 @@ def test_plugins(spark):
     with pytest.raises(ValueError):
         registry.register(Plugin("all"))
     assert registry.unregister("all") and not registry.unregister("all")
+
+
+def test_detailed_scans_of_many_matches(spark):
+    """Ten thousand numbers and a null: positions in bytes, without copying what was found at each step."""
+    text = "é 219-09-9999 " * 10_000
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "n int, t string").select("n", sensitive.scan_detailed(F.col("t")).alias("d")).collect()
+    got = {r["n"]: r["d"] for r in rows}
+    assert [x["position"] for x in got[1]] == [15 * k + 3 for k in range(10_000)] and not got[2] and not got[3]
