@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ SIZES = (2, 3, 4)
 SIMILAR = 0.5
 #: An endpoint's own baseline counts from so many requests on.
 LEAST_SAMPLES = 10
+#: Texts and characters of a left and of a right portion (about), and common n-grams that a task looks at together.
+LEFT_TEXTS, RIGHT_TEXTS, PORTION_CHARS, TOGETHER = 512, 256, 1 << 20, 1 << 21
+MOST_TASKS = 10_000
 
 
 def ngrams(text: Column, sizes=SIZES) -> Column:
@@ -79,6 +86,80 @@ def _candidates(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return found.where(F.col("before") + F.col("rest") >= F.col("least") - 1e-6).select(left_key, right_key)
 
 
+def _owned_terms(texts: list[str], owner: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, n-gram as a number, n) of texts, by owner. An n-gram is numbered as the one without its last character, and that."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner, left = np.repeat(owner, length), np.repeat(np.cumsum(length), length) - np.arange(len(chars))
+    number, known, found = np.zeros(len(chars), np.int64), 0, []
+    for n in range(1, max(sizes) + 1):
+        starts = np.flatnonzero(left >= n)
+        values, number[starts] = np.unique(number[starts] << 21 | chars[starts + n - 1], return_inverse=True)
+        if n in sizes:
+            found.append((owner[starts], number[starts] + known))
+            known += len(values)
+    owners, terms = (np.concatenate(x) for x in zip(*found))
+    pairs, n = np.unique(owners * max(known, 1) + terms, return_counts=True)
+    return pairs // max(known, 1), pairs % max(known, 1), n
+
+
+def _compared(left: pa.Table, right: pa.Table, threshold: float, sizes) -> pa.Table:
+    """Keys, jaccard and cosine of the similar pairs of two tables (key, text)."""
+    coded = [side.column(0).combine_chunks().dictionary_encode() for side in (left, right)]
+    n_left, n_right = (len(c.dictionary) for c in coded)
+    owner = np.concatenate([np.asarray(coded[0].indices, np.int64), np.asarray(coded[1].indices, np.int64) + n_left])
+    owner, term, n = _owned_terms(left.column(1).to_pylist() + right.column(1).to_pylist(), owner, sizes)
+    size = np.bincount(owner, n, n_left + n_right)
+    norm = np.sqrt(np.bincount(owner, n * n, n_left + n_right))
+    cut = int(np.searchsorted(owner, n_left))
+    # The right side by n-gram; of each n-gram on the left, its place and how many texts there have it.
+    order = cut + np.argsort(term[cut:], kind="stable")
+    begin = np.searchsorted(term[order], term[:cut])
+    holders = np.searchsorted(term[order], term[:cut], "right") - begin
+    upto, both, dot, done = np.cumsum(holders), np.zeros(n_left * n_right), np.zeros(n_left * n_right), 0
+    while done < cut:
+        end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + TOGETHER, "right")))
+        of = np.repeat(np.arange(done, end), holders[done:end])
+        other = order[np.arange(len(of)) - np.repeat(np.cumsum(holders[done:end]) - holders[done:end] - begin[done:end], holders[done:end])]
+        # The left side is sorted: only the rows of these texts.
+        low, high = owner[done] * n_right, (owner[end - 1] + 1) * n_right
+        pair = owner[of] * n_right + owner[other] - n_left - low
+        both[low:high] += np.bincount(pair, np.minimum(n[of], n[other]), high - low)
+        dot[low:high] += np.bincount(pair, n[of] * n[other], high - low)
+        done = end
+    met = np.flatnonzero(both)
+    i, j = met // n_right, met % n_right
+    share = both[met] / (size[i] + size[n_left + j] - both[met])
+    met, i, j, share = (x[share >= threshold] for x in (met, i, j, share))
+    columns = [coded[0].dictionary.take(pa.array(i)), coded[1].dictionary.take(pa.array(j)), pa.array(share), pa.array(dot[met] / (norm[i] * norm[n_left + j]))]
+    return pa.table(columns, names=[left.column_names[0], right.column_names[0], "jaccard", "cosine"])
+
+
+def similar_texts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, threshold: float = SIMILAR, sizes=SIZES) -> DataFrame:
+    """What similarity() finds for the n-grams of text on both sides, from the texts themselves.
+
+    For low thresholds, at which n-grams leave nearly no pair out: each pair of texts is compared, in as many
+    tasks as there are pairs of portions of both sides. Texts are shuffled, once for each portion of the other side, n-grams never."""
+
+    def sides(df: DataFrame, key: str, most: int) -> tuple[DataFrame, int]:
+        rows = df.select(F.col(key), F.lower(text).alias("text_")).where(F.col(key).isNotNull() & F.col("text_").isNotNull())
+        n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text_")), F.lit(0))).first()
+        return rows, max(1, math.ceil(n / most), math.ceil(chars / PORTION_CHARS))
+
+    (l_rows, l_parts), (r_rows, r_parts) = sides(left, left_key, LEFT_TEXTS), sides(right, right_key, RIGHT_TEXTS)
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l_dealt = l_rows.select(left_key, "text_", part(left_key, l_parts).alias("l_part"), every(r_parts).alias("r_part"))
+    r_dealt = r_rows.select(right_key, "text_", every(l_parts).alias("l_part"), part(right_key, r_parts).alias("r_part"))
+    kind = lambda rows, key: f"`{key}` {rows.schema[key].dataType.simpleString()}"
+    schema = f"{kind(l_rows, left_key)}, {kind(r_rows, right_key)}, jaccard double, cosine double"
+    compare = lambda a, b: _compared(a.select([left_key, "text_"]), b.select([right_key, "text_"]), threshold, sizes)
+    # A number of tasks of its own: Spark would put portions of few bytes together, which are much work.
+    tasks = min(l_parts * r_parts, MOST_TASKS)
+    l_dealt, r_dealt = (rows.repartition(tasks, "l_part", "r_part").groupBy("l_part", "r_part") for rows in (l_dealt, r_dealt))
+    return l_dealt.cogroup(r_dealt).applyInArrow(compare, schema)
+
+
 def most_similar(pairs: DataFrame, key: str, other: str) -> DataFrame:
     """The best partner of each key; ties go to the smallest."""
     return (

@@ -341,9 +341,8 @@ ALIKE = 0.3
 
 def jaccard_similarity(spark, sf_dir):
     """Every turn of every conversation against every benchmark item."""
-    items = text_ml.ngram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    pairs = text_ml.similarity(text_ml.ngram_counts(turns, "turn_id", "text"), items, "turn_id", "item_id", ALIKE)
+    pairs = text_ml.similar_texts(turns, table(spark, sf_dir, "benchmark"), "turn_id", "item_id", "text", ALIKE)
     return pairs.select("turn_id", "item_id", F.round("jaccard", 6).alias("jaccard"), F.round("cosine", 6).alias("cosine"))
 
 

@@ -165,6 +165,22 @@ def test_similar_pairs_match_brute_force(spark, threshold):
     assert {(r["k"], r["k2"]): round(r["jaccard"], 9) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.5])
+def test_similar_texts_are_compared_portion_by_portion(spark, monkeypatch, threshold):
+    for name, n in (("LEFT_TEXTS", 9), ("RIGHT_TEXTS", 6), ("TOGETHER", 50)):
+        monkeypatch.setattr(text_ml, name, n)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aBc \U0001F600é"), rng.integers(0, 30))) for _ in range(40)] + [None, "", "a"]
+    # Rows of one key are one text's n-grams together; a null key is none.
+    rows = [(k % 35, t) for k, t in enumerate(texts)] + [(None, "abc abc")]
+    left = spark.createDataFrame(rows, "k int, text string")
+    right = left.withColumnRenamed("k", "k2")
+    of = lambda df, key: text_ml.ngram_counts(df.where(f"{key} is not null"), key, "text")
+    shown = lambda found: sorted((r["k"], r["k2"], round(r["jaccard"], 12), round(r["cosine"], 12)) for r in found.collect())
+    want = shown(text_ml.similarity(of(left, "k"), of(right, "k2"), "k", "k2", threshold))
+    assert shown(text_ml.similar_texts(left, right, "k", "k2", "text", threshold)) == want and len(want) > 30
+
+
 def test_anomalies_of_a_new_endpoint_and_a_known_one(spark):
     usual = {"Host": ["h"], "Accept": ["a"]}
     rows = [(i, "/a", "GET", "x=1", usual) for i in range(12)] + [(12, "/a", "TRACE", "&".join("abcdefghij" * 3), {"Host": ["h"], "Content-Type": ["image/png"]}), (13, "/b", "TRACE", "", usual), (14, "/c", "put", None, None)]
