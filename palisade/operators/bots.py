@@ -148,13 +148,21 @@ def classify(requests: DataFrame, agent: str = "user_agent", headers: str = "hea
 def failure_velocity(attempts: DataFrame, ts: str, key: str, order: str, limit: int, seconds: int = 300) -> DataFrame:
     """attempts with failures (of this key within the window, this one included) and velocity_exceeded.
 
-    Attempts of the same millisecond count in their order: those that come later are taken off again."""
-    at, failed = fresh(attempts, "__at", "__failed")
-    rows = attempts.withColumn(at, F.unix_millis(F.col(ts).cast("timestamp"))).withColumn(failed, F.when(~F.col("success"), 1).otherwise(0))
-    recent = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1000 + 1, 0)
-    later = Window.partitionBy(key, at).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("failures", F.sum(failed).over(recent) - F.coalesce(F.sum(failed).over(later), F.lit(0)))
-    return rows.withColumn("velocity_exceeded", F.col("failures") >= limit).drop(at, failed)
+    Attempts of the same millisecond count in their order. A failure is a row twice: when it comes, and when it
+    no longer counts, in the span of `seconds` after its own. What counts is a running sum within a key's span,
+    so that a hot key is as many groups as it has spans, and none is looked through again for each attempt."""
+    at, kind, span = fresh(attempts, "__at", "__kind", "__span")
+    width = seconds * 1000
+    failed = ~F.col("success")
+    # 1 comes and counts, 0 comes and does not, -1 (first at its time) no longer counts.
+    rows = attempts.withColumn(kind, F.explode(F.when(failed & F.col(ts).isNotNull(), F.array(F.lit(1), F.lit(-1))).when(failed, F.array(F.lit(1))).otherwise(F.array(F.lit(0)))))
+    ends = F.col(kind) < 0
+    rows = rows.withColumn(at, F.unix_millis(F.col(ts).cast("timestamp")) + F.when(ends, width).otherwise(0)).withColumn(span, F.floor(F.col(at) / width))
+    whole = Window.partitionBy(key, span)
+    sofar = whole.orderBy(at, ~ends, order).rowsBetween(Window.unboundedPreceding, 0)
+    # All that end within a span still count at its beginning.
+    rows = rows.withColumn("failures", F.sum(kind).over(sofar) + F.count_if(ends).over(whole)).where(~ends)
+    return rows.withColumn("velocity_exceeded", F.col("failures") >= limit).drop(at, kind, span)
 
 
 #: Where logins are tried, and the failures that a source and a user may have within the window.

@@ -92,6 +92,20 @@ def test_timing(spark):
     assert got[:5] == [None] * 5 and set(got[5:]) == {"regular"}
 
 
+def test_failures_of_a_hot_source_are_running_sums(spark):
+    rows = [(i, (i * 7919 % 2000 - 300) * 10, ("a", "b", None)[i % 5 % 3], (False, True, None)[i % 4 % 3]) for i in range(900)] + [(900, None, "a", False), (901, None, "a", False)]
+    attempts = spark.createDataFrame(rows, "id int, ms long, who string, success boolean").withColumn("ts", F.timestamp_millis("ms"))
+    found = bots.failure_velocity(attempts, "ts", "who", "id", limit=3, seconds=2)
+
+    def counted(i, ms, who):
+        near = [o for o, t, w, ok in rows if w == who and ok is False and (t is None) == (ms is None) and (ms is None and o <= i or ms is not None and (ms - 2000 < t < ms or t == ms and o <= i))]
+        return len(near)
+
+    assert {r["id"]: (r["failures"], r["velocity_exceeded"]) for r in found.collect()} == {i: (counted(i, ms, who), counted(i, ms, who) >= 3) for i, ms, who, _ in rows}
+    # A sliding window would be added up anew for each attempt.
+    assert found.count() == len(rows) and "RangeFrame" not in found._jdf.queryExecution().toString()
+
+
 def test_api(spark):
     rule_ids = lambda column: [d["rule_id"] for d in value(spark, column)]
     assert value(spark, api.json_depth(F.lit('{"a": ["[[{", {"b\\"{": 1}]}'))) == 3
