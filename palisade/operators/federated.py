@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from palisade.functions.binding import fresh
+from palisade.operators import text_ml
 
 
 def exploded(updates: DataFrame, gradients: str, *keep: str) -> DataFrame:
@@ -172,22 +174,39 @@ ORDERS = tuple(1.0 + k / 10 for k in range(1, 65))
 BATCH, LEAST_SAMPLES = 32, 1000
 
 
-def _byte_runs(data: Column) -> Column:
-    """How often each different byte occurs, in no order that matters."""
-    pairs = F.array_join(F.sort_array(F.regexp_extract_all(F.hex(data), F.lit("..")  , F.lit(0))), "")
-    return F.transform(F.regexp_extract_all(pairs, F.lit(r"(..)(?:\1)*"), F.lit(0)), lambda run: F.char_length(run) / 2)
+@F.arrow_udf(T.DoubleType())
+def _byte_bits(data: pa.Array) -> pa.Array:
+    return text_ml.by_portion(data, lambda part: text_ml.entropies(part, np.array(list(map(len, part)), float)), pa.float64())
 
 
 def byte_entropy(data: Column) -> Column:
     """Shannon entropy of the bytes, as a share of 8 bits."""
-    n = F.octet_length(data)
-    bits = F.aggregate(_byte_runs(data), F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
-    return F.when(n == 0, 0.0).otherwise(bits / 8)
+    return _byte_bits(data) / 8
+
+
+@F.arrow_udf(T.LongType())
+def _printable(data: pa.Array) -> pa.Array:
+    def counted(part: list[bytes]) -> np.ndarray:
+        owner, chars = text_ml.spelled(part)
+        return np.bincount(owner[(chars >= 0x20) & (chars <= 0x7E)], minlength=len(part))
+
+    return text_ml.by_portion(data, counted, pa.int64())
 
 
 def printable_share(data: Column) -> Column:
     n = F.octet_length(data)
-    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda x: x.between("20", "7E"))) / n)
+    return F.when(n == 0, 1.0).otherwise(_printable(data) / n)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _rests(texts: pa.Array) -> pa.Array:
+    """How many characters' numbers leave each rest of 16."""
+
+    def counted(part: list[str]) -> np.ndarray:
+        owner, chars = text_ml.spelled(part)
+        return np.bincount(owner * 16 + chars % 16, minlength=16 * len(part)).reshape(-1, 16)
+
+    return text_ml.by_portion(texts, counted, pa.list_(pa.int64()))
 
 
 def request_features(path: Column, query: Column, headers: Column, body: Column) -> Column:
@@ -204,9 +223,8 @@ def request_features(path: Column, query: Column, headers: Column, body: Column)
     of_headers = F.slice(F.concat(F.array(F.size(headers) / 20), pairs, zeros(2 * HEADERS)), 1, 2 * HEADERS + 1)
     of_body = F.when(body.isNull(), zeros(3)).otherwise(F.array(size(body) / 10_000, byte_entropy(body), printable_share(body)))
     text = F.concat(path, F.lit(" "), F.coalesce(query, F.lit("")), F.lit(" "), F.coalesce(F.make_valid_utf8(body.cast("string")), F.lit("")))
-    # The characters by their number's rest, sorted: 16 counts, each the length of a run.
-    rests = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c == "", "").otherwise(F.hex(F.pmod(F.ascii(c), F.lit(16))))), "")
-    buckets = F.array(*[F.regexp_count(rests, F.lit(f"{k:X}")) / F.greatest(size(text), F.lit(1)) for k in range(16)])
+    rests = _rests(text)
+    buckets = F.array(*[F.get(rests, F.lit(k)) / F.greatest(size(text), F.lit(1)) for k in range(16)])
     used = 5 + 4 + 1 + 2 * HEADERS + 3 + 16
     return F.concat(of_path, of_query, of_headers, of_body, buckets, zeros(FEATURES - used)).cast("array<float>")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZES = (2, 3, 4)
 SIMILAR = 0.5
@@ -168,13 +169,49 @@ def most_similar(pairs: DataFrame, key: str, other: str) -> DataFrame:
     )
 
 
+def portions(values: list, most: int = PORTION_CHARS):
+    """values in runs of at most `most` characters or bytes, or of one value."""
+    begin, held = 0, 0
+    for k, value in enumerate(values):
+        if held + len(value) > most and k > begin:
+            yield values[begin:k]
+            begin, held = k, 0
+        held += len(value)
+    if values:
+        yield values[begin:]
+
+
+def spelled(values: list) -> tuple[np.ndarray, np.ndarray]:
+    """(the value that each character, or byte, is of; its number) of all values one after the other."""
+    joined = b"".join(values) if values and isinstance(values[0], bytes) else "".join(values).encode("utf-32-le", "surrogatepass")
+    chars = np.frombuffer(joined, "u1" if values and isinstance(values[0], bytes) else "<u4")
+    return np.repeat(np.arange(len(values)), np.fromiter(map(len, values), np.int64, len(values))), chars.astype(np.int64)
+
+
+def entropies(values: list, size: np.ndarray) -> np.ndarray:
+    """Bits of each value's characters (or bytes) as shares of its size, the smallest first."""
+    owner, chars = spelled(values)
+    pairs, n = np.unique(owner << 21 | chars, return_counts=True)
+    share = n / size[pairs >> 21]
+    return np.bincount(pairs >> 21, -share * np.log2(share), len(values))
+
+
+def by_portion(values: pa.Array, made, kind: pa.DataType) -> pa.Array:
+    """What made gives for the values of a portion (an array of them, or of lists), null for null."""
+    null = np.asarray(values.is_null())
+    known = values.drop_null().to_pylist()
+    found = [x for part in portions(known) for x in made(part).tolist()]
+    out = np.full(len(null), None, object)
+    for place, x in zip(np.flatnonzero(~null), found):
+        out[place] = x
+    return pa.array(out, kind)
+
+
+@F.arrow_udf(T.DoubleType())
+def _entropy(texts: pa.Array) -> pa.Array:
+    return by_portion(texts, lambda part: entropies(part, np.array([len(t.encode()) for t in part], float)), pa.float64())
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, over the length in bytes."""
-    chars = F.split(text, "")
-    n = F.octet_length(text)
-    # Equal characters are neighbours once sorted: lengths of runs, without a pass for each character.
-    sorted_chars = F.sort_array(chars)
-    joined = F.array_join(sorted_chars, "")
-    runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*"), F.lit(0))
-    term = lambda run: -(F.char_length(run) / n) * F.log2(F.char_length(run) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(runs, F.lit(0.0), lambda a, run: a + term(run)))
+    return _entropy(text)
