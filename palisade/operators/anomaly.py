@@ -137,20 +137,23 @@ AMOUNTS = ("header_count", "parameters", "query_entropy")
 def learned(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
     """The MODEL of requests (a fingerprint each), of each endpoint and of all requests.
 
-    Every request gives a few rows, which Spark sums within each task before it shuffles: an endpoint may
-    have a third of all requests. Models of parts of the requests give that of all of them (merged)."""
+    Every shape of requests gives a few rows, which Spark sums within each task before it shuffles: an endpoint
+    may have a third of all requests. Models of parts of the requests give that of all of them (merged)."""
     text = lambda c: F.col(c).cast("string")
     # Named so that the names outlive a lambda.
     seen = lambda kind, value, amount=F.lit(None): F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value, F.lit("amount"), amount.cast("double"))
     none = F.lit("")
+    # Requests of one shape are summed before they are taken apart.
+    shape = [F.col(endpoint).alias("endpoint"), "header_names", "method_class", "content_class"]
+    shapes = requests.groupBy(*shape).agg(F.count("*").alias("n"), *[F.max(a).alias(a) for a in AMOUNTS], F.min(order).alias("first"))
     fixed = F.array(
         seen("requests", none), *[seen(name, none, F.col(name)) for name in AMOUNTS],
         seen("order", F.xxhash64(F.concat_ws("\n", "header_names")).cast("string")), seen("method", text("method_class")), seen("type", text("content_class")),
     )
     headers = F.transform(F.array_distinct("header_names"), lambda n: seen("header", n))
-    rows = requests.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("common"), F.col(endpoint).alias("endpoint"), F.col(order).alias("first"), F.concat(fixed, headers).alias("seen"))
-    rows = rows.select("common", F.when(~F.col("common"), F.col("endpoint")).alias("endpoint"), F.explode("seen").alias("seen"), "first")
-    return merged(rows.select("common", "endpoint", "seen.kind", "seen.value", F.lit(1).cast("long").alias("n"), "seen.amount", "first"))
+    rows = shapes.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("common"), "endpoint", "n", "first", F.concat(fixed, headers).alias("seen"))
+    rows = rows.select("common", F.when(~F.col("common"), F.col("endpoint")).alias("endpoint"), F.explode("seen").alias("seen"), "n", "first")
+    return merged(rows.select("common", "endpoint", "seen.kind", "seen.value", "n", "seen.amount", "first"))
 
 
 def merged(*models: DataFrame) -> DataFrame:
