@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -188,9 +189,14 @@ def graphql_violations(schema: str, body: Column) -> Column:
     """array<detection> of a body: a query, or JSON with one as "query"."""
     types = graphql_schema.compile_schema(schema)
 
-    @F.pandas_udf("array<struct<kind:string,location:string,actual:string>>")
-    def found(bodies: pd.Series) -> pd.Series:
-        return pd.Series([graphql_schema.violations(types, b) for b in bodies], dtype=object)
+    @F.arrow_udf("array<struct<kind:string,location:string,actual:string>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        violations = graphql_schema.validator(types)
+        for bodies in batches:
+            rows = [violations(b) for b in bodies.to_pylist()]
+            fields = zip(*[x for row in rows for x in row]) if any(rows) else ([], [], [])
+            flat = pa.StructArray.from_arrays([pa.array(f, pa.string()) for f in fields], ["kind", "location", "actual"])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), flat)
 
     made = lambda x: F.coalesce(*[F.when(x["kind"] == kind, _violation(kind, x["location"], x["actual"])) for kind in VIOLATIONS if VIOLATIONS[kind][0] >= 98350])
     return F.transform(found(body), made)

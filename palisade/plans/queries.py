@@ -22,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks a core that work on rows is dealt out to.
+DEALT = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt out evenly where the files make fewer tasks than there are cores, as one small
-    file does; a table of more splits than that is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Dealt out evenly where the files make few tasks for the cores there are, as one small file does, or
+    one of much repeated text; a table of more splits than that is not shuffled."""
+    tasks = DEALT * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def waf_decisions_pages(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Exact small values of the operators."""
 
+import math
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.detect import detect
-from palisade.operators import api, bots, federated, intel, metrics, scoring, sensitive, supply_chain, text_ml
+from palisade.operators import api, bots, federated, graphql_schema, intel, metrics, scoring, sensitive, supply_chain, text_ml
 from palisade.plans.requests import split_uri
 from palisade.plugins import Plugin, Registry
 from palisade.rules import CATALOGUE, Rule, load
@@ -92,6 +94,42 @@ def test_timing(spark):
     assert got[:5] == [None] * 5 and set(got[5:]) == {"regular"}
 
 
+def test_queries_of_one_shape_are_parsed_once(monkeypatch):
+    types, parsed = graphql_schema.compile_schema("type Query { a(id: Int!): Int }"), []
+    parse = graphql_schema.parse_query
+    monkeypatch.setattr(graphql_schema, "parse_query", lambda tokens: parsed.append(tokens) or parse(tokens))
+    check = graphql_schema.validator(types)
+    assert [check(b) for b in ("{ a(id: 1) }", "{ a(id: -2.5e3) } # x", '{"query": "{ a(id: 77) }"}')] == [[]] * 3 and len(parsed) == 1
+    assert check('{ b(x: "c") }') == check('{ b(x: "") }') == [("unknown-field", "query.b", "b")] and len(parsed) == 2
+    # A number where a name belongs is an error in any shape.
+    assert check("{ 1 }") == check("{ 22 }") == [("invalid-argument", "query", "parse error")] and check('{"x": 1}') == check(None) == []
+
+
+def test_counts_of_characters_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(text_ml.portions, "__defaults__", (5,))
+    texts = ["", None, "aabb", "é\U0001F600é\n", "x" * 20, "abcdefgh ~"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    data = F.encode("text", "UTF-8")
+    features = federated.request_features(F.lit(""), F.lit(None).cast("string"), F.expr("cast(array() as array<struct<name:string,value:string>>)"), data)
+    picked = rows.select(text_ml.entropy(F.col("text")), federated.byte_entropy(data), federated.printable_share(data), F.slice(features, 34, 16))
+    # Not by sorting and joining a row's characters.
+    assert "regexp_extract_all" not in picked._jdf.queryExecution().toString()
+
+    def bits(items, n):
+        return sum(-k / n * math.log2(k / n) for k in Counter(items).values()) if n else 0.0
+
+    for (chars, of_bytes, printable, rests), text in zip(picked.collect(), texts):
+        if text is None:
+            assert chars is None and of_bytes is None and printable is None
+            continue
+        raw = text.encode()
+        assert abs(chars - bits(text, len(raw))) < 1e-9 and abs(of_bytes - bits(raw, len(raw)) / 8) < 1e-9
+        assert abs(printable - (sum(0x20 <= b <= 0x7E for b in raw) / len(raw) if raw else 1.0)) < 1e-9
+        whole = "  " + text
+        want = [sum(ord(c) % 16 == k for c in whole) / len(whole.encode()) for k in range(16)]
+        assert all(abs(a - b) < 1e-6 for a, b in zip(rests, want))
+
+
 def test_failures_of_a_hot_source_are_running_sums(spark):
     rows = [(i, (i * 7919 % 2000 - 300) * 10, ("a", "b", None)[i % 5 % 3], (False, True, None)[i % 4 % 3]) for i in range(900)] + [(900, None, "a", False), (901, None, "a", False)]
     attempts = spark.createDataFrame(rows, "id int, ms long, who string, success boolean").withColumn("ts", F.timestamp_millis("ms"))
