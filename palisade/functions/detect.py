@@ -1,9 +1,11 @@
 """Matching values against rules, as Catalyst expressions.
 
-Every rule is one literal regular expression, evaluated only where the value holds a
-text that every match of the rule must hold. Those texts are looked for together: one
-pass of a trie of all of them yields the rules that can match at all; single characters,
-which a page may hold everywhere, are tested one by one."""
+Every rule is one literal regular expression, evaluated only where the value holds what
+every match of the rule must hold: one of each set of marks (characters that are no letter,
+digit or blank), and one of its texts. A value's marks are cut out of it in one pass, and its
+seldom letters in another: what stands together in the value does so in those short texts,
+so that a text is looked for in the whole value only where its marks and seldom letters are
+found. Rules that are a choice of whole words share one pass over the beginnings of words."""
 
 from __future__ import annotations
 
@@ -14,39 +16,70 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palisade.model import ATTACK_TYPES, DETECTIONS
-from palisade.rules import Rule, java_pattern, may_be_empty, needed_texts
+from palisade.rules import Rule, cased_texts, is_mark, java_pattern, may_be_empty, needed_marks, needed_texts, whole_words
+
+#: Branches of a trie that are tried one after the other; more are halved by their first characters.
+FEW = 3
+#: Letters that are kept to look for a text's among them.
+SELDOM = "bcfgjkmpquvwxyz"
+#: What stands before and after no whole word, one by one, as Java tests ranges one after the other. Letters that lower()
+#: makes of others (k of the Kelvin sign, i of the dotted I) may stand there, as those may be no part of a word.
+BEFORE, AFTER = ("".join(c for c in "abcdefghijklmnopqrstuvwxyz0123456789_" if c not in not_these) for not_these in ("k", "ik"))
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _class(chars: str) -> str:
+    return f"[{''.join(map(re.escape, chars))}]"
+
+
+def _choice(branches: list[tuple[str, str]]) -> str:
+    """A pattern of one of the branches, which begin with different characters: as Java tries the branches
+    of a choice one after the other, many of them are found by halving."""
+    if len(branches) <= FEW:
+        return "|".join(pattern for _, pattern in branches)
+    half = len(branches) // 2
+    return "|".join(f"(?={_class(''.join(head for head, _ in part))})(?:{_choice(part)})" for part in (branches[:half], branches[half:]))
+
+
 def _trie(texts: list[str]) -> str:
     """A pattern of the longest of texts at a place."""
     heads: dict[str, list[str]] = {}
     for text in texts:
         if text:
             heads.setdefault(text[0], []).append(text[1:])
-    branches = [re.escape(head) + _trie(rest) for head, rest in sorted(heads.items())]
+    branches = [(head, re.escape(head) + _trie(rest)) for head, rest in sorted(heads.items())]
     if not branches:
         return ""
     whole = "" in texts
-    return branches[0] if len(branches) == 1 and not whole else f"(?:{'|'.join(branches)}){'?' if whole else ''}"
+    return branches[0][1] if len(branches) == 1 and not whole else f"(?:{_choice(branches)}){'?' if whole else ''}"
 
 
-def _guards(rules: tuple[Rule, ...]) -> tuple[dict[int, tuple[str, ...]], dict[str, list[int]]]:
-    """The texts that are tested one by one for some rules, by place, and the places of the
-    other rules by text of the trie: a text stands for those that it begins with, too."""
-    singles, owners = {}, {}
-    for i, rule in enumerate(rules):
-        texts = needed_texts(rule.pattern)
-        if texts and min(map(len, texts)) == 1:
-            singles[i] = texts
-        else:
-            for text in texts:
-                owners.setdefault(text, set()).add(i)
-    by_text = {t: sorted(set().union(*(owners[t[:n]] for n in range(1, len(t) + 1) if t[:n] in owners))) for t in sorted(owners)}
-    return singles, by_text
+@lru_cache(maxsize=64)
+def _guards(rules: tuple[Rule, ...]) -> tuple[list[frozenset], list[list[int]], list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """The sets of marks; and of each rule the places of those that it needs, its whole words or else its texts."""
+    marks = [needed_marks(rule.pattern) for rule in rules]
+    words = [whole_words(rule.pattern) for rule in rules]
+    texts = [() if some else needed_texts(rule.pattern) for rule, some in zip(rules, words)]
+    sets = sorted(set().union(*marks), key=sorted)
+    # What is a mark itself is in a set; many short texts are found nearly everywhere.
+    texts = [() if some and marks[i] and (min(map(len, some)) == 1 or min(map(len, some)) < 4 < len(some)) else some for i, some in enumerate(texts)]
+    # What holds a text holds any part of it.
+    texts = [tuple(t for t in some if not any(t != x and x in t for x in some)) for some in texts]
+    return sets, [[sets.index(m) for m in sorted(needed, key=lambda m: (len(m), sorted(m)))] for needed in marks], words, texts
+
+
+def _holds(text: str) -> str:
+    """SQL of whether the lower-cased value holds a text."""
+    marks, seldom = "".join(c for c in text if is_mark(c)), "".join(c for c in text if c in SELDOM)
+    tests = [f"contains(b.marks, {_quoted(marks)})"] if marks else []
+    if len(seldom) > 1:
+        tests.append(f"contains(b.seldom, {_quoted(seldom)})")
+    if marks != text:
+        tests.append(f"contains(b.low, {_quoted(text)})")
+    return " AND ".join(tests)
 
 
 def _first_match(pattern: str) -> str:
@@ -63,18 +96,22 @@ def _applies(rule: Rule) -> str:
 
 @lru_cache(maxsize=64)
 def _detections(rules: tuple[Rule, ...]) -> str:
-    """SQL lambda from struct(v, low, place, able) to its detections: written as text, as a plan
+    """SQL lambda from struct(v, low, place, marks, seldom, held, words) to its detections: written as text, as a plan
     of hundreds of rules takes seconds to put together call by call."""
 
-    singles, by_text = _guards(rules)
-    in_trie = {i for places in by_text.values() for i in places}
+    _, marks, words, texts = _guards(rules)
 
     def hit(i: int, rule: Rule) -> str:
         matched = _first_match(rule.pattern)
-        if i in singles:
-            matched = f"CASE WHEN {' OR '.join(f'contains(b.low, {_quoted(t)})' for t in singles[i])} THEN {matched} END"
-        elif i in in_trie:
-            matched = f"CASE WHEN array_contains(b.able, {i}) THEN {matched} END"
+        needed = [f"b.held[{k}]" for k in marks[i]]
+        if words[i]:
+            needed.append(f"arrays_overlap(b.words, array({', '.join(map(_quoted, words[i]))}))")
+        elif exact := cased_texts(rule.pattern):
+            needed.append(f"({' OR '.join(f'contains(b.v, {_quoted(t)})' for t in exact)})")
+        elif texts[i]:
+            needed.append(f"({' OR '.join(map(_holds, texts[i]))})")
+        if needed:
+            matched = f"CASE WHEN {' AND '.join(needed)} THEN {matched} END"
         if rule.targets:
             matched = f"CASE WHEN {_applies(rule)} THEN {matched} END"
         return f"named_struct('i', {i}, 'm', {matched})"
@@ -90,14 +127,31 @@ def _detections(rules: tuple[Rule, ...]) -> str:
 
 
 @lru_cache(maxsize=64)
-def _able(rules: tuple[Rule, ...]) -> str:
-    """SQL lambda from a lower-cased value to the places of the rules whose texts it holds."""
-    _, by_text = _guards(rules)
-    if not by_text:
-        return "low -> cast(array() AS array<int>)"
-    places = ", ".join(f"{_quoted(t)}, array({', '.join(map(str, by_text[t]))})" for t in by_text)
-    found = f"array_distinct(regexp_extract_all(low, {_quoted(f'(?=({_trie(list(by_text))}))')}, 1))"
-    return f"low -> array_distinct(flatten(transform({found}, t -> element_at(map({places}), t))))"
+def _held(rules: tuple[Rule, ...]) -> str:
+    """SQL lambda from a value's marks to whether it holds one of each set of them."""
+    sets, *_ = _guards(rules)
+    return f"marks -> array({', '.join('(' + ' OR '.join(f'contains(marks, {_quoted(m)})' for m in sorted(one)) + ')' for one in sets)})"
+
+
+def _all_but(kept: str) -> str:
+    """A pattern of runs of other characters."""
+    return f"[^{''.join(map(re.escape, sorted(set(kept))))}]+"
+
+
+def _marks(rules: tuple[Rule, ...]) -> str:
+    """The marks that rules look for."""
+    sets, _, _, texts = _guards(rules)
+    return "".join({c for one in sets for c in one} | {c for some in texts for t in some for c in t if is_mark(c)} | {"."})
+
+
+def _words(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """The whole words that rules look for in a lower-cased value, and now and then a part of a word."""
+    _, _, words, _ = _guards(rules)
+    wanted = sorted(set().union(*words))
+    if not wanted:
+        return F.expr("cast(array() AS array<string>)")
+    pattern = f"[^{BEFORE}](?=({_trie(wanted)})(?![{AFTER}]))"
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), low), F.lit(pattern), F.lit(1)))
 
 
 def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Column:
@@ -106,6 +160,10 @@ def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Co
     none = F.expr(f"cast(array() as {DETECTIONS})")
     if not rules:
         return none
-    able = F.call_function("transform", F.array(F.lower(value)), F.expr(_able(rules)))[0]
-    value = F.struct(value.alias("v"), F.lower(value).alias("low"), location.alias("place"), able.alias("able"))
+    low, marks = F.lower(value), F.regexp_replace(value, _all_but(_marks(rules)), "")
+    held = F.call_function("transform", F.array(marks), F.expr(_held(rules)))[0]
+    seldom = F.regexp_replace(low, _all_but(SELDOM), "")
+    value = F.struct(
+        value.alias("v"), low.alias("low"), location.alias("place"), marks.alias("marks"), seldom.alias("seldom"), held.alias("held"), _words(low, rules).alias("words")
+    )
     return F.coalesce(F.call_function("transform", F.array(value), F.expr(_detections(rules)))[0], none)

@@ -137,7 +137,7 @@ def _literals(items) -> frozenset | None:
 
     for op, value in [*items, (None, None)]:
         name = str(op)
-        if name == "LITERAL" and value < 128:
+        if name == "LITERAL" and (value < 128 or chr(value).lower() == chr(value).upper()):
             run += chr(value).lower()
             continue
         if run:
@@ -166,6 +166,55 @@ def needed_texts(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(found)) if sure else ()
 
 
+def is_mark(c: str) -> bool:
+    """Whether c is an ASCII character but no letter, digit or blank."""
+    return c < "\x80" and c != " " and not c.isalnum()
+
+
+def _marks(items) -> set[frozenset]:
+    """Sets of marks, of each of which every match holds one."""
+    found = set()
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL" and is_mark(chr(value)):
+            found.add(frozenset(chr(value)))
+        elif name == "SUBPATTERN":
+            found |= _marks(value[-1])
+        elif name == "IN" and all(str(kind) in ("LITERAL", "RANGE") for kind, _ in value):
+            chars = [c for kind, x in value for c in ((x,) if str(kind) == "LITERAL" else range(x[0], x[1] + 1))]
+            if len(chars) <= 40 and all(is_mark(chr(c)) for c in chars):
+                found.add(frozenset(map(chr, chars)))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+            found |= _marks(value[2])
+        elif name == "BRANCH":
+            parts = [_marks(branch) for branch in value[1]]
+            if all(parts):
+                found.add(frozenset().union(*(min(part, key=lambda one: (len(one), sorted(one))) for part in parts)))
+    return found
+
+
+def needed_marks(pattern: str) -> frozenset:
+    """Sets of characters that are no letter, digit or blank; a value must hold one of each set for the pattern to match."""
+    try:
+        return frozenset(_marks(regex_parser.parse(re.sub(r"^\(\?-?i\)", "", pattern), re.I)))
+    except (re.error, ValueError, OverflowError):
+        return frozenset()
+
+
+def whole_words(pattern: str) -> tuple[str, ...]:
+    r"""The lower-case words of a pattern like \b(this|that)\b; () of any other."""
+    found = re.fullmatch(r"\(\?i\)\\b\(([A-Za-z0-9_|]+)\)\\b", pattern)
+    words = found[1].lower().split("|") if found else ()
+    return tuple(sorted(set(words))) if all(words) else ()
+
+
+def cased_texts(pattern: str) -> tuple[str, ...]:
+    """The texts of a pattern that is a choice of them in upper and lower case, exactly as written; () of any other."""
+    found = re.fullmatch(r"(?:\(\?-i\))?\(([A-Za-z|]+)\)", pattern)
+    texts = found[1].split("|") if found else ()
+    return tuple(texts) if all(texts) and any(t != t.lower() for t in texts) else ()
+
+
 def may_be_empty(pattern: str) -> bool:
     """Whether a match can be the empty text, as far as can be told."""
     try:

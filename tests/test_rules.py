@@ -76,6 +76,27 @@ def test_guards_never_hide_a_match(spark):
     assert {r["value"]: r["ids"] for r in guarded} == want
 
 
+def test_guards_on_examples_of_every_rule(spark):
+    """As above, on a text from each pattern, within words, among others and in upper case, and on odd neighbours of whole words."""
+    from palisade.rules.examples import example
+
+    found = [example(r.pattern) for r in R.CATALOGUE]
+    values = sorted({v for x in found for v in (x, f"a {x} b", f"k{x}k", f"\u212a{x}\u0130", x.upper())} | {"\u212aid sh\u0130", "éCat\n", "since she is", "id\u0301", "uNiOn", "｛", "a..\\b"})
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(8)
+    guarded = df.select("value", F.transform(detect(F.col("value"), "body", R.CATALOGUE), lambda d: d["rule_id"]).alias("ids")).collect()
+    plain = F.array_compact(F.array(*[F.when(F.col("value").rlike(R.java_pattern(r.pattern)), r.id) for r in R.CATALOGUE]))
+    want = {r["value"]: r["ids"] for r in df.select("value", plain.alias("ids")).collect()}
+    assert {r["value"]: r["ids"] for r in guarded} == want and len({i for ids in want.values() for i in ids}) == len(R.CATALOGUE)
+
+
+def test_needed_marks_and_words():
+    assert R.needed_marks(r"(?i)(cn|uid|dc|ou|objectclass)\s*=") == {frozenset("=")}
+    assert R.needed_marks(r"(?i)['\"]\s*OR\s*['\"]?1['\"]?\s*=\s*1") == {frozenset("'\""), frozenset("=")}
+    assert R.needed_marks(r"(%00|\x00)") == {frozenset("%\x00")} and R.needed_marks(r"a|;") == R.needed_marks(r"[^;]-*") == frozenset()
+    assert R.whole_words(r"(?i)\b(nc|SSH)\b") == ("nc", "ssh") and R.whole_words(r"(?i)\b(nc|ssh)") == R.whole_words(r"(?i)\b(nc|)\b") == ()
+    assert R.cased_texts("(?-i)(uNiOn|FrOm)") == ("uNiOn", "FrOm") and R.cased_texts("(?i)(uNiOn)") == R.cased_texts("(union)") == ()
+
+
 def test_selectors():
     rule = R.by_id(R.CATALOGUE, 942100)
     for selector in (942100, "942100", "942*", "942000-942199", "@sqli-union"):
