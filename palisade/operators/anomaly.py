@@ -1,8 +1,8 @@
 """Request fingerprints, and how far they are from what was learned of earlier requests.
 
 Every request is scored before it is learned from. An endpoint's own baseline counts from
-LEAST_SAMPLES requests on; until then that of all requests does. The latter is summed
-within ranges of the order first, then over ranges, so that no task sees all requests."""
+LEAST_SAMPLES requests on; until then that of all requests does. Both are summed within
+ranges of the order first, then over ranges, so that no task sees all requests."""
 
 from __future__ import annotations
 
@@ -25,8 +25,9 @@ WEIGHTS = {"header_count": 0.1, "header_order": 0.15, "method": 0.2, "content_ty
 PARAMETER_SLACK, ENTROPY_SLACK, MOST_MISSING = 5, 1.0, 2
 #: Different header orders that a baseline keeps; occurrences after which 1 - 0.9 ** n exceeds 0.8.
 KEPT_ORDERS, EXPECTED_AFTER = 100, 16
-#: Ranges of the order that the common baseline is summed in.
+#: Ranges of the order that baselines are summed in.
 RANGES = 64
+AMOUNTS = ("header_count", "parameters", "query_entropy")
 
 
 def content_type(value: Column) -> Column:
@@ -57,59 +58,88 @@ def _firsts(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(order).alias("first_"))
 
 
+def _common(names: DataFrame) -> DataFrame:
+    """name and o of the request with which a header, of all requests, becomes an expected one."""
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("o"))
+    some = names.withColumn("k", nth("name", "from_o")).where(F.col("k") <= EXPECTED_AFTER)
+    return some.withColumn("k", nth("name")).where(F.col("k") == EXPECTED_AFTER).select("name", "o")
+
+
+def _ranges(orders: DataFrame) -> DataFrame:
+    """from_o and to_o of RANGES ranges of o with about as many rows each. Fixed here, as Spark samples anew for each use."""
+    least = orders.repartitionByRange(RANGES, "o").groupBy(F.spark_partition_id()).agg(F.min("o").alias("from_o")).select("from_o")
+    # RANGES values.
+    fixed = orders.sparkSession.createDataFrame(least.collect(), least.schema)
+    return fixed.select("from_o", F.lead("from_o").over(Window.orderBy("from_o")).alias("to_o"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """rows with table's columns, null being a key like any other."""
+    renamed = table.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    return rows.join(renamed, same, "left").drop(*[f"k_{k}" for k in keys])
+
+
 def scores(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
-    """requests (a fingerprint each, order unique) with samples of the endpoint, the factors that count, and anomaly."""
+    """requests (a fingerprint each, order unique) with samples of the endpoint, the factors that count, and anomaly.
+
+    An endpoint may have a third of all requests: what it learns is summed within ranges of the order first, then over
+    ranges, so that no task sees all requests of an endpoint."""
     feature = "header_count method_class content_class parameters query_entropy".split()
     rows = requests.select(F.col(endpoint).alias("e"), F.col(order).alias("o"), *feature, F.xxhash64(F.concat_ws("\n", "header_names")).alias("h"), "header_names")
-    # The endpoint's own baseline: windows over its earlier requests.
-    earlier = Window.partitionBy("e").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    again = lambda value: F.row_number().over(Window.partitionBy("e", value).orderBy("o")) > 1
-    names = rows.select("e", "o", F.explode(F.array_distinct("header_names")).alias("name"))
-    nth = names.withColumn("k", F.row_number().over(Window.partitionBy("e", "name").orderBy("o")))
-    own = nth.groupBy("e", "o").agg(F.count_if(F.col("k") > EXPECTED_AFTER).alias("own_held"), F.count_if(F.col("k") == EXPECTED_AFTER).alias("own_new"))
-    rows = rows.join(own, ["e", "o"], "left").na.fill(0, ["own_held", "own_new"])
-    rows = rows.withColumn("own_n", F.count("*").over(earlier))
-    for name in ("header_count", "parameters", "query_entropy"):
-        rows = rows.withColumn(f"own_{name}", F.max(name).over(earlier))
-    for name in ("h", "method_class", "content_class"):
-        rows = rows.withColumn(f"own_{name}", again(name))
+    bounds = _ranges(requests.select(F.col(order).alias("o")))
+    rows = rows.join(F.broadcast(bounds), (F.col("o") >= F.col("from_o")) & (F.col("to_o").isNull() | (F.col("o") < F.col("to_o")))).drop("to_o")
+    # The endpoint's own baseline. Shapes of requests of a range: few, where there are many requests.
+    seen = ("h", "method_class", "content_class")
+    shapes = rows.groupBy("e", "from_o", *seen).agg(F.count("*").alias("n"), *[F.max(a).alias(a) for a in AMOUNTS], F.min("o").alias("least"))
+    for name in seen:
+        shapes = shapes.withColumn(f"own_first_{name}", F.min("least").over(Window.partitionBy("e", name)))
     # Of an endpoint's header orders the first KEPT_ORDERS count.
-    rows = rows.withColumn("place", F.sum(F.when(F.col("own_h"), 0).otherwise(1)).over(Window.partitionBy("e").orderBy("o")))
-    rows = rows.withColumn("place", F.min("place").over(Window.partitionBy("e", "h")))
-    rows = rows.withColumn("own_h", F.col("own_h") & (F.col("place") <= KEPT_ORDERS)).withColumn("own_reached", F.coalesce(F.sum("own_new").over(earlier), F.lit(0)))
-
-    # The common one: when each value came first, and running sums by ranges of the order.
+    shapes = shapes.withColumn("place", F.dense_rank().over(Window.partitionBy("e").orderBy("own_first_h")))
+    before = Window.partitionBy("e").orderBy("from_o").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = shapes.groupBy("e", "from_o").agg(F.sum("n").alias("n"), *[F.max(a).alias(a) for a in AMOUNTS])
+    ranges = ranges.select("e", "from_o", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_n"), *[F.max(a).over(before).alias(f"before_{a}") for a in AMOUNTS])
+    # The request that makes a header an expected one.
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("o"))
+    names = rows.select("e", "from_o", "o", F.explode(F.array_distinct("header_names")).alias("name"))
+    some = names.withColumn("k", nth("e", "name", "from_o")).where(F.col("k") <= EXPECTED_AFTER)
+    reached = some.withColumn("k", nth("e", "name")).where(F.col("k") == EXPECTED_AFTER)
+    listed = F.collect_list(F.struct("name", F.col("o").alias("since")))
+    ranges = _joined(ranges, reached.groupBy("e").agg(listed.alias("own_expected")), "e")
+    rows = _joined(rows, ranges, "e", "from_o")
+    rows = _joined(rows, shapes.select("e", "from_o", *seen, "place", *[f"own_first_{name}" for name in seen]), "e", "from_o", *seen)
+    earlier = Window.partitionBy("e", "from_o").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own_n", F.col("before_n") + F.count("*").over(earlier))
+    for name in AMOUNTS:
+        rows = rows.withColumn(f"own_{name}", F.greatest(f"before_{name}", F.max(name).over(earlier)))
+    for name in seen:
+        rows = rows.withColumn(f"own_{name}", F.col(f"own_first_{name}") < F.col("o"))
+    rows = rows.withColumn("own_h", F.col("own_h") & (F.col("place") <= KEPT_ORDERS))
+
+    # The common one: when each value came first, and the largest amounts by ranges of the order.
     for name in ("method_class", "content_class"):
         # A handful of classes.
-        rows = rows.join(F.broadcast(_firsts(rows, name, "o").withColumnRenamed("first_", f"first_{name}")), name)
-    kept = _firsts(rows, "h", "o").orderBy("first_").limit(KEPT_ORDERS)
+        rows = rows.join(F.broadcast(_firsts(rows.select(name, "o"), name, "o").withColumnRenamed("first_", f"first_{name}")), name)
+    kept = _firsts(requests.select(F.xxhash64(F.concat_ws("\n", "header_names")).alias("h"), F.col(order).alias("o")), "h", "o").orderBy("first_").limit(KEPT_ORDERS)
     rows = rows.join(F.broadcast(kept.withColumnRenamed("first_", "first_h")), "h", "left")
-    part = F.pmod(F.xxhash64("o"), F.lit(RANGES))
-    some = names.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("name", "part").orderBy("o"))).where(F.col("k") <= EXPECTED_AFTER)
-    expected = some.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("o"))).where(F.col("k") == EXPECTED_AFTER).select("name", F.col("o").alias("since"))
-    held = names.join(expected, "name").groupBy("e", "o").agg(F.count_if(F.col("since") < F.col("o")).alias("all_held"), F.count_if(F.col("since") == F.col("o")).alias("all_new"))
-    rows = rows.join(held, ["e", "o"], "left").na.fill(0, ["all_held", "all_new"])
-    ranged = rows.repartitionByRange(RANGES, "o").withColumn("range", F.spark_partition_id())
-    sums = ("max_header_count", "max_parameters", "max_query_entropy", "sum_all_new")
-    made = lambda name: getattr(F, name[:3])(name[4:])
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row.
+    rows = rows.crossJoin(F.broadcast(_common(names).agg(listed.alias("all_expected"))))
+    before = Window.orderBy("from_o").rowsBetween(Window.unboundedPreceding, -1)
     # RANGES rows.
-    bounds = ranged.groupBy("range").agg(*[made(s).alias(s) for s in sums], F.min("o").alias("from_o"))
-    bounds = bounds.select("from_o", F.lead("from_o").over(Window.orderBy("range")).alias("to_o"), *[getattr(F, s[:3])(s).over(before).alias(f"b_{s}") for s in sums])
-    rows = rows.join(F.broadcast(bounds), (F.col("o") >= F.col("from_o")) & (F.col("to_o").isNull() | (F.col("o") < F.col("to_o"))))
+    all_ranges = shapes.groupBy("from_o").agg(*[F.max(a).alias(a) for a in AMOUNTS])
+    rows = rows.join(F.broadcast(all_ranges.select("from_o", *[F.max(a).over(before).alias(f"b_{a}") for a in AMOUNTS])), "from_o")
     within = Window.partitionBy("from_o").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    for s in sums:
-        inner = made(s).over(within)
-        joined = F.greatest(f"b_{s}", inner) if s.startswith("max") else F.coalesce(f"b_{s}", F.lit(0)) + F.coalesce(inner, F.lit(0))
-        rows = rows.withColumn(s, joined)
+    for name in AMOUNTS:
+        rows = rows.withColumn(f"max_{name}", F.greatest(f"b_{name}", F.max(name).over(within)))
 
     known = F.col("own_n") >= LEAST_SAMPLES
     of = lambda own, common: F.when(known, own).otherwise(common)
     most = lambda name, least: F.greatest(F.lit(least), F.coalesce(of(F.col(f"own_{name}"), F.col(f"max_{name}")), F.lit(least)))
     seen = lambda name: of(F.col(f"own_{name}"), F.coalesce(F.col(f"first_{name}") < F.col("o"), F.lit(False)))
     first = F.col("o") == F.col("first_o")
-    rows = rows.join(F.broadcast(rows.agg(F.min("o").alias("first_o"))))
-    missing = of(F.col("own_reached") - F.col("own_held"), F.col("sum_all_new") - F.col("all_held"))
+    rows = rows.join(F.broadcast(requests.agg(F.min(order).alias("first_o"))))
+    lacking = lambda expected: F.size(F.filter(expected, lambda x: (x["since"] < F.col("o")) & ~F.array_contains(F.col("header_names"), x["name"])))
+    missing = of(F.when(F.col("own_expected").isNotNull(), lacking(F.col("own_expected"))).otherwise(0), lacking(F.col("all_expected")))
     factors = {
         "header_count": F.col("header_count") > most("header_count", MOST_HEADERS),
         "header_order": ~first & ~seen("h"),
@@ -131,7 +161,6 @@ def scores(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
 #: A learned baseline: rows of (endpoint, kind, value) with how often it came, its largest amount and the
 #: order of the request that brought it. The baseline of all requests has common set, and no endpoint.
 MODEL = ("common", "endpoint", "kind", "value", "n", "amount", "first")
-AMOUNTS = ("header_count", "parameters", "query_entropy")
 
 
 def learned(requests: DataFrame, endpoint: str, order: str) -> DataFrame:
