@@ -15,11 +15,14 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import let
 from palisade.model import ATTACK_TYPES, DETECTIONS
-from palisade.rules import Rule, cased_texts, is_mark, java_pattern, may_be_empty, needed_marks, needed_texts, whole_words
+from palisade.rules import Rule, cased_texts, first_characters, is_mark, java_pattern, may_be_empty, needed_marks, needed_texts, whole_words
 
 #: Branches of a trie that are tried one after the other; more are halved by their first characters.
 FEW = 3
+#: A pattern whose matches begin with one of no more characters is tried only at those.
+BEGINNINGS = 40
 #: Letters that are kept to look for a text's among them.
 SELDOM = "bcfgjkmpquvwxyz"
 #: What stands before and after no whole word, one by one, as Java tests ranges one after the other. Letters that lower()
@@ -64,8 +67,8 @@ def _guards(rules: tuple[Rule, ...]) -> tuple[list[frozenset], list[list[int]],
     words = [whole_words(rule.pattern) for rule in rules]
     texts = [() if some else needed_texts(rule.pattern) for rule, some in zip(rules, words)]
     sets = sorted(set().union(*marks), key=sorted)
-    # What is a mark itself is in a set; many short texts are found nearly everywhere.
-    texts = [() if some and marks[i] and (min(map(len, some)) == 1 or min(map(len, some)) < 4 < len(some)) else some for i, some in enumerate(texts)]
+    # What is a mark itself is in a set.
+    texts = [() if some and marks[i] and min(map(len, some)) == 1 else some for i, some in enumerate(texts)]
     # What holds a text holds any part of it.
     texts = [tuple(t for t in some if not any(t != x and x in t for x in some)) for some in texts]
     return sets, [[sets.index(m) for m in sorted(needed, key=lambda m: (len(m), sorted(m)))] for needed in marks], words, texts
@@ -77,14 +80,19 @@ def _holds(text: str) -> str:
     tests = [f"contains(b.marks, {_quoted(marks)})"] if marks else []
     if len(seldom) > 1:
         tests.append(f"contains(b.seldom, {_quoted(seldom)})")
-    if marks != text:
-        tests.append(f"contains(b.low, {_quoted(text)})")
-    return " AND ".join(tests)
+    return " AND ".join([*tests, f"contains(b.low, {_quoted(text)})"])
+
+
+def _tried(pattern: str) -> str:
+    """The pattern for Java, which tries the branches of a choice one after the other at every place: one look at
+    the character there says that none can match."""
+    heads = first_characters(pattern)
+    return f"(?=[{''.join(f'\\x{ord(c):02x}' for c in heads)}])(?:{java_pattern(pattern)})" if 0 < len(heads) <= BEGINNINGS else java_pattern(pattern)
 
 
 def _first_match(pattern: str) -> str:
     """SQL of the first match in b.v, null if there is none."""
-    java = _quoted(java_pattern(pattern))
+    java = _quoted(_tried(pattern))
     # regexp_substr knows no empty match.
     return f"CASE WHEN b.v RLIKE {java} THEN regexp_extract(b.v, {java}, 0) END" if may_be_empty(pattern) else f"regexp_substr(b.v, {java})"
 
@@ -160,10 +168,14 @@ def detect(value: Column, location: Column | str, rules: tuple[Rule, ...]) -> Co
     none = F.expr(f"cast(array() as {DETECTIONS})")
     if not rules:
         return none
-    low, marks = F.lower(value), F.regexp_replace(value, _all_but(_marks(rules)), "")
-    held = F.call_function("transform", F.array(marks), F.expr(_held(rules)))[0]
-    seldom = F.regexp_replace(low, _all_but(SELDOM), "")
-    value = F.struct(
-        value.alias("v"), low.alias("low"), location.alias("place"), marks.alias("marks"), seldom.alias("seldom"), held.alias("held"), _words(low, rules).alias("words")
-    )
-    return F.coalesce(F.call_function("transform", F.array(value), F.expr(_detections(rules)))[0], none)
+    # Each is worked out once: what an expression names twice Spark works out twice.
+    of_value = lambda b: let(of_lower, v=b["v"], low=F.lower(b["v"]), marks=F.regexp_replace(b["v"], _all_but(_marks(rules)), ""))
+
+    def of_lower(b: Column) -> Column:
+        held = F.call_function("transform", F.array(b["marks"]), F.expr(_held(rules)))[0]
+        seldom = F.regexp_replace(b["low"], _all_but(SELDOM), "")
+        known = [b["v"].alias("v"), b["low"].alias("low"), location.alias("place"), b["marks"].alias("marks")]
+        known += [seldom.alias("seldom"), held.alias("held"), _words(b["low"], rules).alias("words")]
+        return F.call_function("transform", F.array(F.struct(*known)), F.expr(_detections(rules)))[0]
+
+    return F.coalesce(let(of_value, v=value), none)

@@ -215,6 +215,54 @@ def cased_texts(pattern: str) -> tuple[str, ...]:
     return tuple(texts) if all(texts) and any(t != t.lower() for t in texts) else ()
 
 
+#: The ASCII characters of a class, as Java and Python have it.
+_CLASSES = {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " \t\n\v\f\r", "CATEGORY_WORD": "abcdefghijklmnopqrstuvwxyz0123456789_"}
+
+#: What Java takes for more than Python does: Unicode case, vertical white space, other borders.
+_WIDER = re.compile(r"\(\?[a-zA-Z-]*u|\\v|\\b\{")
+
+
+def _firsts(items) -> tuple[set[str] | None, bool]:
+    """Lower-case characters that a match can begin with, None if they are not sure; and whether it can be empty."""
+    found: set[str] = set()
+    for op, value in items:
+        name, maybe_none = str(op), False
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "LITERAL":
+            here = {chr(value)}
+        elif name == "IN" and all(str(kind) in ("LITERAL", "RANGE") or str(kind) == "CATEGORY" and str(x) in _CLASSES for kind, x in value):
+            of = {"LITERAL": lambda x: chr(x), "RANGE": lambda x: map(chr, range(x[0], x[1] + 1)), "CATEGORY": lambda x: _CLASSES[str(x)]}
+            here = {c for kind, x in value for c in of[str(kind)](x)}
+        elif name == "SUBPATTERN":
+            here, maybe_none = _firsts(value[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            here, maybe_none = _firsts(value[2])
+            maybe_none |= value[0] == 0
+        elif name == "BRANCH":
+            parts = [_firsts(branch) for branch in value[1]]
+            here, maybe_none = None if any(part is None for part, _ in parts) else set().union(*(part for part, _ in parts)), any(none for _, none in parts)
+        else:
+            return None, True
+        if here is None or any(c > "\x7f" for c in here):
+            return None, True
+        found |= {c.lower() for c in here}
+        if not maybe_none:
+            return found, False
+    return found, True
+
+
+def first_characters(pattern: str) -> str:
+    """The ASCII characters, letters in both cases, one of which every match begins with; none if they are not sure."""
+    if _WIDER.search(pattern):
+        return ""
+    try:
+        found, maybe_none = _firsts(regex_parser.parse(re.sub(r"^\(\?-?i\)", "", pattern), re.I))
+    except (re.error, ValueError, OverflowError):
+        return ""
+    return "" if maybe_none or found is None else "".join(sorted({c for x in found for c in (x, x.upper())}))
+
+
 def may_be_empty(pattern: str) -> bool:
     """Whether a match can be the empty text, as far as can be told."""
     try:

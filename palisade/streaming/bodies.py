@@ -113,7 +113,9 @@ def log_responses(chunks: DataFrame, key: str, index: str, data: str, last: str,
     """key, last, detections, header of every response body that ends: they are never blocked; a
     header names the rules found. Nothing is looked at unless config.response_inspection is set."""
     known = chunks.withColumn(data, decoded(data)).where(F.col(data).isNotNull() & F.lit(config.response_inspection))
-    rows = buffered(known, key, index, data, last, config).select(key, "last", detect(as_text(F.col("body")), "response_body", load(config)).alias("detections"))
+    found = detect(as_text(F.col("body")), "response_body", load(config))
+    # Made to a row by explode: as a mere column, a filter on the header would match every rule a second time.
+    rows = buffered(known, key, index, data, last, config).select(key, "last", F.explode(F.array(found)).alias("detections"))
     ids = F.array_join(F.transform("detections", lambda d: d["rule_id"].cast("string")), ",")
     return rows.withColumn("header", F.when(F.size("detections") > 0, ids))
 

@@ -49,6 +49,15 @@ def test_responses_are_logged_only(spark):
     assert found["b"] is None and "942100" in found["a"].split(",")
 
 
+def test_a_filter_on_the_header_matches_no_rule_twice(spark, capsys):
+    rows = chunks(spark, ("a", 0, ATTACK, True), ("b", 0, b"fine", True))
+    found = bodies.log_responses(rows, "corr", "i", "data", "last", Config(response_inspection=True)).where("header is not null").select("corr", F.size("detections").alias("n"))
+    found.explain()
+    # Every rule looks at the one text made of the body.
+    assert capsys.readouterr().out.count("makeValid") == 1
+    assert [(r["corr"], r["n"] > 0) for r in found.collect()] == [("a", True)]
+
+
 def test_openapi_paths(spark):
     compiled = schema.compile_openapi(OPENAPI)
     assert [t["segments"] for t in compiled] == [["orders"], ["users", "me"], ["users", None]]

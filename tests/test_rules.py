@@ -89,6 +89,17 @@ def test_guards_on_examples_of_every_rule(spark):
     assert {r["value"]: r["ids"] for r in guarded} == want and len({i for ids in want.values() for i in ids}) == len(R.CATALOGUE)
 
 
+def test_first_characters(spark):
+    want = {r"(?i)\bUnion\b": "Uu", r"(?i)(cn|uid)\s*=": "CUcu", r"\(\||\[&": "([", r"a?[0-2]": "012Aa", r"\s*x|\dy": "\t\n\v\f\r 0123456789Xx", r"a*": "", r".a": "", r"[^a]": "", r"(?iu)k": "", "[\u0430-\u0432]": "", "\u0430|b": "", r"\v": "", r"\p{L}": ""}
+    assert {p: R.first_characters(p) for p in want} == {p: "".join(sorted(c)) for p, c in want.items()}
+    # Marks that stand apart in the value are no text of it; a choice is tried as a whole; what stands before a place counts.
+    rules = tuple(R.Rule(i, str(i), "Xss", pattern=p) for i, p in enumerate((r"''|\.\.", r"\(\||\[&", r"(?<=a)b|c$", r"(?i)\bkid", r"[\u0430-\u0432]|x", r"(?iu)k")))
+    values = ["'a' .b.", "x''", "..", "(|", "[&", "( |", "ab", "b", "cc", "ca", "a KID", "akid", "\u212aid", "\u0431", "x", None]
+    got = spark.createDataFrame([(v,) for v in values], "value string").select("value", F.transform(detect(F.col("value"), "body", rules), lambda d: d["rule_id"]).alias("ids")).collect()
+    found = {"x''": [0, 4], "..": [0], "(|": [1], "[&": [1], "ab": [2], "cc": [2], "a KID": [3, 5], "akid": [5], "\u212aid": [5], "\u0431": [4], "x": [4]}
+    assert {r["value"]: r["ids"] for r in got} == {v: found.get(v, []) for v in values}
+
+
 def test_needed_marks_and_words():
     assert R.needed_marks(r"(?i)(cn|uid|dc|ou|objectclass)\s*=") == {frozenset("=")}
     assert R.needed_marks(r"(?i)['\"]\s*OR\s*['\"]?1['\"]?\s*=\s*1") == {frozenset("'\""), frozenset("=")}
