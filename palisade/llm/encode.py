@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 
@@ -24,13 +25,14 @@ import numpy as np
 KEPT_UNITS = 150_000
 UNIT_BYTES = 250
 #: Python and the libraries differ on whether these are white space.
-_UNCERTAIN = re.compile("[\x1c-\x1f]")
+_UNCERTAIN = "\x1c\x1d\x1e\x1f"
 _UNITS = re.compile(r"\s*\S+|\s+")
 #: White space other than the space and the line feed.
 _OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters that no normalisation changes, whose case is one to one and whose class is sure.
 _PLAIN = re.compile(f"[ -~\n{_LETTERS}]*")
+_WORD = re.compile(f"[{_LETTERS}]+")
 #: Where the splitters cut plain units.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED_PIECES = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
@@ -79,6 +81,15 @@ class UnitEncoder:
     def _spaced(self, key: str) -> bytes:
         if key.isascii() and key.isalpha():  # one piece, whatever the splitter
             return self._merged(f"{self.alphabet[32]}{key}")
+        # Nor does it cut a word or a run of marks at its end anywhere else: most of what is new needs no splitter.
+        body = key.rstrip(punctuation)
+        begun = body[:1] == "\n"
+        word = body[begun:]
+        if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
+            if body == key and not begun:
+                return self._merged(self.alphabet[32] + word.encode().decode("latin-1").translate(self.alphabet))
+            ids = self.units["\n"] + self.units[word] if begun else self.spaced[word]
+            return ids if body == key else ids + self.units[key[len(body) :]]
         return self._unit(key if key[:1] == "\n" else f" {key}")
 
     def _unit(self, unit: str) -> bytes:
@@ -101,7 +112,7 @@ class UnitEncoder:
         return self._merged(shown)
 
     def _text(self, text: str) -> bytes:
-        if _UNCERTAIN.search(text) or any(token in text for token in self.specials):
+        if any(c in text for c in _UNCERTAIN) or any(token in text for token in self.specials):
             return self._whole(text)
         if not self.keeps_space:
             return b"".join(map(self.units.__getitem__, text.split()))

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +57,21 @@ def test_a_full_cache_is_bounded():
     assert 40_000 < most <= 2 * (20_000 + 2 * run + 1) and held < most * UNIT_BYTES
 
 
+def test_words_and_marks_need_no_splitter(monkeypatch):
+    """New words, with marks at their end or a line feed before them, are cut as the library cuts them, but without its splitter."""
+    path, findall = public_tokenizers.path("byte_bpe_50k.json"), []
+    encoder = UnitEncoder(Tokenizer.from_file(path), True)
+    words = ["Zorblat", "ñezieó", "Éx", "don't", "it's", "'s", "x's,", "ÿ÷×", "ªº", "straße", "İx", "a1", "\u4e2d"]
+    marks = ["", ",", ".", "$$$", ",!!", "'", "'.", "''", "_", "~`", "…"]
+    texts = [f"{before}{word}{mark}{after}" for before in ("", "a ", "a\n", "\n", " ") for word in words for mark in marks for after in ("", " b", "\nb")]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    plain = [f"a {word}{mark}\n{word}{mark}" for word in ("qorblat", "qñezieó") for mark in ("", ",", "$$$")]
+    monkeypatch.setattr("palisade.llm.encode._SPACED_PIECES", SimpleNamespace(findall=lambda unit: findall.append(unit) or [unit]))
+    encoder.encode(plain)
+    assert not [unit for unit in findall if unit not in ("a", "\n", ",", "$$$", "qñezieó")]
+
+
 @pytest.mark.parametrize("kind", [bitplane.BYTES, bitplane.BITS])
 @pytest.mark.parametrize("n", [0, 1, 999, 1000, 3501])
 def test_shard_round_trip(kind, n):
